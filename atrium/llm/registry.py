@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from atrium.llm import decontaminate, quality, secret_scan, simhash, toxicity, warc
+from atrium.llm import decontaminate, html_text, packing, quality, secret_scan, simhash, substring_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+    "op5_packing": packing.op5_packing,
+    "op6_html_text": html_text.op6_html_text,
     "op7_secret_scan": secret_scan.op7_secret_scan,
     "op8_warc_fixity": warc.op8_warc_fixity,
     "op9_simhash": simhash.op9_simhash,

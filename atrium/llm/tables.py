@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atrium.storage import ship
+
 #: Spark regex for the separators between words: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -15,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone: other columns, whatever their names, are left behind."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

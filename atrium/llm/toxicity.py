@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atrium.llm.tables import table, texts
-from atrium.storage import stored
+from atrium.storage import ship, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: A word gives itself and its beginnings of these lengths, so that inflected forms share evidence.
@@ -190,6 +190,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
     """``docs`` without the rows whose severity is ``reject_at`` or more; rows are judged where they stand."""
+    ship(docs.sparkSession)
     severity = _severities(model)
 
     @F.pandas_udf("double")
