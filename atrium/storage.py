@@ -1,9 +1,11 @@
-"""Tables kept in the folder that all executors share."""
+"""Tables kept in the folder that all executors share, and this package on the executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +30,20 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/atrium-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application, through Spark's file server."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="atrium-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as file:
+        for p in sorted(root.rglob("*.py")):
+            file.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
