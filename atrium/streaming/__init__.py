@@ -1,0 +1 @@
+"""Nothing here yet: every operator works on whole plans, and a plan is complete when it arrives."""
