@@ -161,7 +161,8 @@ def write_warc(pages: DataFrame, path: str, cfg: MerkleConfig = MerkleConfig())
     file_id = F.coalesce(F.floor(F.col("page_id") / cfg.records_per_file).cast("long"), F.lit(-1).cast("long"))
     out = pages.select(file_id.alias("file_id"), "page_id", record_bytes(F.col("url"), F.col("html")).alias("value"))
     out = out.repartition("file_id").sortWithinPartitions("file_id", "page_id", F.sha2(F.col("value").cast("binary"), 256))
-    out.select("file_id", "value").write.partitionBy("file_id").option("lineSep", "").text(path)
+    line = F.expr("substring(value, 1, length(value) - 1)").alias("value")  # the writer ends each with the last line feed
+    out.select("file_id", line).write.partitionBy("file_id").option("lineSep", "\n").text(path)
 
 
 ORACLE = r"""
