@@ -131,12 +131,22 @@ def parallel_walls(spark, sf_dir):
     return pairs.select("plan_id", "seg_a", "seg_b", _r("distance", 4).alias("distance"))
 
 
+def pair_metrics(spark, sf_dir):
+    """What merging looks at, for pairs of segments that are near each other."""
+    pairs = segments.near_pairs(grid_fx(spark, sf_dir), reach=1.0).withColumn("m", g.merged_segment())
+    turn = g.angle_difference(g.angle_deg("a_"), g.angle_deg("b_"))
+    return pairs.select(
+        "plan_id", "a_seg_id", "b_seg_id", _r(g.min_endpoint_distance(), 4).alias("gap"), _r(turn, 4).alias("turn"),
+        _r(F.hypot(F.col("m.x2") - F.col("m.x1"), F.col("m.y2") - F.col("m.y1")), 4).alias("merged_length"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         segment_metrics, segment_stats, long_horizontal, intersections, split_pieces, merge_collinear, room_areas, room_areas_nearest,
         room_areas_descending, room_polygons, euler, adjacency, connections, topology_map, wall_types, label_rooms, label_rooms_concat,
-        door_closing, parallel_walls,
+        door_closing, parallel_walls, pair_metrics,
     )
 }
 
@@ -179,4 +189,11 @@ SELECT plan_id, "left", text AS label FROM o WHERE n = 1""",
     "label_rooms_concat": f"""{_TEXT_IN} SELECT plan_id, "left", string_agg(text, ' ' ORDER BY block_id) AS label FROM hit GROUP BY plan_id, k, "left" """,
     "door_closing": f"WITH {_ROOM} SELECT plan_id, round(w * k / (nd + 1), 4) AS x, 20.0::DOUBLE AS gap FROM rooms WHERE k > 0",
     "parallel_walls": f"WITH {_ROOM} SELECT plan_id, CAST(3 + k AS INT) AS seg_a, CAST(103 + k AS INT) AS seg_b, 10.0::DOUBLE AS distance FROM rooms WHERE k > 0",
+    "pair_metrics": f"""WITH g AS ({GRID_FX}), b AS (SELECT *, least(x1, x2) AS u0, greatest(x1, x2) AS u1, least(y1, y2) AS v0, greatest(y1, y2) AS v1,
+   CASE WHEN degrees(atan2(y2 - y1, x2 - x1)) < 0 THEN degrees(atan2(y2 - y1, x2 - x1)) + 180 ELSE degrees(atan2(y2 - y1, x2 - x1)) END AS deg FROM g),
+q AS (SELECT a.plan_id, a.seg_id AS a_seg_id, b.seg_id AS b_seg_id, abs(a.deg - b.deg) AS d, sqrt((a.x1-b.x1)*(a.x1-b.x1) + (a.y1-b.y1)*(a.y1-b.y1)) AS d11, sqrt((a.x1-b.x2)*(a.x1-b.x2) + (a.y1-b.y2)*(a.y1-b.y2)) AS d12,
+   sqrt((a.x2-b.x1)*(a.x2-b.x1) + (a.y2-b.y1)*(a.y2-b.y1)) AS d21, sqrt((a.x2-b.x2)*(a.x2-b.x2) + (a.y2-b.y2)*(a.y2-b.y2)) AS d22,
+   sqrt((a.x1-a.x2)*(a.x1-a.x2) + (a.y1-a.y2)*(a.y1-a.y2)) AS da, sqrt((b.x1-b.x2)*(b.x1-b.x2) + (b.y1-b.y2)*(b.y1-b.y2)) AS db
+   FROM b a JOIN b ON a.plan_id = b.plan_id AND a.seg_id < b.seg_id AND a.u0 - 2 <= b.u1 AND b.u0 - 2 <= a.u1 AND a.v0 - 2 <= b.v1 AND b.v0 - 2 <= a.v1)
+SELECT plan_id, a_seg_id, b_seg_id, round(least(d11, d12, d21, d22), 4) AS gap, round(CASE WHEN d > 90 THEN 180 - d ELSE d END, 4) AS turn, round(greatest(d11, d12, d21, d22, da, db), 4) AS merged_length FROM q""",
 }

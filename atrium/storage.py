@@ -27,7 +27,7 @@ def stored(df: DataFrame) -> DataFrame:
     and Spark may split a skewed key there.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/atrium-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/atrium-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
