@@ -171,7 +171,7 @@ ORACLES = {
     "heating_by_plan": f"WITH {_REQ} SELECT plan_id, n_rooms, heating_w, heating_kw FROM loads",
     "cooling_by_plan": f"WITH {_REQ} SELECT plan_id, n_rooms, cooling_w, cooling_kw FROM loads",
     "room_requirements": f"WITH {_REQ} SELECT plan_id, floor_idx, room_id, label, usage, round(area_m2, 8) AS area_m2, round(volume_m3, 8) AS volume_m3, round(ext_wall_m, 8) AS ext_wall_m, heating_w, cooling_w, target_c FROM req",
-    "radiators": f"WITH {_RAD} SELECT plan_id, room_id, id, x, y, ne * 80 AS width_mm, CASE per WHEN 120 THEN 600 WHEN 80 THEN 300 ELSE 900 END AS height_mm, ne * per AS power_w, ne AS n_elements, wall_side FROM radi",
+    "radiators": f"WITH {_RAD} SELECT plan_id, room_id, id, x, y, CAST(ne * 80 AS INT) AS width_mm, CASE per WHEN 120 THEN 600 WHEN 80 THEN 300 ELSE 900 END AS height_mm, CAST(ne * per AS INT) AS power_w, CAST(ne AS INT) AS n_elements, wall_side FROM radi",
     "ac_units": f"""WITH {_REQ}, u AS (SELECT q.*, w.x1, w.x2, w.y1, w.y2, w.side, row_number() OVER (PARTITION BY plan_id ORDER BY floor_idx, q.room_id) AS no
    FROM req q LEFT JOIN cw w ON q.room_id = w.room_id WHERE usage NOT IN ('storage', 'garage', 'hallway'))
 SELECT plan_id, room_id, 'AC_' || CASE WHEN no < 1000 THEN lpad(CAST(no AS VARCHAR), 3, '0') ELSE CAST(no AS VARCHAR) END AS id, coalesce((x1 + x2) / 2, cx) AS x, coalesce((y1 + y2) / 2, cy) AS y, cooling_w,

@@ -185,7 +185,7 @@ p AS (SELECT a.plan_id, a.block_id AS a_block_id, b.block_id AS b_block_id, leas
    FROM k a JOIN k b ON a.plan_id = b.plan_id AND (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.block_id < b.block_id))),
 f AS (SELECT *, CASE WHEN ow > 0 AND oh > 0 THEN ow * oh / m::DOUBLE ELSE 0.0 END AS overlap FROM p)
 SELECT plan_id, a_block_id, b_block_id, round(overlap, 12) AS overlap FROM f WHERE overlap > 0.5 OR same""",
-    "box_filter": f"""WITH {_T} SELECT plan_id, block_id, row_number() OVER (PARTITION BY plan_id ORDER BY y, x, block_id) - 1 AS crop, round(w / h::DOUBLE, 6) AS ratio
+    "box_filter": f"""WITH {_T} SELECT plan_id, block_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY y, x, block_id) - 1 AS INT) AS crop, round(w / h::DOUBLE, 6) AS ratio
 FROM t WHERE w * h BETWEEN 100 AND 6000 AND w / h::DOUBLE BETWEEN 1.2 AND 10 AND h BETWEEN 8 AND 40""",
     "unique_texts": f"WITH {_T} SELECT plan_id, trim(text) AS text, min(block_id) AS seq FROM t GROUP BY plan_id, trim(text)",
     "normalize_docs": rf"""SELECT doc_id, md5(coalesce(lower(strip_accents(text)), '')) AS floor,
