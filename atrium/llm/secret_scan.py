@@ -20,7 +20,8 @@ from atrium.storage import stored
 class Rule:
     """``pattern`` as Java regex; a match counts if its group ``group`` has ``least`` characters or more.
 
-    ``hints``: lower-case strings of which the lower-cased text must hold one for any match (all texts if empty).
+    ``hints``: lower-case strings of which the lower-cased text must hold one for any match; without any, the pattern
+    itself is tried.
     """
 
     kind: str
@@ -47,6 +48,25 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256)
 
 
+def _hinted(text: Column, rule: Rule) -> Column:
+    """Whether ``text`` can hold a match of the rule at all."""
+    if not rule.hints:
+        return text.rlike(rule.pattern)
+    low = F.lower(text)
+    hit = low.contains(rule.hints[0])
+    for hint in rule.hints[1:]:
+        hit = hit | low.contains(hint)
+    return hit
+
+
+def may_hold(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether any rule can match; false for null. Most texts can be cleared by this where they stand."""
+    out = F.lit(False)
+    for rule in rules:
+        out = out | _hinted(text, rule)
+    return F.coalesce(out, F.lit(False))
+
+
 def _matches(text: Column, rule: Rule, order: int) -> Column:
     """The rule's matches in ``text`` in order: what stands before each, its length, and whether it counts."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -60,14 +80,7 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
         ),
     )
     none = F.array().cast("array<struct<kind_no:int,i:int,gap:int,length:int,counts:boolean>>")
-    wanted = F.array_contains("todo", order)
-    if rule.hints:
-        low = F.lower(text)
-        hit = low.contains(rule.hints[0])
-        for hint in rule.hints[1:]:
-            hit = hit | low.contains(hint)
-        wanted = wanted & hit
-    return F.when(wanted, found).otherwise(none)
+    return F.when(F.array_contains("todo", order) & _hinted(text, rule), found).otherwise(none)
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -95,20 +108,40 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
-def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
-    """``(blob, text, todo)``: each distinct blob once, with the numbers of the rules it was not scanned with."""
-    blobs = versions.select(blob_id(F.col("text")).alias("blob"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    blobs = blobs.dropDuplicates(["blob"])  # copies meet within a task first, so a hot group is a row a task
+def _todo(blobs: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """``blobs`` with ``todo``, the numbers of the rules they were not scanned with; those with none left out."""
     every = F.array(*[F.lit(i) for i in range(len(rules))])
     if ledger is None:
         return blobs.withColumn("todo", every)
-    number = F.coalesce(
-        *[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)]
-    )
-    done = ledger.select("blob", number.alias("k")).where("k IS NOT NULL")
+    done = ledger.select("blob", _number(rules).alias("k")).where("k IS NOT NULL")
     done = done.groupBy("blob").agg(F.collect_set("k").alias("done"))
     todo = F.array_except(every, F.coalesce("done", F.array().cast("array<int>")))
-    return blobs.join(done, "blob", "left").select("blob", "text", todo.alias("todo")).where(F.size("todo") > 0)
+    return blobs.join(done, "blob", "left").select(*blobs.columns, todo.alias("todo")).where(F.size("todo") > 0)
+
+
+def _number(rules: tuple[Rule, ...]) -> Column:
+    """The number of a ledger row's rule; null for other rules and versions."""
+    return F.coalesce(
+        *[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)]
+    )
+
+
+def unseen(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """``(blob, text, todo)``: each distinct blob that can hold a secret, once, with the rules still to be run on it.
+
+    Only these texts are shuffled; copies meet within a task first, so a hot group is a row a task.
+    """
+    held = versions.where(may_hold(F.col("text"), rules))
+    return _todo(held.select(blob_id(F.col("text")).alias("blob"), "text").dropDuplicates(["blob"]), ledger, rules)
+
+
+def cleared(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ledger rows without spans for the unseen blobs that can't hold a secret."""
+    free = versions.where(~may_hold(F.col("text"), rules)).select(blob_id(F.col("text")).alias("blob")).distinct()
+    rows = _todo(free, ledger, rules).select("blob", F.explode("todo").alias("k"))
+    names, numbers = F.array(*[F.lit(r.kind) for r in rules]), F.array(*[F.lit(r.version) for r in rules])
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return rows.select("blob", F.get(names, F.col("k")).alias("kind"), F.get(numbers, F.col("k")).alias("version"), none.alias("spans"))
 
 
 def scan(
@@ -122,12 +155,9 @@ def scan(
     behind. ``ledger``: the given ledger with the rows of this run, to be kept for the next.
     """
     versions = versions.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    new = stored(scan_blobs(unseen(versions, ledger, rules), rules))
+    new = stored(scan_blobs(unseen(versions, ledger, rules), rules).unionByName(cleared(versions, ledger, rules)))
     full = new if ledger is None else ledger.unionByName(new)
-    known = F.coalesce(
-        *[F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(i)) for i, r in enumerate(rules)]
-    )
-    spans = full.withColumn("kind_no", known).where("kind_no IS NOT NULL AND size(spans) > 0")
+    spans = full.withColumn("kind_no", _number(rules)).where("kind_no IS NOT NULL AND size(spans) > 0")
     spans = spans.select("blob", "kind", "kind_no", F.explode("spans").alias("s")).groupBy("blob")
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("s.start", "kind_no", "kind", "s.end"))).alias("spans"))
     paths = versions.select("doc_id", blob_id(F.col("text")).alias("blob"))
@@ -152,13 +182,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans are replaced once.
 
-    All rows and columns stay; texts without findings are untouched, ``n_chars``, where there is one, follows
+    All rows and columns stay; texts without findings are untouched and, where no rule can match, not shuffled; ``n_chars``, where there is one, follows
     the new text. Findings come by content, not by doc_id, so repeated and null ids are no trouble.
     """
     spans = stored(_found(docs, rules))
-    key = "__blob"
-    joined = docs.withColumn(key, blob_id(F.col("text"))).join(spans.withColumnRenamed("blob", key), key, "left")
-
+    key, suspect = "__blob", may_hold(F.col("text"), rules)
+    held = docs.where(suspect).withColumn(key, blob_id(F.col("text")))
+    joined = held.join(spans.withColumnRenamed("blob", key), key, "left")
     text = F.col("text")
     at = F.expr("CAST(0 AS BIGINT)")
     step = lambda acc, s: F.when(
@@ -182,7 +212,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", rules: tuple[Rule, ...] =
     if "n_chars" in docs.columns:
         size = F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(~suspect).unionByName(out.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def _found(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
