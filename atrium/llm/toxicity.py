@@ -105,8 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
 def _featured(rows: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [features(t) for t in frame["text"]]
-            yield pd.DataFrame({"toxic": frame["toxic"], "n_words": [n for _, n in found], "features": [f for f, _ in found]})
+            for at in range(0, len(frame), 100):  # a text has thousands of features: few texts at once
+                part = frame.iloc[at : at + 100]
+                found = [features(t) for t in part["text"]]
+                yield pd.DataFrame({"toxic": part["toxic"], "n_words": [n for _, n in found], "features": [f for f, _ in found]})
 
     return rows.mapInPandas(run, "toxic int, n_words bigint, features map<string,int>")
 
