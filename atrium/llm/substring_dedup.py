@@ -44,8 +44,10 @@ class SubstringConfig:
     reach: int = 4
     #: Repeated spans of fewer words are not reported.
     least_words: int = 16
-    #: Largest band bucket in which all pairs are compared; in larger ones all are compared with one.
+    #: Largest band bucket in which all pairs are compared at once; in larger ones see ``_crowded``.
     paired: int = 12
+    #: Members of a crowded list that one task compares with others.
+    block: int = 256
     words_at_once: int = 200_000
     remembered: int = 500_000
 
@@ -211,26 +213,64 @@ def units(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFram
     return rows.mapInArrow(run, schema)
 
 
-def _candidates(posts: DataFrame, cfg: SubstringConfig, finer: int = 1) -> DataFrame:
-    """Pairs to compare in the buckets of ``posts(key, h)``.
+def _candidates(posts: DataFrame, cfg: SubstringConfig) -> tuple[DataFrame, DataFrame]:
+    """Pairs to compare first in the buckets of ``posts(key, h)``, and the posts of large buckets.
 
-    In a small bucket all pairs are compared. In a large one all are compared with one of them, another one in
-    each bucket; and its members are put into finer buckets, of those that share two bands, where the same is done.
-    So the pairs stay in proportion to the posts.
+    In a small bucket all pairs are compared. In a large one all are compared with the least of them; what that
+    leaves open is left to ``_crowded``.
     """
-    mixed = F.col("h").bitwiseXOR(F.col("key"))
-    sizes = posts.groupBy("key").agg(F.count("*").alias("n"), F.min(mixed).alias("lead")).where("n > 1")
-    sizes = stored(sizes.withColumn("lead", F.col("lead").bitwiseXOR(F.col("key"))))
+    sizes = stored(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lead")).where("n > 1"))
     met = stored(sieve(posts, "key", sizes).join(sizes, "key"))
     short, large = met.where(F.col("n") <= cfg.paired), met.where(F.col("n") > cfg.paired)
     pairs = short.selectExpr("key", "h AS a").join(short.selectExpr("key", "h AS b"), "key").where("a < b").select("a", "b")
-    stars = large.where(F.col("h") != F.col("lead")).selectExpr("least(h, lead) AS a", "greatest(h, lead) AS b")
-    found = pairs.unionByName(stars)
-    if finer:
-        keys = large.groupBy("h").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a key a band at most
-        two = F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, cfg.bands), lambda y: F.xxhash64(x, y)))
-        found = found.unionByName(_candidates(stored(keys.select("h", F.explode(F.flatten(two)).alias("key"))), cfg, finer - 1))
-    return found.distinct()
+    stars = large.where("h <> lead").selectExpr("lead AS a", "h AS b")
+    return pairs.unionByName(stars).distinct(), large.select("key", "h")
+
+
+def _crowded(large: DataFrame, roots: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame | None:
+    """Pairs ``(a, b)`` left to compare in large buckets ``(key, h)``, none that can be alike left out.
+
+    Members of one component need no link. In a bucket with more than one, sets are put in order of how many members
+    hold a shingle, rarest first: two sets at the similarity share one of the first |x| - ceil(similarity |x|) + 1, and
+    at the first they share, what follows must still be enough. So members meet by their rare shingles, not by a
+    passage that many hold. In each list those outside its largest component are compared with all, block by block.
+    """
+    named = large.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
+    named = stored(named)
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    members = stored(named.join(stored(several), "key").select("h", "root").distinct())
+    if members.isEmpty():
+        return None
+    own = stored(sets.join(members, "h").select("h", "root", "shingles"))
+    tokens = own.select("h", F.explode("shingles").alias("token"))
+    held = stored(tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"))
+    shared = stored(sieve(tokens, "token", held).join(held, "token"))
+    shared = shared.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    # Shingles that one member alone holds come first and meet nothing.
+    n = F.size("shingles")
+    alone = n - F.size("shared")
+    reach = n - F.ceil(n * cfg.similarity - 1e-6).cast("int") + 1 - alone
+    posts = shared.join(own, "h").select("h", "root", n.alias("n"), alone.alias("alone"), F.slice("shared", 1, F.greatest(reach, F.lit(0))).alias("shared"))
+    posts = stored(posts.select("h", "root", "n", "alone", F.posexplode("shared").alias("i", "x")).selectExpr("x.token AS token", "h", "root", "n", "n - alone - i AS rest"))
+    lists = posts.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token")
+    lists = lists.agg(F.sum("m").alias("many"), F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
+    lists = stored(lists.select("token", F.ceil(F.col("many") / cfg.block).alias("parts"), F.col("top.root").alias("top")))
+    met = stored(sieve(posts, "token", lists).join(lists, "token"))
+    left = met.where("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    left = left.selectExpr("token", "part", "h AS a", "root AS ra", "n AS na", "rest AS ta")
+    right = met.selectExpr("token", "pmod(h, parts) AS part", "h AS b", "root AS rb", "n AS nb", "rest AS tb", "root = top AS in_top")
+    enough = F.least("ta", "tb") >= (F.col("na") + F.col("nb")) * (cfg.similarity / (1 + cfg.similarity)) - 1e-6
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * cfg.similarity - 1e-6
+    pairs = left.join(right, ["token", "part"]).where("ra <> rb AND (in_top OR a < b)").where(enough & near)
+    return stored(pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame:
+    """``(src, dst)`` of the pairs at ``similarity`` or above, by exact Jaccard."""
+    both = pairs.join(sets.selectExpr("h AS a", "shingles AS sa"), "a").join(sets.selectExpr("h AS b", "shingles AS sb"), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    alike = common >= cfg.similarity * (F.size("sa") + F.size("sb") - common)
+    return stored(both.where(alike).selectExpr("a AS src", "b AS dst"))
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, cfg: SubstringConfig) -> DataFrame:
@@ -257,15 +297,17 @@ def similar(docs: DataFrame, found: DataFrame, cfg: SubstringConfig = SubstringC
     names = [f"b{i}" for i in range(cfg.bands)]
     longs = found.where(F.col("b0").isNotNull())
     distinct = stored(longs.groupBy("h").agg(*[F.min(b).alias(b) for b in names]))
-    pairs = stored(_candidates(distinct.select("h", F.explode(F.array(*names)).alias("key")), cfg))
+    pairs, large = _candidates(distinct.select("h", F.explode(F.array(*names)).alias("key")), cfg)
+    pairs = stored(pairs)
     wanted = stored(pairs.selectExpr("a AS h").unionByName(pairs.selectExpr("b AS h")).distinct())
     places = sieve(longs.select("h", "doc_id", "start", "n_words"), "h", wanted).join(wanted, "h")
     places = places.groupBy("h").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("h", "at.*")
     sets = stored(_shingle_sets(docs, places, cfg))
-    both = pairs.join(sets.selectExpr("h AS a", "shingles AS sa"), "a").join(sets.selectExpr("h AS b", "shingles AS sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = common >= cfg.similarity * (F.size("sa") + F.size("sb") - common)
-    links = stored(both.where(alike).selectExpr("a AS src", "b AS dst"))
+    roots = connected_components(_alike(pairs, sets, cfg)).withColumnRenamed("node", "h")
+    rest = _crowded(large, roots, sets, cfg)
+    if rest is None:
+        return roots
+    links = roots.selectExpr("h AS src", "root AS dst").unionByName(_alike(rest, sets, cfg))
     return connected_components(links).withColumnRenamed("node", "h")
 
 

@@ -193,6 +193,34 @@ def test_similar_paragraphs(spark):
     assert true >= 30 and 0.9 * true <= roots.groupBy("root").count().count() <= true
 
 
+@pytest.mark.parametrize("block", [7, 256])
+def test_similar_under_a_shared_passage(spark, block):
+    rng = random.Random(17)
+    cfg = substring_dedup.SubstringConfig(block=block)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(140)]
+    rows = []
+    for k in range(250):
+        own = [word() for _ in range(60)]
+        for j in (0, 1):
+            copy = list(own)
+            copy[rng.randrange(60)] = f"edit{j}"
+            rows.append((2 * k + j, " ".join([*passage, *copy])))
+    rows += [(500 + k, " ".join([*passage[:k], "x", *passage[k:], *(f"y{i}" for i in range(60))])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.units(docs, cfg)
+    keys = {r["doc_id"]: (r["h"], {r[f"b{i}"] for i in range(cfg.bands)}) for r in found.where("b0 IS NOT NULL").collect()}
+    roots = {r["h"]: r["root"] for r in substring_dedup.similar(docs, found, cfg).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: roots.get(h, h) for i, (h, _) in keys.items()}
+    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    crowd = collections.Counter(k for _, ks in keys.values() for k in ks)
+    meet = [(a, b) for a, b in alike if keys[a][1] & keys[b][1]]
+    assert len(meet) > 700 and sum(n > cfg.paired for n in crowd.values()) > 2
+    assert all(root[a] == root[b] for a, b in meet)
+    assert len(set(root.values())) >= 251
+
+
 def test_repeated_odd(spark, odd):
     rows = substring_dedup.repeated(odd).collect()
     assert all(r["doc_id"] is not None for r in rows)
