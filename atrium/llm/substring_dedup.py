@@ -36,8 +36,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 class SubstringConfig:
     shingle: int = 5
     similarity: float = 0.8
-    rows: int = 2
-    recall: float = 0.98
+    rows: int = 3
+    recall: float = 0.985
     #: Shorter paragraphs can only be alike when equal.
     least_paragraph: int = 8
     #: A cut stands where the hash of two neighbouring words is the least among so many places to each side.
