@@ -62,6 +62,7 @@ class Node:
     parent: Node | None
     content: list = field(default_factory=list)  # strings and nodes, in order
     skip: bool = False
+    marked: bool = False  # by class or role, in an article: its density decides
     chars: int = 0
     tags: int = 0
     link_chars: int = 0
@@ -70,21 +71,26 @@ class Node:
     density_sum: float = 0.0
 
 
-def _skipped(tag: str, attributes: str, parents: tuple[str, ...]) -> bool:
-    if tag in SKIP or (tag == "header" and "article" not in parents and "main" not in parents):
-        return True
+def _skipped(tag: str, attributes: str, parents: tuple[str, ...]) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether that depends on its density as its marks stand in an article."""
+    inside = "article" in parents or "main" in parents
+    if tag in SKIP or (tag == "header" and not inside):
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    marked = False
     for m in _MARKS.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return True, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True
+                return True, False
         elif MARKED.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            return True
-    return False
+            if not inside:
+                return True, False
+            marked |= name != "id" and tag != "header"
+    return False, marked
 
 
 def parse(source: str) -> Node:
@@ -121,7 +127,8 @@ def parse(source: str) -> Node:
         if tag in BLOCK:
             node = _end_open(node, tag)
         parents = _path(node)
-        child = Node(tag, node, skip=node.skip or _skipped(tag, m[3], parents))
+        skip, marked = _skipped(tag, m[3], parents)
+        child = Node(tag, node, skip=node.skip or skip, marked=marked)
         node.content.append(child)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(source, at)
@@ -194,6 +201,11 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
     return chars / tags * math.log(value) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else chars / tags * math.log(value + 1)
 
 
+def plain_density(node: Node) -> float:
+    """Characters outside links per tag; unlike the composite density it does not grow for very short texts."""
+    return (node.chars - node.link_chars) / max(1, node.tags)
+
+
 def main_nodes(root: Node) -> list[Node]:
     """The kept nodes with the article's text, in page order."""
     order = measure(root)
@@ -215,6 +227,13 @@ def main_nodes(root: Node) -> list[Node]:
         if node.tag in ("article", "main"):
             top = node  # headings and short parts of the same article belong to it, dense or not
         node = node.parent
+    path, node = [], best
+    while node is not None:
+        path.append(plain_density(node))
+        node = node.parent
+    for x in order:
+        if x.marked and (x.density < threshold or plain_density(x) < min(path)):
+            x.skip = True
     if top is root:
         return [root]
     inside = _within(top)

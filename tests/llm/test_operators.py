@@ -300,6 +300,20 @@ def test_main_text(source, want):
     assert html_text.main_text(source) == want
 
 
+def test_marks_inside_an_article():
+    text = lambda w: f"{w} " + "long text " * 30
+    parts = [
+        '<header class="entry-header"><h1>Title</h1></header>', f'<section id="discussion"><p>{text("a")}</p></section>',
+        f'<h2 id="related-work">Related work</h2><p id="search-1">{text("b")}</p>', f'<p class="notice">{text("c")}</p>',
+        f'<div class="side-by-side"><p>{text("d")}</p></div>',
+        '<div class="related"><a href="/1">More</a> <a href="/2">Other</a></div>', '<div class="share">Share</div>', '<p hidden>no</p>',
+    ]
+    want = ["Title", text("a").strip(), "Related work", *(text(w).strip() for w in "bcd")]
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<body><{tag}>{''.join(parts)}</{tag}></body>") == "\n".join(want)
+    assert html_text.main_text(f'<article><div class="side-by-side"><p>{text("d")}</p></div></article>') == text("d").strip()
+
+
 def test_pages_odd(spark):
     rows = [(1, None, None), (None, "u", ""), (2, "u", "<p>" * 3000 + "deep"), (2, "u", "<p>x</p>"), (2, "u", "<p>x</p>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))
