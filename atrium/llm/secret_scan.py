@@ -7,7 +7,7 @@ the ledger lacks, each distinct blob once however many paths hold it, and joins
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +40,14 @@ RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", hints=("-----begin",)),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", hints=("eyj",)),
 )
+#: A private key from BEGIN to END; where END is missing, to the last line of base64. Breaks may be written as \\n.
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*+(?:-{1,4}[^-]++){0,200}+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info): [^\r\n]*+){0,2}+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{16,}+={0,2}+){1,1000}+"
+    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/]++={0,2}+(?=[ \t]*(?:[\r\n\\]|$)))?+)?+"
+)
+#: For overwriting: the whole key, of which the rule ``pem`` and its SQL report the first line.
+WHOLE = tuple(replace(r, version=2, pattern=_KEY) if r.kind == "pem" else r for r in RULES)
 BASE_KINDS = ("assign", "access", "hex")
 LEDGER = "blob string, kind string, version int, spans array<struct<start:bigint,end:bigint>>"
 
@@ -179,8 +187,8 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.select("doc_id", *counts, base, written(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mark: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every found span replaced by ``mark``; overlapping spans are replaced once.
+def redact(docs: DataFrame, mark: str = "[REDACTED]", rules: tuple[Rule, ...] = WHOLE) -> DataFrame:
+    """``docs`` with every found span replaced by ``mark``; overlapping spans are replaced once. Private keys go whole.
 
     All rows and columns stay; texts without findings are untouched and, where no rule can match, not shuffled; ``n_chars``, where there is one, follows
     the new text. Findings come by content, not by doc_id, so repeated and null ids are no trouble.
