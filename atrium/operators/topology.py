@@ -1,7 +1,7 @@
 """Planar topology of floor plans: vertices, half-edges, faces, rooms, adjacency and walls.
 
 The half-edge table of a floor stays together by ``plan_id, floor_id``: vertices, links and twins are windows over
-one partitioning, and only cycles need rounds of joins.
+one partitioning, and faces are found in arrays of many floors at once, without another exchange.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ class TopologyConfig:
     """snapping: grid (the first point of a grid cell) or nearest (the first vertex within the tolerance, in order).
 
     turn: ascending links all vertices by rising angle, descending by falling angle and only from two edges on.
+    most_pieces: floors of more pieces are not gathered in a row.
     """
 
     snapping: str = "grid"
@@ -30,6 +31,7 @@ class TopologyConfig:
     turn: str = "ascending"
     least_area: float = 1000.0
     most_area: float = math.inf
+    most_pieces: int = 500_000
 
 
 def _ends(pieces: DataFrame) -> DataFrame:
@@ -116,10 +118,11 @@ def _of_twin(name: str) -> Column:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """``(plan_id, floor_id, e, cycle)``: the least half-edge of the cycle through ``next``; null off cycles.
+    """``(plan_id, floor_id, e, cycle, rank)``: the least half-edge of the cycle through ``next`` and the number of steps
+    to it from there; null off cycles.
 
-    Pointer doubling: after k rounds each edge knows the least of 2^k edges ahead, so the rounds are the logarithm
-    of the longest cycle. Each round is kept in the shared folder.
+    Pointer doubling for floors too large for one row: after k rounds each edge knows the least of 2^k edges ahead, so
+    the rounds are the logarithm of the longest cycle. Each round is kept in the shared folder.
     """
     state = stored(edges.select(*FLOOR, "e", F.col("next").alias("to"), F.least("e", "next").alias("least"), F.col("next").isNull().alias("open")))
     while True:
@@ -133,16 +136,122 @@ def cycles(edges: DataFrame) -> DataFrame:
         new = stored(new)
         state = new.drop("moved")
         if new.where("moved").limit(1).count() == 0:
-            return state.select(*FLOOR, "e", F.when(~F.col("open"), F.col("least")).alias("cycle"))
+            break
+    found = edges.join(state.select(*FLOOR, "e", F.when(~F.col("open"), F.col("least")).alias("cycle")), [*FLOOR, "e"])
+    return found.select(*FLOOR, "e", "cycle").join(_ranks(found), [*FLOOR, "e"], "left")
 
 
-def faces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _ranks(edges: DataFrame) -> DataFrame:
+    """``(plan_id, floor_id, e, rank)``: list ranking by doubling along the way back, which is cut at the least edge."""
+    own = edges.where("cycle IS NOT NULL")
+    back = own.select(*FLOOR, F.col("next").alias("e"), F.col("e").alias("before"))
+    first = F.col("e") == F.col("cycle")
+    rows = own.select(*FLOOR, "e", "cycle").join(back, [*FLOOR, "e"])
+    state = stored(rows.select(*FLOOR, "e", F.when(first, F.col("e")).otherwise(F.col("before")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("rank")))
+    while True:
+        ahead = state.select(*FLOOR, F.col("e").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"))
+        new = state.join(ahead, [*FLOOR, "to"]).select(*FLOOR, "e", F.col("to2").alias("to"), (F.col("rank") + F.col("rank2")).alias("rank"), (F.col("to") != F.col("to2")).alias("moved"))
+        new = stored(new)
+        state = new.drop("moved")
+        if new.where("moved").limit(1).count() == 0:
+            return state
+
+
+def _walk(offsets, to):
+    """``cycle`` (-1: none) and ``rank`` of the edges of many floors at once, numbered from 0 in each; ``to`` -1: no next.
+
+    Doubling over arrays: the rounds are the logarithm of the longest cycle of the batch.
+    """
+    import numpy as np
+
+    n = len(to)
+    base = np.repeat(offsets[:-1], np.diff(offsets))
+    sink = n  # edges without a next lead here for good
+    at = np.concatenate([np.where(to < 0, sink, to + base), [sink]])
+    least, ahead = np.minimum(np.arange(n + 1), at), at.copy()
+    while True:
+        low, far = np.minimum(least, least[ahead]), ahead[ahead]
+        still = np.array_equal(low, least) and ((ahead == sink) == (far == sink)).all()
+        least, ahead = low, far
+        if still:
+            break
+    open_ = ahead[:n] == sink
+    head = np.where(open_, np.arange(n), least[:n])
+    back = np.arange(n + 1)
+    back[at[:n][~open_]] = np.flatnonzero(~open_)
+    back[head] = head
+    steps = np.where(np.arange(n + 1) == np.concatenate([head, [sink]]), 0, 1)
+    while (steps[back] > 0).any():
+        steps, back = steps + steps[back], back[back]
+    return np.where(open_, -1, head - base), steps[:n], base
+
+
+def _faces_in_batches(batches):
+    """For rows of one floor each, with its edges' arrays: the edges' cycle, rank and what their face is like."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = batch.column(2)
+        offsets = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())]).astype(np.int64)
+        value = dict(zip((f.name for f in rows.type.value_type), rows.flatten().flatten(), strict=True))
+        to = value["next"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ox, oy, dx, dy = (value[c].to_numpy(zero_copy_only=False) for c in ("ox", "oy", "dx", "dy"))
+        cycle, rank, base = _walk(offsets, to)
+        n, on = len(to), cycle >= 0
+        head = np.where(on, cycle + base, n)
+        size = np.bincount(head, minlength=n + 1)
+        order = np.lexsort((np.arange(n), head))
+        area = np.abs(np.bincount(head[order], weights=(ox * dy - dx * oy)[order], minlength=n + 1)) / 2
+        floor = np.repeat(np.arange(len(rows)), np.diff(offsets))
+        face = (size[:n] >= 3) & on & (head == np.arange(n))  # one mark a face, at its least edge
+        number = np.cumsum(face) - 1
+        before = np.concatenate([[0], np.cumsum(np.bincount(floor, weights=face, minlength=len(rows)))]).astype(np.int64)
+        number = np.append(number - before[floor] if n else number, -1)
+        at = np.flatnonzero(face)
+        best = at[np.lexsort((at, -area[at], floor[at]))]
+        largest = np.zeros(n + 1, dtype=bool)
+        largest[best[np.concatenate([[True], floor[best][1:] != floor[best][:-1]])] if len(best) else best] = True
+        has = on & (size[head] >= 3)
+        twin = (np.arange(n) - base ^ 1) + base
+        none = ~has
+        made = {
+            "cycle": pa.array(np.where(has, cycle, 0), mask=none), "rank": pa.array(rank, mask=none), "face": pa.array(np.where(has, number[head], 0), mask=none),
+            "n_edges": pa.array(size[head], mask=none), "area": pa.array(area[head], mask=none), "is_external": pa.array(largest[head], mask=none),
+            "twin_face": pa.array(np.where(has, number[head], 0)[twin], mask=none[twin]), "twin_external": pa.array(largest[head][twin], mask=none[twin]),
+        }
+        columns = {"plan_id": batch.column(0).take(pa.array(floor)), "floor_id": batch.column(1).take(pa.array(floor)), **value, **made}
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+_EDGE = "e bigint, twin bigint, next bigint, origin bigint, dest bigint, ox double, oy double, dx double, dy double"
+_FACE = "cycle bigint, rank bigint, face bigint, n_edges bigint, area double, is_external boolean, twin_face bigint, twin_external boolean"
+
+
+def faces(edges: DataFrame, large: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Half-edges with their ``face`` (null where a cycle is open or has under 3 edges), and the face table.
 
     ``(plan_id, floor_id, face, n_edges, area, is_external)``: faces are numbered by their least edge; the
-    largest area is external, the first of equals.
+    largest area is external, the first of equals. A floor is a row, and cycles, ranks and areas of many floors are
+    worked out on arrays; the floors in ``large`` go by joins and give the same.
     """
-    labelled = edges.join(cycles(edges), [*FLOOR, "e"])
+    ship(edges.sparkSession)
+    names = [c.split()[0] for c in _EDGE.split(", ")]
+    kinds = dict(edges.dtypes)
+    small = edges if large is None else edges.join(large, FLOOR, "left_anti")
+    floors = small.groupBy(*FLOOR).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("edges"))
+    schema = f"plan_id {kinds['plan_id']}, floor_id {kinds['floor_id']}, {_EDGE}, {_FACE}"
+    found = floors.mapInArrow(_faces_in_batches, schema)
+    if large is not None:
+        found = found.unionByName(_joined_faces(stored(edges.join(large, FLOOR, "left_semi"))))
+    found = stored(found)
+    table = found.where("e = cycle").select(*FLOOR, "face", "n_edges", "area", "is_external")
+    return found.drop("cycle", "n_edges", "area"), table
+
+
+def _joined_faces(edges: DataFrame) -> DataFrame:
+    """What ``_faces_in_batches`` gives, by joins and windows."""
+    labelled = edges.join(stored(cycles(edges)), [*FLOOR, "e"])
     cross = F.col("ox") * F.col("dy") - F.col("dx") * F.col("oy")
     table = labelled.where("cycle IS NOT NULL").groupBy(*FLOOR, "cycle").agg(F.count("*").alias("n_edges"), (F.abs(F.sum(cross)) / 2).alias("area"))
     table = table.where("n_edges >= 3")
@@ -150,9 +259,9 @@ def faces(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = table.withColumn("face", number)
     largest = F.row_number().over(Window.partitionBy(*FLOOR).orderBy(F.desc("area"), "face")) == 1
     table = stored(table.withColumn("is_external", largest))
-    found = labelled.join(table.select(*FLOOR, "cycle", "face", "is_external"), [*FLOOR, "cycle"], "left").drop("cycle")
-    twin = found.withColumns({"twin_face": _of_twin("face"), "twin_external": _of_twin("is_external")})
-    return stored(twin), table.drop("cycle")
+    found = labelled.join(table, [*FLOOR, "cycle"], "left")
+    found = found.withColumns({c: F.when(F.col("face").isNotNull(), F.col(c)) for c in ("cycle", "rank")})
+    return found.withColumns({"twin_face": _of_twin("face"), "twin_external": _of_twin("is_external")})
 
 
 @dataclass
@@ -172,7 +281,9 @@ class Topology:
 def build_topology(segments: DataFrame, cfg: TopologyConfig = TopologyConfig()) -> Topology:
     """Segments to intersections, pieces, half-edges and faces."""
     pieces = stored(split_at_intersections(segments, find_intersections(segments), cfg.split))
-    edges, table = faces(stored(half_edges(pieces, cfg)))
+    large = pieces.groupBy(*FLOOR).agg(F.count("*").alias("n")).where(F.col("n") > cfg.most_pieces).select(*FLOOR)
+    large = stored(large)
+    edges, table = faces(half_edges(pieces, cfg), None if large.isEmpty() else large)
     return Topology(pieces, edges, table, cfg)
 
 
@@ -219,23 +330,8 @@ def topology_map(topology: Topology) -> DataFrame:
 
 
 def ranked_edges(topology: Topology) -> DataFrame:
-    """Half-edges of faces with ``rank``, their place on the way round from the face's least edge.
-
-    List ranking by doubling along the way back, which is cut at the least edge.
-    """
-    own = topology.edges.where("face IS NOT NULL")
-    lead = own.groupBy(*FLOOR, "face").agg(F.min("e").alias("lead"))
-    back = own.select(*FLOOR, F.col("next").alias("e"), F.col("e").alias("before"))
-    rows = own.select(*FLOOR, "e", "face").join(back, [*FLOOR, "e"]).join(lead, [*FLOOR, "face"])
-    first = F.col("e") == F.col("lead")
-    state = stored(rows.select(*FLOOR, "e", F.when(first, F.col("e")).otherwise(F.col("before")).alias("to"), F.when(first, 0).otherwise(1).cast("long").alias("rank")))
-    while True:
-        ahead = state.select(*FLOOR, F.col("e").alias("to"), F.col("to").alias("to2"), F.col("rank").alias("rank2"))
-        new = state.join(ahead, [*FLOOR, "to"]).select(*FLOOR, "e", F.col("to2").alias("to"), (F.col("rank") + F.col("rank2")).alias("rank"), (F.col("to") != F.col("to2")).alias("moved"))
-        new = stored(new)
-        state = new.drop("moved")
-        if new.where("moved").limit(1).count() == 0:
-            return own.join(state.select(*FLOOR, "e", "rank"), [*FLOOR, "e"])
+    """Half-edges of faces with ``rank``, their place on the way round from the face's least edge."""
+    return topology.edges.where("face IS NOT NULL")
 
 
 def polygons(topology: Topology) -> DataFrame:
