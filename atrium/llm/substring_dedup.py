@@ -6,12 +6,14 @@ exact Jaccard similarity, and those at or above it form components. Paragraphs a
 each text is cut at points that its own words choose, so a passage copied into the middle of other text gives the
 same inner parts there. Parts are short; at 5-word shingles two of them are alike when they are equal.
 
-Of a class of paragraphs or parts that occurs in two or more documents, the first place (by doc_id, then position)
-is kept and the others are removed; neighbouring places are merged into spans of words.
+Of a class of paragraphs or parts that occurs in two or more documents, the first place (by doc_id, then position) is
+the source. Neighbouring places with one source and one shift against it are a run; its words are compared with the
+source's and it grows to both sides as far as they agree. Sources are kept and the others removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atrium.llm.sieve import sieve
@@ -42,8 +44,11 @@ class SubstringConfig:
     least_paragraph: int = 8
     #: A cut stands where the hash of two neighbouring words is the least among so many places to each side.
     reach: int = 4
-    #: Repeated spans of fewer words are not reported.
-    least_words: int = 16
+    #: Repeated spans of fewer words are not reported. 50 is what passages are in the contract of the query; 8 also gives
+    #: short paragraphs.
+    least_words: int = 50
+    #: Words to each side of a run in which its ends are looked for.
+    context: int = 32
     #: Largest band bucket in which all pairs are compared at once; in larger ones see ``_crowded``.
     paired: int = 12
     #: Members of a crowded list that one task compares with others.
@@ -51,6 +56,15 @@ class SubstringConfig:
     words_at_once: int = 200_000
     remembered: int = 500_000
 
+    #: Bands of the finer signatures of members of crowded lists, and their rows.
+    fine_bands: int = 16
+    fine_rows: int = 6
+
+    @property
+    def least_run(self) -> int:
+        """A passage has inner parts of so many words together, or they are not compared: a third of it is cut off by its ends."""
+        return min(self.least_words, 12)
+
     @property
     def bands(self) -> int:
         """Bands needed so that two paragraphs at the similarity share one with probability ``recall``."""
@@ -168,28 +182,36 @@ class Units:
 
     def _bands(self, prefix: np.ndarray, n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         cfg = self.cfg
-        out = np.zeros((len(start), cfg.bands), dtype=np.int64)
         if not len(start):
-            return out
+            return np.zeros((0, cfg.bands), dtype=np.int64)
         shingles = np.concatenate([self._shingles(prefix, n), np.zeros(1, dtype=np.uint64)])
         edges = np.stack([start, start + size - cfg.shingle + 1], axis=1).ravel()
-        for b in range(cfg.bands):
-            key = np.full(len(start), b + 1, dtype=np.uint64) * _TWO
-            for r in range(cfg.rows):
-                seed = np.uint64((b * cfg.rows + r + 1) * 0x632BE59BD9B4E019 % (1 << 64))
-                key = _mix(key ^ np.minimum.reduceat(_mix(shingles ^ seed), edges)[::2])
-            out[:, b] = key.view(np.int64)
-        return out
+        return _band_keys(shingles, edges, cfg.bands, cfg.rows)[:, ::2].T
+
+
+def _band_keys(shingles: np.ndarray, edges: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
+    """Keys of ``bands`` bands for the ranges of ``shingles`` that begin at ``edges``."""
+    out = np.zeros((bands, len(edges)), dtype=np.int64)
+    for b in range(bands):
+        key = np.full(len(edges), b + 1 + first, dtype=np.uint64) * _TWO
+        for r in range(rows):
+            seed = np.uint64((first + b * rows + r + 1) * 0x632BE59BD9B4E019 % (1 << 64))
+            key = _mix(key ^ np.minimum.reduceat(_mix(shingles ^ seed), edges))
+        out[b] = key.view(np.int64)
+    return out
 
 
 def units(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFrame:
-    """``(doc_id, part, start, n_words, h, b0, b1, ...)``; bands are null for parts and short paragraphs."""
+    """``(doc_id, v, part, start, n_words, h, b0, b1, ...)``; bands are null for parts and short paragraphs.
+
+    ``v`` is a hash of the text, so that texts that share a doc_id are told apart. Null texts and ids have no units.
+    """
     names = [f"b{i}" for i in range(cfg.bands)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Units(cfg)
         for batch in batches:
-            ids, texts_ = np.array(batch.column(0).to_pylist(), dtype=np.int64), batch.column(1).to_pylist()
+            ids, vs, texts_ = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             at = 0
             while at < len(texts_):
                 end, size = at, 0
@@ -201,16 +223,19 @@ def units(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFram
                 none = np.ones(len(u["h"]), dtype=bool)
                 bands[u["long"]], none[u["long"]] = u["bands"], False
                 columns = [
-                    pa.array(ids[at:end][u["row"]]), pa.array(u["part"], pa.int32()), pa.array(u["start"].astype(np.int32)),
+                    pa.array(ids[at:end][u["row"]]), pa.array(vs[at:end][u["row"]]), pa.array(u["part"], pa.int32()), pa.array(u["start"].astype(np.int32)),
                     pa.array(u["n_words"].astype(np.int32)), pa.array(u["h"].view(np.int64)),
                     *[pa.array(bands[:, i], mask=none) for i in range(cfg.bands)],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "start", "n_words", "h", *names])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", "part", "start", "n_words", "h", *names])
                 at = end
 
-    rows = texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    schema = "doc_id bigint, part int, start int, n_words int, h bigint, " + ", ".join(f"{b} bigint" for b in names)
-    return rows.mapInArrow(run, schema)
+    schema = "doc_id bigint, v bigint, part int, start int, n_words int, h bigint, " + ", ".join(f"{b} bigint" for b in names)
+    return _known(docs).mapInArrow(run, schema)
+
+
+def _known(docs: DataFrame) -> DataFrame:
+    return texts(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("v"), "text")
 
 
 def _candidates(posts: DataFrame, cfg: SubstringConfig) -> tuple[DataFrame, DataFrame]:
@@ -227,21 +252,44 @@ def _candidates(posts: DataFrame, cfg: SubstringConfig) -> tuple[DataFrame, Data
     return pairs.unionByName(stars).distinct(), large.select("key", "h")
 
 
-def _crowded(large: DataFrame, roots: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame | None:
-    """Pairs ``(a, b)`` left to compare in large buckets ``(key, h)``, none that can be alike left out.
+def _several(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(h, root)`` of the members of large buckets ``(key, h)`` that hold more than one component."""
+    named = stored(large.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root")))
+    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return stored(named.join(stored(several), "key").select("h", "root").distinct())
+
 
-    Members of one component need no link. In a bucket with more than one, sets are put in order of how many members
-    hold a shingle, rarest first: two sets at the similarity share one of the first |x| - ceil(similarity |x|) + 1, and
-    at the first they share, what follows must still be enough. So members meet by their rare shingles, not by a
-    passage that many hold. In each list those outside its largest component are compared with all, block by block.
+def _finer(members: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame:
+    """Pairs ``(a, b)`` of members that share a bucket of finer bands, each with the least of it.
+
+    Paragraphs under one passage that many hold have unlike finer signatures, near copies like ones; so this joins
+    nearly all that are alike at the cost of a few rows a member, however large the group is.
     """
-    named = large.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
-    named = stored(named)
-    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = stored(named.join(stored(several), "key").select("h", "root").distinct())
-    if members.isEmpty():
-        return None
-    own = stored(sets.join(members, "h").select("h", "root", "shingles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            tokens = lists.flatten().to_numpy().view(np.uint64)
+            edges = np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy()[:-1]])).astype(np.int64)
+            keys = _band_keys(tokens, edges, cfg.fine_bands, cfg.fine_rows, first=1000)
+            h = np.tile(batch.column(0).to_numpy(), cfg.fine_bands)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(h)], names=["key", "h"])
+
+    posts = stored(members.select("h").join(sets, "h").select("h", "shingles").mapInArrow(run, "key bigint, h bigint"))
+    leads = posts.groupBy("key").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    return stored(posts.join(leads, "key").where("a <> h").select("a", F.col("h").alias("b")).distinct())
+
+
+def _crowded(members: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame:
+    """Pairs ``(a, b)`` left to compare among members ``(h, root)``, none that can be alike left out.
+
+    Members of one component need no link. Sets are put in order of how many members hold a shingle, rarest first: two
+    sets at the similarity share one of the first |x| - ceil(similarity |x|) + 1, and at the first they share, what
+    follows must still be enough. So members meet by their rare shingles, not by a passage that many hold. Parities of
+    hashed shingles differ in no more places than the sets do, which proves most that meet unlike. In each list those
+    outside its largest component are compared with all, block by block.
+    """
+    own = stored(sets.join(members, "h"))
     tokens = own.select("h", F.explode("shingles").alias("token"))
     held = stored(tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"))
     shared = stored(sieve(tokens, "token", held).join(held, "token"))
@@ -250,18 +298,23 @@ def _crowded(large: DataFrame, roots: DataFrame, sets: DataFrame, cfg: Substring
     n = F.size("shingles")
     alone = n - F.size("shared")
     reach = n - F.ceil(n * cfg.similarity - 1e-6).cast("int") + 1 - alone
-    posts = shared.join(own, "h").select("h", "root", n.alias("n"), alone.alias("alone"), F.slice("shared", 1, F.greatest(reach, F.lit(0))).alias("shared"))
-    posts = stored(posts.select("h", "root", "n", "alone", F.posexplode("shared").alias("i", "x")).selectExpr("x.token AS token", "h", "root", "n", "n - alone - i AS rest"))
+    odd = [f"p{i}" for i in range(4)]
+    posts = shared.join(own, "h").select("h", "root", *odd, n.alias("n"), alone.alias("alone"), F.slice("shared", 1, F.greatest(reach, F.lit(0))).alias("shared"))
+    posts = posts.select("h", "root", *odd, "n", "alone", F.posexplode("shared").alias("i", "x"))
+    posts = stored(posts.selectExpr("x.token AS token", "h", "root", *odd, "n", "n - alone - i AS rest"))
     lists = posts.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token")
     lists = lists.agg(F.sum("m").alias("many"), F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
     lists = stored(lists.select("token", F.ceil(F.col("many") / cfg.block).alias("parts"), F.col("top.root").alias("top")))
     met = stored(sieve(posts, "token", lists).join(lists, "token"))
     left = met.where("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    left = left.selectExpr("token", "part", "h AS a", "root AS ra", "n AS na", "rest AS ta")
-    right = met.selectExpr("token", "pmod(h, parts) AS part", "h AS b", "root AS rb", "n AS nb", "rest AS tb", "root = top AS in_top")
-    enough = F.least("ta", "tb") >= (F.col("na") + F.col("nb")) * (cfg.similarity / (1 + cfg.similarity)) - 1e-6
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * cfg.similarity - 1e-6
-    pairs = left.join(right, ["token", "part"]).where("ra <> rb AND (in_top OR a < b)").where(enough & near)
+    left = left.selectExpr("token", "part", "h AS a", "root AS ra", "n AS na", "rest AS ta", *[f"{p} AS a{p}" for p in odd])
+    right = met.selectExpr("token", "pmod(h, parts) AS part", "h AS b", "root AS rb", "n AS nb", "rest AS tb", "root = top AS in_top", *[f"{p} AS b{p}" for p in odd])
+    both, s = F.col("na") + F.col("nb"), cfg.similarity
+    enough = F.least("ta", "tb") >= both * (s / (1 + s)) - 1e-6
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * s - 1e-6
+    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in odd), start=F.lit(0))
+    close = apart <= both * ((1 - s) / (1 + s)) + 1e-6
+    pairs = left.join(right, ["token", "part"]).where("ra <> rb AND (in_top OR a < b)").where(enough & near & close)
     return stored(pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
 
 
@@ -273,85 +326,170 @@ def _alike(pairs: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame
     return stored(both.where(alike).selectExpr("a AS src", "b AS dst"))
 
 
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """256 bits: which of 256 places get an odd number of the tokens."""
+    odd = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _looked_up(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``(doc_id, v, text, places)`` for ``places(doc_id, v, ...)``, one row for each document with any."""
+    rest = [c for c in places.columns if c not in ("doc_id", "v")]
+    per_doc = stored(places.groupBy("doc_id", "v").agg(F.collect_set(F.struct(*rest)).alias("places")))
+    return sieve(_known(docs), "v", per_doc).join(per_doc, ["doc_id", "v"])
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, cfg: SubstringConfig) -> DataFrame:
-    """``(h, shingles)`` of the wanted paragraphs, read from one document that holds each."""
+    """``(h, shingles, p0 .. p3)`` of the wanted paragraphs, read from one document that holds each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Units(cfg)
         for batch in batches:
-            hs, sets = [], []
+            hs, sets, odd = [], [], []
             for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.split()
                 for p in places:
+                    found = make.shingles(words[p["start"] : p["start"] + p["n_words"]])
                     hs.append(p["h"])
-                    sets.append(make.shingles(words[p["start"] : p["start"] + p["n_words"]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
+                    sets.append(found.view(np.int64))
+                    odd.append(_parities(found))
+            bits = np.array(odd, dtype=np.int64).reshape(len(odd), 4)
+            columns = [pa.array(hs, pa.int64()), pa.array(sets, pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(4)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "shingles", "p0", "p1", "p2", "p3"])
 
-    per_doc = stored(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("h", "start", "n_words")).alias("places")))
-    rows = sieve(texts(docs).where("text IS NOT NULL"), "doc_id", per_doc).join(per_doc, "doc_id").select("text", "places")
-    return rows.mapInArrow(run, "h bigint, shingles array<bigint>").dropDuplicates(["h"])
+    schema = "h bigint, shingles array<bigint>, p0 bigint, p1 bigint, p2 bigint, p3 bigint"
+    return _looked_up(docs, wanted).select("text", "places").mapInArrow(run, schema).dropDuplicates(["h"])
 
 
 def similar(docs: DataFrame, found: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFrame:
-    """``(h, root)`` for paragraphs that have others at ``similarity`` or above, by exact Jaccard."""
+    """``(h, root)`` for paragraphs that have others at ``similarity`` or above, by exact Jaccard.
+
+    Every pair that shares a band is in one component or was compared, or proved below the similarity.
+    """
     names = [f"b{i}" for i in range(cfg.bands)]
     longs = found.where(F.col("b0").isNotNull())
     distinct = stored(longs.groupBy("h").agg(*[F.min(b).alias(b) for b in names]))
     pairs, large = _candidates(distinct.select("h", F.explode(F.array(*names)).alias("key")), cfg)
     pairs = stored(pairs)
     wanted = stored(pairs.selectExpr("a AS h").unionByName(pairs.selectExpr("b AS h")).distinct())
-    places = sieve(longs.select("h", "doc_id", "start", "n_words"), "h", wanted).join(wanted, "h")
-    places = places.groupBy("h").agg(F.min(F.struct("doc_id", "start", "n_words")).alias("at")).select("h", "at.*")
+    places = sieve(longs.select("h", "doc_id", "v", "start", "n_words"), "h", wanted).join(wanted, "h")
+    places = places.groupBy("h").agg(F.min(F.struct("doc_id", "v", "start", "n_words")).alias("at")).select("h", "at.*")
     sets = stored(_shingle_sets(docs, places, cfg))
     roots = connected_components(_alike(pairs, sets, cfg)).withColumnRenamed("node", "h")
-    rest = _crowded(large, roots, sets, cfg)
-    if rest is None:
-        return roots
-    links = roots.selectExpr("h AS src", "root AS dst").unionByName(_alike(rest, sets, cfg))
-    return connected_components(links).withColumnRenamed("node", "h")
+    for more in (lambda m: _finer(m, sets, cfg), lambda m: _crowded(m, sets, cfg)):
+        members = _several(large, roots)
+        if members.isEmpty():
+            break
+        links = roots.selectExpr("h AS src", "root AS dst").unionByName(_alike(more(members), sets, cfg))
+        roots = connected_components(links).withColumnRenamed("node", "h")
+    return roots
 
 
-def repeated(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFrame:
-    """``(doc_id, start, end, first_doc_id, removed)``: spans of words that also stand in another document.
+# --- spans ------------------------------------------------------------------------------------------------------
 
-    ``start`` and ``end`` count the text's white-space separated words, end exclusive; ``first_doc_id`` is the
-    smallest document id with the class of the span's first unit; ``removed`` is false for the kept first place.
-    Null texts and null ids have no spans, nor have texts that share nothing; an empty table gives no rows.
-    Repeated rows count as one document. Other columns are left behind.
-    """
-    found = stored(units(docs, cfg))
-    roots = similar(docs, found, cfg)
-    seen = found.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    seen = seen.join(roots, "h", "left").where("root IS NOT NULL OR first_id <> last_id")
+_PLACE = ("doc_id", "v", "start", "n_words")
+
+
+def _hits(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Places of paragraphs and parts of classes that occur in two documents or more, with their class's first place."""
+    seen = found.groupBy("h").agg(F.min(F.struct(*_PLACE)).alias("first"), F.max("doc_id").alias("last_id"))
+    seen = seen.join(roots, "h", "left").where("root IS NOT NULL OR first.doc_id <> last_id")
     seen = stored(seen.withColumn("root", F.coalesce("root", "h")))
-    classes = seen.groupBy("root").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi")).where("lo <> hi")
-    classes = classes.select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("root"), "lo")
-    named = stored(seen.join(classes, "root").select("h", "root", F.col("lo").alias("first_doc_id")))
-    hits = stored(sieve(found.select("doc_id", "start", "n_words", "h"), "h", named).join(named, "h"))
-    kept = hits.where("doc_id = first_doc_id").groupBy("root").agg(F.min("start").alias("first_start"))
-    kept = kept.withColumn("root", F.col("root").bitwiseXOR(F.lit(0).cast("long")))
-    hits = hits.join(kept, "root").select(
-        "doc_id", "start", (F.col("start") + F.col("n_words")).alias("end"), "first_doc_id",
-        ((F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") != F.col("first_start"))).alias("removed"),
+    classes = seen.groupBy("root").agg(F.min(F.struct("first", "h")).alias("source"), F.max("last_id").alias("last_id"))
+    classes = classes.where("source.first.doc_id <> last_id").select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("root"), "source")
+    named = stored(seen.join(classes, "root").selectExpr("h", "source.h = h AS equal", *[f"source.first.{c} AS s_{c}" for c in _PLACE]))
+    hits = sieve(found.select(*_PLACE, "part", "h"), "h", named).join(named, "h")
+    return stored(hits.drop("h").dropDuplicates([*_PLACE, "part"]))
+
+
+def _runs(hits: DataFrame) -> DataFrame:
+    """Neighbouring equal places with one source and one shift against it as ``(doc_id, v, start, end, s_doc_id, s_v, s_start)``."""
+    rows = hits.where("equal AND (doc_id <> s_doc_id OR v <> s_v OR start <> s_start)").withColumn("shift", F.col("s_start") - F.col("start"))
+    order = Window.partitionBy("doc_id", "v").orderBy("part", "start")
+    same = [F.lag(c).over(order) == F.col(c) for c in ("part", "s_doc_id", "s_v", "shift")]
+    goes_on = (F.lag(F.col("start") + F.col("n_words")).over(order) == F.col("start")) & same[0] & same[1] & same[2] & same[3]
+    rows = rows.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    return rows.groupBy("doc_id", "v", "run").agg(
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("n_words")).alias("end"),
+        F.first("s_doc_id").alias("s_doc_id"), F.first("s_v").alias("s_v"), F.min("s_start").alias("s_start"),
     )
-    per_doc = hits.groupBy("doc_id", "removed").agg(F.sort_array(F.collect_set(F.struct("start", "end", "first_doc_id"))).alias("all"))
 
-    def merge(frames):
-        import pandas as pd
 
-        for frame in frames:
+def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig) -> DataFrame:
+    """``(doc_id, v, start, end, digest, before, after)``: a digest of the words, and hashes of those around, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes(cfg.remembered)
+        code = lambda words: np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
+        for batch in batches:
             rows = []
-            for doc_id, removed, found_ in zip(frame["doc_id"], frame["removed"], frame["all"], strict=True):
-                spans: list[list[int]] = []
-                for x in found_:
-                    if spans and x["start"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], x["end"])
-                    else:
-                        spans.append([x["start"], x["end"], x["first_doc_id"]])
-                rows += [(doc_id, a, b, f, removed) for a, b, f in spans if b - a >= cfg.least_words]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "first_doc_id", "removed"])
-
-    return per_doc.mapInPandas(merge, "doc_id bigint, start bigint, end bigint, first_doc_id bigint, removed boolean")
+            for doc_id, v, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = text.split()
+                for p in places:
+                    a, b = p["start"], p["end"]
+                    digest = hashlib.sha256(" ".join(words[a:b]).encode("utf-8", "surrogatepass")).digest()
+                    rows.append((doc_id, v, a, b, digest, code(words[max(0, a - cfg.context) : a][::-1]), code(words[b : b + cfg.context])))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", "start", "end", "digest", "before", "after"])
+
+    schema = "doc_id bigint, v bigint, start int, end int, digest binary, before array<bigint>, after array<bigint>"
+    return _looked_up(docs, places).select("doc_id", "v", "text", "places").mapInArrow(run, schema)
+
+
+def _grown(docs: DataFrame, runs: DataFrame, cfg: SubstringConfig) -> DataFrame:
+    """Runs whose words are the source's, with the words around them that agree as well."""
+    runs = runs.withColumn("s_end", (F.col("s_start") + F.col("end") - F.col("start")).cast("int"))
+    sides = runs.select("doc_id", "v", "start", "end").unionByName(runs.selectExpr("s_doc_id AS doc_id", "s_v AS v", "s_start AS start", "s_end AS end"))
+    around = stored(_surroundings(docs, sides.distinct(), cfg))
+    of_source = around.select(*[F.col(c).alias(f"s_{c}") for c in around.columns])
+    both = runs.join(around, ["doc_id", "v", "start", "end"]).join(of_source, ["s_doc_id", "s_v", "s_start", "s_end"]).where("digest = s_digest")
+
+    def agree(c: str) -> Column:
+        differs = F.zip_with(c, f"s_{c}", lambda x, y: F.coalesce(x != y, F.lit(True)))
+        at = F.array_position(differs, True).cast("int")
+        return F.when(at == 0, F.size(differs)).otherwise(at - 1)
+
+    left, right = agree("before"), agree("after")
+    return both.select(
+        "doc_id", "v", (F.col("start") - left).alias("start"), (F.col("end") + right).alias("end"),
+        "s_doc_id", "s_v", (F.col("s_start") - left).alias("s_start"), (F.col("s_end") + right).alias("s_end"),
+    )
+
+
+def _outermost(spans: DataFrame) -> DataFrame:
+    """Spans without those that lie inside another of their document."""
+    order = Window.partitionBy("doc_id", "v").orderBy("start", F.desc("end"), "first_doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("upto", F.max("end").over(order)).where("upto IS NULL OR end > upto").drop("upto")
+
+
+def repeated(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFrame:
+    """``(doc_id, start, end, first_doc_id, removed)``: spans of ``least_words`` words or more that also stand in another
+    document, or whose paragraph has one alike there.
+
+    ``start`` and ``end`` count the text's white-space separated words, end exclusive. A removed span's words are those of
+    its source in ``first_doc_id`` one by one, or it is a paragraph whose component has its first place there. Where the
+    source changes a new span begins; spans may overlap, but none lies inside another. ``removed`` is false for sources,
+    whose spans are put together where they meet. A span within the first document's own text may be a repeat of another
+    place there. Null texts and null ids have no spans, nor have texts that share nothing; an empty table gives no rows.
+    Repeated rows count as one document, texts that share a doc_id as one document with several texts. Other columns are
+    left behind.
+    """
+    found = stored(units(docs, cfg))
+    hits = _hits(found, similar(docs, found, cfg))
+    runs = stored(_runs(hits).where(F.col("end") - F.col("start") >= cfg.least_run))
+    near = hits.where("NOT equal").selectExpr("doc_id", "v", "start", "start + n_words AS end", "s_doc_id", "s_v", "s_start", "s_start + s_n_words AS s_end")
+    spans = _grown(docs, runs, cfg).unionByName(near)
+    spans = stored(spans.where((F.col("end") - F.col("start") >= cfg.least_words)))
+    removed = _outermost(spans.select("doc_id", "v", "start", "end", F.col("s_doc_id").alias("first_doc_id")).distinct())
+    kept = spans.selectExpr("s_doc_id AS doc_id", "s_v AS v", "s_start AS start", "s_end AS end").distinct()
+    order = Window.partitionBy("doc_id", "v").orderBy("start", "end")
+    apart = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    kept = kept.withColumn("new", apart.cast("int")).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.groupBy("doc_id", "v", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    out = removed.select("doc_id", "start", "end", "first_doc_id", F.lit(True).alias("removed"))
+    out = out.unionByName(kept.select("doc_id", "start", "end", F.col("doc_id").alias("first_doc_id"), F.lit(False).alias("removed")))
+    return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "first_doc_id", "removed")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
