@@ -1,13 +1,13 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 2 bits agree in at least 6 of their 8 bytes. The index posts
-each distinct fingerprint under sets of byte positions with their values: the 8 positions make 4 blocks of 2,
-2 of which must agree, so each pair meets under one of 6 sets. Pairs that meet have their shared positional
-bytes tallied, those with 6 or more are kept, and the bit count verifies them.
-
-Posting lists longer than a limit are not paired. Their fingerprints meet exactly in another way: two of them
-differ in at most 2 bits if and only if some 64-bit value is within 1 bit of both. Each posts its 65 such
-values, and all that share one are linked to the smallest there; a value has at most 65 of them.
+Two 64-bit fingerprints that differ in at most 2 bits share at least 6 of their 8 positional bytes. The index posts
+each distinct fingerprint under each set of 6 byte positions with the bytes there. The postings that a pair shares
+are tallied into the byte positions they prove equal; pairs that reach the guaranteed 6 are kept, and the bit count
+verifies them.
+
+The members of one posting list differ in two bytes only, so it has 65,536 of them at most. Lists longer than a limit
+are not paired: two members are within 2 bits if and only if some value is within 1 bit of both, so each posts itself
+and its 16 neighbours in the two free bytes, and all that share such a value are linked to the smallest there.
 """
 
 from __future__ import annotations
@@ -22,11 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atrium.llm.tables import table, texts
+from atrium.llm.tables import table, texts, unused
 from atrium.operators.components import connected_components
 from atrium.storage import stored
 
 
+#: The sets of byte positions that the index is posted under.
+SETS = tuple(combinations(range(8), 6))
+
+
 @dataclass(frozen=True)
 class SimHashConfig:
     shingle: int = 3
@@ -55,56 +59,74 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """``(doc_id, fp)`` for each row."""
+def _fingerprinted(docs: DataFrame, cfg: SimHashConfig) -> DataFrame:
+    """``(doc_id, text_hash, fp)`` for each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             fps = [fingerprint(t, cfg.shingle, cfg.seed) for t in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "fp": np.array(fps, dtype=np.int64)})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "text_hash": frame["text_hash"], "fp": np.array(fps, dtype=np.int64)})
+
+    rows = texts(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInPandas(run, "doc_id bigint, text_hash bigint, fp bigint")
+
+
+def fingerprints(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
+    """``(doc_id, fp)`` for each row."""
+    return _fingerprinted(docs, cfg).select("doc_id", "fp")
 
-    rows = texts(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, fp bigint")
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _long(x: int) -> Column:
+    return F.lit(_signed(x)).cast("long")
 
 
-def _byte(x: Column, position: int) -> Column:
-    return F.shiftrightunsigned(x, 8 * position).bitwiseAND(F.lit(255).cast("long"))
+def postings(fps: DataFrame) -> DataFrame:
+    """``(fp, s, bytes)``: a row for each set ``s`` of 6 byte positions with the fingerprint's bytes there."""
+    masks = [sum(0xFF << 8 * p for p in positions) for positions in SETS]
+    each = [F.struct(F.lit(s).cast("byte").alias("s"), F.col("fp").bitwiseAND(_long(m)).alias("bytes")) for s, m in enumerate(masks)]
+    return fps.select("fp", F.inline(F.array(*each)))
 
 
-def _postings(fp: Column) -> Column:
-    """The keys of a fingerprint: 4 byte values under each of the 6 sets of positions."""
-    blocks = [F.shiftrightunsigned(fp, 16 * b).bitwiseAND(F.lit(0xFFFF).cast("long")) for b in range(4)]
-    keys = [
-        F.lit(k << 32).cast("long") + blocks[a] * F.lit(1 << 16).cast("long") + blocks[b]
-        for k, (a, b) in enumerate(combinations(range(4), 2))
-    ]
-    return F.array(*keys)
+def tallied(met: DataFrame) -> DataFrame:
+    """``(src, dst, shared)``: pairs in the same posting lists with the number of byte positions these prove equal."""
+    positions = F.array(*[F.lit(sum(1 << p for p in at)) for at in SETS])
+    a, b = met.selectExpr("s", "bytes", "fp AS src"), met.selectExpr("s", "bytes", "fp AS dst")
+    pairs = a.join(b, ["s", "bytes"]).where("src < dst").select("src", "dst", F.get(positions, F.col("s").cast("int")).alias("at"))
+    return pairs.groupBy("src", "dst").agg(F.bit_count(F.bit_or("at")).alias("shared"))
+
+
+def _neighbours(met: DataFrame) -> DataFrame:
+    """Links within long lists, through the values that are within 1 bit of two members."""
+    flips = [F.array(*[_long(1 << 8 * p + k) for p in range(8) if p not in at for k in range(8)]) for at in SETS]
+    own = F.get(F.array(*flips), F.col("s").cast("int"))
+    near = F.concat(F.array("fp"), F.transform(own, lambda flip: F.col("fp").bitwiseXOR(flip)))
+    hubs = met.select("s", "fp", F.explode(near).alias("hub"))
+    lists = hubs.groupBy("s", "hub").agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)  # 17 at most
+    return lists.select(F.get("all", F.lit(0)).alias("src"), F.explode(F.slice("all", 2, 16)).alias("dst")).distinct()
 
 
 def links(fps: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
     """``(src, dst)`` links between distinct fingerprints ``fp`` that connect all pairs within ``max_bits`` (2)."""
     if cfg.max_bits != 2:
         raise ValueError("the index is laid out for 2 bits")
-    posts = fps.select("fp", F.explode(_postings(F.col("fp"))).alias("key"))
-    sizes = stored(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = posts.join(sizes, "key")
-    short = met.where(F.col("n") <= cfg.paired)
-    a, b = short.selectExpr("key", "fp AS src"), short.selectExpr("key", "fp AS dst")
-    pairs = a.join(b, "key").where("src < dst")
-    differ = F.col("src").bitwiseXOR(F.col("dst"))
-    tally = sum(((_byte(differ, p) == 0).cast("int") for p in range(8)), start=F.lit(0))
-    pairs = pairs.where(tally >= 8 - cfg.max_bits).where(F.bit_count(differ) <= cfg.max_bits).select("src", "dst")
-
-    long = met.where(F.col("n") > cfg.paired).select("fp").distinct()
-    near = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit(_signed(1 << b)).cast("long")) for b in range(64)]
-    hubs = long.select("fp", F.explode(F.array(*near)).alias("hub"))
-    hubs = hubs.groupBy("hub").agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)
-    stars = hubs.select(F.get("all", F.lit(0)).alias("src"), F.explode(F.slice("all", 2, 64)).alias("dst")).distinct()
-    return pairs.unionByName(stars)
+    posts = postings(fps)
+    lists = stored(posts.groupBy("s", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
+    met = stored(posts.join(lists, ["s", "bytes"]))
+    differ = F.bit_count(F.col("src").bitwiseXOR(F.col("dst")))
+    pairs = tallied(met.where(F.col("n") <= cfg.paired)).where(F.col("shared") >= 8 - cfg.max_bits)
+    pairs = pairs.where(differ <= cfg.max_bits).select("src", "dst")
+    return pairs.unionByName(_neighbours(met.where(F.col("n") > cfg.paired)))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def _rooted(fps: DataFrame, cfg: SimHashConfig) -> DataFrame:
+    """``(fp, root)`` for each distinct fingerprint: the smallest one of its component."""
+    nodes = stored(fps.select("fp").distinct())
+    roots = connected_components(stored(links(nodes, cfg))).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
@@ -115,11 +137,9 @@ def near_duplicates(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> Da
     sought, so a large group of copies costs one row there. Other columns are left behind.
     """
     fps = stored(fingerprints(docs, cfg))
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(stored(links(nodes.select("fp"), cfg))).withColumnRenamed("node", "fp")
-    rooted = stored(nodes.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    first = first.withColumn("root", F.col("root").bitwiseXOR(F.lit(0).cast("long")))
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    rooted = stored(nodes.join(_rooted(fps, cfg), "fp"))
+    first = rooted.groupBy(F.col("root").bitwiseXOR(_long(0)).alias("root")).agg(F.min("first_id").alias("component_id"))
     named = stored(rooted.join(first, "root").select("fp", "component_id"))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
@@ -130,16 +150,30 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id, any one of rows that repeat it.
+    """``docs`` with one row of each component: the smallest by doc_id (null is largest), then by the text's hash.
 
-    Rows without a doc_id can't be told apart and all stay. Columns stay as they are.
+    Rows are judged by doc_id and text, so texts that share a doc_id are different rows. Of rows that are equal in both
+    any one stays. Null and blank texts have fingerprint 0 and are a component like any other. Columns stay as they are.
     """
-    found = near_duplicates(docs, cfg)
-    gone = found.where("component_id IS NOT NULL AND doc_id IS NOT NULL AND doc_id <> component_id")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(stored(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if twice.limit(1).count() == 0:
+    ident = [F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))]
+    found = stored(_fingerprinted(docs, cfg))
+    named = stored(_rooted(found, cfg))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = found.groupBy("fp", "doc_id", "text_hash").agg(F.count("*").alias("n")).join(named, "fp")
+    rows = stored(rows.select("root", "doc_id", "text_hash", "n"))
+    first = rows.groupBy(F.col("root").bitwiseXOR(_long(0)).alias("root")).agg(F.min(order).alias("first"))
+    judged = rows.join(first, "root").withColumn("stays", order.eqNullSafe(F.col("first")))
+    judged = stored(judged.where("NOT stays OR n > 1").select("doc_id", "text_hash", "stays"))
+
+    def among(rows: DataFrame) -> tuple[DataFrame, Column]:
+        a, b = unused(docs, "doc_id", 2)
+        return rows.select(F.col("doc_id").alias(a), F.col("text_hash").alias(b)), ident[0].eqNullSafe(F.col(a)) & (ident[1] == F.col(b))
+
+    left = docs.join(*among(judged.where("NOT stays")), "left_anti")
+    twice = judged.where("stays")
+    if twice.isEmpty():
         return left
-    once, known = left.where("doc_id IS NULL"), left.where("doc_id IS NOT NULL")
-    return known.dropDuplicates(["doc_id"]).unionByName(once)
+    a, b = unused(docs, "row", 2)
+    again = left.join(*among(twice), "left_semi").withColumns({a: ident[0], b: ident[1]})
+    again = again.dropDuplicates([a, b]).drop(a, b)
+    return left.join(*among(twice), "left_anti").unionByName(again)

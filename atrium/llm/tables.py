@@ -24,3 +24,13 @@ def texts(docs: DataFrame) -> DataFrame:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, also where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unused(df: DataFrame, stem: str, n: int = 1) -> list[str]:
+    """``n`` column names that ``df`` does not have, whatever its columns are called (case set aside)."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (name := f"{stem}_{k}") not in taken:
+            out.append(name)
+        k += 1
+    return out
