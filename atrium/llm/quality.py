@@ -8,7 +8,6 @@ probability of being good replaces "all rules must pass".
 
 from __future__ import annotations
 
-import itertools
 import math
 from dataclasses import dataclass
 
@@ -34,11 +33,10 @@ class QualityConfig:
     max_repeat_percent: int = 50
     keep_at: float = 0.5
     iterations: int = 100
+    #: Where EM starts, and what it holds of a rule before any vote (with the weight of one vote).
     prior_good: float = 0.85
-    right_on_good: float = 0.998
-    right_on_bad: float = 0.4
-    #: The rules are written so that a bad vote is wrong on at most 1 of 500 good documents; EM keeps to that.
-    least_on_good: float = 0.998
+    right_on_good: float = 0.9
+    right_on_bad: float = 0.6
 
 
 def _repeat_words(words: Column) -> Column:
@@ -101,27 +99,34 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The votes as Columns over ``text_stats``."""
+    """The votes as Columns over ``text_stats``. A vote is evidence, not a verdict: each is wrong on some documents."""
     c = F.col
     return {
-        "length": _vote(c("n_words") >= 80, c("n_words") < 20),
+        "length": _vote(c("n_words") >= 100, c("n_words") < 50),
         "word_size": _vote(
-            (c("word_chars") >= 3 * c("n_words")) & (c("word_chars") <= 9 * c("n_words")),
-            (c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 14 * c("n_words")),
+            (c("word_chars") >= 4 * c("n_words")) & (2 * c("word_chars") <= 11 * c("n_words")),
+            (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 7 * c("n_words")),
         ),
         "symbols": _vote(100 * c("n_symbols") <= c("word_chars"), 20 * c("n_symbols") > c("word_chars")),
-        "lines": _vote(c("n_dup_lines") == 0, 10 * c("n_dup_lines") > 3 * c("n_lines")),
-        "repeats": _vote(20 * c("n_repeat_words") <= c("n_words"), 5 * c("n_repeat_words") > c("n_words")),
-        "capitals": _vote(10 * c("n_upper") <= c("word_chars"), 10 * c("n_upper") > 3 * c("word_chars")),
+        "lines": _vote(c("n_dup_lines") == 0, 10 * c("n_dup_lines") > c("n_lines")),
+        "repeats": _vote(50 * c("n_repeat_words") <= c("n_words"), 10 * c("n_repeat_words") > c("n_words")),
+        "capitals": _vote(
+            (100 * c("n_upper") >= c("word_chars")) & (100 * c("n_upper") <= 3 * c("word_chars")),
+            (200 * c("n_upper") < c("word_chars")) | (20 * c("n_upper") > c("word_chars")),
+        ),
         "sentences": _vote(
-            (50 * c("n_stops") >= c("n_words")) & (3 * c("n_stops") <= c("n_words")), c("n_stops") > c("n_words")
+            (20 * c("n_stops") >= c("n_words")) & (8 * c("n_stops") <= c("n_words")),
+            (33 * c("n_stops") < c("n_words")) | (5 * c("n_stops") > c("n_words")),
         ),
-        "function_words": _vote(c("n_function") >= 5, F.lit(False)),
+        "function_words": _vote(c("n_function") >= 8, c("n_function") < 4),
     }
 
 
 def fit(counts: list[tuple[tuple, int]], cfg: QualityConfig) -> tuple[float, list[tuple[float, float]]]:
-    """EM over (vote pattern, count): the share of good documents and each rule's two accuracies."""
+    """EM over (vote pattern, count): the share of good documents and each rule's accuracies on good and on bad ones.
+
+    Nothing holds a rule to an accuracy: one whose votes the others don't bear out ends with little weight either way.
+    """
     if not counts:
         return cfg.prior_good, []
     n_rules = len(counts[0][0])
@@ -140,7 +145,7 @@ def fit(counts: list[tuple[tuple, int]], cfg: QualityConfig) -> tuple[float, lis
                     sums[2] += (1 - p) * n * (1 - v)
                     sums[3] += (1 - p) * n
             on_good, on_bad = (sums[0] + cfg.right_on_good) / (sums[1] + 1), (sums[2] + cfg.right_on_bad) / (sums[3] + 1)
-            new.append((min(max(on_good, cfg.least_on_good), 1 - 1e-6), min(max(on_bad, 1e-3), 0.999)))
+            new.append((min(max(on_good, 1e-4), 1 - 1e-4), min(max(on_bad, 1e-4), 1 - 1e-4)))
         moved = max(abs(a - b) for x, y in zip(new, right, strict=True) for a, b in zip(x, y, strict=True))
         share, right = new_share, new
         if moved < 1e-7:
@@ -189,7 +194,3 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round("p_good", 6).alias("p_good"),
     )
 
-
-def all_patterns(n_rules: int) -> list[tuple]:
-    """Every vote pattern; the bound on what ``fit`` is given."""
-    return list(itertools.product((None, 0, 1), repeat=n_rules))
