@@ -1,8 +1,9 @@
 """Main text of web pages by composite text density.
 
 Each DOM node gets a density, its characters per tag, lowered where much of it is link text. A node's density sum
-adds up its children's densities; the node with the largest sum is the article's, and the least density on its way
-up to the body is the threshold that other parts must reach to be kept with it.
+adds up its children's densities; the node with the largest sum holds the article, and the least density on its way
+up to below the body is the threshold that other parts of the page must reach to be kept with it. What a page's author says
+in class, id or role lowers densities where nodes compete; it takes nothing away by itself.
 """
 
 from __future__ import annotations
@@ -33,27 +34,32 @@ SKIP = frozenset(
     "nav footer aside form script style noscript template iframe svg canvas button select textarea dialog menu object "
     "embed audio video map math head title input label option datalist search".split()
 )
-#: Words in class, id or role that mark what is not the article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|modal|"
-    r"overlay|sidebar|side|rail|widget\w*|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|copyright|"
-    r"comments?|commentlist|respond|replies|reply|disqus|discussion|share|sharing|social|related|recommend\w*|newsletter|subscribe|"
-    r"signup|login|search|pagination|pager|toolbar|skip|complementary|contentinfo|toc)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words in class, id or role of what is seldom the article, and of those what may be part of its structure as well.
+MARKED = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr "
+    "popup modal newsletter subscribe signup login breadcrumb breadcrumbs pagination pager comments comment commentlist respond disqus".split()
 )
-#: An open element is ended by the start of one of these (fixed values of the HTML syntax).
-ENDED_BY = {
-    "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
-    "tr": frozenset({"tr", "tbody", "tfoot"}), "td": frozenset({"td", "th", "tr", "tbody", "tfoot"}),
-    "th": frozenset({"td", "th", "tr", "tbody", "tfoot"}), "option": frozenset({"option", "optgroup"}),
-    "p": BLOCK - {"body", "html", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "legend"},
+WEAK = frozenset(
+    "notice notification alert overlay sidebar side rail widget widgets nav navbar navigation menu header masthead topbar footer copyright replies reply "
+    "discussion share sharing social related recommended recommendations search toolbar skip complementary contentinfo toc".split()
+)
+#: What a marked node's density counts where nodes compete.
+MARKED_WEIGHT = 0.1
+#: The share of what stands beside the best subtree that must be dense or a heading for its parent to be taken whole.
+NEARLY = 0.9
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that scope what an end tag or a new block may close, and what is closed by the start of another (HTML syntax).
+WALLS = frozenset("table td th caption body article section div ul ol dl blockquote main header footer aside nav form html".split())
+ENDS = {
+    "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"}),
+    "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "tr": frozenset({"td", "th", "tr"}),
+    "tbody": frozenset({"td", "th", "tr", "thead", "tbody"}), "tfoot": frozenset({"td", "th", "tr", "thead", "tbody"}),
 }
-#: Ends are not looked for beyond these.
-WALLS = frozenset({"table", "td", "th", "body", "article", "section", "div", "ul", "ol", "dl", "blockquote", "main"})
 
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _BAD_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>?")
 _MARKS = re.compile(r"""\b(class|id|role|aria-hidden|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_END = {t: re.compile(rf"</{t}\b", re.IGNORECASE) for t in RAW}
 
 
 @dataclass
@@ -62,7 +68,9 @@ class Node:
     parent: Node | None
     content: list = field(default_factory=list)  # strings and nodes, in order
     skip: bool = False
-    marked: bool = False  # by class or role, in an article: its density decides
+    in_article: bool = False
+    mark: int = 0  # 1: named like a part that may be the article's, 2: like one that is not
+    weight: float = 1.0
     chars: int = 0
     tags: int = 0
     link_chars: int = 0
@@ -70,39 +78,92 @@ class Node:
     density: float = 0.0
     density_sum: float = 0.0
 
+    @property
+    def kids(self) -> list[Node]:
+        return [c for c in self.content if isinstance(c, Node) and not c.skip]
+
+
+def _named(value: str) -> int:
+    parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
+    return 2 if any(x in MARKED for x in parts) else int(any(x in WEAK for x in parts))
 
-def _skipped(tag: str, attributes: str, parents: tuple[str, ...]) -> tuple[bool, bool]:
-    """Whether an element is left out, and whether that depends on its density as its marks stand in an article."""
-    inside = "article" in parents or "main" in parents
-    if tag in SKIP or (tag == "header" and not inside):
-        return True, False
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False, False
-    marked = False
+
+def _marks(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element is hidden, and how it is marked."""
+    hidden, mark = False, 0
     for m in _MARKS.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True, False
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-                return True, False
-        elif MARKED.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)):
-            if not inside:
-                return True, False
-            marked |= name != "id" and tag != "header"
-    return False, marked
+            hidden = True
+        elif name == "style":
+            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
+        elif tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
+            mark = max(mark, _named(value))
+    return hidden, mark
+
+
+class _Open:
+    """The open elements, with counts by tag in each scope, so that no tag costs a walk that closes nothing."""
+
+    def __init__(self, root: Node):
+        self.node = root
+        self.total: dict[str, int] = {}
+        self.scopes: list[tuple[str, dict[str, int]]] = [("", {})]
+
+    def push(self, node: Node) -> None:
+        self.node = node
+        self.total[node.tag] = self.total.get(node.tag, 0) + 1
+        if node.tag in WALLS:
+            self.scopes.append((node.tag, {}))
+        else:
+            scope = self.scopes[-1][1]
+            scope[node.tag] = scope.get(node.tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.node.tag
+        self.total[tag] -= 1
+        if tag in WALLS:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][1][tag] -= 1
+        self.node = self.node.parent
+        return tag
+
+    def close(self, tag: str) -> None:
+        """The end tag ``tag``; a stray one, or an inline one beyond the scope, is nothing."""
+        counts = self.total if tag in WALLS or tag in BLOCK else self.scopes[-1][1]
+        if counts.get(tag, 0) > 0:
+            while self.pop() != tag:
+                pass
+
+    def begin(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends."""
+        if tag in BLOCK and self.scopes[-1][1].get("p", 0) > 0:
+            while self.pop() != "p":
+                pass
+        ends = ENDS.get(tag, frozenset())
+        while ends:
+            wall, counts = self.scopes[-1]
+            if wall not in ends and not any(counts.get(t, 0) > 0 for t in ends):
+                return
+            while self.pop() not in ends:
+                pass
 
 
 def parse(source: str) -> Node:
-    """A tree of elements and decoded text from HTML of any quality: unclosed and stray tags are put right simply."""
-    root = node = Node("html", None)
+    """A tree of elements and decoded text from HTML of any quality: unclosed and stray tags are put right simply.
+
+    Time is linear in the page, and no depth is too deep.
+    """
+    root = Node("html", None)
+    open_ = _Open(root)
     at, n = 0, len(source)
     while at < n:
         lt = source.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            node.content.append(html.unescape(source[at:lt]))
+            open_.node.content.append(html.unescape(source[at:lt]))
         if lt >= n:
             break
         if source.startswith("<!--", lt):
@@ -115,71 +176,45 @@ def parse(source: str) -> Node:
             continue
         m = _TAG.match(source, lt) or _BAD_TAG.match(source, lt)
         if not m:
-            node.content.append("<")
+            open_.node.content.append("<")
             at = lt + 1
             continue
         at, tag = m.end(), m[2].lower()
-        if m[1]:
-            node = _close(node, tag)
-            continue
         if tag in ("html", "body"):
             continue
-        if tag in BLOCK:
-            node = _end_open(node, tag)
-        parents = _path(node)
-        skip, marked = _skipped(tag, m[3], parents)
-        child = Node(tag, node, skip=node.skip or skip, marked=marked)
-        node.content.append(child)
+        if m[1]:
+            open_.close(tag)
+            continue
+        open_.begin(tag)
+        up = open_.node
+        hidden, mark = _marks(tag, m[3]) if m[3] else (False, 0)
+        inside = up.in_article or tag in ("article", "main")
+        child = Node(tag, up, skip=up.skip or hidden or tag in SKIP or (tag == "header" and not inside), in_article=inside, mark=mark)
+        up.content.append(child)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b", re.IGNORECASE).search(source, at)
-            stop = n if end is None else end.start()
-            close = source.find(">", stop)
-            at = n if close < 0 or end is None else close + 1
+            end = _END[tag].search(source, at)
+            close = source.find(">", end.start()) if end else -1
+            at = n if close < 0 else close + 1
         elif tag not in VOID and not m[3].endswith("/"):
-            node = child
+            open_.push(child)
     return root
 
 
-def _path(node: Node | None) -> tuple[str, ...]:
-    out = []
-    while node is not None and len(out) < 64:
-        out.append(node.tag)
-        node = node.parent
-    return tuple(out)
-
-
-def _end_open(node: Node, tag: str) -> Node:
-    at = node
-    while at.parent is not None and at.tag not in WALLS - {"td", "th"}:
-        if tag in ENDED_BY.get(at.tag, ()):
-            return at.parent
-        if at.tag in ("td", "th") and tag not in ENDED_BY["td"]:
-            break
-        at = at.parent
-    return node
-
-
-def _close(node: Node, tag: str) -> Node:
-    at = node
-    while at.parent is not None:
-        if at.tag == tag:
-            return at.parent
-        if at.tag in WALLS and tag not in WALLS and tag not in BLOCK:
-            return node
-        at = at.parent
-    return node
-
-
 def measure(root: Node) -> list[Node]:
-    """Densities of all kept nodes; returns them children first."""
+    """Densities of all kept nodes; returns them children first.
+
+    Sums go over blocks: what is inline, like bold type, hands on the blocks inside it and is no part by itself.
+    """
     order, stack = [], [root]
     while stack:
         node = stack.pop()
+        if node.parent is not None:
+            node.weight = MARKED_WEIGHT if node.mark else node.parent.weight
         order.append(node)
-        stack += [c for c in node.content if isinstance(c, Node) and not c.skip]
+        stack += node.kids
     order.reverse()
     for node in order:
-        kids = [c for c in node.content if isinstance(c, Node) and not c.skip]
+        kids = node.kids
         node.chars = sum(len("".join(c.split())) for c in node.content if isinstance(c, str)) + sum(k.chars for k in kids)
         node.tags = sum(k.tags + 1 for k in kids)
         node.link_chars = node.chars if node.tag == "a" else sum(k.link_chars for k in kids)
@@ -187,7 +222,7 @@ def measure(root: Node) -> list[Node]:
     ratio = root.link_chars / max(1, root.chars)
     for node in order:
         node.density = composite_density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
-        node.density_sum = sum(k.density for k in node.content if isinstance(k, Node) and not k.skip)
+        node.density_sum = sum(k.density * k.weight if k.tag in BLOCK else k.density_sum for k in node.kids)
     return order
 
 
@@ -197,83 +232,72 @@ def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, bo
         return 0.0
     tags, links, link_tags = max(1, tags), max(1, link_chars), max(1, link_tags)
     base = math.log(chars / max(1, chars - link_chars) * link_chars + body_ratio * chars + math.e)
-    value = max(1.0, chars / links * tags / link_tags)
-    return chars / tags * math.log(value) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else chars / tags * math.log(value + 1)
-
-
-def plain_density(node: Node) -> float:
-    """Characters outside links per tag; unlike the composite density it does not grow for very short texts."""
-    return (node.chars - node.link_chars) / max(1, node.tags)
+    return chars / tags * math.log(max(1.0, chars / links * tags / link_tags)) / base
 
 
 def main_nodes(root: Node) -> list[Node]:
-    """The kept nodes with the article's text, in page order."""
+    """The kept nodes with the article's text, in page order.
+
+    The subtree with the largest density sum is taken (of the body, if one child holds most of it, that one), and with it the least ancestor of which nearly all else is as
+    dense as the threshold, the least density on the way up to below the body. Of the rest of the page come the parts that
+    reach the threshold, and headings before them.
+    """
     order = measure(root)
     if not root.chars:
         return []
-    articles = [x for x in order if x.tag in ("article", "main") and x.chars]
-    best = max(reversed(order), key=lambda x: x.density_sum)
-    if articles and best is not root:
-        node = best
-        while node is not None and node not in articles:
-            node = node.parent
-        if node is None and max(a.chars for a in articles) * 2 >= best.chars:
-            best = max(reversed(articles), key=lambda x: x.chars)
-    elif articles:
-        best = max(reversed(articles), key=lambda x: x.chars)
-    threshold, node, top = best.density, best, best
-    while node is not None:
-        threshold = min(threshold, node.density)
-        if node.tag in ("article", "main"):
-            top = node  # headings and short parts of the same article belong to it, dense or not
-        node = node.parent
-    path, node = [], best
+    best = max((x for x in reversed(order) if x is root or x.tag in BLOCK), key=lambda x: x.density_sum)
+    if best is root:  # a part that holds most of a page's text outside links is not just one of the parts
+        plain = lambda x: (x.chars - x.link_chars) * x.weight
+        half = sum(map(plain, root.kids)) / 2
+        best = next((k for k in root.kids if plain(k) > half and k.density_sum > 0), root)
+    threshold, node = best.density, best
+    while node.parent is not None:
+        threshold, node = min(threshold, node.density), node.parent
+    dense = lambda x: x.density * x.weight >= threshold and 2 * x.link_chars <= x.chars
+    top = best
+    while top.parent is not None and top.parent is not root:
+        up = top.parent
+        beside = up.chars - top.chars
+        near = sum(k.chars for k in up.kids if k is not top and (dense(k) or (k.tag in HEADINGS and not k.link_chars)))
+        if NEARLY * beside > near:
+            break
+        top = up
+    for x in _below(top):
+        links = 2 * x.link_chars > x.chars
+        if x.mark and x.density < best.density and (links or x.mark == 2):
+            x.skip = True
+        elif top is root and x.density * x.weight < threshold and (x.mark or (links and x.parent is root)):
+            x.skip = True
+    above, node = set(), top.parent
     while node is not None:
-        path.append(plain_density(node))
+        above.add(id(node))
         node = node.parent
-    for x in order:
-        if x.marked and (x.density < threshold or plain_density(x) < min(path)):
-            x.skip = True
-    if top is root:
-        return [root]
-    inside = _within(top)
-    if top.tag in ("article", "main"):
-        same = [a for a in articles if id(a) not in inside and a.density >= threshold and not _has(a, top)]
-        found = [top, *same]
-    else:
-        outer = top
-        while outer.parent is not None and outer.parent is not root and outer.parent.density >= threshold:
-            outer = outer.parent
-        found = [outer]
-        siblings = outer.parent.content if outer.parent is not None else []
-        for c in siblings:
-            if isinstance(c, Node) and not c.skip and c is not outer and (c.density >= threshold or c.tag in ("h1", "h2")):
-                found.append(c)
-    place = {id(x): i for i, x in enumerate(_in_order(root))}
-    return sorted(found, key=lambda x: place[id(x)])
-
-
-def _in_order(root: Node) -> list[Node]:
-    out, stack = [], [root]
+    found, stack = [], [root]
     while stack:
         node = stack.pop()
-        out.append(node)
-        stack += [c for c in reversed(node.content) if isinstance(c, Node)]
+        if node is top or id(node) not in above:
+            found.append(node)
+            continue
+        part: list[Node] = []
+        waiting: list[Node] = []  # headings that no kept part has followed yet
+        for k in node.kids:
+            if k is top or id(k) in above or dense(k):
+                part += [*waiting, k]
+                waiting = []
+            elif k.tag in HEADINGS and k.weight == 1.0 and not k.link_chars:
+                waiting = [*(w for w in waiting if w.tag < k.tag), k]
+        stack += reversed(part)
+    return found
+
+
+def _below(node: Node) -> list[Node]:
+    out, stack = [], list(node.kids)
+    while stack:
+        out.append(x := stack.pop())
+        stack += x.kids
     return out
 
 
-def _within(node: Node) -> set[int]:
-    return {id(x) for x in _in_order(node)}
-
-
-def _has(node: Node, other: Node) -> bool:
-    while other is not None:
-        if other is node:
-            return True
-        other = other.parent
-    return False
-
-
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks in page order; white space inside one is one space."""
     out: list[str] = []
