@@ -2,31 +2,30 @@
 
 Records are hashed, and hashes of ordered offset ranges are hashed again, level by level, into one root for
 each file. Replicas with equal roots need no more reading; from a root that differs the audit goes down
-only into nodes that differ, and ends at the records that changed, went missing or were added.
+only into nodes that differ, and lines the records there up to find those that changed, went missing or were added.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from atrium.llm.tables import table
-from atrium.storage import stored
+from atrium.storage import new_path, stored
 
 
 @dataclass(frozen=True)
 class MerkleConfig:
     records_per_file: int = 512
     fan_out: int = 8
-
-    @property
-    def levels(self) -> int:
-        n, levels = self.records_per_file, 0
-        while n > 1:
-            n, levels = -(-n // self.fan_out), levels + 1
-        return levels
+    #: Files of the records without an id.
+    null_files: int = 4096
 
 
 def record_bytes(url: Column, body: Column) -> Column:
@@ -42,40 +41,64 @@ def record_bytes(url: Column, body: Column) -> Column:
     return F.concat(head, block, F.lit("\r\n\r\n"))
 
 
+def _file_id(digest: Column, cfg: MerkleConfig) -> Column:
+    """The range of ``page_id``; rows without an id are dealt to files of their own by digest."""
+    spread = F.lit(-(1 << 62)).cast("long") - F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % cfg.null_files
+    return F.coalesce(F.floor(F.col("page_id") / cfg.records_per_file).cast("long"), spread)
+
+
 def records(pages: DataFrame, cfg: MerkleConfig = MerkleConfig()) -> DataFrame:
-    """``(page_id, file_id, seq, start, length, digest)`` for each row of ``pages(page_id, url, html)``.
+    """``(page_id, file_id, url, seq, start, length, digest)`` for each row of ``pages(page_id, url, html)``.
 
     A file holds the pages of one range of ids, in order of id (then digest); ``start`` is the record's byte
-    offset there. A null id is in file -1; null url and html are empty; repeated rows are records of their own.
+    offset there. Null ids are in files of their own, by digest; null url and html are empty; repeated rows are records
+    of their own. Other columns are left behind; an empty table gives no rows.
+
+    Records are dealt out in order and numbered by blocks, so that a file of very many, or one record repeated very
+    often, is no task's alone; equal records are interchangeable, so what tells them apart here changes no file.
     """
     record = record_bytes(F.col("url"), F.col("html"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), record.alias("r")).select(
-        "page_id",
-        F.coalesce(F.floor(F.col("page_id") / cfg.records_per_file).cast("long"), F.lit(-1).cast("long")).alias("file_id"),
-        F.octet_length("r").cast("long").alias("length"),
-        F.sha2(F.col("r").cast("binary"), 256).alias("digest"),
-    )
-    order = Window.partitionBy("file_id").orderBy("page_id", "digest")
-    upto = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(
-        "page_id", "file_id", (F.row_number().over(order) - 1).cast("long").alias("seq"),
-        (upto - F.col("length")).alias("start"), "length", "digest",
+    url = F.coalesce(F.col("url").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), record.alias("r")).select(
+        "page_id", "url", F.octet_length("r").cast("long").alias("length"), F.sha2(F.col("r").cast("binary"), 256).alias("digest"),
     )
+    rows = stored(rows.select("*", _file_id(F.col("digest"), cfg).alias("file_id"), F.monotonically_increasing_id().alias("copy")))
+    return _numbered(rows, ["page_id", "digest", "copy"]).select("page_id", "file_id", "url", "seq", "start", "length", "digest")
+
+
+def _numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows(file_id, length, ...)`` with ``seq`` and ``start`` in their file, in the order of ``by``."""
+    dealt = stored(rows.repartitionByRange("file_id", *by).withColumn("block", F.spark_partition_id()))
+    sums = dealt.groupBy("file_id", "block").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    earlier = Window.partitionBy("file_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    sums = sums.select("file_id", "block", F.coalesce(F.sum("n").over(earlier), zero).alias("n0"), F.coalesce(F.sum("bytes").over(earlier), zero).alias("b0"))
+    order = Window.partitionBy("file_id", "block").orderBy(*by)
+    upto = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    own = dealt.withColumns({"k": F.row_number().over(order) - 1, "upto": upto}).join(sums, ["file_id", "block"])
+    return own.withColumns({"seq": (F.col("k") + F.col("n0")).cast("long"), "start": F.col("upto") - F.col("length") + F.col("b0")})
+
+
+def height(cfg: MerkleConfig, *replicas: DataFrame) -> int:
+    """Levels above the leaves: as planned, or as many more as the largest file needs."""
+    n = max([cfg.records_per_file, *((r.agg(F.max("seq")).first()[0] or 0) + 1 for r in replicas)])
+    levels = 0
+    while n > 1:
+        n, levels = -(-n // cfg.fan_out), levels + 1
+    return levels
 
 
-def merkle_levels(recs: DataFrame, cfg: MerkleConfig = MerkleConfig()) -> list[DataFrame]:
+def merkle_levels(recs: DataFrame, cfg: MerkleConfig = MerkleConfig(), levels: int | None = None) -> list[DataFrame]:
     """Level 0 (leaves) to the roots, each ``(file_id, node, hash)``.
 
     A leaf hashes the record's offset range and digest, so moved records differ too; a node hashes its
-    children's hashes in order. Files of more records than planned get wider, never deeper, roots.
+    children's hashes in order, ``fan_out`` of them at most. Trees of one archive have one height.
     """
     leaf = F.sha2(F.concat_ws(":", "start", "length", "digest").cast("binary"), 256)
     level = recs.select("file_id", F.col("seq").alias("node"), leaf.alias("hash"))
     out = [level]
-    for k in range(cfg.levels):
-        top = k == cfg.levels - 1
-        parent = F.lit(0).cast("long") if top else F.floor(F.col("node") / cfg.fan_out).cast("long")
-        kids = level.groupBy("file_id", parent.alias("parent")).agg(
+    for _ in range(height(cfg, recs) if levels is None else levels):
+        kids = level.groupBy("file_id", F.floor(F.col("node") / cfg.fan_out).cast("long").alias("parent")).agg(
             F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("kids")
         )
         joined = F.array_join(F.transform("kids", lambda x: x["hash"]), "")
@@ -84,45 +107,76 @@ def merkle_levels(recs: DataFrame, cfg: MerkleConfig = MerkleConfig()) -> list[D
     return out
 
 
-def audit(a: DataFrame, b: DataFrame, cfg: MerkleConfig = MerkleConfig()) -> DataFrame:
-    """Compare the record tables of two replicas: the leaves at which they differ, ``(file_id, seq, status)``.
-
-    status: changed, missing (not in ``b``) or added (not in ``a``). Each level joins only the children of nodes
-    that differed above. Equal or empty replicas give no rows.
-    """
-    la, lb = merkle_levels(a, cfg), merkle_levels(b, cfg)
+def differing(a: DataFrame, b: DataFrame, cfg: MerkleConfig = MerkleConfig()) -> DataFrame:
+    """``(file_id, seq)`` of the leaves that differ. Each level joins only the children of nodes that differed above."""
+    levels = height(cfg, a, b)
+    la, lb = merkle_levels(a, cfg, levels), merkle_levels(b, cfg, levels)
     wanted = None
-    for k in range(cfg.levels, -1, -1):
+    for k in range(levels, -1, -1):
         x, y = la[k].withColumnRenamed("hash", "ha"), lb[k].withColumnRenamed("hash", "hb")
         if wanted is not None:
-            top = k == cfg.levels - 1
-            up = F.lit(0).cast("long") if top else F.floor(F.col("node") / cfg.fan_out).cast("long")
+            up = F.floor(F.col("node") / cfg.fan_out).cast("long")
             x = x.withColumn("up", up).join(wanted, ["file_id", "up"], "left_semi").drop("up")
             y = y.withColumn("up", up).join(wanted, ["file_id", "up"], "left_semi").drop("up")
         bad = x.join(y, ["file_id", "node"], "full_outer").where(~F.col("ha").eqNullSafe(F.col("hb")))
-        if k:
-            wanted = stored(bad.select("file_id", F.col("node").alias("up")))
-    status = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "added").otherwise("changed")
-    return bad.select("file_id", F.col("node").alias("seq"), status.alias("status"))
+        wanted = stored(bad.select("file_id", F.col("node").alias("up")))
+    return wanted.select("file_id", F.col("up").alias("seq"))
 
 
-def damaged(pages: DataFrame, share: int = 64) -> DataFrame:
-    """A replica for fixity drills: html's first character is overwritten where the page's hash falls in 1 of ``share``.
+def audit(a: DataFrame, b: DataFrame, cfg: MerkleConfig = MerkleConfig()) -> DataFrame:
+    """Compare the record tables of two replicas: ``(file_id, seq, status)`` of the records that are not the same.
 
-    Pages are chosen by content and id, so the same table is always damaged at the same places.
+    status: changed, missing (not in ``b``) or added (not in ``a``); ``seq`` is the place in ``a``, for added ones in ``b``.
+    Leaves differ from the first record that is gone or longer, as all after it have moved; so the records of the
+    differing leaves are lined up: those with the same file, url and digest in both are whole wherever they lie, of the
+    others those with the same url changed, the first with the first. A record without a url has nothing to be known by
+    and is one missing and one added. Equal or empty replicas give no rows.
+    """
+    spots = stored(differing(a, b, cfg))
+    key = F.nullif(F.col("url"), F.lit("")).alias("key")
+    side = lambda t, name: t.join(spots, ["file_id", "seq"], "left_semi").select("file_id", "seq", key, "digest", F.lit(name).alias("side"))
+    both = stored(side(a, "a").unionByName(side(b, "b")))
+    in_a = F.when(F.col("side") == "a", 1).otherwise(-1)
+    sums = both.groupBy("file_id", "key", "digest").agg(F.sum(in_a).alias("over")).where("over <> 0")
+    sums = sums.select(F.col("file_id").alias("f"), F.col("key").alias("k"), F.col("digest").alias("d"), "over")
+    rest = both.join(sums, (F.col("file_id") == F.col("f")) & F.col("key").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d"))).drop("f", "k", "d")
+    rest = rest.where(F.when(F.col("over") > 0, F.col("side") == "a").otherwise(F.col("side") == "b"))
+    copies = Window.partitionBy("file_id", "key", "digest", "side").orderBy(F.desc("seq"))
+    rest = stored(rest.withColumn("n", F.row_number().over(copies)).where(F.col("n") <= F.abs("over")))
+    nth = Window.partitionBy("file_id", "key", "side").orderBy("seq")
+    rest = rest.withColumn("at", F.when(F.col("key").isNotNull(), F.row_number().over(nth)))
+    x = rest.where("side = 'a'").select("file_id", "key", "at", F.col("seq").alias("sa"))
+    y = rest.where("side = 'b'").select(F.col("file_id").alias("f"), F.col("key").alias("k"), F.col("at").alias("t"), F.col("seq").alias("sb"))
+    out = x.join(y, (F.col("file_id") == F.col("f")) & (F.col("key") == F.col("k")) & (F.col("at") == F.col("t")), "full_outer")
+    status = F.when(F.col("sb").isNull(), "missing").when(F.col("sa").isNull(), "added").otherwise("changed")
+    return out.select(F.coalesce("file_id", "f").alias("file_id"), F.coalesce("sa", "sb").alias("seq"), status.alias("status"))
+
+
+def damaged(pages: DataFrame, share: int = 64, lost: int = 1024) -> DataFrame:
+    """A replica for fixity drills: html's first character is overwritten where the page's hash falls in 1 of ``share``,
+    and where it falls in another 1 of ``lost`` the page is gone.
+
+    Pages are chosen by id, so the same table is always damaged at the same places.
     """
-    pick = F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 4), 16, 10).cast("long") % share == 0
+    pick = F.conv(F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 4), 16, 10).cast("long")
     other = F.when(F.col("html").startswith("~"), F.lit("!")).otherwise(F.lit("~"))
-    html = F.when(pick & (F.length("html") > 0), F.concat(other, F.expr("substring(html, 2)"))).otherwise(F.col("html"))
-    return pages.select("page_id", "url", html.alias("html"))
+    hit = (pick % share == 0) & (F.length("html") > 0)
+    html = F.when(hit, F.concat(other, F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    return pages.where(F.coalesce(pick % lost != 1, F.lit(True))).select("page_id", "url", html.alias("html"))
 
 
 def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's record in the archive, its file's root, and what an audit of a damaged replica says of it."""
+    """Every page's record in the archive, its file's root, and what an audit of a replica's files says of it.
+
+    The replica is written as compressed WARC files with some pages damaged on the way, and read back record by record.
+    """
     cfg = MerkleConfig()
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    a, b = stored(records(pages, cfg)), stored(records(damaged(pages), cfg))
-    found = audit(a, b, cfg)
+    a = stored(records(pages, cfg))
+    path = f"{new_path(spark)}/warc"
+    write_warc(damaged(pages), path, cfg, compression="gzip")
+    b = stored(file_records(read_warc(spark, f"{path}/file_id=*/*.gz")))
+    found = audit(a, b, cfg).where("status <> 'added'")  # those have no place in the archive
     roots = merkle_levels(a, cfg)[-1].select("file_id", F.col("hash").alias("root"))
     out = a.join(found, ["file_id", "seq"], "left").join(roots, "file_id")
     return out.select(
@@ -130,58 +184,87 @@ def op8_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _members(content: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, bytes) of each gzip member, decompressed; the whole where the content is not gzip."""
+    if content[:2] != b"\x1f\x8b":
+        yield 0, content
+        return
+    at = 0
+    while content[at : at + 2] == b"\x1f\x8b":
+        z = zlib.decompressobj(wbits=31)
+        data = z.decompress(content[at:] if at else content)
+        yield at, data + z.flush()
+        if not z.eof or not z.unused_data:
+            return
+        at = len(content) - len(z.unused_data)
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, start, length, url, body)`` of the records in uncompressed WARC files.
+    """``(file, member, start, length, url, body, digest)`` of the records in WARC files, plain or gzip.
 
-    Files are Spark's unit here: keep them at the usual size for one archive file. Records are cut by their
-    Content-Length, in the order of the file; a truncated last record is returned with what is there.
+    Files are Spark's unit here: keep them at the usual size for one archive file (1 GB; Spark reads at most 2 GB). Records
+    are cut by their Content-Length, in the order of the file; a truncated last record is returned with what is there, and
+    a header that can't be read ends its member. ``start`` counts the bytes before compression; ``member`` is where the
+    record's gzip member begins in the file, so that records compressed one by one can be fetched alone. ``digest`` is the
+    SHA-256 of the record's bytes. An empty file has no records.
     """
-    schema = "file string, start bigint, length bigint, url string, body string"
-
-    def cut(frames):
-        import pandas as pd
+    schema = "file string, member bigint, start bigint, length bigint, url string, body string, digest string"
 
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
-                rows, at = [], 0
-                while (end := content.find(b"\r\n\r\n", at)) >= 0:
-                    head = content[at:end].decode("utf-8", "replace").split("\r\n")
-                    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
-                    size = int(fields.get("content-length", 0))
-                    body, stop = content[end + 4 : end + 4 + size], min(len(content), end + 4 + size + 4)
-                    rows.append((file, at, stop - at, fields.get("warc-target-uri"), body.decode("utf-8", "replace")))
-                    at = stop
-                yield pd.DataFrame(rows, columns=["file", "start", "length", "url", "body"])
+                before = 0
+                for member, data in _members(content):
+                    rows, at = [], 0
+                    while data.startswith(b"WARC/", at) and (end := data.find(b"\r\n\r\n", at)) >= 0:
+                        head = data[at:end].decode("utf-8", "replace").split("\r\n")
+                        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1:])}
+                        length = fields.get("content-length", "")
+                        if not length.isdecimal():
+                            break
+                        stop = min(len(data), end + 4 + int(length) + 4)
+                        body = data[end + 4 : end + 4 + int(length)].decode("utf-8", "replace")
+                        digest = hashlib.sha256(memoryview(data)[at:stop]).hexdigest()
+                        rows.append((file, member, before + at, stop - at, fields.get("warc-target-uri"), body, digest))
+                        at = stop
+                    before += len(data)
+                    yield pd.DataFrame(rows, columns=["file", "member", "start", "length", "url", "body", "digest"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cut, schema)
 
 
-def write_warc(pages: DataFrame, path: str, cfg: MerkleConfig = MerkleConfig()) -> None:
-    """Write the records of ``pages`` as text files, one for each range of ids, under ``path/file_id=N``."""
-    file_id = F.coalesce(F.floor(F.col("page_id") / cfg.records_per_file).cast("long"), F.lit(-1).cast("long"))
-    out = pages.select(file_id.alias("file_id"), "page_id", record_bytes(F.col("url"), F.col("html")).alias("value"))
-    out = out.repartition("file_id").sortWithinPartitions("file_id", "page_id", F.sha2(F.col("value").cast("binary"), 256))
+def file_records(read: DataFrame) -> DataFrame:
+    """``(file_id, url, seq, start, length, digest)`` of records read from files under ``file_id=N``, in the order of the file."""
+    rows = read.select(F.regexp_extract("file", r"file_id=(-?\d+)", 1).cast("long").alias("file_id"), F.coalesce("url", F.lit("")).alias("url"), "start", "length", "digest")
+    seq = F.row_number().over(Window.partitionBy("file_id").orderBy("start")) - 1
+    return rows.select("file_id", "url", seq.cast("long").alias("seq"), "start", "length", "digest")
+
+
+def write_warc(pages: DataFrame, path: str, cfg: MerkleConfig = MerkleConfig(), compression: str = "none") -> None:
+    """Write the records of ``pages`` as text files, one for each range of ids, under ``path/file_id=N``.
+
+    Rows without an id go to the files that ``records`` gives them. ``compression``: none or gzip, of whole files.
+    """
+    rows = pages.select("page_id", record_bytes(F.col("url"), F.col("html")).alias("value"))
+    rows = rows.withColumn("digest", F.sha2(F.col("value").cast("binary"), 256))
+    rows = rows.withColumn("file_id", _file_id(F.col("digest"), cfg))
+    rows = rows.repartition("file_id").sortWithinPartitions("file_id", "page_id", "digest")
     line = F.expr("substring(value, 1, length(value) - 1)").alias("value")  # the writer ends each with the last line feed
-    out.select("file_id", line).write.partitionBy("file_id").option("lineSep", "\n").text(path)
+    rows.select("file_id", line).write.partitionBy("file_id").option("lineSep", "\n").option("compression", compression).text(path)
 
 
 ORACLE = r"""
-WITH p AS (SELECT page_id, url, html, (('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 4))::INT % 64 = 0 AND length(html) > 0) AS hit FROM pages),
-v AS (SELECT 'a' AS rep, page_id, url, html FROM p
-  UNION ALL SELECT 'b', page_id, url, CASE WHEN hit THEN (CASE WHEN html LIKE '~%' THEN '!' ELSE '~' END) || substring(html, 2) ELSE html END FROM p),
-r AS (SELECT rep, page_id, CAST(floor(page_id / 512) AS BIGINT) AS file_id,
+WITH p AS (SELECT page_id, url, html, ('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 4))::INT AS pick FROM pages),
+r AS (SELECT page_id, CAST(floor(page_id / 512) AS BIGINT) AS file_id,
+   CASE WHEN pick % 1024 = 1 THEN 'missing' WHEN pick % 64 = 0 AND length(html) > 0 THEN 'changed' ELSE 'intact' END AS status,
    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-   || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM v),
-h AS (SELECT rep, page_id, file_id, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest FROM r),
-o AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(length) OVER w AS BIGINT) - length AS start FROM h
-   WINDOW w AS (PARTITION BY rep, file_id ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING)),
-l0 AS (SELECT rep, page_id, file_id, seq, start, length, digest, sha256(start || ':' || length || ':' || digest) AS h FROM o),
-l1 AS (SELECT file_id, seq // 8 AS node, sha256(string_agg(h, '' ORDER BY seq)) AS h FROM l0 WHERE rep = 'a' GROUP BY ALL),
+   || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS rec FROM p),
+h AS (SELECT page_id, file_id, status, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS digest FROM r),
+l0 AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(length) OVER w AS BIGINT) - length AS start FROM h
+   WINDOW w AS (PARTITION BY file_id ORDER BY page_id, digest ROWS UNBOUNDED PRECEDING)),
+l1 AS (SELECT file_id, seq // 8 AS node, sha256(string_agg(sha256(start || ':' || length || ':' || digest), '' ORDER BY seq)) AS h FROM l0 GROUP BY ALL),
 l2 AS (SELECT file_id, node // 8 AS node, sha256(string_agg(h, '' ORDER BY node)) AS h FROM l1 GROUP BY file_id, node // 8),
 l3 AS (SELECT file_id, sha256(string_agg(h, '' ORDER BY node)) AS root FROM l2 GROUP BY file_id)
-SELECT a.page_id, a.file_id, a.seq, a.start, a.length, a.digest, root,
-  CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h <> b.h THEN 'changed' ELSE 'intact' END AS status
-FROM l0 a LEFT JOIN l0 b ON a.file_id = b.file_id AND a.seq = b.seq AND b.rep = 'b' JOIN l3 ON a.file_id = l3.file_id
-WHERE a.rep = 'a'
+SELECT page_id, file_id, seq, start, length, digest, root, status FROM l0 JOIN l3 USING (file_id)
 """
