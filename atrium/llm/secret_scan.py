@@ -12,8 +12,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atrium.llm.tables import table
-from atrium.storage import stored
+from atrium.llm.tables import table, unused
+from atrium.storage import new_path, stored
 
 
 @dataclass(frozen=True)
@@ -155,12 +155,12 @@ def cleared(versions: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ..
 def scan(
     versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES
 ) -> tuple[DataFrame, DataFrame]:
-    """Scan ``versions(doc_id, text, ...)`` and return ``(findings, ledger)``.
+    """Scan ``versions(doc_id, text, ...)`` and return ``(findings, new)``.
 
     ``findings``: a row for each row of ``versions`` with doc_id, blob and ``spans``, an array of
     (start, kind_no, kind, end) ordered by start and then kind; empty where nothing was found. Null texts
     are the empty blob; rows with a null doc_id and repeated rows keep a row each; other columns are left
-    behind. ``ledger``: the given ledger with the rows of this run, to be kept for the next.
+    behind. ``new``: the ledger rows of this run, for the pairs of blob and rule version that ``ledger`` lacks.
     """
     versions = versions.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     new = stored(scan_blobs(unseen(versions, ledger, rules), rules).unionByName(cleared(versions, ledger, rules)))
@@ -171,7 +171,23 @@ def scan(
     paths = versions.select("doc_id", blob_id(F.col("text")).alias("blob"))
     findings = paths.join(stored(spans), "blob", "left")
     none = F.array().cast("array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>")
-    return findings.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), full
+    return findings.select("doc_id", "blob", F.coalesce("spans", none).alias("spans")), new
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan_incrementally(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, first: bool = False) -> DataFrame:
+    """Findings for ``versions``, scanning only what the ledger at ``path`` lacks, and adding that to it.
+
+    ``first`` begins a ledger there. What is scanned twice is never written twice: a run that is repeated after a failure
+    finds the pairs of the one before.
+    """
+    ledger = None if first else read_ledger(versions.sparkSession, path)
+    findings, new = scan(versions, ledger, rules)
+    new.write.mode("append").parquet(path)
+    return findings
 
 
 def written(spans: Column) -> Column:
@@ -180,7 +196,10 @@ def written(spans: Column) -> Column:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = scan(table(spark, sf_dir, "documents"))
+    """Two runs over one ledger: the base rules, then all rules, which scans no blob again with those before."""
+    docs, path = table(spark, sf_dir, "documents"), f"{new_path(spark)}/ledger"
+    scan_incrementally(docs, path, tuple(r for r in RULES if r.kind in BASE_KINDS), first=True)
+    findings = scan_incrementally(docs, path)
     of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     base = F.sha2(written(of(*BASE_KINDS)).cast("binary"), 256).alias("base_sha256")
@@ -194,9 +213,9 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", rules: tuple[Rule, ...] =
     the new text. Findings come by content, not by doc_id, so repeated and null ids are no trouble.
     """
     spans = stored(_found(docs, rules))
-    key, suspect = "__blob", may_hold(F.col("text"), rules)
+    [key, found], suspect = unused(docs, "blob", 2), may_hold(F.col("text"), rules)
     held = docs.where(suspect).withColumn(key, blob_id(F.col("text")))
-    joined = held.join(spans.withColumnRenamed("blob", key), key, "left")
+    joined = held.join(spans.select(F.col("blob").alias(key), F.col("spans").alias(found)), key, "left")
     text = F.col("text")
     at = F.expr("CAST(0 AS BIGINT)")
     step = lambda acc, s: F.when(
@@ -215,20 +234,20 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", rules: tuple[Rule, ...] =
     )
     end = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
     start = F.struct(at.alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.col("__spans").isNull(), text).otherwise(F.aggregate("__spans", start, step, end))
+    clean = F.when(F.col(found).isNull(), text).otherwise(F.aggregate(found, start, step, end))
     out = joined.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        size = F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+        size = F.when(F.col(found).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(size, F.col("n_chars")))
     return docs.where(~suspect).unionByName(out.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def _found(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``(blob, __spans)`` of the blobs with findings."""
+    """``(blob, spans)`` of the blobs with findings."""
     versions = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ledger = stored(scan_blobs(unseen(versions, None, rules), rules))
     rows = ledger.where(F.size("spans") > 0).select("blob", F.explode("spans").alias("s"))
-    return rows.groupBy("blob").agg(F.sort_array(F.collect_list("s")).alias("__spans"))
+    return rows.groupBy("blob").agg(F.sort_array(F.collect_list("s")).alias("spans"))
 
 
 ORACLE = r"""
