@@ -2,6 +2,10 @@
 
 P(grade > k | x) = sigmoid(w.x - b_k) with one weight vector for all thresholds b_0 < b_1 < ... The result is
 the expected severity, the sum of these probabilities.
+
+Where labels have grades (0, 1, 2, ...) these are what is fitted. Labels of 0 and 1 only say where grade 0 ends; the
+grades above are then made from how dense a toxic document is in words that go with the label, so severities order
+documents by that density and are not learnt from graded judgements.
 """
 
 from __future__ import annotations
@@ -43,8 +47,8 @@ def _of_word(word: str) -> list[str]:
 class ToxicityConfig:
     #: At most so many labelled documents are fitted on, the same ones for the same labels, and of rows with one text one.
     max_labelled: int = 10_000
-    max_features: int = 2_000
-    #: A feature is in at least this share of the toxic documents of the sample.
+    #: A feature is in at least this share of the toxic documents of the sample, so there are at most 1 / least_share
+    #: times as many features as a toxic document has on average.
     least_share: float = 0.02
     #: Features are log(1 + scale * occurrences / words).
     scale: float = 500.0
@@ -81,9 +85,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig) -> Da
 def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Choose features and fit weights and thresholds on the labelled sample.
 
-    The labels say toxic or not. Grades above 0 come from how dense a toxic document is in words that go with
-    the label: its share of them against the quantiles over toxic documents. Without labels of both kinds
-    there is nothing to learn, and the model gives every text the severity 0.
+    Labels above 1 are grades as they are, the highest of them ``grades - 1``. Where labels only say toxic or not, grades
+    above 0 come from how dense a toxic document is in words that go with the label: its share of them against the
+    quantiles over toxic documents. Without labels of both kinds there is nothing to learn, and the model gives every
+    text the severity 0. Null labels and ids are left out; an empty table is one without labels.
     """
     rows = stored(_featured(training_rows(docs, labels, cfg)))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -97,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     lift = ((F.col("d1") + 0.5) / (n1 + 1)) / ((d0 + 0.5) / (n0 + 1))
     chosen = seen.where(F.col("d1") >= max(2.0, cfg.least_share * n1)).select("feature", z.alias("z"), lift.alias("lift"))
     chosen = chosen.where((F.col("z") >= cfg.least_z) & (F.col("lift") >= cfg.least_lift))
-    names = [r["feature"] for r in chosen.orderBy(F.desc("z"), "feature").limit(cfg.max_features).collect()]
+    names = [r["feature"] for r in chosen.orderBy(F.desc("z"), "feature").collect()]
     kept = F.map_filter("features", lambda k, _: k.isin(*names)) if names else F.map_filter("features", lambda k, _: F.lit(False))
     return _fit(rows.select("toxic", "n_words", kept.alias("features")).collect(), names, cfg)  # max_labelled rows
 
@@ -115,12 +120,13 @@ def _featured(rows: DataFrame) -> DataFrame:
 
 def _fit(rows: list, names: list[str], cfg: ToxicityConfig) -> ToxicityModel:
     """Full-batch Adam on the ordinal log-likelihood; rows are put in a fixed order first."""
-    rows = sorted(((r["toxic"] > 0, r["n_words"], sorted(r["features"].items())) for r in rows))
+    rows = sorted(((r["toxic"], r["n_words"], sorted(r["features"].items())) for r in rows))
     number = {f: i for i, f in enumerate(names)}
-    toxic = np.array([t for t, _, _ in rows])
+    label = np.clip(np.array([t for t, _, _ in rows]), 0, cfg.grades - 1)
+    toxic = label > 0
     dense = np.array([sum(c for _, c in found) / max(1, n) for _, n, found in rows])
     cuts = np.quantile(dense[toxic], [k / (cfg.grades - 1) for k in range(1, cfg.grades - 1)])
-    grade = np.where(toxic, 1 + np.searchsorted(cuts, dense, side="right"), 0)
+    grade = label if label.max() > 1 else np.where(toxic, 1 + np.searchsorted(cuts, dense, side="right"), 0)
     at = np.repeat(np.arange(len(rows)), [len(found) for _, _, found in rows])
     ids = np.array([number[f] for _, _, found in rows for f, _ in found], dtype=np.int64)
     x = np.log1p(cfg.scale * np.array([c / n for _, n, found in rows for _, c in found], dtype=np.float64))
