@@ -3,26 +3,30 @@
 Each task cuts its documents into shards, indexes a shard's words, searches all benchmark windows backwards in
 the index, locates their occurrences by sampled suffix positions, and merges the spans they cover.
 
-Only runs of benchmark words as long as the shortest window can hold an occurrence, so the index is built over
-those runs; this loses nothing. The benchmark goes to the tasks in blocks of a fixed number of words: however
-large it is, no more than one block is held at a time.
+Only runs of benchmark words, and of pairs of them that items have, as long as the shortest window can hold an
+occurrence, so the index is built over those runs; and only windows of words that the shard has are searched in it.
+Both lose nothing. The benchmark goes to the tasks as word numbers, in blocks of a fixed number of words: however large
+it is, no more than one block is held at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atrium.llm.fm_index import FMIndex
-from atrium.llm.tables import table, texts
-from atrium.storage import stored
+from atrium.llm.tables import table, texts, unused
+from atrium.storage import ship, stored
 
 #: Words of lower-cased text: not ASCII, or a-z and 0-9 (fixed values).
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -34,10 +38,11 @@ class DecontaminationConfig:
     window: int = 13
     #: A document with hits is contaminated if at least one word in so many is hit.
     one_in: int = 20
-    #: Words of benchmark items that go to the tasks at once.
-    block_words: int = 1_000_000
-    #: Indexed words of a shard at most, unless one document alone has more.
+    #: Words of benchmark items that go to the tasks at once, as numbers: 8 MB and their vocabulary.
+    block_words: int = 2_000_000
+    #: Indexed words of a shard, unless one document alone has more, and its documents, at most.
     shard_words: int = 1_000_000
+    shard_rows: int = 50_000
 
 
 def words(text: str | None) -> list[str]:
@@ -47,30 +52,83 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower() if text.isascii() else text.translate(_LOWER))
 
 
-class Phrases:
-    """The windows of one block of benchmark items as rows of word numbers, by length."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.number: dict[str, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item_id, text in items:
-            ids = [self.number.setdefault(w, len(self.number) + 2) for w in words(text)]  # 1: any other word
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item_id)
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for n in sorted({len(p) for p in found}):
-            rows = sorted(p for p in found if len(p) == n)
-            self.by_length[n] = (np.array(rows, dtype=np.int64), [sorted(found[p]) for p in rows])
-        self.shortest = min(self.by_length, default=0)
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+
+
+@dataclass(frozen=True)
+class Block:
+    """Benchmark items as word numbers (from 2; 1 is any other word), end to end."""
+
+    items: list[str]
+    vocabulary: list[str]
+    words: np.ndarray
+    sizes: np.ndarray
 
+    @staticmethod
+    def of(items: list[tuple[str, str]]) -> Block:
+        number: dict[str, int] = {}
+        rows = [[number.setdefault(w, len(number) + 2) for w in words(t)] for _, t in items]
+        flat = np.fromiter((i for r in rows for i in r), dtype=np.int32, count=sum(map(len, rows)))
+        return Block([i for i, _ in items], list(number), flat, np.array([len(r) for r in rows], dtype=np.int64))
 
-def _runs(ids: np.ndarray, least: int) -> np.ndarray:
-    """Where ``ids`` (0: unknown) has runs of at least ``least`` known words."""
-    known = np.concatenate([[False], ids > 0, [False]])
-    edge = np.flatnonzero(known[1:] != known[:-1])
+
+class Phrases:
+    """The windows of one block of benchmark items: where they begin, by length, each distinct one once, and its items."""
+
+    _BITS = 25
+
+    def __init__(self, block: Block, window: int):
+        self.number = {w: i + 2 for i, w in enumerate(block.vocabulary)}
+        self.words, self.items = block.words, block.items
+        start = np.cumsum(block.sizes) - block.sizes
+        owner = np.repeat(np.arange(len(block.sizes)), block.sizes)
+        left = np.repeat(start + block.sizes, block.sizes) - np.arange(len(self.words))  # words of the item from here on
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(block.sizes[block.sizes > 0], window)).tolist():
+            at = np.flatnonzero(left >= window) if n == window else start[block.sizes == n]
+            self.by_length[n] = self._distinct(at, n, owner)
+        self.shortest = min(self.by_length, default=0)
+        pair = _mixed(self.words[:-1], self.words[1:])[left[:-1] > 1] if len(self.words) else np.zeros(0, dtype=np.uint64)
+        self.pairs = np.zeros(1 << (self._BITS - 3), dtype=np.uint8)
+        place = (pair >> np.uint64(64 - self._BITS)).astype(np.int64)
+        np.bitwise_or.at(self.pairs, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+
+    def rows(self, at: np.ndarray, n: int) -> np.ndarray:
+        return self.words[at[:, None] + np.arange(n)]
+
+    def _distinct(self, at: np.ndarray, n: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begins of distinct windows, and for each the range of its items in an array of item numbers."""
+        h = np.zeros(len(at), dtype=np.uint64)
+        for k in range(n):
+            h = _mixed(h, self.words[at + k])
+        order = np.lexsort((owner[at], h))
+        at = at[order]
+        new = np.ones(len(at), dtype=bool)
+        for low in range(1, len(at), 1 << 16):
+            part = slice(low, min(len(at), low + (1 << 16)))
+            new[part] = (self.rows(at[part], n) != self.rows(at[low - 1 : part.stop - 1], n)).any(axis=1)
+        first = np.flatnonzero(new)
+        return at[first], np.append(first, len(at)), owner[at]
+
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        """Which of a document's words (0: unknown) can be in an occurrence: in runs of words and of pairs that items have."""
+        if self.shortest < 2:
+            return _runs(ids > 0, self.shortest)
+        pair = (_mixed(ids[:-1], ids[1:]) >> np.uint64(64 - self._BITS)).astype(np.int64)
+        has = ((self.pairs[pair >> 3] >> (pair & 7).astype(np.uint8)) & 1 == 1) & (ids[:-1] > 0) & (ids[1:] > 0)
+        run = _runs(has, self.shortest - 1)
+        return np.append(run, False) | np.insert(run, 0, False)
+
+
+def _runs(known: np.ndarray, least: int) -> np.ndarray:
+    """Where ``known`` has runs of at least ``least``."""
+    padded = np.concatenate([[False], known, [False]])
+    edge = np.flatnonzero(padded[1:] != padded[:-1])
     starts, ends = edge[::2], edge[1::2]
     keep = ends - starts >= least
-    mark = np.zeros(len(ids) + 1, dtype=np.int64)
+    mark = np.zeros(len(known) + 1, dtype=np.int64)
     mark[starts[keep]] += 1
     mark[ends[keep]] -= 1
     return np.cumsum(mark[:-1]) > 0
@@ -86,16 +144,21 @@ def _search_shard(shard: list[tuple[int, np.ndarray, np.ndarray]], phrases: Phra
         owners.append(np.full(len(ids) + len(gap) + 1, row))
     text, place, owner = np.concatenate(pieces), np.concatenate(places), np.concatenate(owners)
     index, hits = FMIndex(text), {}
-    for n, (rows, items) in phrases.by_length.items():
-        low, high = index.search(rows)
-        count = high - low
-        which = np.repeat(np.arange(len(rows)), count)
-        ranks = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        for k, pos in zip(which.tolist(), index.locate(ranks).tolist(), strict=True):
-            spans, of = hits.setdefault(int(owner[pos]), ([], set()))
-            spans.append((int(place[pos]), int(place[pos]) + n))
-            of.update(items[k])
-    return hits
+    there = np.zeros(len(phrases.number) + 2, dtype=bool)
+    there[text] = True
+    absent = np.concatenate([[0], np.cumsum(~there[phrases.words])])
+    for n, (begins, ranges, items) in phrases.by_length.items():
+        chosen = np.flatnonzero(absent[begins + n] == absent[begins])  # all words are in this shard
+        for part in np.array_split(chosen, len(chosen) // 100_000 + 1):
+            low, high = index.search(phrases.rows(begins[part], n))
+            count = high - low
+            which = np.repeat(part, count)
+            ranks = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            for k, pos in zip(which.tolist(), index.locate(ranks).tolist(), strict=True):
+                spans, of = hits.setdefault(int(owner[pos]), ([], set()))
+                spans.append((int(place[pos]), int(place[pos]) + n))
+                of.update(items[ranges[k] : ranges[k + 1]].tolist())
+    return {row: (merged(spans), of) for row, (spans, of) in hits.items()}
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,41 +172,82 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _scanner(phrases: Phrases, cfg: DecontaminationConfig):
-    number, schema = phrases.number, ["doc_id", "row_id", "n_words", "starts", "ends", "items"]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = number.get
-        for frame in frames:
-            n_words, hits, shard, size = [], {}, [], 0
-            for row, text in enumerate(frame["text"]):
-                found = words(text)
-                n_words.append(len(found))
-                if not phrases.shortest or len(found) < phrases.shortest:
-                    continue
-                ids = np.fromiter((get(w, 0) for w in found), dtype=np.int64, count=len(found))
-                at = np.flatnonzero(_runs(ids, phrases.shortest))
-                if len(at):
-                    shard.append((row, at, ids[at]))
-                    size += len(at)
-                    if size >= cfg.shard_words:
-                        hits |= _search_shard(shard, phrases)
-                        shard, size = [], 0
+#: The block that this worker has met last, and its phrases.
+_MET: list[tuple[Block, int, Phrases]] = []
+
+
+def _phrases(block: Block, window: int) -> Phrases:
+    if not _MET or _MET[0][0] is not block or _MET[0][1] != window:
+        _MET[:] = [(block, window, Phrases(block, window))]
+    return _MET[0][2]
+
+
+def _sharded(batches: Iterator, text_of, block: Broadcast, cfg: DecontaminationConfig) -> Iterator[tuple[list, list[int], dict]]:
+    """Batches put together to shards: the batches, words by row, and (spans, item numbers) of the rows with hits."""
+    phrases = _phrases(block.value, cfg.window)
+    get = phrases.number.get
+    held, n_words, shard, size, hits = [], [], [], 0, {}
+    for batch in batches:
+        held.append(batch)
+        for text in text_of(batch):
+            found = words(text)
+            row = len(n_words)
+            n_words.append(len(found))
+            if not phrases.shortest or len(found) < phrases.shortest:
+                continue
+            ids = np.fromiter((get(w, 0) for w in found), dtype=np.int64, count=len(found))
+            at = np.flatnonzero(phrases.known(ids))
+            if len(at):
+                shard.append((row, at, ids[at]))
+                size += len(at)
+                if size >= cfg.shard_words:
+                    hits |= _search_shard(shard, phrases)
+                    shard, size = [], 0
+        if size >= cfg.shard_words // 2 or len(n_words) >= cfg.shard_rows:
             if shard:
                 hits |= _search_shard(shard, phrases)
-            spans = [merged(hits[r][0]) if r in hits else [] for r in range(len(frame))]
+            yield held, n_words, hits
+            held, n_words, shard, size, hits = [], [], [], 0, {}
+    if shard:
+        hits |= _search_shard(shard, phrases)
+    if held:
+        yield held, n_words, hits
+
+
+def _scanner(block: Broadcast, cfg: DecontaminationConfig):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held, n_words, hits in _sharded(frames, lambda f: f["text"], block, cfg):
+            ids = pd.concat([f["doc_id"].astype("Int64") for f in held], ignore_index=True)
+            rows = pd.concat([f["row_id"] for f in held], ignore_index=True)
+            none: tuple[list, set] = ([], set())
+            found = [hits.get(r, none) for r in range(len(n_words))]
+            names = block.value.items
             yield pd.DataFrame(
                 {
-                    "doc_id": frame["doc_id"].astype("Int64"), "row_id": frame["row_id"], "n_words": n_words,
-                    "starts": [[a for a, _ in s] for s in spans], "ends": [[b for _, b in s] for s in spans],
-                    "items": [sorted(hits[r][1]) if r in hits else [] for r in range(len(frame))],
-                },
-                columns=schema,
+                    "doc_id": ids, "row_id": rows, "n_words": n_words, "starts": [[a for a, _ in s] for s, _ in found],
+                    "ends": [[b for _, b in s] for s, _ in found], "items": [sorted({names[i] for i in of}) for _, of in found],
+                }
             )
 
     return run
 
 
+def _cleaner(block: Broadcast, text_at: int, cfg: DecontaminationConfig):
+    """Batches of documents without the contaminated rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, n_words, hits in _sharded(batches, lambda b: b.column(text_at).to_pylist(), block, cfg):
+            keep = np.ones(len(n_words), dtype=bool)
+            for row, (spans, _) in hits.items():
+                keep[row] = cfg.one_in * sum(b - a for a, b in spans) < n_words[row]
+            at = 0
+            for batch in held:
+                yield batch.filter(pa.array(keep[at : at + batch.num_rows]))
+                at += batch.num_rows
+
+    return run
+
+
 def item_blocks(benchmark: DataFrame, cfg: DecontaminationConfig) -> Iterator[list[tuple[str, str]]]:
     """Benchmark items in blocks of about ``block_words`` words (by bytes, at 6 a word), one held at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -159,6 +263,10 @@ def item_blocks(benchmark: DataFrame, cfg: DecontaminationConfig) -> Iterator[li
         yield block
 
 
+def _sent(docs: DataFrame, block: list[tuple[str, str]]) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(Block.of(block))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """A row for each row of ``docs``: doc_id, n_words, n_hit, items (sorted), spans (merged word ranges), contaminated.
 
@@ -171,17 +279,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationCon
     blocks = item_blocks(benchmark, cfg)
     first, second = next(blocks, []), next(blocks, None)
     if second is None:
-        out = base.mapInPandas(_scanner(Phrases(first, cfg.window), cfg), schema)
+        out = base.mapInPandas(_scanner(_sent(docs, first), cfg), schema)
     else:
         base = stored(base.withColumn("row_id", F.monotonically_increasing_id()))
         parts = []
-        for block in [first, second]:
-            parts.append(stored(base.mapInPandas(_scanner(Phrases(block, cfg.window), cfg), schema)))
-        for block in blocks:
-            parts.append(stored(base.mapInPandas(_scanner(Phrases(block, cfg.window), cfg), schema)))
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
+        for block in itertools.chain([first, second], blocks):
+            sent = _sent(docs, block)
+            parts.append(stored(base.mapInPandas(_scanner(sent, cfg), schema)))
+            sent.destroy()
+        every = reduce(DataFrame.unionByName, parts)
         out = every.groupBy("row_id").agg(
             F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
             F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"),
@@ -210,9 +316,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """``docs`` without the contaminated rows, each judged by its own text; columns stay as they are.
 
-    Rows are told apart by a number given while they are written to the shared folder.
+    Rows are judged where they stand. Rows with null or blank text have no hits and stay. Only a benchmark of more
+    than one block needs the rows numbered, as the hits of all blocks count together.
     """
-    key = "__row"
+    ship(docs.sparkSession)
+    blocks = item_blocks(benchmark, cfg)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        text_at = [c.lower() for c in docs.columns].index("text")
+        return docs.mapInArrow(_cleaner(_sent(docs, first), text_at, cfg), docs.schema)
+    [key] = unused(docs, "row")
     numbered = stored(docs.withColumn(key, F.monotonically_increasing_id()))
     judged = contamination(numbered.select(F.col(key).alias("doc_id"), "text"), benchmark, cfg)
     dirty = stored(judged.where("contaminated").select(F.col("doc_id").alias(key)))

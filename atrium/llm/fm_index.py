@@ -91,13 +91,23 @@ class FMIndex:
         self.marked, self.sample = Bits(sampled.astype(np.uint8)), order[sampled]
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffix ranges of phrases of one length, a phrase a row, by backward search of all at once."""
+        """Suffix ranges of phrases of one length, a phrase a row, by backward search of all at once.
+
+        A phrase is given up where its range gets empty, so most cost only their last few symbols.
+        """
         low, high = np.zeros(len(phrases), dtype=np.int64), np.full(len(phrases), self.n, dtype=np.int64)
-        for symbol in phrases.T[::-1]:
-            known = np.where(symbol < len(self.first) - 1, symbol, 0)
-            start = self.first[known]
-            low, high = start + self.wavelet.rank(known, low), start + self.wavelet.rank(known, high)
-            high = np.where(symbol == known, np.maximum(high, low), low)
+        alive = np.arange(len(phrases))
+        for k in range(phrases.shape[1] - 1, -1, -1):
+            symbol = phrases[alive, k].astype(np.int64)
+            known = symbol < len(self.first) - 1
+            alive, symbol = alive[known], symbol[known]
+            start = self.first[symbol]
+            a = start + self.wavelet.rank(symbol, low[alive])
+            b = start + self.wavelet.rank(symbol, high[alive])
+            high[:] = low  # empty, but for those that go on
+            some = b > a
+            alive = alive[some]
+            low[alive], high[alive] = a[some], b[some]
         return low, high
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
