@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from atrium.functions import geometry as g
 from atrium.functions.text import normalize_floor_text, normalize_label, normalize_ocr_text
-from atrium.operators.segments import FLOOR, in_cells
+from atrium.operators.segments import FLOOR, in_cells, with_cell
 from atrium.storage import stored
 
 #: Room labels with the words that mean the same.
@@ -68,17 +68,18 @@ def unique_texts(texts: DataFrame, keys: list[str] | None = None) -> DataFrame:
 _BOX = ("block_id", "text", "x", "y", "w", "h", "confidence")
 
 
-def overlap_pairs(blocks: DataFrame, overlap: float = 0.5, reach: float = 30.0, cell: float = 128.0) -> DataFrame:
+def overlap_pairs(blocks: DataFrame, overlap: float = 0.5, reach: float = 30.0, crowd: int = 64) -> DataFrame:
     """Pairs of blocks that are duplicates by place or by text and nearness, the surer (then earlier) one as ``a``."""
     cx, cy = g.box_center()
     x0, y0 = F.least(F.col("x"), cx - reach), F.least(F.col("y"), cy - reach)
     x1, y1 = F.greatest(F.col("x") + F.col("w"), cx + reach), F.greatest(F.col("y") + F.col("h"), cy + reach)
-    cells = in_cells(blocks.select(*FLOOR, *_BOX).withColumns({"x0": x0, "y0": y0}), x0, y0, x1, y1, cell).select(*FLOOR, *_BOX, "cx", "cy", "x0", "y0")
-    a = cells.select(*FLOOR, "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in (*_BOX, "x0", "y0")])
+    boxes = with_cell(blocks.select(*FLOOR, *_BOX).withColumns({"x0": x0, "y0": y0}), x0, y0, x1, y1, reach, crowd)
+    cells = in_cells(boxes, x0, y0, x1, y1, F.col("cell"))
+    a = cells.select(*FLOOR, "cx", "cy", "cell", *[F.col(c).alias(f"a_{c}") for c in (*_BOX, "x0", "y0")])
     b = cells.select(*FLOOR, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in (*_BOX, "x0", "y0")])
     surer = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_block_id") < F.col("b_block_id")))
     pairs = a.join(b, [*FLOOR, "cx", "cy"]).where(surer)
-    first = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / cell).cast("int")
+    first = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / F.col("cell")).cast("int")
     pairs = pairs.where((F.col("cx") == first("x0")) & (F.col("cy") == first("y0")))
     (ax, ay), (bx, by) = g.box_center("a_"), g.box_center("b_")
     same = (F.lower("a_text") == F.lower("b_text")) & (F.abs(ax - bx) < reach) & (F.abs(ay - by) < reach)
@@ -111,17 +112,20 @@ def dedupe_text(blocks: DataFrame, overlap: float = 0.5, reach: float = 30.0) ->
 # --- texts in rooms ---------------------------------------------------------------------------------------------
 
 
-def text_in_rooms(blocks: DataFrame, edges: DataFrame, band: float = 64.0) -> DataFrame:
+def text_in_rooms(blocks: DataFrame, edges: DataFrame, crowd: int = 64) -> DataFrame:
     """Each text with the first room (by face) whose polygon holds its centre, by counting crossed edges.
 
     ``edges``: half-edges of rooms, ``(plan_id, floor_id, face, ox, oy, dx, dy)``. Texts meet only edges that cross
-    their height band. Edges that a polygon passes twice cancel out.
+    their height band, whose size follows from the floor's edges. Edges that a polygon passes twice cancel out.
     """
     cx, cy = g.box_center()
-    texts = blocks.withColumns({"px": cx, "py": cy}).withColumn("band", F.floor(F.col("py") / band).cast("int"))
     low, high = F.least("oy", "dy"), F.greatest("oy", "dy")
-    bands = F.sequence(F.floor(low / band).cast("int"), F.floor(high / band).cast("int"))
-    cut = edges.where(low < high).select(*FLOOR, "face", "ox", "oy", "dx", "dy", F.explode(bands).alias("band"))
+    cut = edges.where(low < high)
+    size = cut.groupBy(*FLOOR).agg((F.max(high) - F.min(low)).alias("h"), F.count("*").alias("n"))
+    size = size.select(*FLOOR, F.greatest(F.col("h") / F.greatest(F.lit(1), F.floor(F.col("n") / crowd)) * 1.001, F.lit(1e-9)).alias("size"))
+    texts = blocks.withColumns({"px": cx, "py": cy}).join(size, FLOOR).withColumn("band", F.floor(F.col("py") / F.col("size")).cast("int"))
+    bands = F.sequence(F.floor(low / F.col("size")).cast("int"), F.floor(high / F.col("size")).cast("int"))
+    cut = cut.join(size, FLOOR).select(*FLOOR, "face", "ox", "oy", "dx", "dy", F.explode(bands).alias("band"))
     xi, yi, xj, yj = F.col("dx"), F.col("dy"), F.col("ox"), F.col("oy")
     crossed = ((yi > F.col("py")) != (yj > F.col("py"))) & (F.col("px") < (xj - xi) * (F.col("py") - yi) / (yj - yi + 1e-12) + xi)
     hits = texts.select(*FLOOR, "block_id", "px", "py", "band").join(cut, [*FLOOR, "band"]).where(crossed)
@@ -152,7 +156,7 @@ def label_rooms(blocks: DataFrame, edges: DataFrame, mode: str = "best") -> Data
 
 
 def floor_rules() -> list[tuple[str, str, float]]:
-    """(pattern, label, confidence) of floor names, in the order in which they are tried."""
+    """(pattern, label, confidence) of floor names, in the order in which they are tried (fixed values)."""
     space, ring = r"[\s_.-]*", "[°º]?"
     rules = [(rf"\bpiano{space}terra\b", "piano terra", 1.0), (rf"\bp{space}?\.?{space}?terra\b", "piano terra", 0.95)]
     rules += [(rf"\b{w}{space}piano\b", f"{w} piano", 1.0) for w in ORDINALS]
@@ -271,12 +275,11 @@ def all_targets(spark, targets: list[str]) -> DataFrame:
 
 def select_labels(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     """Candidates with a token among ``targets``, or with both words of "soggiorno pranzo" where that is one."""
-    rows = candidates.withColumn("k", F.explode(F.array_distinct("tok")))
-    hits = rows.join(F.broadcast(targets.withColumnRenamed("target", "k")), "k", "left_semi").select("section_n", "image_split_name")
-    pair = candidates.where(F.array_contains("tok", "soggiorno") & F.array_contains("tok", "pranzo"))
-    pair = pair.select("section_n", "image_split_name").join(F.broadcast(targets.where("target = 'soggiorno pranzo'")))
-    found = hits.union(pair.select("section_n", "image_split_name")).distinct()
-    return candidates.join(found, ["section_n", "image_split_name"], "left_semi")
+    key = ["section_n", "image_split_name"]
+    both = F.array_contains("tok", "soggiorno") & F.array_contains("tok", "pranzo")
+    tokens = F.when(both, F.array_append("tok", F.lit("soggiorno pranzo"))).otherwise(F.col("tok"))
+    rows = candidates.select(*key, F.explode(F.array_distinct(tokens)).alias("target"))
+    return candidates.join(rows.join(targets, "target", "left_semi").select(*key).distinct(), key, "left_semi")
 
 
 def point_extent(points: DataFrame, keys: list[str]) -> DataFrame:

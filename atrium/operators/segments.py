@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atrium.functions import geometry as g
-from atrium.storage import ship
+from atrium.operators.components import connected_components
+from atrium.storage import ship, stored
 
 FLOOR = ["plan_id", "floor_id"]
 XY = ["x1", "y1", "x2", "y2"]
@@ -52,39 +53,69 @@ def segment_stats(segments: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
-def in_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> DataFrame:
-    """A row for each grid cell (``cx, cy``) that a row's box touches."""
+def in_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell) -> DataFrame:
+    """A row for each grid cell (``cx, cy``) that a row's box touches; ``cell``: a number or a Column."""
     at = lambda v: F.floor(v / cell).cast("int")
     df = df.withColumn("cx", F.explode(F.sequence(at(x0), at(x1))))
     return df.withColumn("cy", F.explode(F.sequence(at(y0), at(y1))))
 
 
+def with_cell(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, least: float, crowd: int = 64) -> DataFrame:
+    """Rows with ``cell``, a grid size of their floor: about ``crowd`` rows a cell if they were spread evenly, ``least`` or more.
+
+    It follows from the floor's extent, so it is the same for drawings in pixels and in metres.
+    """
+    extent = df.groupBy(*FLOOR).agg((F.max(x1) - F.min(x0)).alias("w"), (F.max(y1) - F.min(y0)).alias("h"), F.count("*").alias("n"))
+    side = F.greatest(F.col("w"), F.col("h")) / F.greatest(F.lit(1), F.floor(F.sqrt(F.col("n") / crowd)))
+    cells = extent.select(*FLOOR, F.greatest(side * 1.001, F.lit(least), F.lit(1e-9)).alias("cell"))
+    return df.join(cells, FLOOR)
+
+
 def _box(p: str = "") -> tuple[Column, Column, Column, Column]:
     c = lambda k: F.col(f"{p}{k}")
     return F.least(c("x1"), c("x2")), F.least(c("y1"), c("y2")), F.greatest(c("x1"), c("x2")), F.greatest(c("y1"), c("y2"))
 
 
-def near_pairs(segments: DataFrame, reach: float = 0.0, cell: float = 512.0) -> DataFrame:
-    """Pairs ``a_*``, ``b_*`` (a before b) on one floor whose boxes, widened by ``reach``, touch; each pair once.
+def _along(reach: float) -> Column:
+    """``(cx, cy)`` of the grid cells within ``reach`` of a segment, column by column: as many as it is long, not its box."""
+    x0, y0, x1, y1 = _box()
+    cell, dx = F.col("cell"), F.col("x2") - F.col("x1")
+    at = lambda v: F.floor(v / cell).cast("int")
+    steep = F.when(F.abs(dx) > 1e-12, (F.col("y2") - F.col("y1")) / dx)
+
+    def column(cx: Column) -> Column:
+        y = lambda x: F.col("y1") + steep * (F.least(F.greatest(x, x0), x1) - F.col("x1"))
+        u, v = y(cx * cell - reach), y((cx + 1) * cell + reach)
+        low, high = F.coalesce(F.least(u, v), y0), F.coalesce(F.greatest(u, v), y1)
+        return F.transform(F.sequence(at(low - reach - 1e-9), at(high + reach + 1e-9)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+
+    return F.flatten(F.transform(F.sequence(at(x0 - reach), at(x1 + reach)), column))
+
 
-    Segments meet in grid cells, so a large floor is not compared with itself as a whole. A pair counts in the cell
-    that holds the corner where both boxes begin.
+def near_pairs(segments: DataFrame, reach: float = 0.0, crowd: int = 64) -> DataFrame:
+    """Pairs ``a_*``, ``b_*`` (a before b) on one floor that may be within ``2 * reach``, by boxes widened by ``reach``; each pair once.
+
+    Segments meet in the grid cells that they pass, so a large floor is not compared with itself as a whole. A pair
+    counts in the first cell that both pass.
     """
     x0, y0, x1, y1 = _box()
-    cells = in_cells(segments.select(*FLOOR, "seg_id", *XY), x0 - reach, y0 - reach, x1 + reach, y1 + reach, cell)
-    a = cells.select(*FLOOR, "cx", "cy", *[F.col(c).alias(f"a_{c}") for c in ("seg_id", *XY)])
-    b = cells.select(*FLOOR, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in ("seg_id", *XY)])
+    own = with_cell(segments.select(*FLOOR, "seg_id", *XY), x0, y0, x1, y1, 2 * reach, crowd).withColumn("cells", _along(reach))
+    cells = own.select(*FLOOR, "seg_id", *XY, "cells", F.explode("cells").alias("at"))
+    names = ("seg_id", *XY, "cells")
+    a = cells.select(*FLOOR, "at", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = cells.select(*FLOOR, "at", *[F.col(c).alias(f"b_{c}") for c in names])
     ax0, ay0, ax1, ay1 = _box("a_")
     bx0, by0, bx1, by1 = _box("b_")
-    both = a.join(b, [*FLOOR, "cx", "cy"]).where(F.col("a_seg_id") < F.col("b_seg_id"))
+    both = a.join(b, [*FLOOR, "at"]).where(F.col("a_seg_id") < F.col("b_seg_id"))
     both = both.where((ax0 - 2 * reach <= bx1) & (bx0 - 2 * reach <= ax1) & (ay0 - 2 * reach <= by1) & (by0 - 2 * reach <= ay1))
-    first = lambda u, v: F.floor((F.greatest(u, v) - reach) / cell).cast("int")
-    return both.where((F.col("cx") == first(ax0, bx0)) & (F.col("cy") == first(ay0, by0))).drop("cx", "cy")
+    one = (F.size("a_cells") == 1) | (F.size("b_cells") == 1)
+    first = F.when(one, F.col("at")).otherwise(F.array_min(F.array_intersect("a_cells", "b_cells")))
+    return both.where(F.col("at") == first).drop("at", "a_cells", "b_cells")
 
 
-def find_intersections(segments: DataFrame, cell: float = 512.0) -> DataFrame:
+def find_intersections(segments: DataFrame, crowd: int = 64) -> DataFrame:
     """``(plan_id, floor_id, seg_a, seg_b, x, y)`` where two segments meet, ends included."""
-    pairs = near_pairs(segments, 0.0, cell).withColumn("p", g.intersection())
+    pairs = near_pairs(segments, 0.0, crowd).withColumn("p", g.intersection())
     return pairs.where("p IS NOT NULL").select(
         *FLOOR, F.col("a_seg_id").alias("seg_a"), F.col("b_seg_id").alias("seg_b"), "p.x", "p.y"
     )
@@ -152,44 +183,77 @@ def merge_collinear(segments: DataFrame, cfg: MergeConfig = MergeConfig()) -> Da
     return floors.mapInPandas(run, schema)
 
 
-def _fits(s: tuple, t: tuple, cfg: MergeConfig) -> bool:
-    angle = lambda u: (a + 180 if (a := math.degrees(math.atan2(u[3] - u[1], u[2] - u[0]))) < 0 else a)
-    turn = abs(angle(s) - angle(t))
-    if min(turn, 180 - turn) > cfg.angle_deg and (turn <= 90 or 180 - turn > cfg.angle_deg):
-        return False
-    ends = [(s[0], s[1]), (s[2], s[3])], [(t[0], t[1]), (t[2], t[3])]
-    if min(math.dist(p, q) for p in ends[0] for q in ends[1]) > cfg.distance:
-        return False
-    if cfg.perpendicular is None:
-        return True
-    mx, my = (t[0] + t[2]) / 2, (t[1] + t[3]) / 2
-    size = math.dist(*ends[0])
-    if size < 1e-12:
-        return math.dist(ends[0][0], (mx, my)) <= cfg.perpendicular
-    across = abs((s[3] - s[1]) * mx - (s[2] - s[0]) * my + s[2] * s[1] - s[3] * s[0])
-    return across / size <= cfg.perpendicular
+def _merge(rows: list[tuple], cfg: MergeConfig) -> list[tuple]:
+    """Passes over one floor's segments: each takes up the next later one that fits it, again and again.
 
+    What a segment may take up is tested for all later ones at once; after each growth only those further on count.
+    """
+    import numpy as np
+
+    def angles(s):
+        deg = np.degrees(np.arctan2(s[..., 3] - s[..., 1], s[..., 2] - s[..., 0]))
+        return np.where(deg < 0, deg + 180, deg)
+
+    def fits(grown, others, turned):
+        turn = np.abs(angles(grown) - turned)
+        near = np.minimum(turn, 180 - turn) <= cfg.angle_deg
+        near &= np.min([np.hypot(grown[i] - others[:, j], grown[i + 1] - others[:, j + 1]) for i in (0, 2) for j in (0, 2)], axis=0) <= cfg.distance
+        if cfg.perpendicular is None:
+            return near
+        x1, y1, x2, y2 = grown
+        mx, my = (others[:, 0] + others[:, 2]) / 2, (others[:, 1] + others[:, 3]) / 2
+        size = np.hypot(x2 - x1, y2 - y1)
+        across = np.hypot(mx - x1, my - y1) if size < 1e-12 else np.abs((y2 - y1) * mx - (x2 - x1) * my + x2 * y1 - y2 * x1) / size
+        return near & (across <= cfg.perpendicular)
+
+    def joined(s, t):
+        ends = np.array([s[:2], s[2:], t[:2], t[2:]])
+        i, j = np.triu_indices(4, 1)
+        k = int(np.argmax(np.hypot(*(ends[i] - ends[j]).T)))  # the first of equals
+        return np.concatenate([ends[i[k]], ends[j[k]]])
+
+    now = np.array(rows, dtype=np.float64).reshape(len(rows), 4)
+    while True:
+        left, turned, out = np.arange(len(now)), angles(now), []
+        while len(left):
+            grown, left, at = now[left[0]], left[1:], 0
+            while at < len(left):
+                hit = np.flatnonzero(fits(grown, now[left[at:]], turned[left[at:]]))
+                if not len(hit):
+                    break
+                at += int(hit[0])
+                grown, left = joined(grown, now[left[at]]), np.delete(left, at)
+            out.append(grown)
+        done = not cfg.until_stable or len(out) == len(now)
+        now = np.array(out).reshape(len(out), 4)
+        if done:
+            return [tuple(map(float, r)) for r in now]
 
-def _joined(s: tuple, t: tuple) -> tuple:
-    ends = [(s[0], s[1]), (s[2], s[3]), (t[0], t[1]), (t[2], t[3])]
-    pairs = [(p, q) for i, p in enumerate(ends) for q in ends[i + 1 :]]
-    p, q = max(pairs, key=lambda pq: math.dist(*pq))  # the first of equals
-    return (*p, *q)
 
+def merge_components(segments: DataFrame, cfg: MergeConfig = MergeConfig()) -> DataFrame:
+    """Merging without an order, ``(plan_id, floor_id, seg_id, x1, y1, x2, y2)``: segments that fit each other, directly or
+    through others, become one, from end to end along the longest of them; ``seg_id`` is the least of theirs.
 
-def _merge(rows: list[tuple], cfg: MergeConfig) -> list[tuple]:
-    while True:
-        out, taken = [], [False] * len(rows)
-        for i, grown in enumerate(rows):
-            if taken[i]:
-                continue
-            for j in range(i + 1, len(rows)):
-                if not taken[j] and _fits(grown, rows[j], cfg):
-                    grown, taken[j] = _joined(grown, rows[j]), True
-            out.append(grown)
-        if not cfg.until_stable or len(out) == len(rows):
-            return out
-        rows = out
+    Floors of any size are spread over tasks. Chains of segments that bend little by little become one here, where
+    ``merge_collinear`` compares with what has grown and stops.
+    """
+    own = stored(segments.select(*FLOOR, "seg_id", *XY).withColumn("node", F.monotonically_increasing_id()))
+    pairs = near_pairs(own, reach=cfg.distance / 2)
+    fit = (g.angle_difference(g.angle_deg("a_"), g.angle_deg("b_")) <= cfg.angle_deg) & (g.min_endpoint_distance() <= cfg.distance)
+    if cfg.perpendicular is not None:
+        fit &= g.perpendicular_distance(*g.midpoint("b_"), "a_") <= cfg.perpendicular
+    pairs = pairs.where(fit)
+    for side in "ab":
+        node = own.select(*FLOOR, F.col("seg_id").alias(f"{side}_seg_id"), F.col("node").alias(f"{side}_node"))
+        pairs = pairs.join(node, [*FLOOR, f"{side}_seg_id"])
+    roots = connected_components(pairs, "a_node", "b_node")
+    rows = stored(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    axis = rows.groupBy("root").agg(F.max_by(F.struct(dx.alias("ux"), dy.alias("uy")), F.struct(F.hypot(dx, dy), -F.col("seg_id"))).alias("u")).select("root", "u.*")
+    ends = rows.join(axis, "root").select("root", *FLOOR, "seg_id", "ux", "uy", F.inline(F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)])))
+    place, point = F.struct(F.col("x") * F.col("ux") + F.col("y") * F.col("uy"), "x", "y"), F.struct("x", "y")
+    out = ends.groupBy("root").agg(*[F.first(c).alias(c) for c in FLOOR], F.min("seg_id").alias("seg_id"), F.min_by(point, place).alias("p"), F.max_by(point, place).alias("q"))
+    return out.select(*FLOOR, "seg_id", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
 
 
 def parallel_walls(segments: DataFrame, least: float = 3.0, most: float = 40.0, angle: float = 5.0) -> DataFrame:

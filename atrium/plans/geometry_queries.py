@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atrium.functions import geometry as g
-from atrium.operators import labels, segments, topology
+from atrium.operators import labels, questions, segments, topology
 from atrium.plans.fixtures import GRID_FX, TEXT_FX, WALLS_FX, grid_fx, text_fx, walls_fx
 
 
@@ -29,7 +29,7 @@ def segment_metrics(spark, sf_dir):
 
 def segment_stats(spark, sf_dir):
     out = segments.segment_stats(grid_fx(spark, sf_dir))
-    return out.select("plan_id", "n", _r("min_length", 4).alias("min_length"), _r("max_length", 4).alias("max_length"), "n_horizontal", "n_vertical", "n_other")
+    return out.select("plan_id", "n", _r("min_length", 4).alias("min_length"), _r("max_length", 4).alias("max_length"), _r("mean_length", 4).alias("mean_length"), "n_horizontal", "n_vertical", "n_other")
 
 
 def long_horizontal(spark, sf_dir):
@@ -46,12 +46,36 @@ def split_pieces(spark, sf_dir):
     return pieces.groupBy("plan_id").agg(F.count("*").alias("n_pieces"), _r(F.sum(g.length()), 4).alias("length"))
 
 
-def merge_collinear(spark, sf_dir):
+def _merged(spark, sf_dir, merge, **options) -> DataFrame:
     pieces = segments.split_at_intersections(grid_fx(spark, sf_dir)).withColumn("seg_id", F.col("seg_id") * 100 + F.col("piece"))
-    merged = segments.merge_collinear(pieces)
+    merged = merge(pieces, segments.MergeConfig(**options))
     return merged.groupBy("plan_id").agg(F.count("*").alias("n_lines"), _r(F.sum(g.length()), 4).alias("length"))
 
 
+def merge_collinear(spark, sf_dir):
+    return _merged(spark, sf_dir, segments.merge_collinear)
+
+
+def merge_once(spark, sf_dir):
+    """The older rule: one pass, whatever the distance across."""
+    return _merged(spark, sf_dir, segments.merge_collinear, perpendicular=None, until_stable=False)
+
+
+def merge_components(spark, sf_dir):
+    return _merged(spark, sf_dir, segments.merge_components)
+
+
+def adjacent_rooms(spark, sf_dir):
+    """The neighbours of each plan's leftmost room."""
+    found = _topology(spark, sf_dir)
+    left = found.edges.where("face IS NOT NULL").groupBy("plan_id", "face").agg(F.min("ox").alias("left"))
+    rooms = found.rooms.join(left, ["plan_id", "face"]).select("plan_id", F.col("face").alias("room_id"), "area", "left")
+    first = rooms.groupBy("plan_id").agg(F.min_by("room_id", "left").alias("first"))
+    pairs = topology.adjacency(found).selectExpr("plan_id", "face_a AS room_a", "face_b AS room_b").join(first, "plan_id")
+    near = questions.adjacent_rooms(rooms, pairs, F.col("first"))
+    return near.select("plan_id", _r("left", 3).alias("left"), _r("area", 4).alias("area"))
+
+
 def room_areas(spark, sf_dir):
     return _topology(spark, sf_dir).rooms.select("plan_id", _r("area", 4).alias("area"))
 
@@ -144,9 +168,9 @@ def pair_metrics(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        segment_metrics, segment_stats, long_horizontal, intersections, split_pieces, merge_collinear, room_areas, room_areas_nearest,
+        segment_metrics, segment_stats, long_horizontal, intersections, split_pieces, merge_collinear, merge_once, merge_components, room_areas, room_areas_nearest,
         room_areas_descending, room_polygons, euler, adjacency, connections, topology_map, wall_types, label_rooms, label_rooms_concat,
-        door_closing, parallel_walls, pair_metrics,
+        door_closing, parallel_walls, pair_metrics, adjacent_rooms,
     )
 }
 
@@ -154,6 +178,9 @@ QUERIES = {
 _P = """p AS (SELECT o_orderkey AS plan_id, CAST(200 + 10*(o_orderkey % 20) AS DOUBLE) AS w, CAST(100 + 10*(o_orderkey % 7) AS DOUBLE) AS h,
   CAST(o_orderkey % 4 AS INT) AS nd FROM orders)"""
 _ROOM = f"{_P}, rooms AS (SELECT plan_id, w, h, nd, unnest(range(0, nd + 1)) AS k FROM p)"
+_MEET = f"""{_ROOM}, meet AS (
+  SELECT plan_id, w, h, unnest([0, 0, 1, 2]) AS seg_a, unnest([1, 3, 2, 3]) AS seg_b, unnest([w, 0, w, 0]) AS x, unnest([0, 0, h, h]) AS y FROM p
+  UNION ALL SELECT plan_id, w, h, unnest([0, 2]), CAST(3 + k AS INT), w * k / (nd + 1), unnest([0, h]) FROM rooms WHERE k > 0)"""
 _AREAS = f"WITH {_ROOM} SELECT plan_id, round(w * h / (nd + 1), 4) AS area FROM rooms"
 _TEXT_IN = f"""WITH {_ROOM}, t AS ({TEXT_FX}),
 c AS (SELECT t.*, x + w / 2.0 AS px, y + h / 2.0 AS py FROM t),
@@ -166,12 +193,9 @@ a AS (SELECT *, sqrt((x1 - x2) * (x1 - x2) + (y1 - y2) * (y1 - y2)) AS n, degree
 b AS (SELECT *, CASE WHEN d < 0 THEN d + 180 ELSE d END AS deg FROM a)
 SELECT room_id, wall_idx, round(n, 6) AS length, round(deg, 6) AS angle, deg < 5 OR deg > 175 AS horizontal, abs(deg - 90) < 5 AS vertical, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my,
   round(CASE WHEN n < 1e-12 THEN sqrt(x1 * x1 + y1 * y1) ELSE abs(x2 * y1 - y2 * x1) / n END, 6) AS to_origin FROM b""",
-    "segment_stats": f"WITH {_P} SELECT plan_id, CAST(4 + nd AS BIGINT) AS n, round(least(w, h), 4) AS min_length, round(greatest(w, h), 4) AS max_length, 2::BIGINT AS n_horizontal, CAST(2 + nd AS BIGINT) AS n_vertical, 0::BIGINT AS n_other FROM p",
+    "segment_stats": f"WITH {_P} SELECT plan_id, CAST(4 + nd AS BIGINT) AS n, round(least(w, h), 4) AS min_length, round(greatest(w, h), 4) AS max_length, round((2 * w + (2 + nd) * h) / (4 + nd), 4) AS mean_length, 2::BIGINT AS n_horizontal, CAST(2 + nd AS BIGINT) AS n_vertical, 0::BIGINT AS n_other FROM p",
     "long_horizontal": f"WITH g AS ({GRID_FX}) SELECT plan_id, seg_id, x1, x2 FROM g WHERE y1 = y2 AND abs(x2 - x1) BETWEEN 250 AND 380",
-    "intersections": f"""WITH g AS ({GRID_FX}), ab AS (SELECT a.plan_id, a.seg_id AS seg_a, b.seg_id AS seg_b, a.x1, a.y1, a.x2, a.y2, b.x1 AS x3, b.y1 AS y3, b.x2 AS x4, b.y2 AS y4,
-  (a.x1 - a.x2) * (b.y1 - b.y2) - (a.y1 - a.y2) * (b.x1 - b.x2) AS den FROM g a JOIN g b ON a.plan_id = b.plan_id AND a.seg_id < b.seg_id),
-tu AS (SELECT *, ((x1 - x3) * (y3 - y4) - (y1 - y3) * (x3 - x4)) / den AS t, -((x1 - x2) * (y1 - y3) - (y1 - y2) * (x1 - x3)) / den AS u FROM ab WHERE abs(den) >= 1e-10)
-SELECT plan_id, seg_a, seg_b, round(x1 + t * (x2 - x1), 6) AS x, round(y1 + t * (y2 - y1), 6) AS y FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""",
+    "intersections": f"""WITH {_MEET} SELECT plan_id, seg_a, seg_b, round(x, 6) AS x, round(y, 6) AS y FROM meet""",
     "split_pieces": f"WITH {_P} SELECT plan_id, CAST(4 + 3 * nd AS BIGINT) AS n_pieces, round(2 * w + (2 + nd) * h, 4) AS length FROM p",
     "merge_collinear": f"WITH {_P} SELECT plan_id, CAST(4 + nd AS BIGINT) AS n_lines, round(2 * w + (2 + nd) * h, 4) AS length FROM p",
     "room_areas": _AREAS,
@@ -189,11 +213,9 @@ SELECT plan_id, "left", text AS label FROM o WHERE n = 1""",
     "label_rooms_concat": f"""{_TEXT_IN} SELECT plan_id, "left", string_agg(text, ' ' ORDER BY block_id) AS label FROM hit GROUP BY plan_id, k, "left" """,
     "door_closing": f"WITH {_ROOM} SELECT plan_id, round(w * k / (nd + 1), 4) AS x, 20.0::DOUBLE AS gap FROM rooms WHERE k > 0",
     "parallel_walls": f"WITH {_ROOM} SELECT plan_id, CAST(3 + k AS INT) AS seg_a, CAST(103 + k AS INT) AS seg_b, 10.0::DOUBLE AS distance FROM rooms WHERE k > 0",
-    "pair_metrics": f"""WITH g AS ({GRID_FX}), b AS (SELECT *, least(x1, x2) AS u0, greatest(x1, x2) AS u1, least(y1, y2) AS v0, greatest(y1, y2) AS v1,
-   CASE WHEN degrees(atan2(y2 - y1, x2 - x1)) < 0 THEN degrees(atan2(y2 - y1, x2 - x1)) + 180 ELSE degrees(atan2(y2 - y1, x2 - x1)) END AS deg FROM g),
-q AS (SELECT a.plan_id, a.seg_id AS a_seg_id, b.seg_id AS b_seg_id, abs(a.deg - b.deg) AS d, sqrt((a.x1-b.x1)*(a.x1-b.x1) + (a.y1-b.y1)*(a.y1-b.y1)) AS d11, sqrt((a.x1-b.x2)*(a.x1-b.x2) + (a.y1-b.y2)*(a.y1-b.y2)) AS d12,
-   sqrt((a.x2-b.x1)*(a.x2-b.x1) + (a.y2-b.y1)*(a.y2-b.y1)) AS d21, sqrt((a.x2-b.x2)*(a.x2-b.x2) + (a.y2-b.y2)*(a.y2-b.y2)) AS d22,
-   sqrt((a.x1-a.x2)*(a.x1-a.x2) + (a.y1-a.y2)*(a.y1-a.y2)) AS da, sqrt((b.x1-b.x2)*(b.x1-b.x2) + (b.y1-b.y2)*(b.y1-b.y2)) AS db
-   FROM b a JOIN b ON a.plan_id = b.plan_id AND a.seg_id < b.seg_id AND a.u0 - 2 <= b.u1 AND b.u0 - 2 <= a.u1 AND a.v0 - 2 <= b.v1 AND b.v0 - 2 <= a.v1)
-SELECT plan_id, a_seg_id, b_seg_id, round(least(d11, d12, d21, d22), 4) AS gap, round(CASE WHEN d > 90 THEN 180 - d ELSE d END, 4) AS turn, round(greatest(d11, d12, d21, d22, da, db), 4) AS merged_length FROM q""",
+    "pair_metrics": f"""WITH {_MEET} SELECT plan_id, seg_a AS a_seg_id, seg_b AS b_seg_id, round(CASE WHEN seg_b > 3 THEN least(x, w - x) ELSE 0 END, 4) AS gap, 90.0::DOUBLE AS turn,
+  round(CASE WHEN seg_b > 3 THEN greatest(w, sqrt(x * x + h * h), sqrt((w - x) * (w - x) + h * h)) ELSE sqrt(w * w + h * h) END, 4) AS merged_length FROM meet""",
+    "merge_once": f"WITH {_P} SELECT plan_id, CAST(4 + nd AS BIGINT) AS n_lines, round(2 * w + (2 + nd) * h, 4) AS length FROM p",
+    "merge_components": f"WITH {_P} SELECT plan_id, CAST(4 + nd AS BIGINT) AS n_lines, round(2 * w + (2 + nd) * h, 4) AS length FROM p",
+    "adjacent_rooms": f"""WITH {_P} SELECT plan_id, round(w / (nd + 1), 3) AS "left", round(w * h / (nd + 1), 4) AS area FROM p WHERE nd > 0""",
 }

@@ -178,6 +178,24 @@ _RULES = ", ".join(f"({i}, '{p}', '{label}', {c}::DOUBLE)" for i, (p, label, c)
 _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(["piano terra", *[f"{w} piano" for w in labels.ORDINALS]]))
 _GIVEN = ", ".join(f"({i}, '{t}')" for i, t in enumerate(FLOOR_TEXTS))
 
+
+
+def _bands(anchor: str) -> str:
+    """Lines at words that say "piano" in order, those within 3 of one before dropped, and the bands between them."""
+    at, fit = ("greatest(y - 6, 0)", "b.bottom - b.top >= 50") if anchor == "up" else ("least(y + h + 6, 1799)", "b.bottom > b.top")
+    band = "{'top': l[i], 'bottom': coalesce(l[i + 1], 1800)}" if anchor == "up" else "{'top': CASE WHEN i > 1 THEN l[i - 1] ELSE 0 END, 'bottom': l[i]}"
+    return f"""WITH RECURSIVE {_T}, w AS (SELECT plan_id, block_id, y * 10 AS y, h FROM t),
+s AS MATERIALIZED (SELECT plan_id, CAST({at} AS INT) AS at, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY block_id) AS BIGINT) AS n FROM w WHERE block_id % 5 = 0),
+r AS (SELECT DISTINCT plan_id, 0::BIGINT AS n, []::INT[] AS kept FROM w
+  UNION ALL SELECT r.plan_id, s.n, CASE WHEN len(list_filter(r.kept, lambda k: abs(k - s.at) <= 3)) > 0 THEN r.kept ELSE list_append(r.kept, s.at) END FROM r JOIN s ON s.plan_id = r.plan_id AND s.n = r.n + 1),
+f AS (SELECT plan_id, list_sort(arg_max(kept, n)) AS l FROM r GROUP BY plan_id),
+g AS (SELECT plan_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: {band}), lambda b: {fit}) AS found FROM f),
+j AS (SELECT plan_id, CASE WHEN len(found) > 0 THEN found ELSE [{{'top': 0, 'bottom': 1800}}] END AS found FROM g),
+u AS (SELECT plan_id, found, unnest(range(1, len(found) + 1)) AS i FROM j),
+bands AS (SELECT plan_id, CAST(i - 1 AS INT) AS floor_idx, CAST(found[i].top AS INT) AS top, CAST(found[i].bottom AS INT) AS bottom FROM u)
+"""
+
+
 ORACLES = {
     "overlap_pairs": f"""WITH {_T}, k AS (SELECT *, x + w / 2.0 AS cx, y + h / 2.0 AS cy FROM t WHERE confidence >= 20),
 p AS (SELECT a.plan_id, a.block_id AS a_block_id, b.block_id AS b_block_id, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS ow, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS oh,
@@ -185,6 +203,19 @@ p AS (SELECT a.plan_id, a.block_id AS a_block_id, b.block_id AS b_block_id, leas
    FROM k a JOIN k b ON a.plan_id = b.plan_id AND (a.confidence > b.confidence OR (a.confidence = b.confidence AND a.block_id < b.block_id))),
 f AS (SELECT *, CASE WHEN ow > 0 AND oh > 0 THEN ow * oh / m::DOUBLE ELSE 0.0 END AS overlap FROM p)
 SELECT plan_id, a_block_id, b_block_id, round(overlap, 12) AS overlap FROM f WHERE overlap > 0.5 OR same""",
+    "text_nms": f"""WITH RECURSIVE {_T}, k AS (SELECT *, x + w / 2.0 AS cx, y + h / 2.0 AS cy, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY confidence DESC, block_id) AS BIGINT) AS n FROM t WHERE confidence >= 20),
+p AS (SELECT a.plan_id, a.block_id AS surer, b.n, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) AS ow, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) AS oh,
+   least(a.w * a.h, b.w * b.h) AS m, lower(a.text) = lower(b.text) AND abs(a.cx - b.cx) < 30 AND abs(a.cy - b.cy) < 30 AS same FROM k a JOIN k b ON a.plan_id = b.plan_id AND a.n < b.n),
+o AS MATERIALIZED (SELECT k.plan_id, k.n, k.block_id, coalesce(c.surer, []) AS surer FROM k LEFT JOIN (SELECT plan_id, n, list(surer) AS surer FROM p WHERE (ow > 0 AND oh > 0 AND ow * oh / m::DOUBLE > 0.5) OR same GROUP BY plan_id, n) c ON k.plan_id = c.plan_id AND k.n = c.n),
+r AS (SELECT plan_id, n, [block_id] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT r.plan_id, o.n, CASE WHEN list_has_any(r.kept, o.surer) THEN r.kept ELSE list_append(r.kept, o.block_id) END FROM r JOIN o ON o.plan_id = r.plan_id AND o.n = r.n + 1),
+z AS (SELECT plan_id, unnest(arg_max(kept, n)) AS block_id FROM r GROUP BY plan_id)
+SELECT z.plan_id, z.block_id, trim(text) AS text FROM z JOIN t ON z.plan_id = t.plan_id AND z.block_id = t.block_id""",
+    "floor_bands": _bands("up") + "SELECT plan_id, floor_idx, top, bottom FROM bands",
+    "floor_bands_down": _bands("down") + "SELECT plan_id, floor_idx, top, bottom FROM bands",
+    "named_floors": _bands("up") + "SELECT plan_id, floor_idx, CASE WHEN floor_idx % 2 = 0 THEN 'piano terra' ELSE 'floor_' || floor_idx END AS label, CASE WHEN floor_idx % 2 = 0 THEN 0.9::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM bands",
+    "texts_in_bands": _bands("up") + """SELECT w.plan_id, floor_idx AS floor_id, count(*) AS n, CAST(min(y - top) AS INT) AS first
+FROM w JOIN bands b ON w.plan_id = b.plan_id AND y >= top AND y < bottom GROUP BY w.plan_id, floor_idx""",
     "box_filter": f"""WITH {_T} SELECT plan_id, block_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY y, x, block_id) - 1 AS INT) AS crop, round(w / h::DOUBLE, 6) AS ratio
 FROM t WHERE w * h BETWEEN 100 AND 6000 AND w / h::DOUBLE BETWEEN 1.2 AND 10 AND h BETWEEN 8 AND 40""",
     "unique_texts": f"WITH {_T} SELECT plan_id, trim(text) AS text, min(block_id) AS seq FROM t GROUP BY plan_id, trim(text)",

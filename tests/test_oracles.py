@@ -2,11 +2,11 @@
 
 import pytest
 
-from atrium.plans import geometry_queries, hvac_queries, label_queries
+from atrium.plans import file_queries, geometry_queries, hvac_queries, label_queries
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
-CASES = [(m, name) for m in (hvac_queries, geometry_queries, label_queries) for name in m.QUERIES]
+CASES = [(m, name) for m in (hvac_queries, geometry_queries, label_queries, file_queries) for name in m.QUERIES]
 
 
 @pytest.mark.parametrize("module, name", CASES, ids=[n for _, n in CASES])
