@@ -290,21 +290,23 @@ def point_extent(points: DataFrame, keys: list[str]) -> DataFrame:
 def knn_graph(points: DataFrame, k: int = 4, share: float = 0.66, keys: tuple[str, ...] = ("plan_id",)) -> DataFrame:
     """Undirected edges ``(..., a, b)`` from each point to its k nearest within a share of the section's diagonal.
 
-    Ties go to the smaller id. Points look only at grid cells around them; the grid is coarsened for those whose
-    k-th neighbour may lie further out, until all are settled.
+    Ties go to the smaller id, so of points at one place only the k + 1 smallest ids can be anyone's neighbours. Points
+    look only at grid cells around them; the grid is coarsened for those whose k-th neighbour may lie further out, until
+    all are settled.
     """
     keys = list(keys)
     extent = point_extent(points, keys).where("n > 1")
     base = points.select(*keys, "id", "x", "y").join(extent.select(*keys, "n", "diagonal"), keys)
     step = F.greatest(F.col("diagonal") * F.sqrt(F.lit(2.0 * k) / F.col("n")) / 2, F.lit(1e-9))
-    base = stored(base.withColumn("reach", step))
+    here = F.row_number().over(Window.partitionBy(*keys, "x", "y").orderBy("id"))
+    base = stored(base.withColumn("reach", step).withColumn("here", here))
     open_, edges, size = base, None, 1.0
     while True:
         cell = F.col("reach") * size
         at = lambda c, i=0: (F.floor(F.col(c) / cell) + i).cast("long")  # noqa: B023, E731
         ring = F.array(*[F.struct(at("x", i).alias("cx"), at("y", j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         a = open_.select(*keys, "id", "x", "y", "n", "diagonal", cell.alias("cell"), F.inline(ring))
-        b = base.select(*keys, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
+        b = base.where(F.col("here") <= k + 1).select(*keys, F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), at("x").alias("cx"), at("y").alias("cy"))
         met = a.join(b, [*keys, "cx", "cy"], "left").withColumn("d", F.when(F.col("id") != F.col("id2"), g.distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))))
         near = F.slice(F.sort_array(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("d", "id2")))), 1, k)
         found = met.groupBy(*keys, "id", "n", "diagonal", "cell").agg(near.alias("near"))

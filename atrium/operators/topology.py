@@ -154,7 +154,7 @@ def _ranks(edges: DataFrame) -> DataFrame:
         new = stored(new)
         state = new.drop("moved")
         if new.where("moved").limit(1).count() == 0:
-            return state
+            return state.select(*FLOOR, "e", "rank")
 
 
 def _walk(offsets, to):

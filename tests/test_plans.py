@@ -271,3 +271,199 @@ def test_metrics_of_points(spark):
             near = sorted((math.dist(q[2:], o[2:]), o[1]) for o in own if o[1] != q[1])[:3]
             want |= {(p, min(q[1], i), max(q[1], i)) for d, i in near if d <= 0.66 * diag}
     assert got == want
+
+
+def test_neighbours_of_points_at_one_place(spark):
+    pts = [(1, i, float(i % 3), 0.0) for i in range(300)] + [(1, 900, 50.0, 0.0)]
+    got = {(r["a"], r["b"]) for r in labels.knn_graph(spark.createDataFrame(pts, "plan_id long, id long, x double, y double"), k=4).collect()}
+    want = set()
+    for q in pts:
+        near = sorted((math.dist(q[2:], o[2:]), o[1]) for o in pts if o[1] != q[1])[:4]
+        want |= {(min(q[1], i), max(q[1], i)) for d, i in near if d <= 0.66 * 50}
+    assert got == want
+
+
+# --- irregular drawings
+
+
+def _drawing(seed):
+    """Diagonal walls, T-joints, a hole, parts that don't touch and walls that lead nowhere."""
+    rng = random.Random(seed)
+    box = lambda x, y, w, h: [(x, y, x + w, y), (x + w, y, x + w, y + h), (x + w, y + h, x, y + h), (x, y + h, x, y)]
+    rows = box(0, 0, 400, 300) + [(0, 0, 400, 300), (200, 150, 200, 300), (400, 100, 250, 187.5), (50, 300, 50, 340)]
+    rows += box(120, 200, 40, 40) + box(600, 50, 100, 80) + [(600, 50, 700, 130), (800, 10, 900, 10)]
+    for _ in range(12):
+        x, y, a = rng.uniform(0, 400), rng.uniform(0, 300), rng.uniform(0, 2 * math.pi)
+        rows.append((x, y, x + 150 * math.cos(a), y + 150 * math.sin(a)))
+    return rows
+
+
+def _traced(pieces, snap=2.0):
+    """Areas and edges of the faces of one floor's pieces, walked one by one."""
+    first, points, edges = {}, [], []
+    for x1, y1, x2, y2 in pieces:
+        ends = []
+        for x, y in ((x1, y1), (x2, y2)):
+            key = round(x / snap), round(y / snap)
+            if key not in first:
+                first[key] = len(points)
+                points.append((x, y))
+            ends.append(first[key])
+        if ends[0] != ends[1]:
+            edges += [(ends[0], ends[1]), (ends[1], ends[0])]
+    around = {}
+    for e, (u, v) in enumerate(edges):
+        around.setdefault(u, []).append((math.atan2(points[v][1] - points[u][1], points[v][0] - points[u][0]), e))
+    after = {}
+    for star in around.values():
+        star.sort()
+        for (_, e), (_, f) in zip(star, star[1:] + star[:1]):
+            after[e ^ 1] = f
+    seen, out = set(), []
+    for e in range(len(edges)):
+        walk = []
+        while e not in seen:
+            seen.add(e)
+            walk.append(e)
+            e = after[e]
+        if len(walk) >= 3:
+            area = sum(points[edges[k][0]][0] * points[edges[k][1]][1] - points[edges[k][1]][0] * points[edges[k][0]][1] for k in walk) / 2
+            out.append((len(walk), round(abs(area), 6)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_irregular_drawings(spark, seed):
+    frame = _segments(spark, _drawing(seed))
+    found = topology.build_topology(frame)
+    by_joins = topology.build_topology(frame, topology.TopologyConfig(most_pieces=0))
+    pieces = [(r["x1"], r["y1"], r["x2"], r["y2"]) for r in found.pieces.orderBy("seg_id", "piece").collect()]
+    assert sorted((r["n_edges"], round(r["area"], 6)) for r in found.faces.collect()) == _traced(pieces)
+    names = ["e", "face", "rank", "twin_face", "twin_external", "is_external", "next"]
+    assert sorted(map(str, found.edges.select(*names).collect())) == sorted(map(str, by_joins.edges.select(*names).collect()))
+    table = lambda t: sorted((r["face"], r["n_edges"], round(r["area"], 6), r["is_external"]) for r in t.faces.collect())
+    assert table(found) == table(by_joins)
+    for r in topology.polygons(found).collect():
+        p = r["polygon"]
+        area = sum(a["x"] * b["y"] - b["x"] * a["y"] for a, b in zip(p, p[1:] + p[:1])) / 2
+        assert abs(area) == pytest.approx(r["area"])
+
+
+@pytest.mark.parametrize("scale", [1.0, 0.01])
+def test_near_pairs_meet_in_cells(spark, scale):
+    rng = random.Random(4)
+    rows = [tuple(scale * rng.uniform(0, 300) for _ in range(4)) for _ in range(40)] + [(0, 0, 300 * scale, 300 * scale), (0, 5 * scale, 300 * scale, 5 * scale)]
+    rows += [(x := scale * rng.uniform(0, 300), y := scale * rng.uniform(0, 300), x + 3 * scale, y) for _ in range(40)]
+    frame = _segments(spark, rows)
+    for crowd in (1, 64):
+        got = [(r["seg_a"], r["seg_b"]) for r in segments.find_intersections(frame, crowd).collect()]
+        want = sorted(p for p in ((i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))) if _cross(rows[p[0]], rows[p[1]]))
+        assert sorted(got) == want
+        near = segments.near_pairs(frame, 2.0 * scale, crowd).select("a_seg_id", "b_seg_id").collect()
+        assert len(near) == len(set(near)) and {p for p in want} <= {tuple(r) for r in near}
+
+
+def _cross(s, t):
+    den = (s[0] - s[2]) * (t[1] - t[3]) - (s[1] - s[3]) * (t[0] - t[2])
+    if abs(den) < 1e-10:
+        return False
+    u = ((s[0] - t[0]) * (t[1] - t[3]) - (s[1] - t[1]) * (t[0] - t[2])) / den
+    v = -((s[0] - s[2]) * (s[1] - t[1]) - (s[1] - s[3]) * (s[0] - t[0])) / den
+    return 0 <= u <= 1 and 0 <= v <= 1
+
+
+# --- merging
+
+
+def _loops(rows, cfg):
+    def angle(s):
+        a = math.degrees(math.atan2(s[3] - s[1], s[2] - s[0]))
+        return a + 180 if a < 0 else a
+
+    def fits(s, t):
+        turn = abs(angle(s) - angle(t))
+        if min(turn, 180 - turn) > cfg.angle_deg or min(math.dist(p, q) for p in (s[:2], s[2:]) for q in (t[:2], t[2:])) > cfg.distance:
+            return False
+        mx, my, size = (t[0] + t[2]) / 2, (t[1] + t[3]) / 2, math.dist(s[:2], s[2:])
+        return cfg.perpendicular is None or abs((s[3] - s[1]) * (mx - s[0]) - (s[2] - s[0]) * (my - s[1])) / size <= cfg.perpendicular
+
+    while True:
+        out, left = [], list(rows)
+        while left:
+            grown, rest = left[0], []
+            for t in left[1:]:
+                if fits(grown, t):
+                    ends = [grown[:2], grown[2:], t[:2], t[2:]]
+                    p, q = max(((p, q) for i, p in enumerate(ends) for q in ends[i + 1 :]), key=lambda pq: math.dist(*pq))
+                    grown = (*p, *q)
+                else:
+                    rest.append(t)
+            out.append(grown)
+            left = rest
+        if not cfg.until_stable or len(out) == len(rows):
+            return out
+        rows = out
+
+
+@pytest.mark.parametrize("cfg", [segments.MergeConfig(), segments.MergeConfig(perpendicular=None, until_stable=False)])
+def test_merging_is_greedy(spark, cfg):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(150):
+        x, y, a = rng.uniform(0, 120), rng.uniform(0, 60), math.radians(rng.choice([0, 2, 90, 91, 45]))
+        n = rng.uniform(5, 40)
+        rows.append((x, y, x + n * math.cos(a), y + n * math.sin(a)))
+    got = [tuple(r) for r in segments.merge_collinear(_segments(spark, rows), cfg).orderBy("seg_id").select("x1", "y1", "x2", "y2").collect()]
+    want = _loops(rows, cfg)
+    assert len(got) == len(want) < len(rows)
+    assert all(a == pytest.approx(b) for a, b in zip(got, want))
+
+
+def test_merging_by_components(spark):
+    wall = [(10.0 * i, 0.0, 10.0 * i + 8, 0.1 * (i % 2)) for i in range(30)]
+    got = segments.merge_components(_segments(spark, [*wall, (0, 50, 40, 50), (44, 50.5, 90, 50), (150, 0, 150, 80)])).orderBy("seg_id").collect()
+    assert [(r["seg_id"], round(r["x1"]), round(r["x2"])) for r in got] == [(0, 0, 298), (30, 0, 90), (32, 150, 150)]
+
+
+# --- options
+
+
+def test_diagonals_alone(spark):
+    frame = _segments(spark, [(0, 0, 100, 2), (0, 0, 2, 100), (0, 0, 70, 70)])
+    none = dict(horizontal=False, vertical=False)
+    assert segments.filter_by_orientation(frame, **none).count() == 0
+    assert [r["seg_id"] for r in segments.filter_by_orientation(frame, diagonal_if_none=True, **none).collect()] == [2]
+
+
+def test_floor_names_in_both_orders(spark):
+    df = spark.createDataFrame([(0, "pianoo quint")], "plan_id long, text string").withColumns({"seq": F.lit(0), "floor_id": F.lit(0)})
+    assert labels.floor_labels(df).count() == 0
+    assert labels.floor_labels(df, both_orders=True).first()["floor"] == "quinto piano"
+
+
+def test_last_band_ends_early(spark):
+    words = spark.createDataFrame([(1, 0, "PIANO", 100, 10), (1, 1, "piano", 400, 10)], "plan_id long, seq long, text string, y int, h int")
+    extents = spark.createDataFrame([(1, 900)], "plan_id long, height int")
+    got = [(r["top"], r["bottom"]) for r in labels.floor_bands(words, extents, last_to=100).orderBy("floor_idx").collect()]
+    assert got == [(94, 394), (394, 800)]
+
+
+def test_main_rectangle_without_fallback(spark):
+    rows = [(1, 0, 5, True, 0, 0, 90, 90, 100, 100), (1, 1, 4, True, 0, 0, 10, 10, 100, 100), (2, 0, 4, False, 0, 0, 90, 90, 100, 100)]
+    df = spark.createDataFrame(rows, "page_id long, contour_id long, n_vertices int, is_convex boolean, x int, y int, w int, h int, page_w int, page_h int")
+    assert {(r["page_id"], r["contour_id"]) for r in labels.main_rectangle(df).collect()} == {(1, 0), (2, 0)}
+    assert {(r["page_id"], r["contour_id"]) for r in labels.main_rectangle(df, 0.0, False).collect()} == {(1, 1)}
+
+
+def test_box_bounds(spark):
+    rows = [(0, 10, 5), (1, 10, 6), (2, 200, 64), (3, 230, 64), (4, 6, 6), (5, 140, 7), (6, 160, 7), (7, 10, 0)]
+    df = spark.createDataFrame([(1, 0, i, 0, i, w, h) for i, w, h in rows], "plan_id long, floor_id int, block_id long, x int, y int, w int, h int")
+    assert [r["block_id"] for r in labels.box_filter(df).orderBy("crop").collect()] == [1, 2, 5]
+    assert [r["block_id"] for r in labels.box_filter(df, labels.OLD_BOXES).orderBy("crop").collect()] == []
+
+
+def test_two_words_select_together(spark):
+    df = spark.createDataFrame([("1", "a", ["soggiorno", "pranzo"]), ("1", "b", ["pranzo"])], "section_n string, image_split_name string, tok array<string>")
+    own = spark.createDataFrame([("soggiorno pranzo",)], "target string")
+    assert [r["image_split_name"] for r in labels.select_labels(df, own).collect()] == ["a"]
+    assert labels.select_labels(df, own.where("false")).count() == 0
