@@ -51,7 +51,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that scope what an end tag or a new block may close, and what is closed by the start of another (HTML syntax).
 WALLS = frozenset("table td th caption body article section div ul ol dl blockquote main header footer aside nav form html".split())
 ENDS = {
-    "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "option": frozenset({"option"}),
+    "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}),
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "tr": frozenset({"td", "th", "tr"}),
     "tbody": frozenset({"td", "th", "tr", "thead", "tbody"}), "tfoot": frozenset({"td", "th", "tr", "thead", "tbody"}),
 }
@@ -103,38 +103,50 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int]:
 
 
 class _Open:
-    """The open elements, with counts by tag in each scope, so that no tag costs a walk that closes nothing."""
+    """The open elements, with counts by tag in each scope, so that no tag costs a walk that closes nothing.
+
+    Blocks are looked for up to the next wall, what is inline up to the next block.
+    """
 
     def __init__(self, root: Node):
         self.node = root
         self.total: dict[str, int] = {}
         self.scopes: list[tuple[str, dict[str, int]]] = [("", {})]
+        self.inline: list[dict[str, int]] = [{}]
 
     def push(self, node: Node) -> None:
-        self.node = node
-        self.total[node.tag] = self.total.get(node.tag, 0) + 1
-        if node.tag in WALLS:
-            self.scopes.append((node.tag, {}))
+        self.node, tag = node, node.tag
+        self.total[tag] = self.total.get(tag, 0) + 1
+        if tag in WALLS:
+            self.scopes.append((tag, {}))
+        elif tag in BLOCK:
+            self.scopes[-1][1][tag] = self.scopes[-1][1].get(tag, 0) + 1
+        if tag in BLOCK:
+            self.inline.append({})
         else:
-            scope = self.scopes[-1][1]
-            scope[node.tag] = scope.get(node.tag, 0) + 1
+            self.inline[-1][tag] = self.inline[-1].get(tag, 0) + 1
 
     def pop(self) -> str:
         tag = self.node.tag
         self.total[tag] -= 1
         if tag in WALLS:
             self.scopes.pop()
-        else:
+        elif tag in BLOCK:
             self.scopes[-1][1][tag] -= 1
+        if tag in BLOCK:
+            self.inline.pop()
+        else:
+            self.inline[-1][tag] -= 1
         self.node = self.node.parent
         return tag
 
     def close(self, tag: str) -> None:
-        """The end tag ``tag``; a stray one, or an inline one beyond the scope, is nothing."""
-        counts = self.total if tag in WALLS or tag in BLOCK else self.scopes[-1][1]
-        if counts.get(tag, 0) > 0:
+        """The end tag ``tag``; a stray one is nothing, but that of a paragraph parts what is around it."""
+        if (self.total if tag in BLOCK else self.inline[-1]).get(tag, 0) > 0:
             while self.pop() != tag:
                 pass
+        elif tag == "p":
+            self.node.content.append(Node("p", self.node, skip=self.node.skip))
 
     def begin(self, tag: str) -> None:
         """Close what the start of ``tag`` ends."""
@@ -258,7 +270,7 @@ def main_nodes(root: Node) -> list[Node]:
     while top.parent is not None and top.parent is not root:
         up = top.parent
         beside = up.chars - top.chars
-        near = sum(k.chars for k in up.kids if k is not top and (dense(k) or (k.tag in HEADINGS and not k.link_chars)))
+        near = sum(k.chars for k in up.kids if k is not top and (dense(k) or _heading(k)))
         if NEARLY * beside > near:
             break
         top = up
@@ -284,12 +296,20 @@ def main_nodes(root: Node) -> list[Node]:
             if k is top or id(k) in above or dense(k):
                 part += [*waiting, k]
                 waiting = []
-            elif k.tag in HEADINGS and k.weight == 1.0 and not k.link_chars:
-                waiting = [*(w for w in waiting if w.tag < k.tag), k]
+            elif (h := _heading(k)) and k.weight == 1.0:
+                waiting = [*(w for w in waiting if _heading(w).tag < h.tag), k]
         stack += reversed(part)
     return found
 
 
+def _heading(node: Node) -> Node | None:
+    """The heading that a node is, or that is all there is in it; not one that is a link."""
+    chars = node.chars
+    while node.tag not in HEADINGS and len(kids := [k for k in node.kids if k.chars]) == 1 and kids[0].chars == chars:
+        node = kids[0]
+    return node if chars and node.tag in HEADINGS and not node.link_chars else None
+
+
 def _below(node: Node) -> list[Node]:
     out, stack = [], list(node.kids)
     while stack:
