@@ -8,6 +8,7 @@ gives each document, by its rank among those of its length, a sequence and a pla
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +38,8 @@ class PackingConfig:
     parts: int = 4
     tried: int = 24
     iterations: int = 400
+    #: Strings on which the two encoders are compared in each worker.
+    probes: int = 300
     #: Rows of a window when ranks are counted.
     rank_block: int = 256
 
@@ -141,9 +144,10 @@ def slots(made: list[tuple[tuple[int, ...], int]], tokens: int) -> dict[int, tup
 
 @lru_cache(maxsize=2)
 def encoder(cfg: PackingConfig):
-    """A function from text to ids equal to those of the tokenizers file ``cfg.tokenizer``.
+    """Two functions from text to ids: the fast one that is used, and the tokenizers file ``cfg.tokenizer`` it must equal.
 
-    The same vocabulary as byte ranks encodes several times faster; both are compared here on a few strings.
+    The same vocabulary as byte ranks encodes several times faster. Both are compared here on ``probes`` strings made of
+    the vocabulary's own pieces, and in ``pieces`` on a text of each batch.
     """
     import base64
 
@@ -152,23 +156,31 @@ def encoder(cfg: PackingConfig):
     full = Tokenizer.from_file(public_tokenizers.path(cfg.tokenizer))
     special = {SPECIAL: full.token_to_id(SPECIAL)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    for probe in ("", " a  b\n\n c\t", "L'été 你好 \U0001f600 don't 12345", f"a{SPECIAL} b"):
-        if fast.encode(probe, allowed_special="all") != full.encode(probe, add_special_tokens=False).ids:
-            raise ValueError("the two vocabularies differ")
 
     def encode(text: str) -> list[int]:
         return fast.encode(text, allowed_special="all") if SPECIAL in text else fast.encode_ordinary(text)
 
-    return encode
+    def by_library(text: str) -> list[int]:
+        return full.encode(text, add_special_tokens=False).ids
+
+    rng, known = random.Random(0), [b.decode("utf-8", "replace") for b in ranks]
+    made = ["".join(rng.choices(known, k=rng.randrange(30))) for _ in range(cfg.probes)]
+    for probe in ("", " a  b\n\n c\t", "L'été 你好 \U0001f600 don't 12345", f"a{SPECIAL} b", *made):
+        if encode(probe) != by_library(probe):
+            raise ValueError("the two vocabularies differ")
+    return encode, by_library
 
 
 def pieces(docs: DataFrame, cfg: PackingConfig = PackingConfig()) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``: each document's ids and the end id, cut where longer than a sequence."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(cfg)
+        encode, by_library = encoder(cfg)
         for frame in frames:
             rows: list[tuple] = []
+            shortest = min((t or "" for t in frame["text"]), key=len, default="")
+            if encode(shortest) != by_library(shortest):
+                raise ValueError("the two vocabularies differ")
             for doc_id, text in zip(frame["doc_id"].astype("Int64"), frame["text"], strict=True):
                 ids = np.array([*encode(text or ""), cfg.end_id], dtype="<u4")
                 first = (len(ids) - 1) % cfg.tokens + 1
