@@ -15,24 +15,32 @@ from atrium.storage import stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labelled documents among ``docs``, drop those whose expected severity is too high."""
+    """Fit on the labelled documents among ``docs``, drop those whose expected severity is too high.
+
+    Null and empty texts have no features and stay unless the model finds even those too severe. Rows are judged where
+    they stand, so null and repeated ids are no trouble.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.drop_toxic(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of fingerprints, the smallest by doc_id; empty and null texts are one component."""
     return simhash.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which a twentieth or more is in windows of ``benchmark``; null and empty texts stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with secrets overwritten and ``n_chars`` of the new text; null and empty texts stay as they are."""
     return secret_scan.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document with its sequence and place there; null texts are empty."""
     return packing.pack(docs)
 
 
