@@ -392,14 +392,21 @@ _PLACE = ("doc_id", "v", "start", "n_words")
 
 def _hits(found: DataFrame, roots: DataFrame) -> DataFrame:
     """Places of paragraphs and parts of classes that occur in two documents or more, with their class's first place."""
-    seen = found.groupBy("h").agg(F.min(F.struct(*_PLACE)).alias("first"), F.max("doc_id").alias("last_id"))
-    seen = seen.join(roots, "h", "left").where("root IS NOT NULL OR first.doc_id <> last_id")
+    seen = found.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    seen = seen.join(roots, "h", "left").where("root IS NOT NULL OR first_id <> last_id")
     seen = stored(seen.withColumn("root", F.coalesce("root", "h")))
-    classes = seen.groupBy("root").agg(F.min(F.struct("first", "h")).alias("source"), F.max("last_id").alias("last_id"))
-    classes = classes.where("source.first.doc_id <> last_id").select(F.col("root").bitwiseXOR(F.lit(0).cast("long")).alias("root"), "source")
-    named = stored(seen.join(classes, "root").selectExpr("h", "source.h = h AS equal", *[f"source.first.{c} AS s_{c}" for c in _PLACE]))
+    classes = seen.groupBy("root").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi")).where("lo <> hi")
+    named = stored(seen.join(classes.select(_own("root"), "lo"), "root").select("h", "root", "lo"))
     hits = sieve(found.select(*_PLACE, "part", "h"), "h", named).join(named, "h")
-    return stored(hits.drop("h").dropDuplicates([*_PLACE, "part"]))
+    hits = stored(hits.dropDuplicates([*_PLACE, "part"]))
+    sources = hits.where("doc_id = lo").groupBy("root").agg(F.min(F.struct(*_PLACE, "h")).alias("s"))
+    hits = hits.drop("lo").join(sources.select(_own("root"), "s"), "root")
+    return hits.select(*_PLACE, "part", (F.col("s.h") == F.col("h")).alias("equal"), *[F.col(f"s.{c}").alias(f"s_{c}") for c in _PLACE])
+
+
+def _own(key: str) -> Column:
+    """``key`` without what Spark knows of its partitioning, so that a join on it gets an exchange, where a hot key is split."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long")).alias(key)
 
 
 def _runs(hits: DataFrame) -> DataFrame:
@@ -416,34 +423,43 @@ def _runs(hits: DataFrame) -> DataFrame:
 
 
 def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig) -> DataFrame:
-    """``(doc_id, v, start, end, digest, before, after)``: a digest of the words, and hashes of those around, nearest first."""
+    """``places(doc_id, v, start, end, ...)`` with a digest of the words there, and hashes of those around, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes(cfg.remembered)
-        code = lambda words: np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
+        code = lambda words: np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)).astype(np.uint32).view(np.int32)
         for batch in batches:
-            rows = []
-            for doc_id, v, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            taken, made = [], []
+            for k, (text, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 words = text.split()
                 for p in places:
                     a, b = p["start"], p["end"]
                     digest = hashlib.sha256(" ".join(words[a:b]).encode("utf-8", "surrogatepass")).digest()
-                    rows.append((doc_id, v, a, b, digest, code(words[max(0, a - cfg.context) : a][::-1]), code(words[b : b + cfg.context])))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", "start", "end", "digest", "before", "after"])
-
-    schema = "doc_id bigint, v bigint, start int, end int, digest binary, before array<bigint>, after array<bigint>"
+                    made.append((digest, code(words[max(0, a - cfg.context) : a][::-1]), code(words[b : b + cfg.context])))
+                    taken.append(k)
+            own = batch.column(3).flatten()
+            columns = [batch.column(i).take(pa.array(taken, pa.int64())) for i in (0, 1)] + own.flatten()
+            columns += [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", *(f.name for f in own.type), "digest", "before", "after"])
+
+    kinds = dict(places.dtypes)
+    rest = ", ".join(f"{c} {kinds[c]}" for c in places.columns if c not in ("doc_id", "v"))
+    schema = f"doc_id bigint, v bigint, {rest}, digest binary, before array<int>, after array<int>"
     return _looked_up(docs, places).select("doc_id", "v", "text", "places").mapInArrow(run, schema)
 
 
 def _grown(docs: DataFrame, runs: DataFrame, cfg: SubstringConfig) -> DataFrame:
-    """Runs whose words are the source's, with the words around them that agree as well."""
+    """Runs whose words are the source's, with the words around them that agree as well.
+
+    Words around are compared by 32 bits of their hashes, so one of 4 billion that agree by these may be another word.
+    """
+    source = ["s_doc_id", "s_v", "s_start", "s_end"]
     runs = runs.withColumn("s_end", (F.col("s_start") + F.col("end") - F.col("start")).cast("int"))
-    sides = runs.select("doc_id", "v", "start", "end").unionByName(runs.selectExpr("s_doc_id AS doc_id", "s_v AS v", "s_start AS start", "s_end AS end"))
-    around = stored(_surroundings(docs, sides.distinct(), cfg))
-    of_source = around.select(*[F.col(c).alias(f"s_{c}") for c in around.columns])
-    both = runs.join(around, ["doc_id", "v", "start", "end"]).join(of_source, ["s_doc_id", "s_v", "s_start", "s_end"]).where("digest = s_digest")
+    own = runs.select("doc_id", "v", "start", "end", *source)
+    wanted = runs.select(*[F.col(s).alias(s[2:]) for s in source]).distinct().selectExpr("*", *[f"CAST(NULL AS {t}) AS {s}" for s, t in runs.select(*source).dtypes])
+    around = stored(_surroundings(docs, own.unionByName(wanted), cfg))
+    of_source = around.where("s_doc_id IS NULL").select(*[F.col(c).alias(f"s_{c}") for c in ("doc_id", "v", "start", "end", "digest", "before", "after")])
+    both = around.where("s_doc_id IS NOT NULL").join(of_source, source).where("digest = s_digest")
 
     def agree(c: str) -> Column:
         differs = F.zip_with(c, f"s_{c}", lambda x, y: F.coalesce(x != y, F.lit(True)))
