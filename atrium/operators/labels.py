@@ -74,7 +74,9 @@ def overlap_pairs(blocks: DataFrame, overlap: float = 0.5, reach: float = 30.0,
     x0, y0 = F.least(F.col("x"), cx - reach), F.least(F.col("y"), cy - reach)
     x1, y1 = F.greatest(F.col("x") + F.col("w"), cx + reach), F.greatest(F.col("y") + F.col("h"), cy + reach)
     boxes = with_cell(blocks.select(*FLOOR, *_BOX).withColumns({"x0": x0, "y0": y0}), x0, y0, x1, y1, reach, crowd)
-    cells = in_cells(boxes, x0, y0, x1, y1, F.col("cell"))
+    left, top = F.col("left"), F.col("top")
+    boxes = boxes.withColumns({"x0": F.col("x0") - left, "y0": F.col("y0") - top})
+    cells = in_cells(boxes, F.col("x0"), F.col("y0"), x1 - left, y1 - top, F.col("cell"))
     a = cells.select(*FLOOR, "cx", "cy", "cell", *[F.col(c).alias(f"a_{c}") for c in (*_BOX, "x0", "y0")])
     b = cells.select(*FLOOR, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in (*_BOX, "x0", "y0")])
     surer = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_block_id") < F.col("b_block_id")))

@@ -61,13 +61,17 @@ def in_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell
 
 
 def with_cell(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, least: float, crowd: int = 64) -> DataFrame:
-    """Rows with ``cell``, a grid size of their floor: about ``crowd`` rows a cell if they were spread evenly, ``least`` or more.
+    """Rows with ``cell``, a grid size of their floor: about ``crowd`` rows a cell if they were spread evenly, ``least`` or
+    more; and ``left``, ``top``, where the grid begins.
 
-    It follows from the floor's extent, so it is the same for drawings in pixels and in metres.
+    It follows from the floor's extent, so it is the same for drawings in pixels and in metres. A floor of up to ``crowd``
+    rows is one cell.
     """
-    extent = df.groupBy(*FLOOR).agg((F.max(x1) - F.min(x0)).alias("w"), (F.max(y1) - F.min(y0)).alias("h"), F.count("*").alias("n"))
-    side = F.greatest(F.col("w"), F.col("h")) / F.greatest(F.lit(1), F.floor(F.sqrt(F.col("n") / crowd)))
-    cells = extent.select(*FLOOR, F.greatest(side * 1.001, F.lit(least), F.lit(1e-9)).alias("cell"))
+    extent = df.groupBy(*FLOOR).agg(
+        F.min(x0).alias("left"), F.min(y0).alias("top"), (F.max(x1) - F.min(x0)).alias("w"), (F.max(y1) - F.min(y0)).alias("h"), F.count("*").alias("n")
+    )
+    side = F.greatest(F.col("w"), F.col("h")) / F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / crowd)))
+    cells = extent.select(*FLOOR, "left", "top", F.greatest(side * 1.001, F.lit(least), F.lit(1e-9)).alias("cell"))
     return df.join(cells, FLOOR)
 
 
@@ -80,16 +84,19 @@ def _along(reach: float) -> Column:
     """``(cx, cy)`` of the grid cells within ``reach`` of a segment, column by column: as many as it is long, not its box."""
     x0, y0, x1, y1 = _box()
     cell, dx = F.col("cell"), F.col("x2") - F.col("x1")
-    at = lambda v: F.floor(v / cell).cast("int")
+    at = lambda v, start: F.floor((v - F.col(start)) / cell).cast("int")
     steep = F.when(F.abs(dx) > 1e-12, (F.col("y2") - F.col("y1")) / dx)
 
     def column(cx: Column) -> Column:
         y = lambda x: F.col("y1") + steep * (F.least(F.greatest(x, x0), x1) - F.col("x1"))
-        u, v = y(cx * cell - reach), y((cx + 1) * cell + reach)
+        u, v = y(F.col("left") + cx * cell - reach), y(F.col("left") + (cx + 1) * cell + reach)
         low, high = F.coalesce(F.least(u, v), y0), F.coalesce(F.greatest(u, v), y1)
-        return F.transform(F.sequence(at(low - reach - 1e-9), at(high + reach + 1e-9)), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+        return F.transform(F.sequence(at(low - reach - 1e-9, "top"), at(high + reach + 1e-9, "top")), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
-    return F.flatten(F.transform(F.sequence(at(x0 - reach), at(x1 + reach)), column))
+    many = F.flatten(F.transform(F.sequence(at(x0 - reach, "left"), at(x1 + reach, "left")), column))
+    one = F.array(F.struct(at(x0, "left").alias("cx"), at(y0, "top").alias("cy")))
+    within = (at(x0 - reach, "left") == at(x1 + reach, "left")) & (at(y0 - reach - 1e-9, "top") == at(y1 + reach + 1e-9, "top"))
+    return F.when(within, one).otherwise(many)
 
 
 def near_pairs(segments: DataFrame, reach: float = 0.0, crowd: int = 64) -> DataFrame:
@@ -99,7 +106,8 @@ def near_pairs(segments: DataFrame, reach: float = 0.0, crowd: int = 64) -> Data
     counts in the first cell that both pass.
     """
     x0, y0, x1, y1 = _box()
-    own = with_cell(segments.select(*FLOOR, "seg_id", *XY), x0, y0, x1, y1, 2 * reach, crowd).withColumn("cells", _along(reach))
+    own = with_cell(segments.select(*FLOOR, "seg_id", *XY), x0 - reach, y0 - reach - 1e-6, x1 + reach, y1 + reach + 1e-6, 2 * reach, crowd)
+    own = own.withColumn("cells", _along(reach))
     cells = own.select(*FLOOR, "seg_id", *XY, "cells", F.explode("cells").alias("at"))
     names = ("seg_id", *XY, "cells")
     a = cells.select(*FLOOR, "at", *[F.col(c).alias(f"a_{c}") for c in names])

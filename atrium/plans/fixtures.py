@@ -6,7 +6,8 @@ Each order also gives a floor plan of its own: an outer rectangle with up to thr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOMS_FX = """
 SELECT o_custkey AS plan_id, CAST(o_orderkey % 3 AS INT) AS floor_idx, o_orderkey AS room_id,
@@ -74,4 +75,17 @@ def text_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(GRID_FX.replace("FROM orders", "FROM {orders}"), orders=_table(spark, sf_dir, "orders")).selectExpr("*", "0 AS floor_id")
+    """The rows of ``GRID_FX`` in one scan."""
+    key = F.col("o_orderkey")
+    plans = _table(spark, sf_dir, "orders").select(
+        key.alias("plan_id"), (200 + 10 * (key % 20)).cast("double").alias("w"), (100 + 10 * (key % 7)).cast("double").alias("h"), (key % 4).cast("int").alias("nd")
+    )
+    zero, w, h = F.lit(0.0), F.col("w"), F.col("h")
+
+    def wall(n: int, *xy) -> Column:
+        return F.struct(F.lit(n).alias("seg_id"), *[v.alias(c) for v, c in zip(xy, ("x1", "y1", "x2", "y2"), strict=True)])
+
+    outer = [wall(0, zero, zero, w, zero), wall(1, w, zero, w, h), wall(2, w, h, zero, h), wall(3, zero, h, zero, zero)]
+    at = [w * k / (F.col("nd") + 1) for k in (1, 2, 3)]
+    every = F.array(*outer, *[wall(4 + k, x, zero, x, h) for k, x in enumerate(at)])
+    return plans.select("plan_id", F.inline(F.slice(every, F.lit(1), F.col("nd") + 4))).withColumn("floor_id", F.lit(0))
