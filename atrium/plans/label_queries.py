@@ -60,10 +60,11 @@ def target_texts(spark, sf_dir):
 
 
 def floor_labels(spark, sf_dir):
+    """The floor that each document names: a name as read from a drawing, then the whole of its text."""
     name = F.element_at(F.array(*[F.lit(t) for t in FLOOR_TEXTS]), (F.col("doc_id") % len(FLOOR_TEXTS) + 1).cast("int"))
-    rows = _docs(spark, sf_dir).select("doc_id", F.lit(0).alias("seq"), name.alias("text"))
-    found = labels.floor_labels(rows, ["doc_id"])
-    return found.select("doc_id", "floor", F.round("confidence", 6).alias("confidence"), "raw_text")
+    texts = F.array(F.struct(F.lit(0).alias("seq"), name.alias("text")), F.struct(F.lit(1).alias("seq"), F.coalesce("text", F.lit("")).alias("text")))
+    found = labels.floor_labels(_docs(spark, sf_dir).select("doc_id", F.inline(texts)), ["doc_id"])
+    return found.select("doc_id", "floor", F.round("confidence", 6).alias("confidence"), F.md5(F.col("raw_text").cast("binary")).alias("raw_text"))
 
 
 def knn_edges(spark, sf_dir):
@@ -226,12 +227,15 @@ FROM t WHERE w * h BETWEEN 100 AND 6000 AND w / h::DOUBLE BETWEEN 1.2 AND 10 AND
 SELECT plan_id, string_agg(k, ',' ORDER BY k) AS tok, max(CASE WHEN k IN ('camera', 'bagno') THEN 1 ELSE 0 END) = 1 AS hit FROM d GROUP BY plan_id""",
     "target_texts": f"SELECT doc_id, coalesce(contains(p, 'camera') OR contains(p, 'bagno') OR contains(p, 'the ') OR contains(p, 'eau'), false) AS hit FROM (SELECT doc_id, {_PLAIN} AS p FROM documents)",
     "floor_labels": f"""WITH g(i, raw) AS (VALUES {_GIVEN}), rules(o, p, label, c) AS (VALUES {_RULES}), names(o, n) AS (VALUES {_NAMES}),
-f AS (SELECT i, raw, lower(strip_accents(replace(raw, 'º', 'o'))) AS t FROM g),
-x AS (SELECT i, raw, 0 AS stage, o, label, c FROM f JOIN rules ON regexp_matches(t, p)
-  UNION ALL SELECT i, raw, 1, o, n, 1.0::DOUBLE - levenshtein(trim(t), n) / length(n)::DOUBLE FROM f, names
-  WHERE trim(t) <> '' AND (contains(t, 'piano') OR levenshtein(replace(trim(t), ' ', ''), 'piano') <= 1)),
-b AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY c DESC, stage, o) AS k FROM x WHERE stage = 0 OR c >= 0.6)
-SELECT doc_id, label AS floor, round(c, 6) AS confidence, raw AS raw_text FROM documents JOIN b ON doc_id % {len(FLOOR_TEXTS)} = i AND k = 1""",
+f AS MATERIALIZED (SELECT i AS key, 0 AS seq, raw, lower(strip_accents(replace(raw, 'º', 'o'))) AS t FROM g
+  UNION ALL SELECT doc_id, 1, coalesce(text, ''), lower(strip_accents(replace(coalesce(text, ''), 'º', 'o'))) FROM documents),
+l AS (SELECT key, seq, raw, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS line_no FROM f),
+x AS (SELECT key, seq, raw, 0 AS stage, 0 AS line_no, o, label, c FROM f JOIN rules ON regexp_matches(t, p)
+  UNION ALL SELECT key, seq, raw, 1, line_no, o, n, 1.0::DOUBLE - levenshtein(trim(line), n) / length(n)::DOUBLE FROM l, names
+  WHERE trim(line) <> '' AND (contains(line, 'piano') OR (length(line) < 60 AND levenshtein(replace(trim(line), ' ', ''), 'piano') <= 1))),
+d AS (SELECT doc_id, x.* FROM documents JOIN x ON seq = 0 AND doc_id % {len(FLOOR_TEXTS)} = key UNION ALL SELECT key, x.* FROM x WHERE seq = 1),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, seq, stage, line_no, o) AS k FROM d WHERE stage = 0 OR c >= 0.6)
+SELECT doc_id, label AS floor, round(c, 6) AS confidence, md5(raw) AS raw_text FROM b WHERE k = 1""",
     "knn_edges": f"""WITH {_T}, p AS (SELECT plan_id, block_id AS id, x + w / 2.0::DOUBLE AS x, y + h / 2.0::DOUBLE AS y FROM t),
 e AS (SELECT plan_id, sqrt((max(x) - min(x)) * (max(x) - min(x)) + (max(y) - min(y)) * (max(y) - min(y))) AS diag FROM p GROUP BY plan_id),
 n AS (SELECT a.plan_id, a.id, b.id AS id2, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.plan_id = b.plan_id AND a.id <> b.id),
