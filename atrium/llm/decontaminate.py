@@ -43,6 +43,8 @@ class DecontaminationConfig:
     #: Indexed words of a shard, unless one document alone has more, and its documents, at most.
     shard_words: int = 1_000_000
     shard_rows: int = 50_000
+    #: Characters of documents that are held back until their shard is searched.
+    held_chars: int = 32_000_000
 
 
 def words(text: str | None) -> list[str]:
@@ -182,15 +184,19 @@ def _phrases(block: Block, window: int) -> Phrases:
     return _MET[0][2]
 
 
-def _sharded(batches: Iterator, text_of, block: Broadcast, cfg: DecontaminationConfig) -> Iterator[tuple[list, list[int], dict]]:
-    """Batches put together to shards: the batches, words by row, and (spans, item numbers) of the rows with hits."""
+def _sharded(batches: Iterator, text_of, held_of, block: Broadcast, cfg: DecontaminationConfig) -> Iterator[tuple[list, list[int], dict]]:
+    """Batches put together to shards: what is held of the batches, words by row, and (spans, item numbers) of the rows with hits.
+
+    Where texts are held, so many characters of them end a shard as well.
+    """
     phrases = _phrases(block.value, cfg.window)
     get = phrases.number.get
-    held, n_words, shard, size, hits = [], [], [], 0, {}
+    held, n_words, shard, size, hits, chars = [], [], [], 0, {}, 0
     for batch in batches:
-        held.append(batch)
+        held.append(held_of(batch))
         for text in text_of(batch):
             found = words(text)
+            chars += len(text or "") if held[-1] is batch else 0
             row = len(n_words)
             n_words.append(len(found))
             if not phrases.shortest or len(found) < phrases.shortest:
@@ -203,11 +209,11 @@ def _sharded(batches: Iterator, text_of, block: Broadcast, cfg: DecontaminationC
                 if size >= cfg.shard_words:
                     hits |= _search_shard(shard, phrases)
                     shard, size = [], 0
-        if size >= cfg.shard_words // 2 or len(n_words) >= cfg.shard_rows:
+        if size >= cfg.shard_words // 2 or len(n_words) >= cfg.shard_rows or chars >= cfg.held_chars:
             if shard:
                 hits |= _search_shard(shard, phrases)
             yield held, n_words, hits
-            held, n_words, shard, size, hits = [], [], [], 0, {}
+            held, n_words, shard, size, hits, chars = [], [], [], 0, {}, 0
     if shard:
         hits |= _search_shard(shard, phrases)
     if held:
@@ -216,7 +222,7 @@ def _sharded(batches: Iterator, text_of, block: Broadcast, cfg: DecontaminationC
 
 def _scanner(block: Broadcast, cfg: DecontaminationConfig):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held, n_words, hits in _sharded(frames, lambda f: f["text"], block, cfg):
+        for held, n_words, hits in _sharded(frames, lambda f: f["text"], lambda f: f.drop(columns="text"), block, cfg):
             ids = pd.concat([f["doc_id"].astype("Int64") for f in held], ignore_index=True)
             rows = pd.concat([f["row_id"] for f in held], ignore_index=True)
             none: tuple[list, set] = ([], set())
@@ -236,7 +242,7 @@ def _cleaner(block: Broadcast, text_at: int, cfg: DecontaminationConfig):
     """Batches of documents without the contaminated rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, n_words, hits in _sharded(batches, lambda b: b.column(text_at).to_pylist(), block, cfg):
+        for held, n_words, hits in _sharded(batches, lambda b: b.column(text_at).to_pylist(), lambda b: b, block, cfg):
             keep = np.ones(len(n_words), dtype=bool)
             for row, (spans, _) in hits.items():
                 keep[row] = cfg.one_in * sum(b - a for a, b in spans) < n_words[row]

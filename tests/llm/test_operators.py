@@ -201,7 +201,7 @@ def test_contaminated_rows_go_where_they_stand(spark, odd):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = collections.Counter(t for _, t in texts if not ((h := _contamination(t, items))[1] and 20 * h[1] >= h[0]))
-    for cfg in (decontaminate.DecontaminationConfig(), decontaminate.DecontaminationConfig(block_words=2), decontaminate.DecontaminationConfig(shard_words=3, shard_rows=2)):
+    for cfg in (decontaminate.DecontaminationConfig(), decontaminate.DecontaminationConfig(block_words=2), decontaminate.DecontaminationConfig(shard_words=3, shard_rows=2, held_chars=9)):
         kept = decontaminate.drop_contaminated(docs, benchmark, cfg)
         assert kept.columns == docs.columns and collections.Counter(r["text"] for r in kept.collect()) == want
 
