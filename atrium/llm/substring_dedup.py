@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from atrium.llm.set_links import ONE, TWO, Hashes, band_keys, crowded, finer, mix, own, parities, several
 from atrium.llm.sieve import sieve
 from atrium.llm.tables import table, texts
 from atrium.operators.components import connected_components
 from atrium.storage import stored
 
-_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BASE = 0x9FB21C651E98DF25  # odd, so that powers have inverses modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -49,7 +49,7 @@ class SubstringConfig:
     least_words: int = 50
     #: Words to each side of a run in which its ends are looked for.
     context: int = 32
-    #: Largest band bucket in which all pairs are compared at once; in larger ones see ``_crowded``.
+    #: Largest band bucket in which all pairs are compared at once; in larger ones see ``crowded``.
     paired: int = 12
     #: Members of a crowded list that one task compares with others.
     block: int = 256
@@ -71,31 +71,11 @@ class SubstringConfig:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - self.similarity**self.rows))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * _ONE
-    x = (x ^ (x >> np.uint64(29))) * _TWO
-    return x ^ (x >> np.uint64(32))
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, remembered up to a fixed number."""
-
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-
 class Units:
     """Paragraphs and parts of a batch of texts."""
 
     def __init__(self, cfg: SubstringConfig):
-        self.cfg, self.hashes = cfg, _Hashes(cfg.remembered)
+        self.cfg, self.hashes = cfg, Hashes(cfg.remembered)
 
     def __call__(self, batch: list[str]) -> dict[str, np.ndarray]:
         """Arrays over units: row (in the batch), part (0 paragraph, 1 part), start, n_words, h, and bands."""
@@ -119,7 +99,7 @@ class Units:
 
         def content(start: np.ndarray, size: np.ndarray) -> np.ndarray:
             value = (prefix[start + size] - prefix[start]) * self._inverses(n + 1)[start]
-            return _mix(value + size.astype(np.uint64) * _TWO)
+            return mix(value + size.astype(np.uint64) * TWO)
 
         line_len = np.array(line_len, dtype=np.int64)
         line_start = np.cumsum(line_len) - line_len
@@ -131,7 +111,7 @@ class Units:
         start, size = np.concatenate([line_start, part_start]), np.concatenate([line_len, part_len])
         row = np.concatenate([line_row, part_row])
         part = np.concatenate([np.zeros(len(line_start), dtype=np.int32), np.ones(len(part_start), dtype=np.int32)])
-        h = content(start, size) ^ np.where(part == 1, _ONE, np.uint64(0))
+        h = content(start, size) ^ np.where(part == 1, ONE, np.uint64(0))
         long = line_len >= cfg.least_paragraph
         bands = self._bands(prefix, n, line_start[long], line_len[long])
         return {"row": row, "part": part, "start": start - row_start[row] if n else start, "n_words": size, "h": h, "long": np.flatnonzero(long), "bands": bands}
@@ -154,7 +134,7 @@ class Units:
         cut = np.zeros(n, dtype=bool)
         if not n:
             return cut
-        pair = _mix(w[1:] * _ONE + (w[:-1] ^ _TWO))
+        pair = mix(w[1:] * ONE + (w[:-1] ^ TWO))
         score = np.concatenate([np.full(1, np.iinfo(np.uint64).max, dtype=np.uint64), pair])
         first = row_start[row_len > 0]
         score[first] = np.iinfo(np.uint64).max
@@ -178,7 +158,7 @@ class Units:
     def _shingles(self, prefix: np.ndarray, n: int) -> np.ndarray:
         k = min(self.cfg.shingle, n)
         at = np.arange(n - k + 1)
-        return _mix((prefix[at + k] - prefix[at]) * self._inverses(n + 1)[at])
+        return mix((prefix[at + k] - prefix[at]) * self._inverses(n + 1)[at])
 
     def _bands(self, prefix: np.ndarray, n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         cfg = self.cfg
@@ -186,19 +166,7 @@ class Units:
             return np.zeros((0, cfg.bands), dtype=np.int64)
         shingles = np.concatenate([self._shingles(prefix, n), np.zeros(1, dtype=np.uint64)])
         edges = np.stack([start, start + size - cfg.shingle + 1], axis=1).ravel()
-        return _band_keys(shingles, edges, cfg.bands, cfg.rows)[:, ::2].T
-
-
-def _band_keys(shingles: np.ndarray, edges: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
-    """Keys of ``bands`` bands for the ranges of ``shingles`` that begin at ``edges``."""
-    out = np.zeros((bands, len(edges)), dtype=np.int64)
-    for b in range(bands):
-        key = np.full(len(edges), b + 1 + first, dtype=np.uint64) * _TWO
-        for r in range(rows):
-            seed = np.uint64((first + b * rows + r + 1) * 0x632BE59BD9B4E019 % (1 << 64))
-            key = _mix(key ^ np.minimum.reduceat(_mix(shingles ^ seed), edges))
-        out[b] = key.view(np.int64)
-    return out
+        return band_keys(shingles, edges, cfg.bands, cfg.rows)[:, ::2].T
 
 
 def units(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataFrame:
@@ -242,7 +210,7 @@ def _candidates(posts: DataFrame, cfg: SubstringConfig) -> tuple[DataFrame, Data
     """Pairs to compare first in the buckets of ``posts(key, h)``, and the posts of large buckets.
 
     In a small bucket all pairs are compared. In a large one all are compared with the least of them; what that
-    leaves open is left to ``_crowded``.
+    leaves open is left to ``crowded``.
     """
     sizes = stored(posts.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("lead")).where("n > 1"))
     met = stored(sieve(posts, "key", sizes).join(sizes, "key"))
@@ -252,72 +220,6 @@ def _candidates(posts: DataFrame, cfg: SubstringConfig) -> tuple[DataFrame, Data
     return pairs.unionByName(stars).distinct(), large.select("key", "h")
 
 
-def _several(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(h, root)`` of the members of large buckets ``(key, h)`` that hold more than one component."""
-    named = stored(large.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root")))
-    several = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return stored(named.join(stored(several), "key").select("h", "root").distinct())
-
-
-def _finer(members: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame:
-    """Pairs ``(a, b)`` of members that share a bucket of finer bands, each with the least of it.
-
-    Paragraphs under one passage that many hold have unlike finer signatures, near copies like ones; so this joins
-    nearly all that are alike at the cost of a few rows a member, however large the group is.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            tokens = lists.flatten().to_numpy().view(np.uint64)
-            edges = np.cumsum(np.concatenate([[0], lists.value_lengths().to_numpy()[:-1]])).astype(np.int64)
-            keys = _band_keys(tokens, edges, cfg.fine_bands, cfg.fine_rows, first=1000)
-            h = np.tile(batch.column(0).to_numpy(), cfg.fine_bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(h)], names=["key", "h"])
-
-    posts = stored(members.select("h").join(sets, "h").select("h", "shingles").mapInArrow(run, "key bigint, h bigint"))
-    leads = posts.groupBy("key").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    return stored(posts.join(leads, "key").where("a <> h").select("a", F.col("h").alias("b")).distinct())
-
-
-def _crowded(members: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame:
-    """Pairs ``(a, b)`` left to compare among members ``(h, root)``, none that can be alike left out.
-
-    Members of one component need no link. Sets are put in order of how many members hold a shingle, rarest first: two
-    sets at the similarity share one of the first |x| - ceil(similarity |x|) + 1, and at the first they share, what
-    follows must still be enough. So members meet by their rare shingles, not by a passage that many hold. Parities of
-    hashed shingles differ in no more places than the sets do, which proves most that meet unlike. In each list those
-    outside its largest component are compared with all, block by block.
-    """
-    own = stored(sets.join(members, "h"))
-    tokens = own.select("h", F.explode("shingles").alias("token"))
-    held = stored(tokens.groupBy("token").agg(F.count("*").alias("held")).where("held > 1"))
-    shared = stored(sieve(tokens, "token", held).join(held, "token"))
-    shared = shared.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
-    # Shingles that one member alone holds come first and meet nothing.
-    n = F.size("shingles")
-    alone = n - F.size("shared")
-    reach = n - F.ceil(n * cfg.similarity - 1e-6).cast("int") + 1 - alone
-    odd = [f"p{i}" for i in range(4)]
-    posts = shared.join(own, "h").select("h", "root", *odd, n.alias("n"), alone.alias("alone"), F.slice("shared", 1, F.greatest(reach, F.lit(0))).alias("shared"))
-    posts = posts.select("h", "root", *odd, "n", "alone", F.posexplode("shared").alias("i", "x"))
-    posts = stored(posts.selectExpr("x.token AS token", "h", "root", *odd, "n", "n - alone - i AS rest"))
-    lists = posts.groupBy("token", "root").agg(F.count("*").alias("m")).groupBy("token")
-    lists = lists.agg(F.sum("m").alias("many"), F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("roots")).where("roots > 1")
-    lists = stored(lists.select("token", F.ceil(F.col("many") / cfg.block).alias("parts"), F.col("top.root").alias("top")))
-    met = stored(sieve(posts, "token", lists).join(lists, "token"))
-    left = met.where("root <> top").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    left = left.selectExpr("token", "part", "h AS a", "root AS ra", "n AS na", "rest AS ta", *[f"{p} AS a{p}" for p in odd])
-    right = met.selectExpr("token", "pmod(h, parts) AS part", "h AS b", "root AS rb", "n AS nb", "rest AS tb", "root = top AS in_top", *[f"{p} AS b{p}" for p in odd])
-    both, s = F.col("na") + F.col("nb"), cfg.similarity
-    enough = F.least("ta", "tb") >= both * (s / (1 + s)) - 1e-6
-    near = F.least("na", "nb") >= F.greatest("na", "nb") * s - 1e-6
-    apart = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in odd), start=F.lit(0))
-    close = apart <= both * ((1 - s) / (1 + s)) + 1e-6
-    pairs = left.join(right, ["token", "part"]).where("ra <> rb AND (in_top OR a < b)").where(enough & near & close)
-    return stored(pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
-
-
 def _alike(pairs: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame:
     """``(src, dst)`` of the pairs at ``similarity`` or above, by exact Jaccard."""
     both = pairs.join(sets.selectExpr("h AS a", "shingles AS sa"), "a").join(sets.selectExpr("h AS b", "shingles AS sb"), "b")
@@ -326,12 +228,6 @@ def _alike(pairs: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame
     return stored(both.where(alike).selectExpr("a AS src", "b AS dst"))
 
 
-def _parities(tokens: np.ndarray) -> np.ndarray:
-    """256 bits: which of 256 places get an odd number of the tokens."""
-    odd = np.bincount((tokens & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
 def _looked_up(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``(doc_id, v, text, places)`` for ``places(doc_id, v, ...)``, one row for each document with any."""
     rest = [c for c in places.columns if c not in ("doc_id", "v")]
@@ -352,7 +248,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, cfg: SubstringConfig) -> D
                     found = make.shingles(words[p["start"] : p["start"] + p["n_words"]])
                     hs.append(p["h"])
                     sets.append(found.view(np.int64))
-                    odd.append(_parities(found))
+                    odd.append(parities(found))
             bits = np.array(odd, dtype=np.int64).reshape(len(odd), 4)
             columns = [pa.array(hs, pa.int64()), pa.array(sets, pa.list_(pa.int64())), *[pa.array(bits[:, i]) for i in range(4)]]
             yield pa.RecordBatch.from_arrays(columns, names=["h", "shingles", "p0", "p1", "p2", "p3"])
@@ -376,8 +272,8 @@ def similar(docs: DataFrame, found: DataFrame, cfg: SubstringConfig = SubstringC
     places = places.groupBy("h").agg(F.min(F.struct("doc_id", "v", "start", "n_words")).alias("at")).select("h", "at.*")
     sets = stored(_shingle_sets(docs, places, cfg))
     roots = connected_components(_alike(pairs, sets, cfg)).withColumnRenamed("node", "h")
-    for more in (lambda m: _finer(m, sets, cfg), lambda m: _crowded(m, sets, cfg)):
-        members = _several(large, roots)
+    for more in (lambda m: finer(m, sets, cfg), lambda m: crowded(m, sets, cfg)):
+        members = several(large, roots)
         if members.isEmpty():
             break
         links = roots.selectExpr("h AS src", "root AS dst").unionByName(_alike(more(members), sets, cfg))
@@ -396,19 +292,14 @@ def _hits(found: DataFrame, roots: DataFrame) -> DataFrame:
     seen = seen.join(roots, "h", "left").where("root IS NOT NULL OR first_id <> last_id")
     seen = stored(seen.withColumn("root", F.coalesce("root", "h")))
     classes = seen.groupBy("root").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi")).where("lo <> hi")
-    named = stored(seen.join(classes.select(_own("root"), "lo"), "root").select("h", "root", "lo"))
+    named = stored(seen.join(classes.select(own("root"), "lo"), "root").select("h", "root", "lo"))
     hits = sieve(found.select(*_PLACE, "part", "h"), "h", named).join(named, "h")
     hits = stored(hits.dropDuplicates([*_PLACE, "part"]))
     sources = hits.where("doc_id = lo").groupBy("root").agg(F.min(F.struct(*_PLACE, "h")).alias("s"))
-    hits = hits.drop("lo").join(sources.select(_own("root"), "s"), "root")
+    hits = hits.drop("lo").join(sources.select(own("root"), "s"), "root")
     return hits.select(*_PLACE, "part", (F.col("s.h") == F.col("h")).alias("equal"), *[F.col(f"s.{c}").alias(f"s_{c}") for c in _PLACE])
 
 
-def _own(key: str) -> Column:
-    """``key`` without what Spark knows of its partitioning, so that a join on it gets an exchange, where a hot key is split."""
-    return F.col(key).bitwiseXOR(F.lit(0).cast("long")).alias(key)
-
-
 def _runs(hits: DataFrame) -> DataFrame:
     """Neighbouring equal places with one source and one shift against it as ``(doc_id, v, start, end, s_doc_id, s_v, s_start)``."""
     rows = hits.where("equal AND (doc_id <> s_doc_id OR v <> s_v OR start <> s_start)").withColumn("shift", F.col("s_start") - F.col("start"))
@@ -426,7 +317,7 @@ def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig) -> D
     """``places(doc_id, v, start, end, ...)`` with a digest of the words there, and hashes of those around, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes(cfg.remembered)
+        hashes = Hashes(cfg.remembered)
         code = lambda words: np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)).astype(np.uint32).view(np.int32)
         for batch in batches:
             taken, made = [], []
