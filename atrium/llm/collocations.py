@@ -157,9 +157,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = rf"""
-WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '{ENDS}')) AS piece FROM documents),
-words AS (SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
-grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM words CROSS JOIN (VALUES (1), (2), (3)) AS sizes(k)),
+WITH pieces AS (SELECT row_number() OVER () AS id, lang, piece FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '{ENDS}')) AS piece FROM documents)),
+words AS (SELECT id, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM (SELECT id, lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces)),
+ahead AS (SELECT lang, w1, lead(w1) OVER piece AS w2, lead(w1, 2) OVER piece AS w3 FROM words WINDOW piece AS (PARTITION BY id ORDER BY i)),
+grams AS (SELECT lang, 1 AS k, [w1] AS g FROM ahead UNION ALL SELECT lang, 2, [w1, w2] FROM ahead WHERE w2 IS NOT NULL
+ UNION ALL SELECT lang, 3, [w1, w2, w3] FROM ahead WHERE w3 IS NOT NULL),
 f AS (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY lang, k, g),
 total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 cand AS (SELECT lang, k, g, f AS a FROM f WHERE k > 1 AND f >= 10),

@@ -265,10 +265,11 @@ def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE = rf"""
 WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-  ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM words),
-size AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
-each AS (SELECT doc_id, unnest(s) AS g FROM sets),
+word AS (SELECT doc_id, unnest(w) AS w1, generate_subscripts(w, 1) AS i, len(w) AS n FROM words),
+ahead AS (SELECT doc_id, n, w1, lead(w1) OVER doc AS w2, lead(w1, 2) OVER doc AS w3, lead(w1, 3) OVER doc AS w4 FROM word WINDOW doc AS (PARTITION BY doc_id ORDER BY i)),
+each AS (SELECT DISTINCT doc_id, concat_ws(' ', w1, w2, w3, w4) AS g FROM ahead WHERE n >= 4 AND w4 IS NOT NULL
+ UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM words WHERE len(w) BETWEEN 1 AND 3),
+size AS (SELECT d.doc_id, count(g) AS n FROM documents d LEFT JOIN each USING (doc_id) GROUP BY d.doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM each a JOIN each b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 linked AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 both_ways AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
