@@ -97,13 +97,12 @@ def counts(docs: DataFrame, cfg: CollocationConfig = CollocationConfig()) -> Dat
     """
     dealt = windows(docs, cfg).repartition("lang", "w1", "w2")
     longest = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    often = (F.col("n") >= cfg.least) & F.col("w3").isNotNull()
-    three = longest.where(often)
-    rest = longest.groupBy("lang", "w1", "w2").agg(F.sum("n").alias("all"), F.sum(F.when(often, 0).otherwise(F.col("n"))).alias("n"))
-    none = F.lit(None).cast("string")
-    # Fewer than three words, or a last word that is too rare: the prefix keeps the occurrences.
-    two = rest.select("lang", "w1", F.when(F.col("all") >= cfg.least, F.col("w2")).alias("w2"), none.alias("w3"), "n")
-    folded = stored(three.unionByName(two).groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")))
+    both = F.sum("n").over(Window.partitionBy("lang", "w1", "w2"))
+    # A last word that is too rare goes, then the second: the shorter prefix keeps the occurrences.
+    cut = longest.withColumn("both", both).select(
+        "lang", "w1", F.when(F.col("both") >= cfg.least, F.col("w2")).alias("w2"), F.when(F.col("n") >= cfg.least, F.col("w3")).alias("w3"), "n"
+    )
+    folded = stored(cut.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")))
     level = F.grouping_id().alias("level")
     rolled = folded.rollup("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"), level)
     # Level 0: three words, 1: two, 3: one, 7: all of a language. A padded prefix is no phrase of that length.
