@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from atrium.functions import geometry as g
 from atrium.functions.text import normalize_floor_text, normalize_label, normalize_ocr_text
-from atrium.operators.segments import FLOOR, in_cells, with_cell
+from atrium.operators.choices import beaten
+from atrium.operators.grids import BOX, FLOOR, in_cells, large_floors, met
+from atrium.operators.numbering import running
 from atrium.storage import stored
 
 #: Room labels with the words that mean the same.
@@ -70,72 +73,92 @@ _BOX = ("block_id", "text", "x", "y", "w", "h", "confidence")
 
 def overlap_pairs(blocks: DataFrame, overlap: float = 0.5, reach: float = 30.0, crowd: int = 64) -> DataFrame:
     """Pairs of blocks that are duplicates by place or by text and nearness, the surer (then earlier) one as ``a``."""
-    cx, cy = g.box_center()
-    x0, y0 = F.least(F.col("x"), cx - reach), F.least(F.col("y"), cy - reach)
-    x1, y1 = F.greatest(F.col("x") + F.col("w"), cx + reach), F.greatest(F.col("y") + F.col("h"), cy + reach)
-    boxes = with_cell(blocks.select(*FLOOR, *_BOX).withColumns({"x0": x0, "y0": y0}), x0, y0, x1, y1, reach, crowd)
-    left, top = F.col("left"), F.col("top")
-    boxes = boxes.withColumns({"x0": F.col("x0") - left, "y0": F.col("y0") - top})
-    cells = in_cells(boxes, F.col("x0"), F.col("y0"), x1 - left, y1 - top, F.col("cell"))
-    a = cells.select(*FLOOR, "cx", "cy", "cell", *[F.col(c).alias(f"a_{c}") for c in (*_BOX, "x0", "y0")])
-    b = cells.select(*FLOOR, "cx", "cy", *[F.col(c).alias(f"b_{c}") for c in (*_BOX, "x0", "y0")])
     surer = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_block_id") < F.col("b_block_id")))
-    pairs = a.join(b, [*FLOOR, "cx", "cy"]).where(surer)
-    first = lambda c: F.floor(F.greatest(f"a_{c}", f"b_{c}") / F.col("cell")).cast("int")
-    pairs = pairs.where((F.col("cx") == first("x0")) & (F.col("cy") == first("y0")))
     (ax, ay), (bx, by) = g.box_center("a_"), g.box_center("b_")
     same = (F.lower("a_text") == F.lower("b_text")) & (F.abs(ax - bx) < reach) & (F.abs(ay - by) < reach)
-    pairs = pairs.withColumn("overlap", g.overlap_fraction())
-    return pairs.where((F.col("overlap") > overlap) | same).select(*FLOOR, "a_block_id", "b_block_id", "overlap")
-
-
-def dedupe_text(blocks: DataFrame, overlap: float = 0.5, reach: float = 30.0) -> DataFrame:
-    """Blocks that no surer kept block duplicates: the greedy choice by confidence, reached in rounds.
-
-    A block is kept once all surer ones it conflicts with are dropped, and dropped once one of them is kept.
+    before = surer & ((g.overlap_fraction() > overlap) | same)
+    own = blocks.select(*FLOOR, *_BOX)
+    large = large_floors(own, crowd)
+    small = own if large is None else own.join(large, FLOOR, "left_anti")
+    side = lambda p: small.select(*FLOOR, *[F.col(c).alias(f"{p}{c}") for c in _BOX])
+    pairs = side("a_").join(side("b_"), FLOOR).where(before)
+    if large is not None:
+        cx, cy = g.box_center()
+        wide = (F.least(F.col("x"), cx - reach), F.least(F.col("y"), cy - reach), F.greatest(F.col("x") + F.col("w"), cx + reach), F.greatest(F.col("y") + F.col("h"), cy + reach))
+        rows = stored(own.join(large, FLOOR, "left_semi").withColumns({k: v.cast("double") for k, v in zip(BOX, wide, strict=True)}))
+        pairs = pairs.unionByName(met(in_cells(rows, crowd, reach), list(_BOX), before).dropDuplicates([*FLOOR, "a_block_id", "b_block_id"]))
+    return pairs.select(*FLOOR, "a_block_id", "b_block_id", g.overlap_fraction().alias("overlap"), F.col("b_confidence").alias("confidence"))
+
+
+def dedupe_text(blocks: DataFrame, overlap: float = 0.5, reach: float = 30.0, most: int = 50_000) -> DataFrame:
+    """Blocks that no surer kept block duplicates: the greedy choice by confidence, then by id.
+
+    ``most``: conflicts of a floor, and of a connected part of a larger floor, that are settled in one go. Block ids are
+    BIGINT and tell the blocks of a floor apart.
     """
-    conflicts = stored(overlap_pairs(blocks, overlap, reach))
-    state = stored(conflicts.select(*FLOOR, F.col("b_block_id").alias("block_id")).union(conflicts.select(*FLOOR, "a_block_id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    left = None
-    while True:
-        known = state.select(*FLOOR, F.col("block_id").alias("a_block_id"), F.col("kept").alias("a_kept"))
-        above = conflicts.join(known, [*FLOOR, "a_block_id"]).groupBy(*FLOOR, F.col("b_block_id").alias("block_id"))
-        above = above.agg(F.max(F.coalesce("a_kept", F.lit(False))).alias("beaten"), F.max(F.col("a_kept").isNull()).alias("waits"))
-        new = state.join(above, [*FLOOR, "block_id"], "left")
-        verdict = F.when(F.col("beaten"), False).when(~F.coalesce("waits", F.lit(False)), True)
-        state = stored(new.select(*FLOOR, "block_id", F.coalesce("kept", verdict).alias("kept")))
-        now = state.where("kept IS NULL").count()
-        if not now or now == left:
-            break
-        left = now
-    return blocks.join(state.where("NOT kept").select(*FLOOR, "block_id"), [*FLOOR, "block_id"], "left_anti")
+    conflicts = overlap_pairs(blocks, overlap, reach)
+    conflicts = conflicts.select(*FLOOR, F.col("a_block_id").cast("long").alias("a"), F.col("b_block_id").cast("long").alias("b"), (-F.col("confidence")).alias("surest"))
+    gone = beaten(conflicts.withColumn("id", F.col("b")), ["surest", "id"], most)
+    return blocks.join(gone.withColumnRenamed("node", "block_id"), [*FLOOR, "block_id"], "left_anti")
 
 
 # --- texts in rooms ---------------------------------------------------------------------------------------------
 
 
-def text_in_rooms(blocks: DataFrame, edges: DataFrame, crowd: int = 64) -> DataFrame:
+def text_in_rooms(blocks: DataFrame, edges: DataFrame, most: int = 512, block: int = 4096) -> DataFrame:
     """Each text with the first room (by face) whose polygon holds its centre, by counting crossed edges.
 
-    ``edges``: half-edges of rooms, ``(plan_id, floor_id, face, ox, oy, dx, dy)``. Texts meet only edges that cross
-    their height band, whose size follows from the floor's edges. Edges that a polygon passes twice cancel out.
+    ``edges``: half-edges of rooms, ``(plan_id, floor_id, face, ox, oy, dx, dy)``. Edges that a polygon passes twice cancel
+    out. The texts of a floor of up to ``most`` edges meet all of them. On larger floors a segment tree over the heights of
+    the texts has each edge in the few nodes that make up its height and each text in the nodes above it, so they meet once
+    and only at heights in common; nodes with many edges are met ``block`` edges at a time.
     """
     cx, cy = g.box_center()
-    low, high = F.least("oy", "dy"), F.greatest("oy", "dy")
-    cut = edges.where(low < high)
-    size = cut.groupBy(*FLOOR).agg((F.max(high) - F.min(low)).alias("h"), F.count("*").alias("n"))
-    size = size.select(*FLOOR, F.greatest(F.col("h") / F.greatest(F.lit(1), F.floor(F.col("n") / crowd)) * 1.001, F.lit(1e-9)).alias("size"))
-    texts = blocks.withColumns({"px": cx, "py": cy}).join(size, FLOOR).withColumn("band", F.floor(F.col("py") / F.col("size")).cast("int"))
-    bands = F.sequence(F.floor(low / F.col("size")).cast("int"), F.floor(high / F.col("size")).cast("int"))
-    cut = cut.join(size, FLOOR).select(*FLOOR, "face", "ox", "oy", "dx", "dy", F.explode(bands).alias("band"))
+    texts = blocks.select(*FLOOR, "block_id", cx.alias("px"), cy.alias("py"))
+    cut = edges.where("oy <> dy").select(*FLOOR, "face", "ox", "oy", "dx", "dy")
     xi, yi, xj, yj = F.col("dx"), F.col("dy"), F.col("ox"), F.col("oy")
     crossed = ((yi > F.col("py")) != (yj > F.col("py"))) & (F.col("px") < (xj - xi) * (F.col("py") - yi) / (yj - yi + 1e-12) + xi)
-    hits = texts.select(*FLOOR, "block_id", "px", "py", "band").join(cut, [*FLOOR, "band"]).where(crossed)
+    large = large_floors(cut, most)
+    small = cut if large is None else cut.join(large, FLOOR, "left_anti")
+    hits = texts.join(small, FLOOR).where(crossed).select(*FLOOR, "block_id", "face")
+    if large is not None:
+        some = lambda df: stored(df.join(large, FLOOR, "left_semi"))
+        hits = hits.unionByName(_at_heights(some(texts), some(cut), block).where(crossed).select(*FLOOR, "block_id", "face"))
     inside = hits.groupBy(*FLOOR, "block_id", "face").agg(F.count("*").alias("n")).where("n % 2 = 1")
     first = inside.groupBy(*FLOOR, "block_id").agg(F.min("face").alias("face"))
     return blocks.join(first, [*FLOOR, "block_id"])
 
 
+def _at_heights(texts: DataFrame, edges: DataFrame, block: int) -> DataFrame:
+    """Each text with each edge of its floor that has points at its height, once, by a segment tree over the texts' ranks."""
+    edges = stored(edges.withColumn("edge", F.monotonically_increasing_id()))
+    # How many texts are lower than each text and each edge's ends; at one height ends come first.
+    at = lambda df, y, kind, ident: df.select(*FLOOR, y.cast("double").alias("y"), F.lit(kind).alias("kind"), F.col(ident).cast("string").alias("id"))
+    places = at(texts, F.col("py"), 2, "block_id")
+    for kind, y in enumerate((F.least("oy", "dy"), F.greatest("oy", "dy"))):
+        places = places.unionByName(at(edges, y, kind, "edge"))
+    ranked = stored(running(places, FLOOR, ["y", F.col("kind") == 2, "id"], (F.col("kind") == 2).cast("int"), "lower"))
+    of = lambda kind, ident, name: ranked.where(F.col("kind") == kind).select(*FLOOR, F.col("id").alias(ident), F.col("lower").alias(name))
+    top = ranked.agg(F.max("lower")).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(int(top).bit_length()))
+    texts = texts.withColumn("key", F.col("block_id").cast("string")).join(of(2, "key", "rank"), [*FLOOR, "key"]).drop("key")
+    texts = texts.select("*", F.explode(levels).alias("level")).withColumn("node", F.expr("shiftright(rank, level)"))
+    edges = edges.withColumn("key", F.col("edge").cast("string")).join(of(0, "key", "lo"), [*FLOOR, "key"]).join(of(1, "key", "hi"), [*FLOOR, "key"]).drop("key")
+    whole = F.expr(f"""flatten(transform(sequence(0, {int(top).bit_length()}), k -> filter(array(
+        struct(k AS level, shiftright(lo + shiftleft(1L, k) - 1, k) AS node, shiftright(lo + shiftleft(1L, k) - 1, k) % 2 = 1 AS odd),
+        struct(k AS level, shiftright(hi, k) - 1 AS node, shiftright(hi, k) % 2 = 1 AS odd)),
+        x -> x.odd AND shiftright(lo + shiftleft(1L, k) - 1, k) < shiftright(hi, k))))""")
+    edges = stored(edges.where("lo < hi").select(*FLOOR, "face", "ox", "oy", "dx", "dy", "edge", F.explode(whole).alias("at")))
+    edges = edges.select(*FLOOR, "face", "ox", "oy", "dx", "dy", "edge", "at.level", "at.node")
+    node = [*FLOOR, "level", "node"]
+    parts = edges.groupBy(*node).agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    parts = stored(parts)
+    split = lambda df: df.join(parts, node, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    texts = split(texts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    edges = split(edges).withColumn("part", F.pmod(F.xxhash64("edge"), F.col("parts")).cast("int")).drop("parts", "edge")
+    return texts.join(edges, [*node, "part"])
+
+
 def is_known_label(text: Column) -> Column:
     return normalize_label(text).isin(*KNOWN_LABELS)
 
@@ -177,21 +200,29 @@ def floor_labels(texts: DataFrame, keys: list[str] | None = None, both_orders: b
     """
     keys = keys or FLOOR
     rules = floor_rules()
-    folded = normalize_floor_text(F.col("text"))
-    rows = texts.withColumn("folded", folded)
-    hit = F.array(*[F.when(F.regexp_like("folded", F.lit(p)), F.struct(F.lit(c).alias("confidence"), F.lit(-i).alias("order"), F.lit(label).alias("label"))) for i, (p, label, c) in enumerate(rules)])
-    by_rule = rows.select(*keys, "seq", "text", F.array_max(hit).alias("m")).where("m IS NOT NULL")
-    by_rule = by_rule.select(*keys, "seq", "text", F.lit(0).alias("stage"), F.lit(0).alias("line_no"), F.col("m.order").alias("order"), "m.confidence", "m.label")
-
     names = [("piano terra", "piano terra"), *[(f"{w} piano", f"{w} piano") for w in ORDINALS]]
     if both_orders:
         names += [(f"piano {w}", f"{w} piano") for w in ORDINALS]
-    lines = rows.select(*keys, "seq", "text", F.posexplode(F.split("folded", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.btrim("line")).where("line <> ''")
-    gate = F.col("line").contains("piano") | (F.levenshtein(F.replace("line", F.lit(" "), F.lit("")), F.lit("piano")) <= 1)
-    ratio = lambda name: 1.0 - F.levenshtein(F.col("line"), F.lit(name)) / F.lit(float(len(name)))
-    near = F.array_max(F.array(*[F.struct(ratio(n).alias("confidence"), F.lit(-i).alias("order"), F.lit(label).alias("label")) for i, (n, label) in enumerate(names)]))
-    by_line = lines.where(gate).select(*keys, "seq", "text", F.lit(1).alias("stage"), "line_no", near.alias("m"))
+    # A row generator, so that a text is folded once and not in each expression that uses it.
+    rows = texts.select(*keys, "seq", "text", F.explode(F.array(normalize_floor_text(F.col("text")))).alias("folded"))
+    said = rows.where(F.col("folded").contains("piano") | F.col("folded").contains("terra"))  # all patterns have one of these
+    hit = F.array(*[F.when(F.regexp_like("folded", F.lit(p)), F.struct(F.lit(c).alias("confidence"), F.lit(-i).alias("order"), F.lit(label).alias("label"))) for i, (p, label, c) in enumerate(rules)])
+    by_rule = said.select(*keys, "seq", "text", F.array_max(hit).alias("m")).where("m IS NOT NULL")
+    by_rule = by_rule.select(*keys, "seq", "text", F.lit(0).alias("stage"), F.lit(0).alias("line_no"), F.col("m.order").alias("order"), "m.confidence", "m.label")
+
+    # A name is at least (1 - least) of its length away from a line that much longer or shorter; so are all names from most lines.
+    apart = {n: math.floor((1 - least) * len(n) + 1e-9) for n, _ in names}
+    low, high = min(len(n) - d for n, d in apart.items()), max(len(n) + d for n, d in apart.items())
+    every = F.transform(F.split("folded", r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x, i: F.struct(i.alias("line_no"), F.btrim(x).alias("line")))
+    lines = rows.select(*keys, "seq", "text", F.inline(F.filter(every, lambda x: F.length(x["line"]).between(low, high))))
+    bare = F.replace("line", F.lit(" "), F.lit(""))
+    gate = F.col("line").contains("piano") | (F.length(bare).between(4, 6) & (F.levenshtein(bare, F.lit("piano")) <= 1))
+
+    def near(i: int, name: str, label: str) -> Column:
+        away = F.levenshtein("line", F.lit(name), apart[name])
+        return F.when(away >= 0, F.struct((1.0 - away / F.lit(float(len(name)))).alias("confidence"), F.lit(-i).alias("order"), F.lit(label).alias("label")))
+
+    by_line = lines.where(gate).select(*keys, "seq", "text", F.lit(1).alias("stage"), "line_no", F.array_max(F.array(*[near(i, n, label) for i, (n, label) in enumerate(names)])).alias("m"))
     by_line = by_line.where(F.col("m.confidence") >= least).select(*keys, "seq", "text", "stage", "line_no", F.col("m.order").alias("order"), "m.confidence", "m.label")
     best = F.max(F.struct("confidence", (-F.col("seq")).alias("a"), (-F.col("stage")).alias("b"), (-F.col("line_no")).alias("c"), "order", "label", F.col("text").alias("raw_text"))).alias("m")
     found = by_rule.unionByName(by_line).groupBy(*keys).agg(best)

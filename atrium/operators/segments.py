@@ -6,27 +6,31 @@ Tables are keyed by ``plan_id, floor_id, seg_id``; ``seg_id`` is the order in wh
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrium.functions import geometry as g
 from atrium.operators.components import connected_components
+from atrium.operators.grids import BOX, FLOOR, in_cells, large_floors, met
+from atrium.operators.merging import merge_batches
+from atrium.operators.numbering import numbered
 from atrium.storage import ship, stored
 
-FLOOR = ["plan_id", "floor_id"]
 XY = ["x1", "y1", "x2", "y2"]
 
 
 @dataclass(frozen=True)
 class MergeConfig:
-    """``perpendicular`` None and one pass give the older rule."""
+    """``perpendicular`` None and one pass give the older rule. ``most_together``: segments of a floor merged in one go."""
 
     angle_deg: float = 5.0
     distance: float = 10.0
     perpendicular: float | None = 5.0
     until_stable: bool = True
+    most_together: int = 2000
 
 
 def filter_by_orientation(segments: DataFrame, horizontal: bool = True, vertical: bool = True, tolerance: float = 15.0, diagonal_if_none: bool = False) -> DataFrame:
@@ -53,78 +57,60 @@ def segment_stats(segments: DataFrame, keys: list[str] | None = None) -> DataFra
     )
 
 
-def in_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell) -> DataFrame:
-    """A row for each grid cell (``cx, cy``) that a row's box touches; ``cell``: a number or a Column."""
-    at = lambda v: F.floor(v / cell).cast("int")
-    df = df.withColumn("cx", F.explode(F.sequence(at(x0), at(x1))))
-    return df.withColumn("cy", F.explode(F.sequence(at(y0), at(y1))))
-
-
-def with_cell(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, least: float, crowd: int = 64) -> DataFrame:
-    """Rows with ``cell``, a grid size of their floor: about ``crowd`` rows a cell if they were spread evenly, ``least`` or
-    more; and ``left``, ``top``, where the grid begins.
-
-    It follows from the floor's extent, so it is the same for drawings in pixels and in metres. A floor of up to ``crowd``
-    rows is one cell.
-    """
-    extent = df.groupBy(*FLOOR).agg(
-        F.min(x0).alias("left"), F.min(y0).alias("top"), (F.max(x1) - F.min(x0)).alias("w"), (F.max(y1) - F.min(y0)).alias("h"), F.count("*").alias("n")
-    )
-    side = F.greatest(F.col("w"), F.col("h")) / F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("n") / crowd)))
-    cells = extent.select(*FLOOR, "left", "top", F.greatest(side * 1.001, F.lit(least), F.lit(1e-9)).alias("cell"))
-    return df.join(cells, FLOOR)
-
-
 def _box(p: str = "") -> tuple[Column, Column, Column, Column]:
     c = lambda k: F.col(f"{p}{k}")
     return F.least(c("x1"), c("x2")), F.least(c("y1"), c("y2")), F.greatest(c("x1"), c("x2")), F.greatest(c("y1"), c("y2"))
 
 
-def _along(reach: float) -> Column:
+def _along(at: Callable[[Column, str], Column], reach: float) -> Column:
     """``(cx, cy)`` of the grid cells within ``reach`` of a segment, column by column: as many as it is long, not its box."""
-    x0, y0, x1, y1 = _box()
-    cell, dx = F.col("cell"), F.col("x2") - F.col("x1")
-    at = lambda v, start: F.floor((v - F.col(start)) / cell).cast("int")
+    x0, y0, x1, _ = _box()
+    dx, side = F.col("x2") - F.col("x1"), F.col("side")
     steep = F.when(F.abs(dx) > 1e-12, (F.col("y2") - F.col("y1")) / dx)
+    y1 = F.greatest("y1", "y2")
 
     def column(cx: Column) -> Column:
         y = lambda x: F.col("y1") + steep * (F.least(F.greatest(x, x0), x1) - F.col("x1"))
-        u, v = y(F.col("left") + cx * cell - reach), y(F.col("left") + (cx + 1) * cell + reach)
+        start = F.when(cx == 0, x0).otherwise(F.col("left") + cx * side - reach)
+        end = F.when(cx == F.col("k") - 1, x1).otherwise(F.col("left") + (cx + 1) * side + reach)
+        u, v = y(start), y(end)
         low, high = F.coalesce(F.least(u, v), y0), F.coalesce(F.greatest(u, v), y1)
-        return F.transform(F.sequence(at(low - reach - 1e-9, "top"), at(high + reach + 1e-9, "top")), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
+        return F.transform(F.sequence(at(low - reach - 1e-6, "y"), at(high + reach + 1e-6, "y")), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))
 
-    many = F.flatten(F.transform(F.sequence(at(x0 - reach, "left"), at(x1 + reach, "left")), column))
-    one = F.array(F.struct(at(x0, "left").alias("cx"), at(y0, "top").alias("cy")))
-    within = (at(x0 - reach, "left") == at(x1 + reach, "left")) & (at(y0 - reach - 1e-9, "top") == at(y1 + reach + 1e-9, "top"))
-    return F.when(within, one).otherwise(many)
+    return F.flatten(F.transform(F.sequence(at(x0 - reach, "x"), at(x1 + reach, "x")), column))
 
 
-def near_pairs(segments: DataFrame, reach: float = 0.0, crowd: int = 64) -> DataFrame:
-    """Pairs ``a_*``, ``b_*`` (a before b) on one floor that may be within ``2 * reach``, by boxes widened by ``reach``; each pair once.
+def near_pairs(segments: DataFrame, reach: float = 0.0, crowd: int = 64, where: Column | None = None) -> DataFrame:
+    """Pairs ``a_*``, ``b_*`` (a before b) on one floor that may be within ``2 * reach``, by boxes widened by ``reach``, and
+    for which ``where`` holds; each pair once.
 
-    Segments meet in the grid cells that they pass, so a large floor is not compared with itself as a whole. A pair
-    counts in the first cell that both pass.
+    The segments of a floor of up to ``crowd`` meet each other. Those of a larger floor meet in the grid cells that they
+    pass, whose size follows the crowd, so such a floor is not compared with itself as a whole.
     """
-    x0, y0, x1, y1 = _box()
-    own = with_cell(segments.select(*FLOOR, "seg_id", *XY), x0 - reach, y0 - reach - 1e-6, x1 + reach, y1 + reach + 1e-6, 2 * reach, crowd)
-    own = own.withColumn("cells", _along(reach))
-    cells = own.select(*FLOOR, "seg_id", *XY, "cells", F.explode("cells").alias("at"))
-    names = ("seg_id", *XY, "cells")
-    a = cells.select(*FLOOR, "at", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = cells.select(*FLOOR, "at", *[F.col(c).alias(f"b_{c}") for c in names])
+    own, names = segments.select(*FLOOR, "seg_id", *XY), ["seg_id", *XY]
     ax0, ay0, ax1, ay1 = _box("a_")
     bx0, by0, bx1, by1 = _box("b_")
-    both = a.join(b, [*FLOOR, "at"]).where(F.col("a_seg_id") < F.col("b_seg_id"))
-    both = both.where((ax0 - 2 * reach <= bx1) & (bx0 - 2 * reach <= ax1) & (ay0 - 2 * reach <= by1) & (by0 - 2 * reach <= ay1))
-    one = (F.size("a_cells") == 1) | (F.size("b_cells") == 1)
-    first = F.when(one, F.col("at")).otherwise(F.array_min(F.array_intersect("a_cells", "b_cells")))
-    return both.where(F.col("at") == first).drop("at", "a_cells", "b_cells")
+    near = (ax0 - 2 * reach <= bx1) & (bx0 - 2 * reach <= ax1) & (ay0 - 2 * reach <= by1) & (by0 - 2 * reach <= ay1)
+    near = (F.col("a_seg_id") < F.col("b_seg_id")) & near
+    if where is not None:
+        near &= where
+    large = large_floors(own, crowd)
+    small = own if large is None else own.join(large, FLOOR, "left_anti")
+    side = lambda p: small.select(*FLOOR, *[F.col(c).alias(f"{p}{c}") for c in names])
+    pairs = side("a_").join(side("b_"), FLOOR).where(near)
+    if large is None:
+        return pairs
+    wide = dict(zip(BOX, _box(), strict=True))
+    wide = {c: v + (reach + 1e-6) * (-1 if c in ("west", "north") else 1) for c, v in wide.items()}
+    rows = stored(own.join(large, FLOOR, "left_semi").withColumns(wide))
+    cells = in_cells(rows, crowd, 2 * reach, lambda at: _along(at, reach))
+    return pairs.unionByName(met(cells, names, near).dropDuplicates([*FLOOR, "a_seg_id", "b_seg_id"]))
 
 
 def find_intersections(segments: DataFrame, crowd: int = 64) -> DataFrame:
     """``(plan_id, floor_id, seg_a, seg_b, x, y)`` where two segments meet, ends included."""
-    pairs = near_pairs(segments, 0.0, crowd).withColumn("p", g.intersection())
-    return pairs.where("p IS NOT NULL").select(
+    pairs = near_pairs(segments, 0.0, crowd, g.intersection().isNotNull()).withColumn("p", g.intersection())
+    return pairs.select(
         *FLOOR, F.col("a_seg_id").alias("seg_a"), F.col("b_seg_id").alias("seg_b"), "p.x", "p.y"
     )
 
@@ -168,74 +154,28 @@ def split_at_intersections(segments: DataFrame, crossings: DataFrame | None = No
 def merge_collinear(segments: DataFrame, cfg: MergeConfig = MergeConfig()) -> DataFrame:
     """Greedy merging of nearly collinear segments, ``(plan_id, floor_id, seg_id, x1, y1, x2, y2)``.
 
-    Each segment takes up later ones that fit it as it grows, so order decides and a floor is one group; the result
-    keeps the order of the segments that grew. Repeated until nothing merges, or done once.
+    Each segment takes up later ones that fit it as it grows, so order decides; the result is numbered in the order of the
+    segments that grew. Repeated until nothing merges, or done once. The ends of what has grown are ends of segments, so
+    nothing merges across components of segments with ends within ``distance``: a floor of more than ``most_together``
+    segments is merged component by component.
     """
     ship(segments.sparkSession)
-
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            merged = [_merge([(r["x1"], r["y1"], r["x2"], r["y2"]) for r in rows], cfg) for rows in frame["rows"]]
-            sizes = [len(m) for m in merged]
-            out = pd.DataFrame([r for m in merged for r in m], columns=XY, dtype="float64")
-            out.insert(0, "seg_id", [i for n in sizes for i in range(n)])
-            out.insert(0, "floor_id", frame["floor_id"].repeat(sizes).to_numpy())
-            out.insert(0, "plan_id", frame["plan_id"].repeat(sizes).to_numpy())
-            yield out
-
-    kinds = dict(segments.dtypes)
-    schema = f"plan_id {kinds['plan_id']}, floor_id {kinds['floor_id']}, seg_id bigint, x1 double, y1 double, x2 double, y2 double"
-    floors = segments.groupBy(*FLOOR).agg(F.sort_array(F.collect_list(F.struct("seg_id", *XY))).alias("rows"))
-    return floors.mapInPandas(run, schema)
-
-
-def _merge(rows: list[tuple], cfg: MergeConfig) -> list[tuple]:
-    """Passes over one floor's segments: each takes up the next later one that fits it, again and again.
-
-    What a segment may take up is tested for all later ones at once; after each growth only those further on count.
-    """
-    import numpy as np
-
-    def angles(s):
-        deg = np.degrees(np.arctan2(s[..., 3] - s[..., 1], s[..., 2] - s[..., 0]))
-        return np.where(deg < 0, deg + 180, deg)
-
-    def fits(grown, others, turned):
-        turn = np.abs(angles(grown) - turned)
-        near = np.minimum(turn, 180 - turn) <= cfg.angle_deg
-        near &= np.min([np.hypot(grown[i] - others[:, j], grown[i + 1] - others[:, j + 1]) for i in (0, 2) for j in (0, 2)], axis=0) <= cfg.distance
-        if cfg.perpendicular is None:
-            return near
-        x1, y1, x2, y2 = grown
-        mx, my = (others[:, 0] + others[:, 2]) / 2, (others[:, 1] + others[:, 3]) / 2
-        size = np.hypot(x2 - x1, y2 - y1)
-        across = np.hypot(mx - x1, my - y1) if size < 1e-12 else np.abs((y2 - y1) * mx - (x2 - x1) * my + x2 * y1 - y2 * x1) / size
-        return near & (across <= cfg.perpendicular)
-
-    def joined(s, t):
-        ends = np.array([s[:2], s[2:], t[:2], t[2:]])
-        i, j = np.triu_indices(4, 1)
-        k = int(np.argmax(np.hypot(*(ends[i] - ends[j]).T)))  # the first of equals
-        return np.concatenate([ends[i[k]], ends[j[k]]])
-
-    now = np.array(rows, dtype=np.float64).reshape(len(rows), 4)
-    while True:
-        left, turned, out = np.arange(len(now)), angles(now), []
-        while len(left):
-            grown, left, at = now[left[0]], left[1:], 0
-            while at < len(left):
-                hit = np.flatnonzero(fits(grown, now[left[at:]], turned[left[at:]]))
-                if not len(hit):
-                    break
-                at += int(hit[0])
-                grown, left = joined(grown, now[left[at]]), np.delete(left, at)
-            out.append(grown)
-        done = not cfg.until_stable or len(out) == len(now)
-        now = np.array(out).reshape(len(out), 4)
-        if done:
-            return [tuple(map(float, r)) for r in now]
+    own = segments.select(*FLOOR, "seg_id", *XY)
+    kinds = dict(own.dtypes)
+    schema = f"plan_id {kinds['plan_id']}, floor_id {kinds['floor_id']}, seg_id {kinds['seg_id']}, x1 double, y1 double, x2 double, y2 double"
+    rows = F.sort_array(F.collect_list(F.struct("seg_id", *[F.col(c).cast("double").alias(c) for c in XY]))).alias("rows")
+    merged = lambda df, *unit: df.groupBy(*FLOOR, *unit).agg(rows).select(*FLOOR, "rows").mapInArrow(lambda batches: merge_batches(batches, cfg), schema)
+    number = F.row_number().over(Window.partitionBy(*FLOOR).orderBy("seg_id", *XY)).cast("long") - 1
+    large = large_floors(own, cfg.most_together)
+    small = own if large is None else own.join(large, FLOOR, "left_anti")
+    found = merged(small).withColumn("seg_id", number)
+    if large is None:
+        return found
+    own = stored(own.join(large, FLOOR, "left_semi").withColumn("node", F.monotonically_increasing_id()))
+    close = near_pairs(own.drop("seg_id").withColumnRenamed("node", "seg_id"), cfg.distance / 2, where=g.min_endpoint_distance() <= cfg.distance)
+    roots = connected_components(close, "a_seg_id", "b_seg_id")
+    own = stored(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    return found.unionByName(numbered(merged(own, "root").withColumnRenamed("seg_id", "first"), FLOOR, ["first", *XY], "seg_id").select(*found.columns))
 
 
 def merge_components(segments: DataFrame, cfg: MergeConfig = MergeConfig()) -> DataFrame:
@@ -246,15 +186,11 @@ def merge_components(segments: DataFrame, cfg: MergeConfig = MergeConfig()) -> D
     ``merge_collinear`` compares with what has grown and stops.
     """
     own = stored(segments.select(*FLOOR, "seg_id", *XY).withColumn("node", F.monotonically_increasing_id()))
-    pairs = near_pairs(own, reach=cfg.distance / 2)
     fit = (g.angle_difference(g.angle_deg("a_"), g.angle_deg("b_")) <= cfg.angle_deg) & (g.min_endpoint_distance() <= cfg.distance)
     if cfg.perpendicular is not None:
         fit &= g.perpendicular_distance(*g.midpoint("b_"), "a_") <= cfg.perpendicular
-    pairs = pairs.where(fit)
-    for side in "ab":
-        node = own.select(*FLOOR, F.col("seg_id").alias(f"{side}_seg_id"), F.col("node").alias(f"{side}_node"))
-        pairs = pairs.join(node, [*FLOOR, f"{side}_seg_id"])
-    roots = connected_components(pairs, "a_node", "b_node")
+    pairs = near_pairs(own.drop("seg_id").withColumnRenamed("node", "seg_id"), cfg.distance / 2, where=fit)
+    roots = connected_components(pairs, "a_seg_id", "b_seg_id")
     rows = stored(own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     axis = rows.groupBy("root").agg(F.max_by(F.struct(dx.alias("ux"), dy.alias("uy")), F.struct(F.hypot(dx, dy), -F.col("seg_id"))).alias("u")).select("root", "u.*")
