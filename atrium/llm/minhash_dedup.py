@@ -43,7 +43,9 @@ class MinHashConfig:
     block: int = 256
     fine_bands: int = 16
     fine_rows: int = 6
-    remembered: int = 500_000
+    remembered: int = 100_000
+    #: Rows whose texts and sets a task holds at once.
+    rows_at_once: int = 256
     #: Bytes of text that are split at once, and shingles that are hashed at once.
     text_bytes: int = 4 << 20
     block_tokens: int = 1 << 15
@@ -142,8 +144,8 @@ def sketches(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Sketches(cfg)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, cfg.rows_at_once):
+                batch = whole.slice(at, cfg.rows_at_once)
                 sets = [make.shingles(t.as_py()) for t in batch.column(2)]
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 full = [s for s in sets if len(s)]
@@ -179,15 +181,16 @@ def _sets(docs: DataFrame, wanted: DataFrame, cfg: MinHashConfig) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Sketches(cfg)
-        for batch in batches:
-            ids, found = [], []
-            for h, text, d1, d2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if digests(one := make.shingles(text)) == (d1, d2):
-                    ids.append(h)
-                    found.append(one)
-            odd = np.array([parities(s) for s in found], dtype=np.int64).reshape(len(found), 4)
-            columns = [pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), *[pa.array(odd[:, i]) for i in range(4)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "shingles", "p0", "p1", "p2", "p3"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, cfg.rows_at_once):
+                ids, found = [], []
+                for h, text, d1, d2 in zip(*(c.to_pylist() for c in whole.slice(at, cfg.rows_at_once).columns), strict=True):
+                    if digests(one := make.shingles(text)) == (d1, d2):
+                        ids.append(h)
+                        found.append(one)
+                odd = np.array([parities(s) for s in found], dtype=np.int64).reshape(len(found), 4)
+                columns = [pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64())), *[pa.array(odd[:, i]) for i in range(4)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["h", "shingles", "p0", "p1", "p2", "p3"])
 
     rows = sieve(_rows(docs).select("r", "text"), "r", wanted).join(wanted, "r").select("h", "text", "d1", "d2")
     return stored(rows.mapInArrow(run, "h bigint, shingles array<bigint>, p0 bigint, p1 bigint, p2 bigint, p3 bigint").dropDuplicates(["h"]))
