@@ -38,37 +38,51 @@ class CollocationConfig:
     text_bytes: int = 32 << 20
 
 
-def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
-    """``(lang, w1, w2, w3, n)``, the distinct windows of some rows ``(lang, text)`` in their order; null is padding."""
-    marked = pc.replace_substring_regex(pc.ascii_lower(part.column(1)), pattern=ENDS + "+", replacement=" \n ")
+def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some texts in order, and for each place its word's number there from 1 and the text's number.
+
+    Where a piece ends the word is a line feed, which no word is.
+    """
+    marked = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=ENDS + "+", replacement=" \n ")
     lists = pc.split_pattern_regex(marked, pattern="[ \t]+")
-    words, row = lists.flatten(), pc.list_parent_indices(lists)
+    words, row = lists.flatten(), pc.list_parent_indices(lists).cast(pa.int32())
+    del marked, lists
     full = pc.not_equal(words, "")
-    coded, row = words.filter(full).dictionary_encode(), row.filter(full).to_numpy()
+    row, coded = row.filter(full).to_numpy(), words.filter(full).dictionary_encode()
+    del words, full
     order = pc.array_sort_indices(coded.dictionary)
-    sorted_words = coded.dictionary.take(order)
-    place = np.empty(len(order), dtype=np.int64)
-    place[order.to_numpy()] = np.arange(1, len(order) + 1)  # 0 is padding
-    w1 = place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int64)
-    stop = pc.index(sorted_words, "\n").as_py() + 1
+    place = np.empty(len(order), dtype=np.int32)
+    place[order.to_numpy()] = np.arange(1, len(order) + 1)
+    return coded.dictionary.take(order), place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int32), row
+
+
+def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
+    """``(lang, w1, w2, w3, n)``, the distinct windows of some rows ``(lang, text)`` in their order; null is padding."""
+    words, w1, row = _coded(part.column(1))
+    langs = part.column(0).dictionary_encode()
+    size, stop = len(words) + 1, pc.index(words, "\n").as_py() + 1
     goes_on = np.zeros(len(w1) + 2, dtype=bool)  # the word is of the same piece as the one before
     if len(w1) > 1:
         goes_on[1 : len(w1)] = (row[1:] == row[:-1]) & (w1[1:] != stop) & (w1[:-1] != stop)
-    ahead = np.concatenate([w1, np.zeros(2, dtype=np.int64)])
-    w2 = np.where(goes_on[1:-1], ahead[1:-1], 0)
+    ahead = np.concatenate([w1, np.zeros(2, dtype=np.int32)])
+    w2 = np.where(goes_on[1:-1], ahead[1:-1], 0)  # the lead columns; 0 is padding
     w3 = np.where(goes_on[1:-1] & goes_on[2:], ahead[2:], 0)
-    langs = part.column(0).dictionary_encode()
-    lang = langs.indices.to_numpy()[row].astype(np.int64) if len(row) else row.astype(np.int64)
-    is_word = w1 != stop if stop else slice(None)
-    columns = [c[is_word] for c in (lang, w1, w2, w3)]
-    key = columns[0]
+    columns = [langs.indices.to_numpy()[row] if len(row) else row, w1, w2, w3]
+    if stop:
+        columns = [c[w1 != stop] for c in columns]
+    del row, w1, w2, w3, ahead, goes_on
+    key = columns[0].astype(np.int64)
     for c in columns[1:]:
-        if len(key) and int(key.max()) >= (1 << 62) // (len(order) + 1):
+        if len(key) and int(key.max()) >= (1 << 62) // size:
             key = np.unique(key, return_inverse=True)[1]
-        key = key * (len(order) + 1) + c
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    lang, *codes = (c[first] for c in columns)
-    named = [sorted_words.take(pa.array(c - 1, mask=c == 0)) for c in codes]
+        key *= size
+        key += c
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]]))
+    n = np.diff(np.concatenate([first, [len(key)]]))
+    lang, *codes = (c[order[first]] for c in columns)
+    named = [words.take(pa.array(c - 1, mask=c == 0)) for c in codes]
     return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), *named, pa.array(n)], names=["lang", "w1", "w2", "w3", "n"])
 
 
@@ -85,6 +99,8 @@ def windows(docs: DataFrame, cfg: CollocationConfig = CollocationConfig()) -> Da
                 found = _windows(part)
                 for at in range(0, found.num_rows, 1 << 16):
                     yield found.slice(at, 1 << 16)
+                del found
+                pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n bigint")
