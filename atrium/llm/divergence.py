@@ -33,8 +33,8 @@ class DivergenceConfig:
     #: Terms reported for a source; this is the feature's limit.
     top: int = 200
     #: Bytes of text that are split at once, and counted rows that are held before they are sent on.
-    text_bytes: int = 8 << 20
-    held_rows: int = 400_000
+    text_bytes: int = 4 << 20
+    held_rows: int = 250_000
     #: Cells of one shard's matrix of sources by terms, where there are not too many sources for that.
     cells: int = 1 << 20
 
@@ -53,7 +53,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordB
 
 
 def _count(part: pa.RecordBatch) -> pa.Table:
-    """``(lang, source, term, n, docs)`` of a few rows ``(lang, source, text)``; term null marks a group that occurs."""
+    """``(lang, source, term, n, docs)`` of a few rows ``(lang, source, text)``."""
     lists = pc.split_pattern_regex(pc.ascii_lower(part.column(2)), pattern=BETWEEN)
     terms, rows = lists.flatten(), pc.list_parent_indices(lists)
     full = pc.not_equal(terms, "")
@@ -64,23 +64,18 @@ def _count(part: pa.RecordBatch) -> pa.Table:
     keyed = {"lang": codes[0].indices.take(rows), "source": codes[1].indices.take(rows), "code": in_doc.column("code"), "n": in_doc.column("count_all")}
     found = pa.table(keyed).group_by(["lang", "source", "code"]).aggregate([("n", "sum"), ("n", "count")])
     named = [c.dictionary.take(found.column(k).combine_chunks()) for k, c in (("lang", codes[0]), ("source", codes[1]), ("code", terms))]
-    counted = pa.table([*named, found.column("n_sum"), found.column("n_count")], names=["lang", "source", "term", "n", "docs"])
-    groups = pa.table({"lang": part.column(0), "source": part.column(1)}).group_by(["lang", "source"]).aggregate([])
-    none = pa.nulls(groups.num_rows, pa.string())
-    zero = pa.array(np.zeros(groups.num_rows, dtype=np.int64))
-    return pa.concat_tables([counted, pa.table([groups.column("lang"), groups.column("source"), none, zero, zero], names=counted.column_names)])
+    return pa.table([*named, found.column("n_sum"), found.column("n_count")], names=["lang", "source", "term", "n", "docs"])
 
 
 def _merged(held: list[pa.Table]) -> pa.Table:
+    """The sums of some tables, in order of terms, so that rows of one term go to a shuffle side by side and compress well."""
     found = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-    return found.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+    found = found.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+    return found.sort_by([("lang", "ascending"), ("term", "ascending")])
 
 
 def partial_counts(docs: DataFrame, cfg: DivergenceConfig = DivergenceConfig()) -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences and documents as each task counts them, to be added up.
-
-    Each group that occurs has a row without a term. Null texts, languages and sources count as empty strings.
-    """
+    """``(lang, source, term, n, docs)``: occurrences and documents as each task counts them, to be added up."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,16 +87,21 @@ def partial_counts(docs: DataFrame, cfg: DivergenceConfig = DivergenceConfig())
                     held = [_merged(held)]
                     if held[0].num_rows > cfg.held_rows // 2:
                         yield from held.pop().combine_chunks().to_batches()
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from _merged(held).combine_chunks().to_batches()
 
-    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return rows.mapInArrow(run, _COUNTS)
+    return _named(docs, "lang", "source", "text").mapInArrow(run, _COUNTS)
+
+
+def _named(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns as strings, empty for null."""
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names])
 
 
 def kept_terms(partial: DataFrame, cfg: DivergenceConfig = DivergenceConfig()) -> DataFrame:
     """``(lang, term, held)`` for each term of enough documents, with the count of each source that has it."""
-    each = partial.where("term IS NOT NULL").repartition("lang", "term").groupBy("lang", "source", "term")
+    each = partial.repartition("lang", "term").groupBy("lang", "source", "term")
     each = each.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = each.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held"))
     return terms.where(F.col("docs") >= cfg.least_docs).select("lang", "term", "held")
@@ -165,11 +165,10 @@ def divergences(docs: DataFrame, cfg: DivergenceConfig = DivergenceConfig()) ->
     columns are left behind. The result has a row for each two sources of a language, so their number is what bounds it;
     a shard holds as many terms as a language has sources or more, so the partial sums are no more than the counts.
     """
-    partial = stored(partial_counts(docs, cfg))
-    kept = stored(kept_terms(partial, cfg))
+    kept = stored(kept_terms(partial_counts(docs, cfg), cfg))
     n_terms = kept.groupBy("lang").agg(F.count("*").alias("v"))
     totals = kept.select("lang", F.inline("held")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = partial.where("term IS NULL").select("lang", "source").distinct().join(totals, ["lang", "source"], "left")
+    groups = _named(docs, "lang", "source").distinct().join(totals, ["lang", "source"], "left")
     order = F.sort_array(F.collect_list(F.struct("source", F.coalesce("total", F.lit(0)).cast("long").alias("total"))))
     langs = groups.groupBy("lang").agg(order.alias("sources")).join(n_terms, "lang", "left")
     langs = stored(langs.select("lang", F.coalesce("v", F.lit(0)).cast("long").alias("v"), "sources"))
