@@ -74,8 +74,10 @@ def in_cells(rows: DataFrame, crowd: int, least: float = 0.0, cells: Callable[[C
         found = inner.groupBy(*keys, "within", "cell").agg(F.count("*").alias("n"), F.first("of").alias("of"), *[v.alias(k) for k, v in bounds.items()])
         found = stored(found)
         n = F.col("n").cast("double")
-        gains = found.groupBy(*keys, F.col("within").alias("cell")).agg(F.sum(n * n).alias("pairs"), F.first("of").alias("of"))
-        gains = stored(gains.where(F.col("pairs") <= F.col("of").cast("double") * F.col("of") / 2).select(*node))
+        # A cut gains if it leaves half of the pairs, or if it copies few rows: then a crowd is in a smaller cell now.
+        gains = found.groupBy(*keys, F.col("within").alias("cell")).agg(F.sum(n * n).alias("pairs"), F.sum(n).alias("copies"), F.first("of").alias("of"))
+        of = F.col("of").cast("double")
+        gains = stored(gains.where((F.col("pairs") <= of * of / 2) | (F.col("copies") <= 1.5 * of)).select(*node))
         sizes_of = lambda f: f.select(*node, "n")
         done.append(open_.join(sizes_of(sizes.join(gains, node, "left_anti")), node).select(*names, "n"))
         inner = inner.join(gains.withColumnRenamed("cell", "within"), [*keys, "within"], "left_semi")

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atrium.functions.geometry import distance
+from atrium.operators.choices import beaten
+from atrium.operators.components import connected_components
+from atrium.operators.grids import BOX, in_cells, large_floors, met
+from atrium.operators.numbering import numbered
 from atrium.operators.segments import FLOOR, XY, find_intersections, split_at_intersections
 from atrium.storage import ship, stored
 
@@ -34,15 +38,23 @@ class TopologyConfig:
     most_pieces: int = 500_000
 
 
-def _ends(pieces: DataFrame) -> DataFrame:
+def _numbered(df: DataFrame, order: list[str], name: str, large: DataFrame | None) -> DataFrame:
+    """``df`` with the number of each row on its floor: one window a floor, and ranges of rows for the floors in ``large``."""
+    small = df if large is None else df.join(large, FLOOR, "left_anti")
+    out = small.withColumn(name, (F.row_number().over(Window.partitionBy(*FLOOR).orderBy(*order)) - 1).cast("long"))
+    if large is None:
+        return out
+    return out.unionByName(numbered(df.join(large, FLOOR, "left_semi").drop(name), FLOOR, order, name).select(*out.columns))
+
+
+def _ends(pieces: DataFrame, large: DataFrame | None) -> DataFrame:
     """Two rows a piece, in the order in which vertices are made: n, end, x, y."""
-    order = Window.partitionBy(*FLOOR).orderBy("seg_id", "piece")
-    rows = pieces.withColumn("n", (F.row_number().over(order) - 1).cast("long"))
+    rows = _numbered(pieces.select(*FLOOR, "seg_id", "piece", *XY), ["seg_id", "piece"], "n", large)
     end = lambda k: F.struct(F.lit(k).alias("end"), F.col(f"x{k + 1}").alias("x"), F.col(f"y{k + 1}").alias("y"))
     return rows.select(*FLOOR, "n", F.inline(F.array(end(0), end(1)))).withColumn("made", F.col("n") * 2 + F.col("end"))
 
 
-def _snapped(ends: DataFrame, cfg: TopologyConfig) -> DataFrame:
+def _snapped(ends: DataFrame, cfg: TopologyConfig, large: DataFrame | None) -> DataFrame:
     """``vertex`` (its first end's number) and its point for each end."""
     if cfg.snapping == "grid":
         key = [F.bround(F.col(c) / cfg.snap, 0).alias(f"k{c}") for c in "xy"]
@@ -51,8 +63,15 @@ def _snapped(ends: DataFrame, cfg: TopologyConfig) -> DataFrame:
         return rows.select(*FLOOR, "n", "end", F.first("made").over(cell).alias("vertex"), F.first("x").over(cell).alias("vx"), F.first("y").over(cell).alias("vy"))
     if cfg.snapping != "nearest":
         raise ValueError(f"unknown snapping {cfg.snapping}")
+    if large is None:
+        return _first_near(ends, cfg.snap)
+    return _first_near(ends.join(large, FLOOR, "left_anti"), cfg.snap).unionByName(_first_near_of_many(ends.join(large, FLOOR, "left_semi"), cfg.snap))
+
+
+def _first_near(ends: DataFrame, snap: float) -> DataFrame:
+    """An end belongs to the first vertex within ``snap``, or makes one: end by end, a floor in one row."""
     ship(ends.sparkSession)
-    reach = cfg.snap * cfg.snap
+    reach = snap * snap
 
     def run(frames):
         import numpy as np
@@ -77,20 +96,38 @@ def _snapped(ends: DataFrame, cfg: TopologyConfig) -> DataFrame:
     return floors.mapInPandas(run, schema)
 
 
-def half_edges(pieces: DataFrame, cfg: TopologyConfig = TopologyConfig()) -> DataFrame:
+def _first_near_of_many(ends: DataFrame, snap: float) -> DataFrame:
+    """What ``_first_near`` gives, for floors of any size: an end makes a vertex unless an earlier one within ``snap`` does,
+    which is a greedy choice among the pairs that are that near."""
+    ends = stored(ends)
+    half = snap / 2 + 1e-6
+    wide = dict(zip(BOX, (F.col("x") - half, F.col("y") - half, F.col("x") + half, F.col("y") + half), strict=True))
+    rows = stored(ends.select(*FLOOR, "made", "x", "y").withColumns(wide))
+    square = lambda c: (F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}"))
+    before = (F.col("a_made") < F.col("b_made")) & (square("x") + square("y") <= snap * snap)
+    pairs = met(in_cells(rows, 64, snap), ["made", "x", "y"], before).dropDuplicates([*FLOOR, "a_made", "b_made"])
+    pairs = stored(pairs.select(*FLOOR, F.col("a_made").alias("a"), F.col("b_made").alias("b")))
+    gone = stored(beaten(pairs.withColumn("order", F.col("b")), ["order"]))
+    owner = pairs.join(gone.withColumnRenamed("node", "b"), [*FLOOR, "b"], "left_semi").join(gone.withColumnRenamed("node", "a"), [*FLOOR, "a"], "left_anti")
+    owner = owner.groupBy(*FLOOR, F.col("b").alias("made")).agg(F.min("a").alias("vertex"))
+    placed = stored(ends.join(owner, [*FLOOR, "made"], "left").withColumn("vertex", F.coalesce("vertex", "made")))
+    points = ends.select(*FLOOR, F.col("made").alias("vertex"), F.col("x").alias("vx"), F.col("y").alias("vy"))
+    return placed.select(*FLOOR, "n", "end", "vertex").join(points, [*FLOOR, "vertex"]).select(*FLOOR, "n", "end", "vertex", "vx", "vy")
+
+
+def half_edges(pieces: DataFrame, cfg: TopologyConfig = TopologyConfig(), large: DataFrame | None = None) -> DataFrame:
     """``(plan_id, floor_id, e, twin, next, origin, dest, ox, oy, dx, dy)``; twins are 2n and 2n + 1.
 
-    Pieces whose ends fall together are dropped, repeated pieces are not.
+    Pieces whose ends fall together are dropped, repeated pieces are not. The floors in ``large`` are in no task whole.
     """
-    points = _snapped(_ends(pieces), cfg)
+    points = _snapped(_ends(pieces, large), cfg, large)
     first, last = F.col("end") == 0, F.col("end") == 1
     of = lambda c, k: F.max(F.when(k, F.col(c)))
     edges = points.groupBy(*FLOOR, "n").agg(
         of("vertex", first).alias("v1"), of("vx", first).alias("x1"), of("vy", first).alias("y1"),
         of("vertex", last).alias("v2"), of("vx", last).alias("x2"), of("vy", last).alias("y2"),
     ).where("v1 <> v2")
-    order = Window.partitionBy(*FLOOR).orderBy("n")
-    edges = edges.withColumn("n", (F.row_number().over(order) - 1).cast("long"))
+    edges = _numbered(edges.withColumnRenamed("n", "piece_n"), ["piece_n"], "n", large)
 
     def half(k: int) -> Column:
         a, b = ("1", "2") if k == 0 else ("2", "1")
@@ -255,10 +292,9 @@ def _joined_faces(edges: DataFrame) -> DataFrame:
     cross = F.col("ox") * F.col("dy") - F.col("dx") * F.col("oy")
     table = labelled.where("cycle IS NOT NULL").groupBy(*FLOOR, "cycle").agg(F.count("*").alias("n_edges"), (F.abs(F.sum(cross)) / 2).alias("area"))
     table = table.where("n_edges >= 3")
-    number = (F.row_number().over(Window.partitionBy(*FLOOR).orderBy("cycle")) - 1).cast("long")
-    table = table.withColumn("face", number)
-    largest = F.row_number().over(Window.partitionBy(*FLOOR).orderBy(F.desc("area"), "face")) == 1
-    table = stored(table.withColumn("is_external", largest))
+    table = stored(numbered(table, FLOOR, ["cycle"], "face"))
+    largest = table.groupBy(*FLOOR).agg(F.max_by("face", F.struct("area", -F.col("face"))).alias("largest"))
+    table = stored(table.join(largest, FLOOR).withColumn("is_external", F.col("face") == F.col("largest")).drop("largest"))
     found = labelled.join(table, [*FLOOR, "cycle"], "left")
     found = found.withColumns({c: F.when(F.col("face").isNotNull(), F.col(c)) for c in ("cycle", "rank")})
     return found.withColumns({"twin_face": _of_twin("face"), "twin_external": _of_twin("is_external")})
@@ -270,6 +306,8 @@ class Topology:
     edges: DataFrame
     faces: DataFrame
     cfg: TopologyConfig
+    #: Floors that were not gathered in a row, if there are any.
+    large: DataFrame | None = None
 
     @property
     def rooms(self) -> DataFrame:
@@ -281,18 +319,68 @@ class Topology:
 def build_topology(segments: DataFrame, cfg: TopologyConfig = TopologyConfig()) -> Topology:
     """Segments to intersections, pieces, half-edges and faces."""
     pieces = stored(split_at_intersections(segments, find_intersections(segments), cfg.split))
-    large = pieces.groupBy(*FLOOR).agg(F.count("*").alias("n")).where(F.col("n") > cfg.most_pieces).select(*FLOOR)
-    large = stored(large)
-    edges, table = faces(half_edges(pieces, cfg), None if large.isEmpty() else large)
-    return Topology(pieces, edges, table, cfg)
+    large = large_floors(pieces, cfg.most_pieces)
+    large = None if large is None else large.select(*FLOOR)
+    edges, table = faces(half_edges(pieces, cfg, large), large)
+    return Topology(pieces, edges, table, cfg, large)
+
+
+def _count_parts(batches):
+    """``(plan_id, floor_id, parts)`` for rows with one floor's edges as arrays: the least vertex spreads over its part."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = batch.column(2)
+        floor = np.repeat(np.arange(len(rows)), rows.value_lengths().to_numpy())
+        ends = rows.flatten()
+        u, v = (ends.field(c).to_numpy().astype(np.int64) for c in ("origin", "dest"))
+        span = int(max(u.max(), v.max())) + 1 if len(u) else 1
+        known, at = np.unique(np.concatenate([floor * span + u, floor * span + v]), return_inverse=True)
+        u, v = at[: len(u)], at[len(u) :]
+        least = np.arange(len(known))
+        while True:
+            low, new = np.minimum(least[u], least[v]), least.copy()
+            np.minimum.at(new, least[u], low)
+            np.minimum.at(new, least[v], low)
+            new = new[new]
+            if np.array_equal(new, least):
+                break
+            least = new
+        heads = np.flatnonzero(least == np.arange(len(known)))
+        parts = np.bincount(known[heads] // span, minlength=len(rows))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts.astype(np.int64))], names=[*FLOOR, "parts"])
+
+
+def parts(topology: Topology) -> DataFrame:
+    """``(plan_id, floor_id, parts)``: connected parts of each drawing, a wall that touches nothing being one."""
+    ship(topology.edges.sparkSession)
+    edges = topology.edges.where("e % 2 = 0").select(*FLOOR, "origin", "dest")
+    kinds = dict(edges.dtypes)
+    small = edges if topology.large is None else edges.join(topology.large, FLOOR, "left_anti")
+    floors = small.groupBy(*FLOOR).agg(F.collect_list(F.struct("origin", "dest")).alias("edges"))
+    found = floors.mapInArrow(_count_parts, f"plan_id {kinds['plan_id']}, floor_id {kinds['floor_id']}, parts bigint")
+    if topology.large is None:
+        return found
+    edges = stored(edges.join(topology.large, FLOOR, "left_semi"))
+    nodes = edges.select(*FLOOR, "origin").unionByName(edges.select(*FLOOR, F.col("dest").alias("origin"))).distinct()
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()))
+    for end, name in (("origin", "src"), ("dest", "dst")):
+        edges = edges.join(nodes.select(*FLOOR, F.col("origin").alias(end), F.col("node").alias(name)), [*FLOOR, end])
+    roots = connected_components(edges).join(nodes, "node")
+    return found.unionByName(roots.groupBy(*FLOOR).agg(F.count_distinct("root").alias("parts")))
 
 
 def euler(topology: Topology) -> DataFrame:
-    """Per floor V, E, F and V - E + F, which is 2 for each connected part of the drawing."""
+    """Per floor V, E, F, ``parts`` and V - E + F, which is 2 for each connected part of the drawing that has a face.
+
+    ``is_valid`` is whether it is 2, ``parts_valid`` whether it is twice the number of parts.
+    """
     ends = topology.edges.groupBy(*FLOOR).agg(F.count_distinct("origin").alias("v"), (F.count("*") / 2).cast("long").alias("e"))
     n = topology.faces.groupBy(*FLOOR).agg(F.count("*").alias("f"))
-    out = ends.join(n, FLOOR, "left").fillna(0, ["f"])
-    return out.withColumn("euler", F.col("v") - F.col("e") + F.col("f")).withColumn("is_valid", F.col("euler") == 2)
+    out = ends.join(n, FLOOR, "left").fillna(0, ["f"]).join(parts(topology), FLOOR)
+    out = out.withColumn("euler", F.col("v") - F.col("e") + F.col("f"))
+    return out.withColumn("is_valid", F.col("euler") == 2).withColumn("parts_valid", F.col("euler") == 2 * F.col("parts"))
 
 
 def adjacency(topology: Topology, rooms_only: bool = True) -> DataFrame:

@@ -89,3 +89,44 @@ def grid_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = [w * k / (F.col("nd") + 1) for k in (1, 2, 3)]
     every = F.array(*outer, *[wall(4 + k, x, zero, x, h) for k, x in enumerate(at)])
     return plans.select("plan_id", F.inline(F.slice(every, F.lit(1), F.col("nd") + 4))).withColumn("floor_id", F.lit(0))
+
+
+def _segments(plans: DataFrame, walls: list[tuple]) -> DataFrame:
+    """A segment for each ``(condition, x1, y1, x2, y2)`` that holds in a plan, numbered as they stand here."""
+    every = [
+        F.when(F.lit(True) if where is None else where, F.struct(F.lit(n).alias("seg_id"), *[(v if isinstance(v, Column) else F.lit(float(v))).cast("double").alias(c) for v, c in zip(xy, ("x1", "y1", "x2", "y2"), strict=True)]))
+        for n, (where, *xy) in enumerate(walls)
+    ]
+    return plans.select("plan_id", F.inline(F.filter(F.array(*every), lambda s: s.isNotNull()))).withColumn("floor_id", F.lit(0))
+
+
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return _table(spark, sf_dir, "orders").select(key.alias("plan_id"), (200 + 10 * (key % 20)).cast("double").alias("w"), (100 + 10 * (key % 7)).cast("double").alias("h"))
+
+
+def _rectangle(x, y, w, h, where=None) -> list[tuple]:
+    return [(where, x, y, x + w, y), (where, x + w, y, x + w, y + h), (where, x + w, y + h, x, y + h), (where, x, y + h, x, y)]
+
+
+def irregular_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rectangle with a diagonal and a wall from below up to it; in some plans a box within, a box apart, a wall that leads
+    nowhere and a wall alone."""
+    key, w, h = F.col("plan_id"), F.col("w"), F.col("h")
+    walls = [*_rectangle(F.lit(0.0), F.lit(0.0), w, h), (None, 0, 0, w, h), (None, w / 2, 0, w / 2, h / 2)]
+    walls += _rectangle(F.lit(10.0), h - 40, 50, 30, key % 2 == 0) + _rectangle(w + 50, F.lit(0.0), 100, 40, key % 3 == 0)
+    walls += [(key % 5 == 0, w / 2, h, w / 2, h + 30), (key % 7 == 0, -50, 10, -50, 60)]
+    return _segments(_plans(spark, sf_dir), walls)
+
+
+def gap_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles whose right wall stands 1.2 further out, in another grid cell than the ends that it should meet."""
+    w, h = F.col("w"), F.col("h")
+    return _segments(_plans(spark, sf_dir), [(None, 0, 0, w, 0), (None, w + 1.2, 0, w + 1.2, h), (None, w, h, 0, h), (None, 0, h, 0, 0)])
+
+
+def strokes_fx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strokes of two walls: a straight one drawn first, last, middle; and one that bends by 4 degrees twice."""
+    out = F.col("plan_id") % 5 * 10
+    walls = [(None, -out, 0, 100, 0), (None, 205, 0, 300, 0), (None, 105, 0, 200, 0), (None, 0, 500, 100, 500), (None, 100, 500, 200, 507), (None, 200, 507, 300, 521)]
+    return _segments(_plans(spark, sf_dir), walls)

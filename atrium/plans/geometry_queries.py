@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from atrium.functions import geometry as g
 from atrium.operators import labels, questions, segments, topology
-from atrium.plans.fixtures import GRID_FX, TEXT_FX, WALLS_FX, grid_fx, text_fx, walls_fx
+from atrium.plans.fixtures import GRID_FX, TEXT_FX, WALLS_FX, gap_fx, grid_fx, irregular_fx, strokes_fx, text_fx, walls_fx
 
 
 def _topology(spark: SparkSession, sf_dir: str, **options) -> topology.Topology:
@@ -165,12 +165,42 @@ def pair_metrics(spark, sf_dir):
     )
 
 
+def irregular_rooms(spark, sf_dir):
+    """Rooms of drawings with a diagonal, T-joints, holes, separate parts and walls that lead nowhere."""
+    return topology.build_topology(irregular_fx(spark, sf_dir)).rooms.select("plan_id", "n_edges", _r("area", 4).alias("area"))
+
+
+def irregular_parts(spark, sf_dir):
+    """V - E + F of the same drawings against the number of their parts, and how many of their rooms are side by side."""
+    found = topology.build_topology(irregular_fx(spark, sf_dir))
+    pairs = topology.adjacency(found).groupBy("plan_id").agg(F.count("*").alias("n_pairs"))
+    return topology.euler(found).join(pairs, "plan_id").select("plan_id", "v", "e", "f", "parts", "euler", "is_valid", "parts_valid", "n_pairs")
+
+
+def rooms_with_gaps(spark, sf_dir):
+    """Rooms that close only if ends snap to the nearest vertex, with the number of rooms that grid cells find."""
+    gaps = gap_fx(spark, sf_dir)
+    near = topology.build_topology(gaps, topology.TopologyConfig(snapping="nearest", snap=3.0)).rooms
+    grid = topology.build_topology(gaps).rooms.groupBy("plan_id").agg(F.count("*").alias("n_grid"))
+    return near.join(grid, "plan_id", "left").select("plan_id", _r("area", 4).alias("area"), F.coalesce("n_grid", F.lit(0)).cast("long").alias("n_grid"))
+
+
+def merge_modes(spark, sf_dir):
+    """Strokes on which greedy merging, one pass of the older rule and merging by components give different lines."""
+    strokes = strokes_fx(spark, sf_dir)
+    older = segments.MergeConfig(perpendicular=None, until_stable=False)
+    modes = {"greedy": segments.merge_collinear(strokes), "once": segments.merge_collinear(strokes, older), "components": segments.merge_components(strokes)}
+    found = [m.withColumn("mode", F.lit(k)).select("plan_id", "mode", "x1", "y1", "x2", "y2") for k, m in modes.items()]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.groupBy("plan_id", "mode").agg(F.count("*").alias("n_lines"), _r(F.sum(g.length()), 4).alias("length"), F.max(g.length()).cast("int").alias("longest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         segment_metrics, segment_stats, long_horizontal, intersections, split_pieces, merge_collinear, merge_once, merge_components, room_areas, room_areas_nearest,
         room_areas_descending, room_polygons, euler, adjacency, connections, topology_map, wall_types, label_rooms, label_rooms_concat,
-        door_closing, parallel_walls, pair_metrics, adjacent_rooms,
+        door_closing, parallel_walls, pair_metrics, adjacent_rooms, irregular_rooms, irregular_parts, rooms_with_gaps, merge_modes,
     )
 }
 
@@ -218,4 +248,16 @@ SELECT plan_id, "left", text AS label FROM o WHERE n = 1""",
     "merge_once": f"WITH {_P} SELECT plan_id, CAST(4 + nd AS BIGINT) AS n_lines, round(2 * w + (2 + nd) * h, 4) AS length FROM p",
     "merge_components": f"WITH {_P} SELECT plan_id, CAST(4 + nd AS BIGINT) AS n_lines, round(2 * w + (2 + nd) * h, 4) AS length FROM p",
     "adjacent_rooms": f"""WITH {_P} SELECT plan_id, round(w / (nd + 1), 3) AS "left", round(w * h / (nd + 1), 4) AS area FROM p WHERE nd > 0""",
+    "irregular_rooms": f"""WITH {_P}, r AS (SELECT plan_id, unnest([CASE WHEN plan_id % 5 = 0 THEN 5 ELSE 4 END, 3, 4]) AS n_edges, unnest([w * h / 2, w * h / 8, w * h * 3 / 8]) AS area FROM p
+  UNION ALL SELECT plan_id, 4, unnest([1500, 1500]) FROM p WHERE plan_id % 2 = 0 UNION ALL SELECT plan_id, 4, unnest([4000, 4000]) FROM p WHERE plan_id % 3 = 0)
+SELECT plan_id, CAST(n_edges AS BIGINT) AS n_edges, round(area::DOUBLE, 4) AS area FROM r""",
+    "irregular_parts": f"""WITH {_P}, c AS (SELECT plan_id, CAST(plan_id % 2 = 0 AS BIGINT) AS b, CAST(plan_id % 3 = 0 AS BIGINT) AS a, CAST(plan_id % 5 = 0 AS BIGINT) AS d, CAST(plan_id % 7 = 0 AS BIGINT) AS s FROM p),
+f AS (SELECT plan_id, 6 + 4 * b + 4 * a + 2 * d + 2 * s AS v, 8 + 4 * b + 4 * a + 2 * d + s AS e, 4 + 2 * b + 2 * a AS f, 1 + b + a + s AS parts, 3 + b + a AS n_pairs FROM c)
+SELECT *, v - e + f AS euler, v - e + f = 2 AS is_valid, v - e + f = 2 * parts AS parts_valid FROM f""",
+    "rooms_with_gaps": f"WITH {_P} SELECT plan_id, round(h * (w + 0.6::DOUBLE), 4) AS area, 0::BIGINT AS n_grid FROM p",
+    "merge_modes": """WITH p AS (SELECT o_orderkey AS plan_id, CAST(o_orderkey % 5 * 10 AS DOUBLE) AS o FROM orders),
+bend AS (SELECT sqrt(200.0::DOUBLE * 200 + 7 * 7) AS two, sqrt(100.0::DOUBLE * 100 + 14 * 14) AS last, sqrt(300.0::DOUBLE * 300 + 21 * 21) AS whole)
+SELECT plan_id, 'greedy' AS mode, 3::BIGINT AS n_lines, round(300 + o + two + last, 4) AS length, CAST(300 + o AS INT) AS longest FROM p, bend
+UNION ALL SELECT plan_id, 'once', 4, round(295 + o + two + last, 4), CAST(200 + o AS INT) FROM p, bend
+UNION ALL SELECT plan_id, 'components', 2, round(300 + o + whole, 4), CAST(greatest(300 + o, floor(whole)) AS INT) FROM p, bend""",
 }
