@@ -35,7 +35,7 @@ class CollocationConfig:
     #: Phrases of a language in the report; this is the feature's limit.
     top: int = 2000
     #: Bytes of text whose windows are counted at once in a task.
-    text_bytes: int = 32 << 20
+    text_bytes: int = 16 << 20
 
 
 def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -57,7 +57,10 @@ def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
-    """``(lang, w1, w2, w3, n)``, the distinct windows of some rows ``(lang, text)`` in their order; null is padding."""
+    """``(head, w3, n)``, the distinct windows of some rows ``(lang, text)`` in their order; what is padding is left out.
+
+    ``head`` is the first two words and the language in one string, which makes shorter rows to shuffle.
+    """
     words, w1, row = _coded(part.column(1))
     langs = part.column(0).dictionary_encode()
     size, stop = len(words) + 1, pc.index(words, "\n").as_py() + 1
@@ -83,11 +86,13 @@ def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
     n = np.diff(np.concatenate([first, [len(key)]]))
     lang, *codes = (c[order[first]] for c in columns)
     named = [words.take(pa.array(c - 1, mask=c == 0)) for c in codes]
-    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), *named, pa.array(n)], names=["lang", "w1", "w2", "w3", "n"])
+    head = pc.binary_join_element_wise(*named[:2], " ", null_handling="skip")
+    head = pc.binary_join_element_wise(head, langs.dictionary.take(pa.array(lang)), "\t")
+    return pa.RecordBatch.from_arrays([head, named[2], pa.array(n)], names=["head", "w3", "n"])
 
 
 def windows(docs: DataFrame, cfg: CollocationConfig = CollocationConfig()) -> DataFrame:
-    """``(lang, w1, w2, w3, n)``: longest windows with their number among the texts that a task counted together.
+    """``(head, w3, n)``: longest windows with their number among the texts that a task counted together.
 
     They come in order, so that neighbours in a shuffle block share their first words and compress well.
     """
@@ -103,7 +108,7 @@ def windows(docs: DataFrame, cfg: CollocationConfig = CollocationConfig()) -> Da
                 pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "lang string, w1 string, w2 string, w3 string, n bigint")
+    return rows.mapInArrow(run, "head string, w3 string, n bigint")
 
 
 def counts(docs: DataFrame, cfg: CollocationConfig = CollocationConfig()) -> DataFrame:
@@ -111,13 +116,14 @@ def counts(docs: DataFrame, cfg: CollocationConfig = CollocationConfig()) -> Dat
 
     ``w2`` and ``w3`` are null in shorter phrases; a row without words has the number of all words of the language.
     """
-    dealt = windows(docs, cfg).repartition("lang", "w1", "w2")
-    longest = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n"))
-    both = F.sum("n").over(Window.partitionBy("lang", "w1", "w2"))
+    longest = windows(docs, cfg).repartition("head").groupBy("head", "w3").agg(F.sum("n").alias("n"))
+    longest = longest.withColumn("both", F.sum("n").over(Window.partitionBy("head"))).withColumn("words", F.substring_index("head", "\t", 1))
+    second = F.when(F.col("words").contains(" "), F.substring_index("words", " ", -1))
     # A last word that is too rare goes, then the second: the shorter prefix keeps the occurrences.
-    cut = longest.withColumn("both", both).select(
-        "lang", "w1", F.when(F.col("both") >= cfg.least, F.col("w2")).alias("w2"), F.when(F.col("n") >= cfg.least, F.col("w3")).alias("w3"), "n"
-    )
+    cut = longest.select(
+        F.expr("substring(head, length(words) + 2)").alias("lang"), F.substring_index("words", " ", 1).alias("w1"),
+        F.when(F.col("both") >= cfg.least, second).alias("w2"), F.when(F.col("n") >= cfg.least, F.col("w3")).alias("w3"), "n",
+    )
     folded = stored(cut.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("n")))
     level = F.grouping_id().alias("level")
     rolled = folded.rollup("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"), level)
