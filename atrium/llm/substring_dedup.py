@@ -8,7 +8,8 @@ same inner parts there. Parts are short; at 5-word shingles two of them are alik
 
 Of a class of paragraphs or parts that occurs in two or more documents, the first place (by doc_id, then position) is
 the source. Neighbouring places with one source and one shift against it are a run; its words are compared with the
-source's and it grows to both sides as far as they agree. Sources are kept and the others removed.
+source's and it grows to both sides as far as they agree, also where the next classes have other sources. Sources are
+kept and the others removed.
 """
 
 from __future__ import annotations
@@ -47,8 +48,12 @@ class SubstringConfig:
     #: Repeated spans of fewer words are not reported. 50 is what passages are in the contract of the query; 8 also gives
     #: short paragraphs.
     least_words: int = 50
-    #: Words to each side of a run in which its ends are looked for.
+    #: Words to each side of a run that are compared at once; where all agree, eight times as many are next.
     context: int = 32
+    most_context: int = 4096
+    #: Runs of fewer words are not compared with their source. A passage of which other documents hold pieces may have no
+    #: longer run with the document that holds all of it.
+    least_run: int = 5
     #: Largest band bucket in which all pairs are compared at once; in larger ones see ``crowded``.
     paired: int = 12
     #: Members of a crowded list that one task compares with others.
@@ -60,11 +65,6 @@ class SubstringConfig:
     fine_bands: int = 16
     fine_rows: int = 6
 
-    @property
-    def least_run(self) -> int:
-        """A passage has inner parts of so many words together, or they are not compared: a third of it is cut off by its ends."""
-        return min(self.least_words, 12)
-
     @property
     def bands(self) -> int:
         """Bands needed so that two paragraphs at the similarity share one with probability ``recall``."""
@@ -313,12 +313,12 @@ def _runs(hits: DataFrame) -> DataFrame:
     )
 
 
-def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig) -> DataFrame:
+def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig, context: int) -> DataFrame:
     """``places(doc_id, v, start, end, ...)`` with a digest of the words there, and hashes of those around, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(cfg.remembered)
-        code = lambda words: np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)).astype(np.uint32).view(np.int32)
+        code = lambda words: np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
         for batch in batches:
             taken, made = [], []
             for k, (text, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
@@ -326,29 +326,29 @@ def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig) -> D
                 for p in places:
                     a, b = p["start"], p["end"]
                     digest = hashlib.sha256(" ".join(words[a:b]).encode("utf-8", "surrogatepass")).digest()
-                    made.append((digest, code(words[max(0, a - cfg.context) : a][::-1]), code(words[b : b + cfg.context])))
+                    made.append((digest, code(words[max(0, a - context) : a][::-1]), code(words[b : b + context])))
                     taken.append(k)
             own = batch.column(3).flatten()
             columns = [batch.column(i).take(pa.array(taken, pa.int64())) for i in (0, 1)] + own.flatten()
-            columns += [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())))]
+            columns += [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", *(f.name for f in own.type), "digest", "before", "after"])
 
     kinds = dict(places.dtypes)
     rest = ", ".join(f"{c} {kinds[c]}" for c in places.columns if c not in ("doc_id", "v"))
-    schema = f"doc_id bigint, v bigint, {rest}, digest binary, before array<int>, after array<int>"
+    schema = f"doc_id bigint, v bigint, {rest}, digest binary, before array<bigint>, after array<bigint>"
     return _looked_up(docs, places).select("doc_id", "v", "text", "places").mapInArrow(run, schema)
 
 
-def _grown(docs: DataFrame, runs: DataFrame, cfg: SubstringConfig) -> DataFrame:
-    """Runs whose words are the source's, with the words around them that agree as well.
+_SPAN = ("doc_id", "v", "start", "end", "s_doc_id", "s_v", "s_start", "s_end")
 
-    Words around are compared by 32 bits of their hashes, so one of 4 billion that agree by these may be another word.
-    """
+
+def _compared(docs: DataFrame, spans: DataFrame, cfg: SubstringConfig, context: int) -> DataFrame:
+    """The spans whose words are their source's, by digest, with ``left`` and ``right``: up to ``context`` words around that
+    agree as well, by 64 bits of their hashes."""
     source = ["s_doc_id", "s_v", "s_start", "s_end"]
-    runs = runs.withColumn("s_end", (F.col("s_start") + F.col("end") - F.col("start")).cast("int"))
-    own = runs.select("doc_id", "v", "start", "end", *source)
-    wanted = runs.select(*[F.col(s).alias(s[2:]) for s in source]).distinct().selectExpr("*", *[f"CAST(NULL AS {t}) AS {s}" for s, t in runs.select(*source).dtypes])
-    around = stored(_surroundings(docs, own.unionByName(wanted), cfg))
+    own = spans.select(*_SPAN)
+    wanted = spans.select(*[F.col(s).alias(s[2:]) for s in source]).distinct().selectExpr("*", *[f"CAST(NULL AS {t}) AS {s}" for s, t in spans.select(*source).dtypes])
+    around = stored(_surroundings(docs, own.unionByName(wanted), cfg, context))
     of_source = around.where("s_doc_id IS NULL").select(*[F.col(c).alias(f"s_{c}") for c in ("doc_id", "v", "start", "end", "digest", "before", "after")])
     both = around.where("s_doc_id IS NOT NULL").join(of_source, source).where("digest = s_digest")
 
@@ -357,11 +357,32 @@ def _grown(docs: DataFrame, runs: DataFrame, cfg: SubstringConfig) -> DataFrame:
         at = F.array_position(differs, True).cast("int")
         return F.when(at == 0, F.size(differs)).otherwise(at - 1)
 
-    left, right = agree("before"), agree("after")
-    return both.select(
-        "doc_id", "v", (F.col("start") - left).alias("start"), (F.col("end") + right).alias("end"),
-        "s_doc_id", "s_v", (F.col("s_start") - left).alias("s_start"), (F.col("s_end") + right).alias("s_end"),
-    )
+    return both.select(*_SPAN, agree("before").alias("left"), agree("after").alias("right"))
+
+
+def _grown(docs: DataFrame, runs: DataFrame, cfg: SubstringConfig) -> DataFrame:
+    """Runs whose words are the source's, with all words around them that agree as well; those of ``least_words`` and more.
+
+    A run of which a whole side agrees is looked at again with a wider one, so a run ends where its words differ from the
+    source's, whatever other documents hold pieces of it. What has grown is compared by digest once more.
+    """
+    now = runs.withColumn("s_end", (F.col("s_start") + F.col("end") - F.col("start")).cast("int")).select(*_SPAN).distinct()
+    context, grown = cfg.context, None
+    while True:
+        found = _compared(docs, now, cfg, context)
+        wider = found.select(
+            "doc_id", "v", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"),
+            "s_doc_id", "s_v", (F.col("s_start") - F.col("left")).alias("s_start"), (F.col("s_end") + F.col("right")).alias("s_end"),
+            (F.greatest("left", "right") >= context).alias("open"),
+        )
+        wider = stored(wider.distinct())
+        done = wider.where("NOT open AND end - start >= " + str(cfg.least_words)).select(*_SPAN)
+        grown = done if grown is None else grown.unionByName(done)
+        now = stored(wider.where("open").select(*_SPAN))
+        if now.isEmpty():
+            break
+        context = min(8 * context, cfg.most_context)
+    return _compared(docs, stored(grown.distinct()), cfg, 0).select(*_SPAN)
 
 
 def _outermost(spans: DataFrame) -> DataFrame:

@@ -254,15 +254,17 @@ def _repeats(texts, n):
     return out
 
 
-def test_repeats_of_a_table(spark, docs, texts):
-    texts = {i: t or "" for i, t in texts.items()}
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_repeats_of_a_table(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     found = substring_dedup.repeated(docs).collect()
     _spans_hold(found, texts)
     covered = collections.defaultdict(set)
     for r in found:
         assert r["end"] - r["start"] >= 50 and (r["removed"] or r["first_doc_id"] == r["doc_id"])
         covered[r["doc_id"]] |= set(range(r["start"], r["end"]))
-    want = _repeats(texts, 51)
+    want = _repeats(texts, 50)
     assert want and all(hit <= covered[i] for i, hit in want.items())
     assert sum(i not in want for i in covered) <= 0.02 * (len(texts) - len(want))
 
@@ -287,6 +289,23 @@ def test_repeated_passages(spark, texts):
     assert not {r["doc_id"] for r in found} & set(range(120, 160))
 
 
+@pytest.mark.parametrize("pieces, size", [(3, 40), (6, 30), (5, 15), (4, 20), (3, 200)])
+def test_whole_passages_of_which_others_hold_pieces(spark, pieces, size):
+    """Documents 100 and 200 share a passage; each earlier document holds one piece of it."""
+    rng = random.Random(pieces * size)
+    own = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(8):
+        cut = [own(size) for _ in range(pieces)]
+        passage = [w for c in cut for w in c]
+        rows += [(1000 * k + i, " ".join([*own(25), *c, *own(25)])) for i, c in enumerate(cut)]
+        rows += [(1000 * k + i, " ".join([*own(40), *passage, *own(40)])) for i in (100, 200)]
+    found = substring_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    _spans_hold(found, dict(rows))
+    spans = {(r["doc_id"], r["start"], r["end"], r["first_doc_id"]) for r in found if r["removed"]}
+    assert {(1000 * k + 200, 40, 40 + pieces * size, 1000 * k + 100) for k in range(8)} <= spans
+
+
 def test_short_paragraphs_and_changing_sources(spark):
     word = lambda rng: f"w{rng.randrange(10**6)}"
     rng = random.Random(8)
