@@ -4,37 +4,70 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _folding(form: str) -> dict[str, str]:
-    """Latin letters and signs (up to U+024F, U+1E00 to U+1EFF and U+2070 to U+209C) that fold to one other character."""
-    out = {}
-    for code in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x209D)]:
+#: Characters below this are folded by a table if they fold to one character; all others go through ``unicodedata``.
+_TABLE_END = 0x3000
+
+
+def folded(text: str, form: str) -> str:
+    """A text in a normal form without combining marks."""
+    return "".join(c for c in unicodedata.normalize(form, text) if not unicodedata.combining(c))
+
+
+def _folding(form: str) -> tuple[dict[str, str], str]:
+    """The characters that fold to one other character, and a regex for those that the table and the dropping of marks can't fold."""
+    table, known = {}, []
+    for code in range(_TABLE_END):
         c = chr(code)
-        folded = "".join(d for d in unicodedata.normalize(form, c) if not unicodedata.combining(d))
-        if folded != c and len(folded) == 1:
-            out[c] = folded
-    return out
+        f = folded(c, form)
+        if f != c and len(f) == 1:
+            table[c] = f
+        elif f != c and not (f == "" and unicodedata.category(c) == "Mn"):
+            continue
+        elif f == c and unicodedata.category(c) == "Mn":
+            continue  # a mark that doesn't combine stays
+        if known and known[-1][1] == code - 1:
+            known[-1][1] = code
+        else:
+            known.append([code, code])
+    ranges = "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in known)
+    return table, f"[^{ranges}]"
+
+
+_TABLES = {form: _folding(form) for form in ("NFD", "NFKD")}
+
+
+def _by_unicodedata(form: str):
+    @F.pandas_udf("string")
+    def fold(texts: pd.Series) -> pd.Series:
+        import unicodedata
 
+        keep = lambda t: "".join(c for c in unicodedata.normalize(form, t) if not unicodedata.combining(c))
+        return texts.map(keep, na_action="ignore")
 
-_NFD, _NFKD = _folding("NFD"), _folding("NFKD")
+    return fold
 
 
-def _fold(text: Column, table: dict[str, str]) -> Column:
-    """Accents off by ``translate``; loose marks are dropped."""
-    return F.regexp_replace(F.translate(text, "".join(table), "".join(table.values())), r"\p{Mn}+", "")
+def _fold(text: Column, form: str) -> Column:
+    """Accents off: by a table and without Python for most texts, by ``unicodedata`` for those that hold anything else."""
+    table, other = _TABLES[form]
+    native = F.regexp_replace(F.translate(text, "".join(table), "".join(table.values())), r"\p{Mn}+", "")
+    odd = F.regexp_like(text, F.lit(other))
+    return F.when(odd, _by_unicodedata(form)(F.when(odd, text))).otherwise(native)
 
 
 def strip_accents(text: Column) -> Column:
-    """NFD without marks, for Latin letters."""
-    return _fold(text, _NFD)
+    """NFD without marks."""
+    return _fold(text, "NFD")
 
 
 def normalize_floor_text(text: Column) -> Column:
     """NFKD without marks, lower case; empty for null. A raised o becomes a letter o."""
-    return F.coalesce(F.lower(_fold(text, _NFKD)), F.lit(""))
+    return F.coalesce(F.lower(_fold(text, "NFKD")), F.lit(""))
 
 
 def _one_space(text: Column) -> Column:

@@ -204,7 +204,8 @@ def floor_labels(texts: DataFrame, keys: list[str] | None = None, both_orders: b
     if both_orders:
         names += [(f"piano {w}", f"{w} piano") for w in ORDINALS]
     # A row generator, so that a text is folded once and not in each expression that uses it.
-    rows = texts.select(*keys, "seq", "text", F.explode(F.array(normalize_floor_text(F.col("text")))).alias("folded"))
+    rows = texts.select(*keys, "seq", "text", normalize_floor_text(F.col("text")).alias("folded"))
+    rows = rows.select(*keys, "seq", "text", F.explode(F.array("folded")).alias("folded"))
     said = rows.where(F.col("folded").contains("piano") | F.col("folded").contains("terra"))  # all patterns have one of these
     hit = F.array(*[F.when(F.regexp_like("folded", F.lit(p)), F.struct(F.lit(c).alias("confidence"), F.lit(-i).alias("order"), F.lit(label).alias("label"))) for i, (p, label, c) in enumerate(rules)])
     by_rule = said.select(*keys, "seq", "text", F.array_max(hit).alias("m")).where("m IS NOT NULL")

@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,16 @@ def test_normal_forms(spark):
     assert [tuple(r) for r in got] == [("dis", "caffe bar", "caffe-bar"), ("rip", "e u", "e u")]
 
 
+def test_all_scripts_fold(spark):
+    """Greek, Cyrillic, Hangul, ligatures, fractions, full width, marks that stand alone: as ``unicodedata`` has it."""
+    texts = ["Άρθρο Ωΐ", "Й ё ї", "한글 각", "ﬁn ﬂ ﬃ", "½ ¾ … №", "Ｓａｌａ", "e\u0301 \u0301", "ĳ ǆ ŉ ¨", "が ぱ", "नि ख़", "שָׁלוֹם", "i̇İ", "ơ Ứ ự", "\u2011 \u212b ℃", "😀 𝒜𝓑", "plain", "1º piano", "\u0345\u05bf"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    forms = {"floor": text.normalize_floor_text(F.col("t")), "bare": text.strip_accents(F.col("t"))}
+    for r in df.select("t", *[v.alias(k) for k, v in forms.items()]).collect():
+        fold = lambda form, t: "".join(c for c in unicodedata.normalize(form, t) if not unicodedata.combining(c))
+        assert (r["floor"], r["bare"]) == (fold("NFKD", r["t"]).lower(), fold("NFD", r["t"])), r["t"]
+
+
 def test_candidate_maps(spark, tmp_path):
     file = tmp_path / "map.txt"
     file.write_text("section_n | image_split_name | ocr | tok\n1 | 0000.png | x | \n1 | 0001.png | Camera | camera, 12\n1 | 0002.png | a/b | soggiorno, pranzo\n")
