@@ -3,7 +3,8 @@
 Each DOM node gets a density, its characters per tag, lowered where much of it is link text. A node's density sum
 adds up its children's densities; the node with the largest sum holds the article, and the least density on its way
 up to below the body is the threshold that other parts of the page must reach to be kept with it. What a page's author says
-in class, id or role lowers densities where nodes compete; it takes nothing away by itself.
+in class, id or role lowers densities where nodes compete. Within the article it takes away only what also is mostly links,
+has fields to fill in or is a bare line; a holder of readers' comments goes by its name, however dense they are.
 """
 
 from __future__ import annotations
@@ -31,9 +32,16 @@ BLOCK = frozenset(
 )
 #: Never part of an article's text.
 SKIP = frozenset(
-    "nav footer aside form script style noscript template iframe svg canvas button select textarea dialog menu object "
-    "embed audio video map math head title input label option datalist search".split()
+    "nav footer aside form script style noscript template iframe svg canvas button select textarea dialog menu "
+    "embed audio video head title input option".split()
 )
+#: What readers fill in.
+CONTROLS = frozenset("form input button select textarea".split())
+#: Names of what holds readers' comments: the first by themselves, ``comment`` with one of the others.
+COMMENTS = frozenset("comments commentlist disqus".split())
+COMMENT_PARTS = frozenset("list section area thread wrapper box form container".split())
+#: Elements that such a name takes away.
+HOLDERS = frozenset("div section ol ul aside footer details".split())
 #: Words in class, id or role of what is seldom the article, and of those what may be part of its structure as well.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr "
@@ -59,6 +67,7 @@ ENDS = {
 _TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _BAD_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>?")
 _MARKS = re.compile(r"""\b(class|id|role|aria-hidden|style|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ENDED = re.compile(r"""(?:^|[\s"'])/$""")  # not the end of a value without quotes
 _END = {t: re.compile(rf"</{t}\b", re.IGNORECASE) for t in RAW}
 
 
@@ -75,6 +84,7 @@ class Node:
     tags: int = 0
     link_chars: int = 0
     link_tags: int = 0
+    controls: bool = False
     density: float = 0.0
     density_sum: float = 0.0
 
@@ -83,13 +93,20 @@ class Node:
         return [c for c in self.content if isinstance(c, Node) and not c.skip]
 
 
-def _named(value: str) -> int:
-    parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
-    return 2 if any(x in MARKED for x in parts) else int(any(x in WEAK for x in parts))
+def _parts(value: str) -> set[str]:
+    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()))
+
+
+def _named(parts: set[str]) -> int:
+    return 2 if parts & MARKED else int(bool(parts & WEAK))
+
+
+def _holds_comments(parts: set[str]) -> bool:
+    return bool(parts & COMMENTS) or ("comment" in parts and bool(parts & COMMENT_PARTS))
 
 
 def _marks(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element is hidden, and how it is marked."""
+    """Whether an element is hidden or holds readers' comments, and how it is marked."""
     hidden, mark = False, 0
     for m in _MARKS.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -98,7 +115,9 @@ def _marks(tag: str, attributes: str) -> tuple[bool, int]:
         elif name == "style":
             hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE))
         elif tag not in HEADINGS and tag not in ("html", "body", "article", "main"):
-            mark = max(mark, _named(value))
+            parts = _parts(value)
+            mark = max(mark, _named(parts))
+            hidden |= tag in HOLDERS and _holds_comments(parts)
     return hidden, mark
 
 
@@ -207,7 +226,7 @@ def parse(source: str) -> Node:
             end = _END[tag].search(source, at)
             close = source.find(">", end.start()) if end else -1
             at = n if close < 0 else close + 1
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not _ENDED.search(m[3]):
             open_.push(child)
     return root
 
@@ -231,6 +250,7 @@ def measure(root: Node) -> list[Node]:
         node.tags = sum(k.tags + 1 for k in kids)
         node.link_chars = node.chars if node.tag == "a" else sum(k.link_chars for k in kids)
         node.link_tags = sum(k.link_tags + (k.tag == "a") for k in kids)
+        node.controls = any(k.controls for k in kids) or any(isinstance(c, Node) and c.tag in CONTROLS for c in node.content)
     ratio = root.link_chars / max(1, root.chars)
     for node in order:
         node.density = composite_density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
@@ -276,7 +296,8 @@ def main_nodes(root: Node) -> list[Node]:
         top = up
     for x in _below(top):
         links = 2 * x.link_chars > x.chars
-        if x.mark and x.density < best.density and (links or x.mark == 2):
+        bare = x.mark == 2 and not any(k.tag in BLOCK for k in x.kids)  # a line of its own, without a paragraph
+        if x.mark and x.density < best.density and (links or x.controls or bare):
             x.skip = True
         elif top is root and x.density * x.weight < threshold and (x.mark or (links and x.parent is root)):
             x.skip = True

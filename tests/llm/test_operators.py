@@ -513,6 +513,34 @@ def test_names_do_not_take_text_away(name):
         assert html_text.main_text(source).split("\n")[2] == own.strip()
 
 
+@pytest.mark.parametrize("name", ["promotion", "promo-code", "comment", "banner", "ads", "subscribe", "modal verbs", "cookies", "login"])
+def test_marked_parts_with_prose_stay(name):
+    """An article on modal verbs, logins or cookies keeps its parts; with links or fields instead of prose they go."""
+    around = lambda part: f'<article><h1>T</h1><p>{"word " * 60}</p>{part}<p>{"more " * 60}</p></article>'
+    lines = lambda part: html_text.main_text(around(part)).split("\n")[2:-1]
+    assert lines(f'<div class="{name}"><p>Few words here.</p></div>') == ["Few words here."]
+    assert lines(f'<div class="{name}"><h2>Head</h2><ul><li>one</li><li>two words</li></ul></div>') == ["Head", "one", "two words"]
+    assert lines(f'<div class="{name}"><p>Now!</p><form><input name="mail"><button>Go</button></form></div>') == []
+    assert lines(f'<div class="{name}"><p><a href="/1">Buy one now</a></p><p><a href="/2">Buy two</a></p></div>') == []
+
+
+@pytest.mark.parametrize("holder", ['section id="comments"', 'div class="comment-list"', 'ol class="commentlist"', 'div class="reader comments"'])
+def test_comments_go_however_dense(holder):
+    prose = " ".join(f"said{i}" for i in range(300))
+    story = "".join(f"<p>{p}</p>" for p in ("Short story of a few words.", "It has <b>many</b> <i>small</i> <a href='/x'>tags</a>.") * 3)
+    want = "\n".join(("Short story of a few words.", "It has many small tags.") * 3)
+    part = f"<{holder}><p>{prose}</p></{holder.split()[0]}>"
+    assert html_text.main_text(f"<article>{story}{part}</article>") == want
+    assert html_text.main_text(f"<body><article>{story}</article>{part}</body>") == want
+    assert html_text.main_text(f"<body><div><h1>T</h1>{story}</div>{part}</body>") == f"T\n{want}"
+
+
+def test_what_the_contract_does_not_exclude_stays():
+    body = "word " * 60
+    source = f"<article><p>{body}<math><mi>E</mi><mo>=</mo><mspace/><mi>m</mi></math> <label>named</label> <object>shown</object> <a href=x/>linked</a> end</p><search>found here</search></article>"
+    assert html_text.main_text(source) == f"{body}E=m named shown linked end\nfound here"
+
+
 _P = [" ".join(f"{w}{i}" for i in range(40)) for w in ("alpha", "beta", "gamma", "delta")]
 _MENU = "<div><ul>" + "".join(f'<li><a href="/{i}">Menu {i}</a></li>' for i in range(9)) + "</ul></div>"
 _LIST = "<div>" + "".join(f'<p><a href="/{i}">Another story {i}</a></p>' for i in range(6)) + "</div>"
