@@ -15,6 +15,9 @@ from atrium.sources import models
 #: Floor names as they are read from drawings; each document is given one of them.
 FLOOR_TEXTS = ("PIANO TERRA", "piano_primo", "2° piano", "1º piano", "pian0 terra", "iano terra", "secondo pian0", "p. terra", "Piano 3", "terzo-piano", "piamo terra", "piano decimo x", "")
 
+#: Phrases in other scripts, and with characters that fold to several.
+SCRIPTS = ("Άρθρο Ωΐ", "Ёлка й", "각 한", "ﬁne ½ …", "Ｓａｌａ", "ĳs ǆ", "がぱ", "Piano º")
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -49,6 +52,13 @@ def normalize_docs(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", *[F.md5(v.cast("binary")).alias(k) for k, v in forms.items()])
 
 
+def normalize_scripts(spark, sf_dir):
+    """Each document behind a phrase in another script, or with characters that fold to several."""
+    t = F.concat(F.element_at(F.array(*[F.lit(x) for x in SCRIPTS]), (F.col("doc_id") % len(SCRIPTS) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    forms = {"floor": text.normalize_floor_text(t), "plain": text.normalize_plain(t)}
+    return _docs(spark, sf_dir).select("doc_id", *[F.md5(v.cast("binary")).alias(k) for k, v in forms.items()])
+
+
 def tokens(spark, sf_dir):
     found = labels.crop_tokens(_boxes(spark, sf_dir), ["plan_id"])
     return found.select("plan_id", F.array_join("tok", ",").alias("tok"), text.tokens_match(F.col("tok"), ["camera", "bagno"]).alias("hit"))
@@ -167,13 +177,14 @@ def primitives_doc(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        overlap_pairs, text_nms, box_filter, unique_texts, normalize_docs, tokens, target_texts, floor_labels, knn_edges, floor_bands,
+        overlap_pairs, text_nms, box_filter, unique_texts, normalize_docs, normalize_scripts, tokens, target_texts, floor_labels, knn_edges, floor_bands,
         floor_bands_down, named_floors, texts_in_bands, main_rectangle, scale_factors, scale_texts, section_numbers, model_rooms, model_walls, hvac_documents, primitives_doc,
     )
 }
 
 _T = f"t AS ({TEXT_FX})"
 _PLAIN = r"trim(regexp_replace(strip_accents(lower(trim(text))), '[\s\x0b]+', ' ', 'g'))"
+_SCRIPT = {form: "CASE doc_id % " + str(len(SCRIPTS)) + "".join(f" WHEN {i} THEN '{text.folded(x, form).lower()}'" for i, x in enumerate(SCRIPTS)) + " END" for form in ("NFD", "NFKD")}
 _OCR = r"trim(regexp_replace(regexp_replace(replace(strip_accents(lower(text)), '-', ' '), '[^\p{L}\p{N} ._/]', '', 'g'), ' +', ' ', 'g'))"
 _RULES = ", ".join(f"({i}, '{p}', '{label}', {c}::DOUBLE)" for i, (p, label, c) in enumerate(labels.floor_rules()))
 _NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(["piano terra", *[f"{w} piano" for w in labels.ORDINALS]]))
@@ -223,6 +234,8 @@ FROM t WHERE w * h BETWEEN 100 AND 6000 AND w / h::DOUBLE BETWEEN 1.2 AND 10 AND
     "normalize_docs": rf"""SELECT doc_id, md5(coalesce(lower(strip_accents(text)), '')) AS floor,
   md5(trim(CASE WHEN {_OCR} LIKE '%.' AND length({_OCR}) <= 5 THEN left({_OCR}, CAST(length({_OCR}) - 1 AS BIGINT)) ELSE {_OCR} END)) AS ocr,
   md5(trim(regexp_replace(replace(strip_accents(lower(trim(text))), '-', ' '), '[\s\x0b]+', ' ', 'g'))) AS label, md5({_PLAIN}) AS plain FROM documents""",
+    "normalize_scripts": rf"""SELECT doc_id, md5({_SCRIPT["NFKD"]} || ' ' || lower(strip_accents(coalesce(text, '')))) AS floor,
+  md5(trim(regexp_replace({_SCRIPT["NFD"]} || ' ' || strip_accents(lower(coalesce(text, ''))), '[\s\x0b]+', ' ', 'g'))) AS plain FROM documents""",
     "tokens": f"""WITH {_T}, d AS (SELECT DISTINCT plan_id, CASE text WHEN 'Ripostiglio.' THEN 'ripostiglio.' ELSE lower(text) END AS k FROM t)
 SELECT plan_id, string_agg(k, ',' ORDER BY k) AS tok, max(CASE WHEN k IN ('camera', 'bagno') THEN 1 ELSE 0 END) = 1 AS hit FROM d GROUP BY plan_id""",
     "target_texts": f"SELECT doc_id, coalesce(contains(p, 'camera') OR contains(p, 'bagno') OR contains(p, 'the ') OR contains(p, 'eau'), false) AS hit FROM (SELECT doc_id, {_PLAIN} AS p FROM documents)",
