@@ -59,7 +59,9 @@ class SubstringConfig:
     #: Members of a crowded list that one task compares with others.
     block: int = 256
     words_at_once: int = 200_000
-    remembered: int = 500_000
+    remembered: int = 100_000
+    #: Hashes of words around runs that a task holds before it sends them on.
+    held_words: int = 250_000
 
     #: Bands of the finer signatures of members of crowded lists, and their rows.
     fine_bands: int = 16
@@ -319,19 +321,30 @@ def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig, cont
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(cfg.remembered)
         code = lambda words: np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
+
+        def packed(rows: pa.RecordBatch, taken: list, made: list) -> pa.RecordBatch:
+            at = pa.array(taken, pa.int64())
+            own = rows.column(3).flatten()
+            own = own.slice(packed.done, len(taken))
+            packed.done += len(taken)
+            columns = [rows.column(i).take(at) for i in (0, 1)] + own.flatten()
+            columns += [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", *(f.name for f in own.type), "digest", "before", "after"])
+
         for batch in batches:
-            taken, made = [], []
-            for k, (text, places) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                words = text.split()
-                for p in places:
+            taken, made, held, packed.done = [], [], 0, 0
+            for k in range(batch.num_rows):
+                words = batch.column(2)[k].as_py().split()
+                for p in batch.column(3)[k].as_py():
                     a, b = p["start"], p["end"]
                     digest = hashlib.sha256(" ".join(words[a:b]).encode("utf-8", "surrogatepass")).digest()
                     made.append((digest, code(words[max(0, a - context) : a][::-1]), code(words[b : b + context])))
                     taken.append(k)
-            own = batch.column(3).flatten()
-            columns = [batch.column(i).take(pa.array(taken, pa.int64())) for i in (0, 1)] + own.flatten()
-            columns += [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", *(f.name for f in own.type), "digest", "before", "after"])
+                    held += len(made[-1][1]) + len(made[-1][2])
+                    if held > cfg.held_words:
+                        yield packed(batch, taken, made)
+                        taken, made, held = [], [], 0
+            yield packed(batch, taken, made)
 
     kinds = dict(places.dtypes)
     rest = ", ".join(f"{c} {kinds[c]}" for c in places.columns if c not in ("doc_id", "v"))
