@@ -1,13 +1,15 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-Two 64-bit fingerprints that differ in at most 2 bits share at least 6 of their 8 positional bytes. The index posts
-each distinct fingerprint under each set of 6 byte positions with the bytes there. The postings that a pair shares
-are tallied into the byte positions they prove equal; pairs that reach the guaranteed 6 are kept, and the bit count
-verifies them.
-
-The members of one posting list differ in two bytes only, so it has 65,536 of them at most. Lists longer than a limit
-are not paired: two members are within 2 bits if and only if some value is within 1 bit of both, so each posts itself
-and its 16 neighbours in the two free bytes, and all that share such a value are linked to the smallest there.
+Two 64-bit fingerprints that differ in at most 2 bits share at least 6 of their 8 positional bytes. The index posts each
+distinct fingerprint under 14 sets of 4 byte positions with the bytes there: the sets whose positions, as three binary
+digits, cancel out. Two fingerprints that share 6 positions meet in exactly 3 of these lists, and the 3 together prove
+all 6 positions; two that share 5 meet in one list only. So the lists in which a pair meets are tallied into the byte
+positions that they prove equal, pairs with fewer than 6 are dropped by that count, and the bit count verifies the rest.
+
+Lists longer than a limit are not paired. Two members are within 2 bits if and only if some value is within 1 bit of
+both, so each member posts itself and its neighbours in the bytes that its long lists leave free, 64 at most, and all
+that share such a value are linked to the smallest there. A pair that meets in a long list is found that way, and a pair
+that meets in short lists only has its whole tally there, so no link is lost and no list is compared with itself.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from atrium.operators.components import connected_components
 from atrium.storage import stored
 
 
-#: The sets of byte positions that the index is posted under.
-SETS = tuple(combinations(range(8), 6))
+#: The sets of byte positions that the index is posted under: each 6 positions hold 3 of them, each 5 hold 1.
+SETS = tuple(at for at in combinations(range(8), 4) if at[0] ^ at[1] ^ at[2] ^ at[3] == 0)
 
 
 @dataclass(frozen=True)
@@ -85,14 +87,17 @@ def _long(x: int) -> Column:
 
 
 def postings(fps: DataFrame) -> DataFrame:
-    """``(fp, s, bytes)``: a row for each set ``s`` of 6 byte positions with the fingerprint's bytes there."""
+    """``(fp, s, bytes)``: a row for each of the ``SETS`` of byte positions with the fingerprint's bytes there."""
     masks = [sum(0xFF << 8 * p for p in positions) for positions in SETS]
     each = [F.struct(F.lit(s).cast("byte").alias("s"), F.col("fp").bitwiseAND(_long(m)).alias("bytes")) for s, m in enumerate(masks)]
     return fps.select("fp", F.inline(F.array(*each)))
 
 
 def tallied(met: DataFrame) -> DataFrame:
-    """``(src, dst, shared)``: pairs in the same posting lists with the number of byte positions these prove equal."""
+    """``(src, dst, shared)``: pairs in the same posting lists with the number of byte positions these prove equal.
+
+    ``shared`` is exact from 6 on; pairs that share 4 or 5 bytes have 4 here, if they meet at all.
+    """
     positions = F.array(*[F.lit(sum(1 << p for p in at)) for at in SETS])
     a, b = met.selectExpr("s", "bytes", "fp AS src"), met.selectExpr("s", "bytes", "fp AS dst")
     pairs = a.join(b, ["s", "bytes"]).where("src < dst").select("src", "dst", F.get(positions, F.col("s").cast("int")).alias("at"))
@@ -100,13 +105,14 @@ def tallied(met: DataFrame) -> DataFrame:
 
 
 def _neighbours(met: DataFrame) -> DataFrame:
-    """Links within long lists, through the values that are within 1 bit of two members."""
-    flips = [F.array(*[_long(1 << 8 * p + k) for p in range(8) if p not in at for k in range(8)]) for at in SETS]
-    own = F.get(F.array(*flips), F.col("s").cast("int"))
-    near = F.concat(F.array("fp"), F.transform(own, lambda flip: F.col("fp").bitwiseXOR(flip)))
-    hubs = met.select("s", "fp", F.explode(near).alias("hub"))
-    lists = hubs.groupBy("s", "hub").agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)  # 17 at most
-    return lists.select(F.get("all", F.lit(0)).alias("src"), F.explode(F.slice("all", 2, 16)).alias("dst")).distinct()
+    """Links between members of long lists, through the values that are within 1 bit of two of them."""
+    free = F.array(*[_long(sum(0xFF << 8 * p for p in range(8) if p not in at)) for at in SETS])
+    members = met.groupBy("fp").agg(F.bit_or(F.get(free, F.col("s").cast("int"))).alias("free"))
+    flips = F.filter(F.array(*[_long(1 << k) for k in range(64)]), lambda flip: F.col("free").bitwiseAND(flip) != 0)
+    near = F.concat(F.array("fp"), F.transform(flips, lambda flip: F.col("fp").bitwiseXOR(flip)))
+    hubs = members.select("fp", F.explode(near).alias("hub"))
+    lists = hubs.groupBy("hub").agg(F.sort_array(F.collect_list("fp")).alias("all")).where(F.size("all") > 1)  # 65 at most
+    return lists.select(F.get("all", F.lit(0)).alias("src"), F.explode(F.slice("all", 2, 64)).alias("dst")).distinct()
 
 
 def links(fps: DataFrame, cfg: SimHashConfig = SimHashConfig()) -> DataFrame:
