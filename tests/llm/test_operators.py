@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import hashlib
 import html
 import itertools
 import math
@@ -734,6 +735,50 @@ def test_warc_files(spark, tmp_path, compression):
     names = ["file_id", "seq", "start", "length", "digest", "url"]
     assert sorted(map(tuple, warc.file_records(back).select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
     assert warc.audit(want, warc.file_records(back), cfg).count() == 0
+    content = b"".join(p.read_bytes() for p in sorted((tmp_path / "w" / "file_id=1").glob("part-*")))
+    for r in back.where("file LIKE '%file_id=1/%'").collect():  # each record can be fetched alone
+        file = (tmp_path / "w" / "file_id=1" / r["file"].rsplit("/", 1)[1]).read_bytes()
+        own = zlib.decompressobj(wbits=31).decompress(file[r["member"] :]) if compression == "gzip" else file[r["start"] : r["start"] + r["length"]]
+        assert hashlib.sha256(own).hexdigest() == r["digest"] and len(own) == r["length"]
+        head = own.partition(b"\r\n\r\n")[0].decode().split("\r\n")
+        assert re.fullmatch(r"WARC-Record-ID: <urn:uuid:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}>", head[2]) and head[3] == f"WARC-Date: {cfg.date}"
+    assert (gzip.decompress(content) if compression == "gzip" else content).count(b"WARC/1.1\r\nWARC-Type") == 16
+
+
+def test_warc_file_of_one_id_is_written_in_parts(spark, tmp_path):
+    rows = [(3, "u", "same")] * 3000 + [(3, "u", f"v{i}") for i in range(2000)] + [(i, "w", "x") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    cfg = warc.MerkleConfig(records_per_file=16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else few rows are one part
+    try:
+        warc.write_warc(pages, str(tmp_path / "w"), cfg, "gzip")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "w" / "file_id=0").glob("part-*"))) > 1
+    back = warc.file_records(warc.read_warc(spark, str(tmp_path / "w" / "*" / "part-*"), batch_bytes=1000))
+    names = ["file_id", "seq", "start", "length", "digest", "url"]
+    want = warc.records(pages, cfg)
+    assert sorted(map(tuple, back.select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+
+
+def test_records_of_many_bytes_end_as_small_ones(spark, tmp_path):
+    big = "".join(chr(97 + i % 26) * 40 for i in range(450_000))  # 18 MB: the size's last byte is not zero
+    pages = spark.createDataFrame([(1, "a", "x"), (2, "b", big), (3, "c", "")], "page_id long, url string, html string")
+    warc.write_warc(pages, str(tmp_path / "w"), compression="gzip")
+    back = warc.read_warc(spark, str(tmp_path / "w" / "*" / "part-*"))
+    assert {r["url"]: r["body"] for r in back.collect()} == {"a": "x", "b": big, "c": ""}
+
+
+def test_audit_stops_at_equal_roots(spark):
+    cfg = warc.MerkleConfig(records_per_file=16, fan_out=4)
+    pages = spark.createDataFrame([(i, f"u{i}", "x" * i) for i in range(64)], "page_id long, url string, html string")
+    a = warc.records(pages, cfg)
+    tree = warc.merkle_levels(a, cfg)
+    gone = [x.where("raise_error('read') IS NULL") for x in tree[:-1]]
+    assert warc.differing([*gone, tree[-1]], [*gone, tree[-1]], cfg) is None
+    hurt = warc.records(pages.withColumn("html", F.when(F.col("page_id") == 20, "y" * 20).otherwise(F.col("html"))), cfg)
+    found = warc.differing(tree, warc.merkle_levels(hurt, cfg), cfg)
+    assert [tuple(r) for r in found.collect()] == [(1, 4)]
 
 
 def test_warc_records_compressed_one_by_one(spark, tmp_path):
