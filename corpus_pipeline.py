@@ -57,6 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents`` in order, each to the table that the one before has stored.
+
+    Rows are the pieces of the last stage. Null ids, texts and repeated rows have the results that the stages state; an
+    empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
