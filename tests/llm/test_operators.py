@@ -1024,3 +1024,11 @@ def test_pipeline_on_odd_input(spark, odd, tmp_path):
         else:
             kept = {i for i, _ in _kept("near_duplicates", list(ODD), [], None)}
             assert set(ids) == kept and None in kept
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        (df.where("false") if name == "documents" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(got.columns)
