@@ -36,59 +36,86 @@ class CollocationConfig:
     top: int = 2000
     #: Bytes of text whose windows are counted at once in a task.
     text_bytes: int = 16 << 20
+    #: Bytes of text that are split into words at once.
+    split_bytes: int = 1 << 20
 
 
-def _coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct words of some texts in order, and for each place its word's number there from 1 and the text's number.
+def _coded(part: pa.RecordBatch, langs: np.ndarray, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of some rows ``(lang, text)`` in order, each place's word by its number there from 1, and its language.
 
-    Where a piece ends the word is a line feed, which no word is.
+    Where a piece or a text ends the number is 0. ``most`` bytes of text are split at once, so that only numbers are held
+    of the others.
     """
-    marked = pc.replace_substring_regex(pc.ascii_lower(texts), pattern=ENDS + "+", replacement=" \n ")
-    lists = pc.split_pattern_regex(marked, pattern="[ \t]+")
-    words, row = lists.flatten(), pc.list_parent_indices(lists).cast(pa.int32())
-    del marked, lists
-    full = pc.not_equal(words, "")
-    row, coded = row.filter(full).to_numpy(), words.filter(full).dictionary_encode()
-    del words, full
-    order = pc.array_sort_indices(coded.dictionary)
-    place = np.empty(len(order), dtype=np.int32)
+    found, lang, at = [], [], 0
+    for few in slices(part, 1, most):
+        marked = pc.replace_substring_regex(pc.ascii_lower(few.column(1)), pattern=ENDS + "+", replacement=" \n ")
+        lists = pc.split_pattern_regex(pc.binary_join_element_wise(marked, "\n", " "), pattern="[ \t]+")
+        words = lists.flatten()
+        full = pc.not_equal(words, "")
+        lang.append(langs[at + pc.list_parent_indices(lists).filter(full).to_numpy()])
+        found.append(words.filter(full).dictionary_encode())
+        at += few.num_rows
+    coded = pa.chunked_array(found, pa.dictionary(pa.int32(), pa.string())).unify_dictionaries()
+    words = coded.chunk(0).dictionary if found else pa.array([], pa.string())
+    order = pc.array_sort_indices(words)
+    place = np.zeros(len(order), dtype=np.int32)
     place[order.to_numpy()] = np.arange(1, len(order) + 1)
-    return coded.dictionary.take(order), place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, dtype=np.int32), row
+    if (end := pc.index(words, "\n").as_py()) >= 0:
+        place[end] = 0
+    none = [np.zeros(0, dtype=np.int32)]
+    return words.take(order), np.concatenate([*(place[c.indices.to_numpy()] for c in coded.chunks), *none]), np.concatenate([*lang, *none])
 
 
-def _windows(part: pa.RecordBatch) -> pa.RecordBatch:
+def _joined(columns: list[np.ndarray], size: int, most: int = 1 << 62) -> tuple[np.ndarray, list]:
+    """A number under ``most`` for each place of some columns, in their order, and what ``_parted`` needs. All but the first are under ``size``."""
+    key, known = columns[0].astype(np.int64), []
+    bound = int(key.max(initial=0)) + 1
+    for c in columns[1:]:
+        known.append(None)
+        if bound > most // size:
+            known[-1], key = np.unique(key, return_inverse=True)
+            bound = len(known[-1])
+        key *= size
+        key += c
+        bound *= size
+    return key, known
+
+
+def _parted(key: np.ndarray, known: list, size: int) -> list[np.ndarray]:
+    columns = []
+    for values in reversed(known):
+        key, last = np.divmod(key, size)
+        columns.append(last)
+        key = key if values is None else values[key]
+    return [key, *reversed(columns)]
+
+
+def _windows(part: pa.RecordBatch, most: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """``(head, w3, n)``, the distinct windows of some rows ``(lang, text)`` in their order; what is padding is left out.
 
-    ``head`` is the first two words and the language in one string, which makes shorter rows to shuffle.
+    ``head`` is the first two words and the language in one string, which makes shorter rows to shuffle. Windows are sorted
+    and counted as numbers; ``rows`` of them at a time get their words.
     """
-    words, w1, row = _coded(part.column(1))
     langs = part.column(0).dictionary_encode()
-    size, stop = len(words) + 1, pc.index(words, "\n").as_py() + 1
-    goes_on = np.zeros(len(w1) + 2, dtype=bool)  # the word is of the same piece as the one before
-    if len(w1) > 1:
-        goes_on[1 : len(w1)] = (row[1:] == row[:-1]) & (w1[1:] != stop) & (w1[:-1] != stop)
+    words, w1, lang = _coded(part, langs.indices.to_numpy(), most)
+    size, begins = len(words) + 1, np.flatnonzero(w1)
     ahead = np.concatenate([w1, np.zeros(2, dtype=np.int32)])
-    w2 = np.where(goes_on[1:-1], ahead[1:-1], 0)  # the lead columns; 0 is padding
-    w3 = np.where(goes_on[1:-1] & goes_on[2:], ahead[2:], 0)
-    columns = [langs.indices.to_numpy()[row] if len(row) else row, w1, w2, w3]
-    if stop:
-        columns = [c[w1 != stop] for c in columns]
-    del row, w1, w2, w3, ahead, goes_on
-    key = columns[0].astype(np.int64)
-    for c in columns[1:]:
-        if len(key) and int(key.max()) >= (1 << 62) // size:
-            key = np.unique(key, return_inverse=True)[1]
-        key *= size
-        key += c
-    order = np.argsort(key, kind="stable")
-    key = key[order]
+    w2, w3 = ahead[begins + 1], ahead[begins + 2]
+    w3[w2 == 0] = 0
+    columns = [lang[begins], w1[begins], w2, w3]
+    del w1, lang, ahead, begins
+    key, known = _joined(columns, size)
+    del columns, w2, w3
+    key.sort()
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), dtype=bool), key[1:] != key[:-1]]))
-    n = np.diff(np.concatenate([first, [len(key)]]))
-    lang, *codes = (c[order[first]] for c in columns)
-    named = [words.take(pa.array(c - 1, mask=c == 0)) for c in codes]
-    head = pc.binary_join_element_wise(*named[:2], " ", null_handling="skip")
-    head = pc.binary_join_element_wise(head, langs.dictionary.take(pa.array(lang)), "\t")
-    return pa.RecordBatch.from_arrays([head, named[2], pa.array(n)], names=["head", "w3", "n"])
+    ends = np.append(first[1:], len(key))
+    for at in range(0, len(first), rows):
+        own = first[at : at + rows]
+        lang, *codes = _parted(key[own], known, size)
+        named = [words.take(pa.array(c - 1, mask=c == 0)) for c in codes]
+        head = pc.binary_join_element_wise(*named[:2], " ", null_handling="skip")
+        head = pc.binary_join_element_wise(head, langs.dictionary.take(pa.array(lang)), "\t")
+        yield pa.RecordBatch.from_arrays([head, named[2], pa.array(ends[at : at + rows] - own)], names=["head", "w3", "n"])
 
 
 def windows(docs: DataFrame, cfg: CollocationConfig = CollocationConfig()) -> DataFrame:
@@ -101,10 +128,7 @@ def windows(docs: DataFrame, cfg: CollocationConfig = CollocationConfig()) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, cfg.text_bytes):
-                found = _windows(part)
-                for at in range(0, found.num_rows, 1 << 16):
-                    yield found.slice(at, 1 << 16)
-                del found
+                yield from _windows(part, cfg.split_bytes)
                 pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

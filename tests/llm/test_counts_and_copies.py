@@ -3,9 +3,11 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,6 +80,34 @@ def test_collocations(spark, odd, text_bytes):
     assert collocations.collocations(odd.where("false")).count() == 0
 
 
+def test_windows_hold_few_bytes():
+    """A task holds numbers of its words, and strings of a small part of them only."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=300)) + "." for _ in range(2000)]
+    part = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 1000), pa.array(texts)], names=["lang", "text"])
+    usual, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    tracemalloc.start()
+    try:
+        n = sum(pc.sum(found.column(2)).as_py() for found in collocations._windows(part, 1 << 18))
+        of_numpy = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        pa.set_memory_pool(usual)
+    words = 300 * 2000
+    assert n == words
+    assert pool.max_memory() + of_numpy < 60 * words
+
+
+@pytest.mark.parametrize("most", [1 << 62, 9000, 2000])
+def test_numbers_of_windows(most):
+    rng = np.random.default_rng(5)
+    columns = [rng.integers(0, 3, 200), *(rng.integers(0, 20, 200) for _ in range(3))]
+    key, known = collocations._joined(columns, 20, most)
+    assert all((a == b).all() for a, b in zip(columns, collocations._parted(key, known, 20), strict=True))
+    assert (np.lexsort(columns[::-1]) == np.argsort(key, kind="stable")).all()
+
+
 def test_scores_are_exact(spark):
     rows = [(10**12 + 7, 10**12 + 9, 10**12 + 11), (10**15, 10**15, 10**15), (10**15 - 1, 10**15, 10**15), (10, 1000, 10)]
     df = spark.createDataFrame(rows, "a long, l long, r long")
