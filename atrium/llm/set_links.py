@@ -6,6 +6,7 @@ Sets are tables ``(h, shingles, p0 .. p3)`` with ``h`` their number and ``p0 ..
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,12 @@ class Hashes(dict):
         return h
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """What ``Hashes`` gives, for many words at once; where a good part of them is rare, remembering takes longer."""
+    digests = b"".join(map(xxhash.xxh64_digest, words, repeat(7)))
+    return np.frombuffer(digests, dtype=">u8").astype(np.uint64)
+
+
 def band_keys(shingles: np.ndarray, edges: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
     """Keys of ``bands`` bands for the ranges of ``shingles`` that begin at ``edges``."""
     out = np.zeros((bands, len(edges)), dtype=np.int64)

@@ -21,11 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from atrium.llm.set_links import ONE, TWO, Hashes, band_keys, crowded, finer, mix, own, parities, several
+from atrium.llm.set_links import ONE, TWO, band_keys, crowded, finer, mix, own, parities, several, word_hashes
 from atrium.llm.sieve import sieve
 from atrium.llm.tables import table, texts
 from atrium.operators.components import connected_components
@@ -59,8 +58,7 @@ class SubstringConfig:
     #: Members of a crowded list that one task compares with others.
     block: int = 256
     words_at_once: int = 200_000
-    remembered: int = 100_000
-    #: Hashes of words around runs that a task holds before it sends them on.
+    #: Words around runs that a task holds before it sends their hashes on.
     held_words: int = 250_000
 
     #: Bands of the finer signatures of members of crowded lists, and their rows.
@@ -77,7 +75,7 @@ class Units:
     """Paragraphs and parts of a batch of texts."""
 
     def __init__(self, cfg: SubstringConfig):
-        self.cfg, self.hashes = cfg, Hashes(cfg.remembered)
+        self.cfg = cfg
 
     def __call__(self, batch: list[str]) -> dict[str, np.ndarray]:
         """Arrays over units: row (in the batch), part (0 paragraph, 1 part), start, n_words, h, and bands."""
@@ -92,7 +90,7 @@ class Units:
                     line_row.append(row)
                     line_len.append(len(found))
             row_len.append(len(words) - before)
-        w = np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+        w = word_hashes(words)
         row_len = np.array(row_len, dtype=np.int64)
         row_start = np.cumsum(row_len) - row_len
         n = len(w)
@@ -152,7 +150,7 @@ class Units:
 
     def shingles(self, words: list[str]) -> np.ndarray:
         """Distinct shingle hashes of one paragraph, the whole of it where it is shorter than a shingle."""
-        w = np.fromiter(map(self.hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+        w = word_hashes(words)
         power = self._powers(len(w) + 1)
         prefix = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(w * power[: len(w)], dtype=np.uint64)])
         return np.unique(self._shingles(prefix, len(w)))
@@ -290,9 +288,9 @@ _PLACE = ("doc_id", "v", "start", "n_words")
 
 def _hits(found: DataFrame, roots: DataFrame) -> DataFrame:
     """Places of paragraphs and parts of classes that occur in two documents or more, with their class's first place."""
-    seen = found.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    seen = seen.join(roots, "h", "left").where("root IS NOT NULL OR first_id <> last_id")
-    seen = stored(seen.withColumn("root", F.coalesce("root", "h")))
+    every = found.selectExpr("h", "doc_id", "CAST(NULL AS BIGINT) AS root").unionByName(roots.selectExpr("h", "CAST(NULL AS BIGINT) AS doc_id", "root"))
+    seen = every.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max("root").alias("root"))
+    seen = stored(seen.where("root IS NOT NULL OR first_id <> last_id").withColumn("root", F.coalesce("root", "h")))
     classes = seen.groupBy("root").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi")).where("lo <> hi")
     named = stored(seen.join(classes.select(own("root"), "lo"), "root").select("h", "root", "lo"))
     hits = sieve(found.select(*_PLACE, "part", "h"), "h", named).join(named, "h")
@@ -303,48 +301,45 @@ def _hits(found: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _runs(hits: DataFrame) -> DataFrame:
-    """Neighbouring equal places with one source and one shift against it as ``(doc_id, v, start, end, s_doc_id, s_v, s_start)``."""
-    rows = hits.where("equal AND (doc_id <> s_doc_id OR v <> s_v OR start <> s_start)").withColumn("shift", F.col("s_start") - F.col("start"))
-    order = Window.partitionBy("doc_id", "v").orderBy("part", "start")
-    same = [F.lag(c).over(order) == F.col(c) for c in ("part", "s_doc_id", "s_v", "shift")]
-    goes_on = (F.lag(F.col("start") + F.col("n_words")).over(order) == F.col("start")) & same[0] & same[1] & same[2] & same[3]
-    rows = rows.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    return rows.groupBy("doc_id", "v", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("n_words")).alias("end"),
-        F.first("s_doc_id").alias("s_doc_id"), F.first("s_v").alias("s_v"), F.min("s_start").alias("s_start"),
-    )
+    """Equal places that meet or overlap and have one source and one shift against it, paragraphs and parts alike, as
+    ``(doc_id, v, start, end, s_doc_id, s_v, s_start)``."""
+    rows = hits.where("equal AND (doc_id <> s_doc_id OR v <> s_v OR start <> s_start)")
+    rows = rows.select("doc_id", "v", "start", (F.col("start") + F.col("n_words")).alias("end"), "s_doc_id", "s_v", (F.col("s_start") - F.col("start")).alias("shift"))
+    one = ["doc_id", "v", "s_doc_id", "s_v", "shift"]
+    order = Window.partitionBy(*one).orderBy("start", "end")
+    apart = F.coalesce(F.col("start") > F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    rows = rows.withColumn("new", apart.cast("int")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy(*one, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return rows.select("doc_id", "v", "start", "end", "s_doc_id", "s_v", (F.col("start") + F.col("shift")).alias("s_start"))
 
 
 def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig, context: int) -> DataFrame:
     """``places(doc_id, v, start, end, ...)`` with a digest of the words there, and hashes of those around, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes(cfg.remembered)
-        code = lambda words: np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
-
-        def packed(rows: pa.RecordBatch, taken: list, made: list) -> pa.RecordBatch:
-            at = pa.array(taken, pa.int64())
-            own = rows.column(3).flatten()
-            own = own.slice(packed.done, len(taken))
-            packed.done += len(taken)
-            columns = [rows.column(i).take(at) for i in (0, 1)] + own.flatten()
-            columns += [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+        def packed(rows: pa.RecordBatch, begins: int, taken: list, digests: list, around: list) -> pa.RecordBatch:
+            at, own = pa.array(taken, pa.int64()), rows.column(3).flatten().slice(begins, len(taken))
+            columns = [rows.column(i).take(at) for i in (0, 1)] + own.flatten() + [pa.array(digests, pa.binary())]
+            for words, ends in around:
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word_hashes(words).view(np.int64))))
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", *(f.name for f in own.type), "digest", "before", "after"])
 
         for batch in batches:
-            taken, made, held, packed.done = [], [], 0, 0
-            for k in range(batch.num_rows):
-                words = batch.column(2)[k].as_py().split()
-                for p in batch.column(3)[k].as_py():
+            done, taken, digests, before, after = 0, [], [], ([], [0]), ([], [0])
+            for k, (text, own) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                words = text.as_py().split()
+                for p in own.as_py():
                     a, b = p["start"], p["end"]
-                    digest = hashlib.sha256(" ".join(words[a:b]).encode("utf-8", "surrogatepass")).digest()
-                    made.append((digest, code(words[max(0, a - context) : a][::-1]), code(words[b : b + context])))
+                    digests.append(hashlib.sha256(" ".join(words[a:b]).encode("utf-8", "surrogatepass")).digest())
                     taken.append(k)
-                    held += len(made[-1][1]) + len(made[-1][2])
-                    if held > cfg.held_words:
-                        yield packed(batch, taken, made)
-                        taken, made, held = [], [], 0
-            yield packed(batch, taken, made)
+                    for (held, ends), more in ((before, words[max(0, a - context) : a][::-1]), (after, words[b : b + context])):
+                        held += more
+                        ends.append(len(held))
+                    if len(before[0]) + len(after[0]) > cfg.held_words:
+                        yield packed(batch, done, taken, digests, [before, after])
+                        done += len(taken)
+                        taken, digests, before, after = [], [], ([], [0]), ([], [0])
+            yield packed(batch, done, taken, digests, [before, after])
 
     kinds = dict(places.dtypes)
     rest = ", ".join(f"{c} {kinds[c]}" for c in places.columns if c not in ("doc_id", "v"))
@@ -365,12 +360,29 @@ def _compared(docs: DataFrame, spans: DataFrame, cfg: SubstringConfig, context:
     of_source = around.where("s_doc_id IS NULL").select(*[F.col(c).alias(f"s_{c}") for c in ("doc_id", "v", "start", "end", "digest", "before", "after")])
     both = around.where("s_doc_id IS NOT NULL").join(of_source, source).where("digest = s_digest")
 
-    def agree(c: str) -> Column:
-        differs = F.zip_with(c, f"s_{c}", lambda x, y: F.coalesce(x != y, F.lit(True)))
-        at = F.array_position(differs, True).cast("int")
-        return F.when(at == 0, F.size(differs)).otherwise(at - 1)
+    if not context:
+        return both.select(*_SPAN, F.lit(0).alias("left"), F.lit(0).alias("right"))
 
-    return both.select(*_SPAN, agree("before").alias("left"), agree("after").alias("right"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = [pa.array(_agreeing(batch.column(c), batch.column(f"s_{c}"))) for c in ("before", "after")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(_SPAN)], *alike], names=[*_SPAN, "left", "right"])
+
+    kinds = dict(both.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in _SPAN) + ", left int, right int"
+    return both.select(*_SPAN, "before", "after", "s_before", "s_after").mapInArrow(run, schema)
+
+
+def _agreeing(one: pa.ListArray, other: pa.ListArray) -> np.ndarray:
+    """How many of the first members of two lists are equal, row by row."""
+    sizes = [x.value_lengths().to_numpy() for x in (one, other)]
+    size = np.minimum(*sizes).astype(np.int64)
+    begins = np.cumsum(size) - size
+    at = np.arange(int(size.sum()))
+    values = [x.flatten().to_numpy()[at + np.repeat(np.cumsum(n, dtype=np.int64) - n - begins, size)] for x, n in zip((one, other), sizes, strict=True)]
+    # The first place that differs: of those in order, the first that is not before the row's begin; its end where none is left.
+    differs = np.append(np.flatnonzero(values[0] != values[1]), len(at))
+    return np.minimum(differs[np.searchsorted(differs, begins)] - begins, size).astype(np.int32)
 
 
 def _grown(docs: DataFrame, runs: DataFrame, cfg: SubstringConfig) -> DataFrame:

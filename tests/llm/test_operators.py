@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -21,6 +22,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from atrium.llm import decontaminate, fm_index, html_text, packing, quality, registry, secret_scan, sieve, simhash, substring_dedup, token_counts, toxicity, warc
+from atrium.storage import stored
 from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
@@ -397,6 +399,37 @@ def test_similar_under_a_shared_passage(spark, block):
     assert len(set(root.values())) >= 251
 
 
+def test_runs_of_paragraphs_and_parts(spark):
+    """Places of one shift that meet or overlap are one run, whichever kind they are; other shifts and sources are others."""
+    rows = [(0, 0, 20, 1, 0), (0, 20, 15, 1, 0), (1, 5, 9, 1, 0), (1, 14, 30, 1, 0), (1, 60, 8, 1, 0), (1, 0, 9, 1, 7), (1, 9, 9, 2, 0)]
+    hits = spark.createDataFrame(
+        [(9, 5, start, n, part, True, source, 6, start + shift, n) for part, start, n, source, shift in rows],
+        "doc_id long, v long, start int, n_words int, part int, equal boolean, s_doc_id long, s_v long, s_start int, s_n_words int",
+    )
+    got = sorted((r["start"], r["end"], r["s_doc_id"], r["s_start"]) for r in substring_dedup._runs(hits).collect())
+    assert got == [(0, 9, 1, 7), (0, 44, 1, 0), (9, 18, 2, 9), (60, 68, 1, 60)]
+
+
+def test_agreeing_lists():
+    rng = random.Random(1)
+    one, other = ([[rng.randrange(3) for _ in range(rng.randrange(6))] for _ in range(500)] for _ in range(2))
+    count = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: B905, E731
+    want = [count(a, b) for a, b in zip(one, other, strict=True)]
+    arrays = [pa.array(x, pa.list_(pa.int64())) for x in (one, other)]
+    assert substring_dedup._agreeing(*arrays).tolist() == want
+    assert substring_dedup._agreeing(*[a[9:77] for a in arrays]).tolist() == want[9:77]
+    assert not len(substring_dedup._agreeing(*[a[:0] for a in arrays]))
+
+
+def test_shuffle_files_go_with_a_stored_table(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: disk.getAllBlocks().mkString(" ").count("shuffle_")
+    before = held()
+    table = stored(spark.range(1000, numPartitions=5).groupBy((F.col("id") % 70).alias("k")).count())
+    assert held() <= before
+    assert len(table.collect()) == 70
+
+
 def test_repeated_odd(spark, odd):
     cfg = substring_dedup.SubstringConfig(least_words=8)
     assert substring_dedup.repeated(odd, cfg).count() == 0  # no two documents share 8 words
