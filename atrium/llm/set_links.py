@@ -76,7 +76,7 @@ def several(large: DataFrame, roots: DataFrame) -> DataFrame:
     return stored(named.join(stored(several), "key").select("h", "root").distinct())
 
 
-def finer(members: DataFrame, sets: DataFrame, cfg) -> DataFrame:
+def finer(members: DataFrame, sets: DataFrame, cfg, batch_bytes: int | None = None) -> DataFrame:
     """Pairs ``(a, b)`` of members that share a bucket of finer bands, each with the least of it.
 
     Paragraphs under one passage that many hold have unlike finer signatures, near copies like ones; so this joins
@@ -92,7 +92,7 @@ def finer(members: DataFrame, sets: DataFrame, cfg) -> DataFrame:
             h = np.tile(batch.column(0).to_numpy(), cfg.fine_bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(h)], names=["key", "h"])
 
-    posts = stored(members.select("h").join(sets, "h").select("h", "shingles").mapInArrow(run, "key bigint, h bigint"))
+    posts = stored(members.select("h").join(sets, "h").select("h", "shingles").mapInArrow(run, "key bigint, h bigint"), batch_bytes)
     leads = posts.groupBy("key").agg(F.min("h").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     return stored(posts.join(leads, "key").where("a <> h").select("a", F.col("h").alias("b")).distinct())
 

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from atrium.llm.set_links import ONE, TWO, band_keys, crowded, finer, mix, own,
 from atrium.llm.sieve import sieve
 from atrium.llm.tables import table, texts
 from atrium.operators.components import connected_components
-from atrium.storage import stored
+from atrium.storage import passing, stored
 
 _BASE = 0x9FB21C651E98DF25  # odd, so that powers have inverses modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -58,8 +59,10 @@ class SubstringConfig:
     #: Members of a crowded list that one task compares with others.
     block: int = 256
     words_at_once: int = 200_000
-    #: Words around runs that a task holds before it sends their hashes on.
+    #: Hashes of words around runs that a task holds before it sends them on.
     held_words: int = 250_000
+    #: Bytes of texts, shingles or hashes that a task's Python process gets at once.
+    batch_bytes: int = 4 << 20
 
     #: Bands of the finer signatures of members of crowded lists, and their rows.
     fine_bands: int = 16
@@ -229,9 +232,9 @@ def _alike(pairs: DataFrame, sets: DataFrame, cfg: SubstringConfig) -> DataFrame
 
 
 def _looked_up(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``(doc_id, v, text, places)`` for ``places(doc_id, v, ...)``, one row for each document with any."""
+    """``(doc_id, v, text, places)`` for distinct ``places(doc_id, v, ...)``, one row for each document with any."""
     rest = [c for c in places.columns if c not in ("doc_id", "v")]
-    per_doc = stored(places.groupBy("doc_id", "v").agg(F.collect_set(F.struct(*rest)).alias("places")))
+    per_doc = stored(places.groupBy("doc_id", "v").agg(F.collect_list(F.struct(*rest)).alias("places")))
     return sieve(_known(docs), "v", per_doc).join(per_doc, ["doc_id", "v"])
 
 
@@ -262,23 +265,24 @@ def similar(docs: DataFrame, found: DataFrame, cfg: SubstringConfig = SubstringC
 
     Every pair that shares a band is in one component or was compared, or proved below the similarity.
     """
-    names = [f"b{i}" for i in range(cfg.bands)]
-    longs = found.where(F.col("b0").isNotNull())
-    distinct = stored(longs.groupBy("h").agg(*[F.min(b).alias(b) for b in names]))
-    pairs, large = _candidates(distinct.select("h", F.explode(F.array(*names)).alias("key")), cfg)
-    pairs = stored(pairs)
-    wanted = stored(pairs.selectExpr("a AS h").unionByName(pairs.selectExpr("b AS h")).distinct())
-    places = sieve(longs.select("h", "doc_id", "v", "start", "n_words"), "h", wanted).join(wanted, "h")
-    places = places.groupBy("h").agg(F.min(F.struct("doc_id", "v", "start", "n_words")).alias("at")).select("h", "at.*")
-    sets = stored(_shingle_sets(docs, places, cfg))
-    roots = connected_components(_alike(pairs, sets, cfg)).withColumnRenamed("node", "h")
-    for more in (lambda m: finer(m, sets, cfg), lambda m: crowded(m, sets, cfg)):
-        members = several(large, roots)
-        if members.isEmpty():
-            break
-        links = roots.selectExpr("h AS src", "root AS dst").unionByName(_alike(more(members), sets, cfg))
-        roots = connected_components(links).withColumnRenamed("node", "h")
-    return roots
+    with passing(docs.sparkSession) as keep:
+        names = [f"b{i}" for i in range(cfg.bands)]
+        longs = found.where(F.col("b0").isNotNull())
+        distinct = stored(longs.groupBy("h").agg(*[F.min(b).alias(b) for b in names]))
+        pairs, large = _candidates(distinct.select("h", F.explode(F.array(*names)).alias("key")), cfg)
+        pairs = stored(pairs)
+        wanted = stored(pairs.selectExpr("a AS h").unionByName(pairs.selectExpr("b AS h")).distinct())
+        places = sieve(longs.select("h", "doc_id", "v", "start", "n_words"), "h", wanted).join(wanted, "h")
+        places = places.groupBy("h").agg(F.min(F.struct("doc_id", "v", "start", "n_words")).alias("at")).select("h", "at.*")
+        sets = stored(_shingle_sets(docs, places, cfg), cfg.batch_bytes)
+        roots = connected_components(_alike(pairs, sets, cfg)).withColumnRenamed("node", "h")
+        for more in (lambda m: finer(m, sets, cfg, cfg.batch_bytes), lambda m: crowded(m, sets, cfg)):
+            members = several(large, roots)
+            if members.isEmpty():
+                break
+            links = roots.selectExpr("h AS src", "root AS dst").unionByName(_alike(more(members), sets, cfg))
+            roots = connected_components(links).withColumnRenamed("node", "h")
+        return keep(stored(roots))
 
 
 # --- spans ------------------------------------------------------------------------------------------------------
@@ -287,14 +291,16 @@ _PLACE = ("doc_id", "v", "start", "n_words")
 
 
 def _hits(found: DataFrame, roots: DataFrame) -> DataFrame:
-    """Places of paragraphs and parts of classes that occur in two documents or more, with their class's first place."""
+    """Places of paragraphs and parts of classes that occur in two documents or more, with their class's first place.
+
+    Repeated rows of ``docs`` have their places several times."""
     every = found.selectExpr("h", "doc_id", "CAST(NULL AS BIGINT) AS root").unionByName(roots.selectExpr("h", "CAST(NULL AS BIGINT) AS doc_id", "root"))
     seen = every.groupBy("h").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.max("root").alias("root"))
     seen = stored(seen.where("root IS NOT NULL OR first_id <> last_id").withColumn("root", F.coalesce("root", "h")))
     classes = seen.groupBy("root").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi")).where("lo <> hi")
     named = stored(seen.join(classes.select(own("root"), "lo"), "root").select("h", "root", "lo"))
     hits = sieve(found.select(*_PLACE, "part", "h"), "h", named).join(named, "h")
-    hits = stored(hits.dropDuplicates([*_PLACE, "part"]))
+    hits = stored(hits)
     sources = hits.where("doc_id = lo").groupBy("root").agg(F.min(F.struct(*_PLACE, "h")).alias("s"))
     hits = hits.drop("lo").join(sources.select(own("root"), "s"), "root")
     return hits.select(*_PLACE, "part", (F.col("s.h") == F.col("h")).alias("equal"), *[F.col(f"s.{c}").alias(f"s_{c}") for c in _PLACE])
@@ -313,6 +319,20 @@ def _runs(hits: DataFrame) -> DataFrame:
     return rows.select("doc_id", "v", "start", "end", "s_doc_id", "s_v", (F.col("start") + F.col("shift")).alias("s_start"))
 
 
+_NONE = np.zeros(0, dtype=np.uint64)
+
+
+def _hashes_around(words: list[str], places: list[tuple[int, int]], context: int) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
+    """What gives the hashes of up to ``context`` words before and after a place, nearest first. A word that many places
+    have around them is hashed once."""
+    low = max(0, min((a for a, _ in places), default=0) - context)
+    high = min(len(words), max((b for _, b in places), default=0) + context)
+    if context and high - low <= 2 * context * len(places):
+        h = word_hashes(words[low:high])
+        return lambda a, b: (h[max(0, a - context - low) : a - low][::-1], h[b - low : b - low + context])
+    return lambda a, b: (word_hashes(words[max(0, a - context) : a][::-1]), word_hashes(words[b : b + context])) if context else (_NONE, _NONE)
+
+
 def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig, context: int) -> DataFrame:
     """``places(doc_id, v, start, end, ...)`` with a digest of the words there, and hashes of those around, nearest first."""
 
@@ -320,25 +340,31 @@ def _surroundings(docs: DataFrame, places: DataFrame, cfg: SubstringConfig, cont
         def packed(rows: pa.RecordBatch, begins: int, taken: list, digests: list, around: list) -> pa.RecordBatch:
             at, own = pa.array(taken, pa.int64()), rows.column(3).flatten().slice(begins, len(taken))
             columns = [rows.column(i).take(at) for i in (0, 1)] + own.flatten() + [pa.array(digests, pa.binary())]
-            for words, ends in around:
-                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(word_hashes(words).view(np.int64))))
+            for hashes in around:
+                ends = np.cumsum([0, *map(len, hashes)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([_NONE, *hashes]).view(np.int64))))
             return pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", *(f.name for f in own.type), "digest", "before", "after"])
 
         for batch in batches:
-            done, taken, digests, before, after = 0, [], [], ([], [0]), ([], [0])
-            for k, (text, own) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            places = batch.column(3).flatten()
+            starts, ends = places.field("start").to_pylist(), places.field("end").to_pylist()
+            done, at, held, taken, digests, before, after = 0, 0, 0, [], [], [], []
+            for k, (text, n) in enumerate(zip(batch.column(2), batch.column(3).value_lengths().to_pylist(), strict=True)):
                 words = text.as_py().split()
-                for p in own.as_py():
-                    a, b = p["start"], p["end"]
+                own = list(zip(starts[at : at + n], ends[at : at + n], strict=True))
+                around = _hashes_around(words, own, context)
+                for i, (a, b) in enumerate(own):
                     digests.append(hashlib.sha256(" ".join(words[a:b]).encode("utf-8", "surrogatepass")).digest())
                     taken.append(k)
-                    for (held, ends), more in ((before, words[max(0, a - context) : a][::-1]), (after, words[b : b + context])):
-                        held += more
-                        ends.append(len(held))
-                    if len(before[0]) + len(after[0]) > cfg.held_words:
+                    left, right = around(a, b)
+                    before.append(left)
+                    after.append(right)
+                    held += len(left) + len(right)
+                    if held > cfg.held_words:
                         yield packed(batch, done, taken, digests, [before, after])
-                        done += len(taken)
-                        taken, digests, before, after = [], [], ([], [0]), ([], [0])
+                        done, held = at + i + 1, 0
+                        taken, digests, before, after = [], [], [], []
+                at += n
             yield packed(batch, done, taken, digests, [before, after])
 
     kinds = dict(places.dtypes)
@@ -356,7 +382,7 @@ def _compared(docs: DataFrame, spans: DataFrame, cfg: SubstringConfig, context:
     source = ["s_doc_id", "s_v", "s_start", "s_end"]
     own = spans.select(*_SPAN)
     wanted = spans.select(*[F.col(s).alias(s[2:]) for s in source]).distinct().selectExpr("*", *[f"CAST(NULL AS {t}) AS {s}" for s, t in spans.select(*source).dtypes])
-    around = stored(_surroundings(docs, own.unionByName(wanted), cfg, context))
+    around = stored(_surroundings(docs, own.unionByName(wanted), cfg, context), cfg.batch_bytes)
     of_source = around.where("s_doc_id IS NULL").select(*[F.col(c).alias(f"s_{c}") for c in ("doc_id", "v", "start", "end", "digest", "before", "after")])
     both = around.where("s_doc_id IS NOT NULL").join(of_source, source).where("digest = s_digest")
 
@@ -389,25 +415,28 @@ def _grown(docs: DataFrame, runs: DataFrame, cfg: SubstringConfig) -> DataFrame:
     """Runs whose words are the source's, with all words around them that agree as well; those of ``least_words`` and more.
 
     A run of which a whole side agrees is looked at again with a wider one, so a run ends where its words differ from the
-    source's, whatever other documents hold pieces of it. What has grown is compared by digest once more.
+    source's, whatever other documents hold pieces of it. What has grown in its last round is compared by digest once more.
     """
     now = runs.withColumn("s_end", (F.col("s_start") + F.col("end") - F.col("start")).cast("int")).select(*_SPAN).distinct()
-    context, grown = cfg.context, None
+    context, sure, grown = cfg.context, [], []
     while True:
-        found = _compared(docs, now, cfg, context)
-        wider = found.select(
-            "doc_id", "v", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"),
-            "s_doc_id", "s_v", (F.col("s_start") - F.col("left")).alias("s_start"), (F.col("s_end") + F.col("right")).alias("s_end"),
-            (F.greatest("left", "right") >= context).alias("open"),
-        )
-        wider = stored(wider.distinct())
-        done = wider.where("NOT open AND end - start >= " + str(cfg.least_words)).select(*_SPAN)
-        grown = done if grown is None else grown.unionByName(done)
-        now = stored(wider.where("open").select(*_SPAN))
+        with passing(docs.sparkSession) as keep:
+            found = _compared(docs, now, cfg, context)
+            wider = found.select(
+                "doc_id", "v", (F.col("start") - F.col("left")).alias("start"), (F.col("end") + F.col("right")).alias("end"),
+                "s_doc_id", "s_v", (F.col("s_start") - F.col("left")).alias("s_start"), (F.col("s_end") + F.col("right")).alias("s_end"),
+                (F.greatest("left", "right") >= context).alias("open"), (F.greatest("left", "right") == 0).alias("same"),
+            )
+            wider = keep(stored(wider.distinct(), cfg.batch_bytes))
+        done = wider.where("NOT open AND end - start >= " + str(cfg.least_words))
+        sure.append(done.where("same").select(*_SPAN))
+        grown.append(done.where("NOT same").select(*_SPAN))
+        now = wider.where("open").select(*_SPAN)
         if now.isEmpty():
             break
         context = min(8 * context, cfg.most_context)
-    return _compared(docs, stored(grown.distinct()), cfg, 0).select(*_SPAN)
+    checked = _compared(docs, stored(reduce(DataFrame.unionByName, grown).distinct()), cfg, 0).select(*_SPAN)
+    return reduce(DataFrame.unionByName, sure, checked)
 
 
 def _outermost(spans: DataFrame) -> DataFrame:
@@ -428,7 +457,7 @@ def repeated(docs: DataFrame, cfg: SubstringConfig = SubstringConfig()) -> DataF
     Repeated rows count as one document, texts that share a doc_id as one document with several texts. Other columns are
     left behind.
     """
-    found = stored(units(docs, cfg))
+    found = stored(units(docs, cfg), cfg.batch_bytes)
     hits = _hits(found, similar(docs, found, cfg))
     runs = stored(_runs(hits).where(F.col("end") - F.col("start") >= cfg.least_run))
     near = hits.where("NOT equal").selectExpr("doc_id", "v", "start", "start + n_words AS end", "s_doc_id", "s_v", "s_start", "s_start + s_n_words AS s_end")
