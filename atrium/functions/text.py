@@ -53,11 +53,13 @@ def _by_unicodedata(form: str):
 
 
 def _fold(text: Column, form: str) -> Column:
-    """Accents off: by a table and without Python for most texts, by ``unicodedata`` for those that hold anything else."""
+    """Accents off: nothing to do in ASCII; by a table and without Python for most other texts, by ``unicodedata`` for those
+    that hold anything else. The long regex for these looks at what isn't ASCII only."""
     table, other = _TABLES[form]
     native = F.regexp_replace(F.translate(text, "".join(table), "".join(table.values())), r"\p{Mn}+", "")
-    odd = F.regexp_like(text, F.lit(other))
-    return F.when(odd, _by_unicodedata(form)(F.when(odd, text))).otherwise(native)
+    odd = F.regexp_like(F.regexp_replace(text, r"[\x00-\x7F]+", ""), F.lit(other))
+    plain = F.octet_length(text) == F.char_length(text)
+    return F.when(plain, text).when(odd, _by_unicodedata(form)(F.when(~plain & odd, text))).otherwise(native)
 
 
 def strip_accents(text: Column) -> Column:
@@ -74,21 +76,38 @@ def _one_space(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, r"\s+", " "))
 
 
-def normalize_ocr_text(text: Column) -> Column:
-    """Lower case, no accents, hyphens to spaces, letters, digits and ``. _ /`` only; a short text loses its final dot."""
-    out = F.replace(strip_accents(F.lower(text)), F.lit("-"), F.lit(" "))
+def bare_text(text: Column) -> Column:
+    """Lower case, no accents, no spaces at the ends: what the forms of OCR text, labels and plain text are made from."""
+    return strip_accents(F.lower(F.btrim(text)))
+
+
+def ocr_form(bare: Column) -> Column:
+    out = F.replace(bare, F.lit("-"), F.lit(" "))
     out = _one_space(F.regexp_replace(out, r"[^\p{L}\p{N} ._/]", ""))
     return F.btrim(F.when(out.endswith(".") & (F.length(out) <= 5), F.substring(out, F.lit(1), F.length(out) - 1)).otherwise(out))
 
 
+def label_form(bare: Column) -> Column:
+    return _one_space(F.replace(bare, F.lit("-"), F.lit(" ")))
+
+
+def plain_form(bare: Column) -> Column:
+    return _one_space(bare)
+
+
+def normalize_ocr_text(text: Column) -> Column:
+    """Lower case, no accents, hyphens to spaces, letters, digits and ``. _ /`` only; a short text loses its final dot."""
+    return ocr_form(bare_text(text))
+
+
 def normalize_label(text: Column) -> Column:
     """Lower case, no accents, hyphens to spaces, one space between words."""
-    return _one_space(F.replace(strip_accents(F.lower(F.btrim(text))), F.lit("-"), F.lit(" ")))
+    return label_form(bare_text(text))
 
 
 def normalize_plain(text: Column) -> Column:
     """Lower case, no accents, one space between words."""
-    return _one_space(strip_accents(F.lower(F.btrim(text))))
+    return plain_form(bare_text(text))
 
 
 def contains_any(text: Column, targets: list[str]) -> Column:

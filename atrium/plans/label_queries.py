@@ -47,9 +47,12 @@ def unique_texts(spark, sf_dir):
 
 
 def normalize_docs(spark, sf_dir):
-    t = F.col("text")
-    forms = {"floor": text.normalize_floor_text(t), "ocr": text.normalize_ocr_text(t), "label": text.normalize_label(t), "plain": text.normalize_plain(t)}
-    return _docs(spark, sf_dir).select("doc_id", *[F.md5(v.cast("binary")).alias(k) for k, v in forms.items()])
+    # A row generator, so that a text is folded once for three forms.
+    rows = _docs(spark, sf_dir).select("doc_id", "text", text.bare_text(F.col("text")).alias("bare"))
+    rows = rows.select("doc_id", "text", F.explode(F.array("bare")).alias("bare"))
+    bare = F.col("bare")
+    forms = {"floor": text.normalize_floor_text(F.col("text")), "ocr": text.ocr_form(bare), "label": text.label_form(bare), "plain": text.plain_form(bare)}
+    return rows.select("doc_id", *[F.md5(v.cast("binary")).alias(k) for k, v in forms.items()])
 
 
 def normalize_scripts(spark, sf_dir):
