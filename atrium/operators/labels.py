@@ -13,7 +13,7 @@ from atrium.functions.text import normalize_floor_text, normalize_label, normali
 from atrium.operators.choices import beaten
 from atrium.operators.grids import BOX, FLOOR, in_cells, large_floors, met
 from atrium.operators.numbering import running
-from atrium.storage import stored
+from atrium.storage import spread, stored
 
 #: Room labels with the words that mean the same.
 EQUIVALENTS = {
@@ -120,13 +120,13 @@ def text_in_rooms(blocks: DataFrame, edges: DataFrame, most: int = 512, block: i
     crossed = ((yi > F.col("py")) != (yj > F.col("py"))) & (F.col("px") < (xj - xi) * (F.col("py") - yi) / (yj - yi + 1e-12) + xi)
     large = large_floors(cut, most)
     small = cut if large is None else cut.join(large, FLOOR, "left_anti")
-    hits = texts.join(small, FLOOR).where(crossed).select(*FLOOR, "block_id", "face")
+    hits = texts.join(spread(small), FLOOR).where(crossed).select(*FLOOR, "block_id", "face")
     if large is not None:
         some = lambda df: stored(df.join(large, FLOOR, "left_semi"))
         hits = hits.unionByName(_at_heights(some(texts), some(cut), block).where(crossed).select(*FLOOR, "block_id", "face"))
     inside = hits.groupBy(*FLOOR, "block_id", "face").agg(F.count("*").alias("n")).where("n % 2 = 1")
     first = inside.groupBy(*FLOOR, "block_id").agg(F.min("face").alias("face"))
-    return blocks.join(first, [*FLOOR, "block_id"])
+    return blocks.join(spread(first), [*FLOOR, "block_id"])
 
 
 def _at_heights(texts: DataFrame, edges: DataFrame, block: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atrium.operators.thermal import ROOM
+from atrium.storage import spread
 
 
 def room_area(rooms: DataFrame, label: str) -> DataFrame:
@@ -17,7 +18,7 @@ def adjacent_rooms(rooms: DataFrame, pairs: DataFrame, room_id) -> DataFrame:
     """Neighbours of a room by a table of undirected ``(plan_id, room_a, room_b)`` pairs."""
     other = F.when(F.col("room_a") == room_id, F.col("room_b")).when(F.col("room_b") == room_id, F.col("room_a"))
     found = pairs.select("plan_id", other.alias("room_id")).where("room_id IS NOT NULL").distinct()
-    return rooms.join(found, ["plan_id", "room_id"])
+    return rooms.join(spread(found), ["plan_id", "room_id"])
 
 
 def rooms_facing(rooms: DataFrame, walls: DataFrame, side: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from atrium.functions import geometry as g
 from atrium.operators import labels, questions, segments, topology
 from atrium.plans.fixtures import GRID_FX, TEXT_FX, WALLS_FX, gap_fx, grid_fx, irregular_fx, strokes_fx, text_fx, walls_fx
+from atrium.storage import spread
 
 
 def _topology(spark: SparkSession, sf_dir: str, **options) -> topology.Topology:
@@ -69,9 +70,9 @@ def adjacent_rooms(spark, sf_dir):
     """The neighbours of each plan's leftmost room."""
     found = _topology(spark, sf_dir)
     left = found.edges.where("face IS NOT NULL").groupBy("plan_id", "face").agg(F.min("ox").alias("left"))
-    rooms = found.rooms.join(left, ["plan_id", "face"]).select("plan_id", F.col("face").alias("room_id"), "area", "left")
+    rooms = found.rooms.join(spread(left), ["plan_id", "face"]).select("plan_id", F.col("face").alias("room_id"), "area", "left")
     first = rooms.groupBy("plan_id").agg(F.min_by("room_id", "left").alias("first"))
-    pairs = topology.adjacency(found).selectExpr("plan_id", "face_a AS room_a", "face_b AS room_b").join(first, "plan_id")
+    pairs = topology.adjacency(found).selectExpr("plan_id", "face_a AS room_a", "face_b AS room_b").join(spread(first), "plan_id")
     near = questions.adjacent_rooms(rooms, pairs, F.col("first"))
     return near.select("plan_id", _r("left", 3).alias("left"), _r("area", 4).alias("area"))
 
@@ -121,10 +122,10 @@ def wall_types(spark, sf_dir):
 
 def _labelled(spark, sf_dir, mode: str) -> DataFrame:
     edges = _topology(spark, sf_dir)
-    room = edges.edges.join(edges.rooms.select("plan_id", "floor_id", "face"), ["plan_id", "floor_id", "face"], "left_semi")
+    room = edges.edges.join(spread(edges.rooms.select("plan_id", "floor_id", "face")), ["plan_id", "floor_id", "face"], "left_semi")
     found = labels.label_rooms(text_fx(spark, sf_dir), room, mode)
     left = room.groupBy("plan_id", "floor_id", "face").agg(F.min("ox").alias("left"))
-    return found.join(left, ["plan_id", "floor_id", "face"]).select("plan_id", _r("left", 3).alias("left"), "label")
+    return found.join(spread(left), ["plan_id", "floor_id", "face"]).select("plan_id", _r("left", 3).alias("left"), "label")
 
 
 def label_rooms(spark, sf_dir):
@@ -174,7 +175,7 @@ def irregular_parts(spark, sf_dir):
     """V - E + F of the same drawings against the number of their parts, and how many of their rooms are side by side."""
     found = topology.build_topology(irregular_fx(spark, sf_dir))
     pairs = topology.adjacency(found).groupBy("plan_id").agg(F.count("*").alias("n_pairs"))
-    return topology.euler(found).join(pairs, "plan_id").select("plan_id", "v", "e", "f", "parts", "euler", "is_valid", "parts_valid", "n_pairs")
+    return topology.euler(found).join(spread(pairs), "plan_id").select("plan_id", "v", "e", "f", "parts", "euler", "is_valid", "parts_valid", "n_pairs")
 
 
 def rooms_with_gaps(spark, sf_dir):
@@ -182,7 +183,7 @@ def rooms_with_gaps(spark, sf_dir):
     gaps = gap_fx(spark, sf_dir)
     near = topology.build_topology(gaps, topology.TopologyConfig(snapping="nearest", snap=3.0)).rooms
     grid = topology.build_topology(gaps).rooms.groupBy("plan_id").agg(F.count("*").alias("n_grid"))
-    return near.join(grid, "plan_id", "left").select("plan_id", _r("area", 4).alias("area"), F.coalesce("n_grid", F.lit(0)).cast("long").alias("n_grid"))
+    return near.join(spread(grid), "plan_id", "left").select("plan_id", _r("area", 4).alias("area"), F.coalesce("n_grid", F.lit(0)).cast("long").alias("n_grid"))
 
 
 def merge_modes(spark, sf_dir):

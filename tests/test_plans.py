@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from atrium.functions import scale, text
 from atrium.operators import hvac, labels, questions, segments, thermal, topology
 from atrium.operators.components import connected_components
-from atrium.plans import fixtures
+from atrium.plans import file_queries, fixtures, geometry_queries
 from atrium.sources import candidates, models
 
 SF = "/root/testdata/sf0.001"
@@ -204,6 +204,28 @@ def test_folding_takes_little_time(spark):
     assert time.perf_counter() - began < 8
 
 
+DRAWINGS = (
+    "intersections", "merge_collinear", "merge_once", "pair_metrics", "door_closing", "room_areas_nearest", "room_areas_descending", "room_polygons", "euler", "connections",
+    "topology_map", "label_rooms_concat", "irregular_rooms", "irregular_parts", "exported_plans", "split_pieces", "adjacency", "wall_types", "adjacent_rooms", "rooms_with_gaps",
+)
+
+
+@pytest.mark.parametrize("name", DRAWINGS)
+def test_no_drawing_is_broadcast(spark, name):
+    """Not even where Spark takes the tables for small ones, as it does with rows made from arrays."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def plans() -> dict[int, str]:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        every = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.executionsList())
+        return {e.executionId(): e.physicalPlanDescription() for e in every}
+
+    before = max(plans(), default=-1)
+    (geometry_queries.QUERIES | file_queries.QUERIES)[name](spark, SF).write.format("noop").mode("overwrite").save()
+    ran = {k: p for k, p in plans().items() if k > before}
+    assert ran and not [k for k, p in ran.items() if "BroadcastExchange" in p]
+
+
 def test_candidate_maps(spark, tmp_path):
     file = tmp_path / "map.txt"
     file.write_text("section_n | image_split_name | ocr | tok\n1 | 0000.png | x | \n1 | 0001.png | Camera | camera, 12\n1 | 0002.png | a/b | soggiorno, pranzo\n")
