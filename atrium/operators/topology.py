@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,6 +121,11 @@ def half_edges(pieces: DataFrame, cfg: TopologyConfig = TopologyConfig(), large:
 
     Pieces whose ends fall together are dropped, repeated pieces are not. The floors in ``large`` are in no task whole.
     """
+    return _linked(pieces, cfg, large).withColumn("next", _of_twin("after")).drop("after")
+
+
+def _linked(pieces: DataFrame, cfg: TopologyConfig, large: DataFrame | None) -> DataFrame:
+    """Half-edges with ``after``, the one that follows around the origin: the twin's is the ``next`` one."""
     points = _snapped(_ends(pieces, large), cfg, large)
     first, last = F.col("end") == 0, F.col("end") == 1
     of = lambda c, k: F.max(F.when(k, F.col(c)))
@@ -145,8 +151,7 @@ def half_edges(pieces: DataFrame, cfg: TopologyConfig = TopologyConfig(), large:
     after = F.coalesce(F.lead("e").over(around), F.first("e").over(every))
     if falling:
         after = F.when(F.count("*").over(every) >= 2, after)
-    linked = halves.withColumn("after", after)
-    return linked.withColumn("next", _of_twin("after")).drop("after", "n")
+    return halves.withColumn("after", after).drop("n")
 
 
 def _of_twin(name: str) -> Column:
@@ -223,8 +228,9 @@ def _walk(offsets, to):
     return np.where(open_, -1, head - base), steps[:n], base
 
 
-def _faces_in_batches(batches):
-    """For rows of one floor each, with its edges' arrays: the edges' cycle, rank and what their face is like."""
+def _faces_in_batches(batches, faces_only: bool = False):
+    """For rows of one floor each, with its edges' arrays: the edges' cycle, rank and what their face is like, or the faces
+    alone. Edges have ``next``, or ``after`` (see ``_linked``)."""
     import numpy as np
     import pyarrow as pa
 
@@ -232,7 +238,12 @@ def _faces_in_batches(batches):
         rows = batch.column(2)
         offsets = np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())]).astype(np.int64)
         value = dict(zip((f.name for f in rows.type.value_type), rows.flatten().flatten(), strict=True))
-        to = value["next"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        to = value["next" if "next" in value else "after"].fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if "next" not in value:
+            start = np.repeat(offsets[:-1], np.diff(offsets))
+            to = to[(np.arange(len(to)) - start ^ 1) + start]
+            del value["after"]
+            value["next"] = pa.array(to, mask=to < 0)
         ox, oy, dx, dy = (value[c].to_numpy(zero_copy_only=False) for c in ("ox", "oy", "dx", "dy"))
         cycle, rank, base = _walk(offsets, to)
         n, on = len(to), cycle >= 0
@@ -249,6 +260,11 @@ def _faces_in_batches(batches):
         best = at[np.lexsort((at, -area[at], floor[at]))]
         largest = np.zeros(n + 1, dtype=bool)
         largest[best[np.concatenate([[True], floor[best][1:] != floor[best][:-1]])] if len(best) else best] = True
+        if faces_only:
+            owner = pa.array(floor[at])
+            table = [pa.array(x[at]) for x in (number, size, area, largest)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *table], names=[*FLOOR, "face", "n_edges", "area", "is_external"])
+            continue
         has = on & (size[head] >= 3)
         twin = (np.arange(n) - base ^ 1) + base
         none = ~has
@@ -257,6 +273,7 @@ def _faces_in_batches(batches):
             "n_edges": pa.array(size[head], mask=none), "area": pa.array(area[head], mask=none), "is_external": pa.array(largest[head], mask=none),
             "twin_face": pa.array(np.where(has, number[head], 0)[twin], mask=none[twin]), "twin_external": pa.array(largest[head][twin], mask=none[twin]),
         }
+        value = {c: value[c] for c in ("e", "twin", "next", "origin", "dest", "ox", "oy", "dx", "dy")}
         columns = {"plan_id": batch.column(0).take(pa.array(floor)), "floor_id": batch.column(1).take(pa.array(floor)), **value, **made}
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
@@ -272,18 +289,45 @@ def faces(edges: DataFrame, large: DataFrame | None = None) -> tuple[DataFrame,
     largest area is external, the first of equals. A floor is a row, and cycles, ranks and areas of many floors are
     worked out on arrays; the floors in ``large`` go by joins and give the same.
     """
+    found = stored(_with_faces(edges, large))
+    return found.drop("cycle", "n_edges", "area"), _face_table(found)
+
+
+def _gathered(edges: DataFrame, large: DataFrame | None, names: list[str]) -> DataFrame:
+    small = edges if large is None else edges.join(large, FLOOR, "left_anti")
+    return small.groupBy(*FLOOR).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("edges"))
+
+
+def _with_next(edges: DataFrame) -> DataFrame:
+    return edges if "next" in edges.columns else edges.withColumn("next", _of_twin("after")).drop("after")
+
+
+def _with_faces(edges: DataFrame, large: DataFrame | None) -> DataFrame:
     ship(edges.sparkSession)
-    names = [c.split()[0] for c in _EDGE.split(", ")]
     kinds = dict(edges.dtypes)
-    small = edges if large is None else edges.join(large, FLOOR, "left_anti")
-    floors = small.groupBy(*FLOOR).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("edges"))
+    link = "next" if "next" in kinds else "after"
+    names = [link if c.startswith("next ") else c.split()[0] for c in _EDGE.split(", ")]
     schema = f"plan_id {kinds['plan_id']}, floor_id {kinds['floor_id']}, {_EDGE}, {_FACE}"
-    found = floors.mapInArrow(_faces_in_batches, schema)
+    found = _gathered(edges, large, names).mapInArrow(_faces_in_batches, schema)
+    if large is not None:
+        found = found.unionByName(_joined_faces(stored(_with_next(edges.join(large, FLOOR, "left_semi")))))
+    return found
+
+
+def _face_table(found: DataFrame) -> DataFrame:
+    return found.where("e = cycle").select(*FLOOR, "face", "n_edges", "area", "is_external")
+
+
+def _faces_alone(edges: DataFrame, large: DataFrame | None) -> DataFrame:
+    """The face table of ``faces``, where nothing asks for the edges: these don't come back from the arrays."""
+    ship(edges.sparkSession)
+    kinds = dict(edges.dtypes)
+    schema = f"plan_id {kinds['plan_id']}, floor_id {kinds['floor_id']}, face bigint, n_edges bigint, area double, is_external boolean"
+    link = "next" if "next" in kinds else "after"
+    found = _gathered(edges, large, ["e", link, "ox", "oy", "dx", "dy"]).mapInArrow(lambda batches: _faces_in_batches(batches, True), schema)
     if large is not None:
-        found = found.unionByName(_joined_faces(stored(edges.join(large, FLOOR, "left_semi"))))
-    found = stored(found)
-    table = found.where("e = cycle").select(*FLOOR, "face", "n_edges", "area", "is_external")
-    return found.drop("cycle", "n_edges", "area"), table
+        found = found.unionByName(_face_table(_joined_faces(stored(_with_next(edges.join(large, FLOOR, "left_semi"))))))
+    return stored(found)
 
 
 def _joined_faces(edges: DataFrame) -> DataFrame:
@@ -302,13 +346,30 @@ def _joined_faces(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Topology:
+    """``edges`` and ``faces`` are worked out and stored when they are first asked for; asked for before the edges, the faces are alone."""
+
     pieces: DataFrame
-    edges: DataFrame
-    faces: DataFrame
+    linked: DataFrame
     cfg: TopologyConfig
     #: Floors that were not gathered in a row, if there are any.
     large: DataFrame | None = None
 
+    @cached_property
+    def _both(self) -> tuple[DataFrame, DataFrame]:
+        return faces(self.linked, self.large)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._both[0]
+
+    @cached_property
+    def _alone(self) -> DataFrame:
+        return _faces_alone(self.linked, self.large)
+
+    @property
+    def faces(self) -> DataFrame:
+        return self._both[1] if "_both" in self.__dict__ else self._alone
+
     @property
     def rooms(self) -> DataFrame:
         """Faces that are not external and within the area bounds."""
@@ -316,13 +377,13 @@ class Topology:
         return self.faces.where(~F.col("is_external") & area)
 
 
-def build_topology(segments: DataFrame, cfg: TopologyConfig = TopologyConfig()) -> Topology:
-    """Segments to intersections, pieces, half-edges and faces."""
-    pieces = stored(split_at_intersections(segments, find_intersections(segments), cfg.split))
+def build_topology(segments: DataFrame, cfg: TopologyConfig = TopologyConfig(), pieces: DataFrame | None = None) -> Topology:
+    """Segments to intersections, pieces, half-edges and faces. ``pieces``: those of another topology of the same segments
+    and ``split``."""
+    pieces = stored(split_at_intersections(segments, find_intersections(segments), cfg.split)) if pieces is None else pieces
     large = large_floors(pieces, cfg.most_pieces)
     large = None if large is None else large.select(*FLOOR)
-    edges, table = faces(half_edges(pieces, cfg, large), large)
-    return Topology(pieces, edges, table, cfg, large)
+    return Topology(pieces, _linked(pieces, cfg, large), cfg, large)
 
 
 def _count_parts(batches):
@@ -396,8 +457,8 @@ def adjacency(topology: Topology, rooms_only: bool = True) -> DataFrame:
 
 def connections(topology: Topology) -> DataFrame:
     """A passage for each pair of adjacent rooms, at the mean middle of their common edges."""
-    room = topology.rooms.select(*FLOOR, "face")
     shared = topology.edges.where("face < twin_face")
+    room = topology.rooms.select(*FLOOR, "face")
     for side in ("face", "twin_face"):
         shared = shared.join(spread(room.withColumnRenamed("face", side)), [*FLOOR, side], "left_semi")
     mid = lambda a, b: F.avg((F.col(a) + F.col(b)) / 2)

@@ -204,6 +204,17 @@ def test_folding_takes_little_time(spark):
     assert time.perf_counter() - began < 8
 
 
+@pytest.mark.parametrize("most_pieces", [0, 500_000])
+def test_faces_without_edges(spark, most_pieces):
+    """Rooms alone don't bring the edges back, and are those that come with the edges; pieces are cut once for two topologies."""
+    frame, cfg = _segments(spark, _drawing(4)), topology.TopologyConfig(most_pieces=most_pieces)
+    alone = topology.build_topology(frame, cfg)
+    both = topology.build_topology(frame, cfg, alone.pieces)
+    assert both.edges.count() and both.pieces is alone.pieces
+    table = lambda t: sorted((r["face"], r["n_edges"], round(r["area"], 6), r["is_external"]) for r in t.faces.collect())
+    assert table(alone) == table(both) and "_both" not in vars(alone)
+
+
 DRAWINGS = (
     "intersections", "merge_collinear", "merge_once", "pair_metrics", "door_closing", "room_areas_nearest", "room_areas_descending", "room_polygons", "euler", "connections",
     "topology_map", "label_rooms_concat", "irregular_rooms", "irregular_parts", "exported_plans", "split_pieces", "adjacency", "wall_types", "adjacent_rooms", "rooms_with_gaps",
