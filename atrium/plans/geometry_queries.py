@@ -181,8 +181,8 @@ def irregular_parts(spark, sf_dir):
 def rooms_with_gaps(spark, sf_dir):
     """Rooms that close only if ends snap to the nearest vertex, with the number of rooms that grid cells find."""
     gaps = gap_fx(spark, sf_dir)
-    near = topology.build_topology(gaps, topology.TopologyConfig(snapping="nearest", snap=3.0)).rooms
-    grid = topology.build_topology(gaps).rooms.groupBy("plan_id").agg(F.count("*").alias("n_grid"))
+    found = topology.build_topology(gaps, topology.TopologyConfig(snapping="nearest", snap=3.0))
+    near, grid = found.rooms, topology.build_topology(gaps, pieces=found.pieces).rooms.groupBy("plan_id").agg(F.count("*").alias("n_grid"))
     return near.join(spread(grid), "plan_id", "left").select("plan_id", _r("area", 4).alias("area"), F.coalesce("n_grid", F.lit(0)).cast("long").alias("n_grid"))
 
 
