@@ -46,7 +46,19 @@ def _by_unicodedata(form: str):
     def fold(texts: pd.Series) -> pd.Series:
         import unicodedata
 
-        keep = lambda t: "".join(c for c in unicodedata.normalize(form, t) if not unicodedata.combining(c))
+        known: dict[str, bool] = {}  # whether a character is a mark
+
+        def keep(t: str) -> str:
+            if t.isascii():
+                return t
+            t = unicodedata.normalize(form, t)
+            for c in set(t):
+                if c not in known:
+                    known[c] = unicodedata.combining(c) != 0
+                if known[c]:
+                    t = t.replace(c, "")
+            return t
+
         return texts.map(keep, na_action="ignore")
 
     return fold

@@ -1,11 +1,13 @@
 """Hand-worked cases and properties of the plan operators."""
 
+import hashlib
 import json
 import math
 import random
 import time
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +217,18 @@ def test_faces_without_edges(spark, most_pieces):
     assert table(alone) == table(both) and "_both" not in vars(alone)
 
 
+def test_odd_characters_take_little_time(spark):
+    """Four texts of 4 million characters that go through ``unicodedata``: marks are looked up once a character."""
+    t = "Ｓａｌａ é ½ …" + " the quick brown fox" * 200_000
+    df = spark.createDataFrame([(t,)], "t string")
+    form = F.md5(text.normalize_floor_text(F.col("t")).cast("binary"))
+    began = time.perf_counter()
+    fold = text._by_unicodedata("NFKD").func
+    got = fold(pd.Series([t] * 4))
+    assert time.perf_counter() - began < 1.2 and got[0].startswith("Sala e 1⁄2 ... the quick")
+    assert df.select(form).first()[0] == hashlib.md5(got[0].lower().encode()).hexdigest()
+
+
 DRAWINGS = (
     "intersections", "merge_collinear", "merge_once", "pair_metrics", "door_closing", "room_areas_nearest", "room_areas_descending", "room_polygons", "euler", "connections",
     "topology_map", "label_rooms_concat", "irregular_rooms", "irregular_parts", "exported_plans", "split_pieces", "adjacency", "wall_types", "adjacent_rooms", "rooms_with_gaps",
